@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, secrets, sharding, token_count
+from . import licenses, neighbours, secrets, sharding, token_count
 from .textkit import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_histogram_shards": lambda spark, d: sharding.shard_documents(documents(spark, d)),
         "op8_license_scan": lambda spark, d: licenses.scan(documents(spark, d)),
         "op9_token_counts": lambda spark, d: token_count.count_tokens(documents(spark, d)),
+        "op10_additive_neighbours": lambda spark, d: neighbours.search(table(spark, d, "embeddings")),
     }
 
 

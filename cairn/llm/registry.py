@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, neighbours, secrets, sharding, token_count
+from . import licenses, neighbours, secrets, sharding, token_count, toxicity
 from .textkit import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     documents = lambda spark, d: table(spark, d, "documents")
     return {
+        "op1_toxicity": lambda spark, d: toxicity.classify(documents(spark, d), table(spark, d, "labels")),
         "op2_secret_scan": lambda spark, d: secrets.scan(documents(spark, d)),
         "op3_histogram_shards": lambda spark, d: sharding.shard_documents(documents(spark, d)),
         "op8_license_scan": lambda spark, d: licenses.scan(documents(spark, d)),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, neighbours, packing, repeats, secrets, sharding, token_count, toxicity
+from . import licenses, neighbours, packing, repeats, secrets, set_join, sharding, token_count, toxicity
 from .textkit import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_histogram_shards": lambda spark, d: sharding.shard_documents(documents(spark, d)),
         "op4_length_packing": lambda spark, d: packing.pack_documents(documents(spark, d)),
         "op6_seed_extend_dedup": lambda spark, d: repeats.remove(documents(spark, d)),
+        "op7_skip_jaccard_join": lambda spark, d: set_join.join(documents(spark, d)),
         "op8_license_scan": lambda spark, d: licenses.scan(documents(spark, d)),
         "op9_token_counts": lambda spark, d: token_count.count_tokens(documents(spark, d)),
         "op10_additive_neighbours": lambda spark, d: neighbours.search(table(spark, d, "embeddings")),
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_length_packing": packing.ORACLE, "op6_seed_extend_dedup": repeats.ORACLE}
+    return {"op4_length_packing": packing.ORACLE, "op6_seed_extend_dedup": repeats.ORACLE, "op7_skip_jaccard_join": set_join.ORACLE}

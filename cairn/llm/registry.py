@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, neighbours, packing, repeats, secrets, set_join, sharding, token_count, toxicity
+from . import decontaminate, licenses, neighbours, packing, repeats, secrets, set_join, sharding, token_count, toxicity
 from .textkit import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": lambda spark, d: secrets.scan(documents(spark, d)),
         "op3_histogram_shards": lambda spark, d: sharding.shard_documents(documents(spark, d)),
         "op4_length_packing": lambda spark, d: packing.pack_documents(documents(spark, d)),
+        "op5_bm25_decontamination": lambda spark, d: decontaminate.find(documents(spark, d), table(spark, d, "benchmark")),
         "op6_seed_extend_dedup": lambda spark, d: repeats.remove(documents(spark, d)),
         "op7_skip_jaccard_join": lambda spark, d: set_join.join(documents(spark, d)),
         "op8_license_scan": lambda spark, d: licenses.scan(documents(spark, d)),

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker turns into arrays at a time.
 SLICE_BYTES = 4 << 20
@@ -79,15 +78,17 @@ def windows(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
         return mix((sums[width:] - sums[:-width]) * down[:n] + np.uint64(width))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where none is set (tests on one machine) it lies below the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints").rstrip("/")
+
+
 def stored(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df cut from its lineage: a checkpoint in the shared folder that the session names in spark.checkpoint.dir.
-
-    Only where none is set (tests on one machine) a folder below the warehouse is set."""
-    session = df.sparkSession
-    if session.conf.get("spark.checkpoint.dir", None) is None and session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(f"{session.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}")
-    elif session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir"))
+    """df cut from its lineage by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 

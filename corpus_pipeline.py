@@ -1,12 +1,64 @@
-"""Corpus pipeline; its stages are still to come."""
+"""Corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; what it returns is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import decontaminate, packing, secrets, set_join, textkit, toxicity
+
+#: Near-duplicate stages take runs of five words and a similarity of 0.8.
+NEAR_GRAM, NEAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score stays below the threshold of their language; the classifier is fitted to labelled rows of the input."""
+    model = toxicity.learn(docs, textkit.table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(docs.select(docs.columns), model, docs.columns)
+    return scored.filter(F.col("score") < toxicity.threshold(model, F.col("lang"))).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links join, the one with the smallest id."""
+    joined = set_join.join(docs, NEAR_GRAM, NEAR_PERCENT)
+    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item."""
+    return decontaminate.clean(docs, textkit.table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows; each secret's characters give way to a mark, and n_chars follows the text."""
+    return secrets.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Batches of what is left."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("decontamination", drop_leaks), ("secrets", mask_secrets), ("packing", pack)]
 
-STAGES: list = []
+#: A trained classifier decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; between stages the rows go through Parquet in the folder of spark.checkpoint.dir."""
+    docs = textkit.table(spark, sf_dir, "documents")
+    folder = f"{textkit.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_queries
+from . import log_queries, url_queries
 
-MODULES = (url_queries,)
+MODULES = (url_queries, log_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,12 +18,13 @@ MIME_CATEGORIES = (
     ("HTML", ("text/html", "application/xhtml+xml")),
     ("CSS", ("text/css",)),
     ("JAVASCRIPT", ("application/javascript", "text/javascript", "application/x-javascript")),
-    ("JSON", ("application/json", "application/ld+json")),
-    ("XML", ("application/xml", "text/xml", "application/rss+xml", "application/atom+xml")),
+    ("JSON", ("application/json", "text/json")),
+    ("FONT", ("application/font-woff", "application/font-woff2", "application/x-font-ttf")),
+    ("TEXT", ("text/plain", "text/markdown")),
+    ("XML", ("application/xml", "text/xml")),
     ("PDF", ("application/pdf",)),
-    ("TEXT", ("text/plain",)),
 )
-URL_CATEGORIES = (("HTML", ("html", "htm")), ("CSS", ("css",)), ("JAVASCRIPT", ("js",)), ("IMAGE", ("png", "jpg", "jpeg", "gif", "webp", "svg", "ico")), ("JSON", ("json",)), ("FONT", ("woff", "woff2", "ttf", "otf", "eot")), ("PDF", ("pdf",)), ("XML", ("xml",)), ("TEXT", ("txt",)))
+URL_CATEGORIES = (("CSS", ("css",)), ("JAVASCRIPT", ("js",)), ("IMAGE", ("png", "jpg", "jpeg", "gif", "webp", "svg", "ico")), ("JSON", ("json",)), ("TEXT", ("txt", "md")))
 CATEGORIES = ("HTML", "CSS", "JAVASCRIPT", "IMAGE", "JSON", "FONT", "TEXT", "XML", "PDF", "OTHER")
 
 
@@ -63,7 +64,7 @@ def content_category(record_type: Column, mime: Column, url: Column) -> Column:
     out = F.when(record_type != "response", "OTHER")
     for name, types in MIME_CATEGORIES:
         out = out.when(m.isin(*types), name)
-    out = out.when(m.startswith("image/"), "IMAGE").when(m.startswith("font/") | m.startswith("application/font") | m.startswith("application/x-font"), "FONT")
+    out = out.when(m.startswith("image/"), "IMAGE").when(m.startswith("font/"), "FONT")
     ending = F.lower(F.regexp_extract(F.split_part(url, F.lit("?"), F.lit(1)), r"\.([A-Za-z0-9]+)$", 1))
     for name, ends in URL_CATEGORIES:
         out = out.when(ending.isin(*ends), name)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import log_queries, url_queries
+from . import content_queries, log_queries, url_queries
 
-MODULES = (url_queries, log_queries)
+MODULES = (url_queries, log_queries, content_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -95,11 +95,9 @@ def _seeder(width: int, gram: int):
         for batch in batches:
             for low, high, texts in slices(batch, "text"):
                 keys = batch.column("doc_key").slice(low, high - low).to_numpy()
-                words = [hashes.of(t.split()) for t in texts]
-                lengths = np.array([len(w) for w in words])
+                flat, lengths = hashes.of(texts)
                 if lengths.max(initial=0) < width:
                     continue
-                flat = np.concatenate(words)
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 grams, whole = windows(flat, gram, powers), windows(flat, width, powers)
                 # Places past the mask's reach would mix up anchors; a slice has far fewer words.

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import Powers, WordHashes, mix, slices, stored, windows
+from .textkit import Powers, WordHashes, mix, slices, stored, unique, windows
 
 GRAM, PERCENT = 3, 90
 HEAVY = 1 << 16
 TASK_COUNTS = 1 << 16
 FAMILY_ROWS = 512
 _POST = "gram bigint, node bigint, size int, place int, sketch binary"
-_INFO = "doc_id bigint, node bigint, n_shingles bigint"
+_SURVEY = "doc_id bigint, node bigint, n_shingles bigint, gram bigint, n bigint"
 
 
 def need(size: np.ndarray | int, percent: int):
@@ -56,14 +56,18 @@ class Shingler:
     """Texts -> sorted distinct gram hashes."""
 
     def __init__(self, gram: int) -> None:
-        self.gram, self.words, self.powers = gram, WordHashes(), Powers()
+        self.gram, self.words, self.powers = gram, WordHashes(fold_case=True), Powers()
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            h = self.words.of(text.lower().split())
-            grams = windows(h, min(self.gram, len(h)), self.powers) if len(h) else h
-            out.append(np.unique(grams))
+        flat, counts = self.words.of(texts)
+        grams = windows(flat, self.gram, self.powers)
+        out, at = [], 0
+        for n in counts.tolist():
+            if n >= self.gram:
+                out.append(unique(grams[at : at + n - self.gram + 1]))
+            else:
+                out.append(windows(flat[at : at + n], n, self.powers) if n else flat[:0])
+            at += n
         return out
 
 
@@ -71,42 +75,49 @@ def node_of(grams: np.ndarray) -> int:
     """Hash of a set, as a signed 64-bit number."""
     if not len(grams):
         return 0
+    mixed = mix(grams)
     with np.errstate(over="ignore"):
-        x = np.array([mix(grams).sum(dtype=np.uint64) + np.uint64(len(grams)), np.bitwise_xor.reduce(mix(grams + np.uint64(1)))], np.uint64)
-        return int(mix(np.array([x[0] * np.uint64(0x9E3779B97F4A7C15) ^ x[1]]))[0].view(np.int64))
+        both = mixed.sum(dtype=np.uint64, keepdims=True) * np.uint64(0x9E3779B97F4A7C15) ^ np.bitwise_xor.reduce(mixed) ^ np.uint64(len(grams))
+        return int(mix(both)[0].view(np.int64))
 
 
-def _counter(gram: int):
-    """Of each task, a row with its most frequent grams and their counts: a summary of bounded size over all its texts."""
+def _surveyor(gram: int):
+    """Two kinds of rows: of each document its node and size; and of each task its most frequent grams with their counts, a summary of bounded size over all its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(gram)
         ids, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def merged(parts_i, parts_n):
-            u, where = np.unique(np.concatenate(parts_i), return_inverse=True)
-            return u, np.bincount(where, np.concatenate(parts_n), len(u)).astype(np.int64)
-
+        names = ["doc_id", "node", "n_shingles", "gram", "n"]
         for batch in batches:
-            for _, _, texts in slices(batch, "text"):
-                u, n = np.unique(np.concatenate(shingler.sets(texts)), return_counts=True)
-                u, n = u[n > 1] if len(ids) == 0 else u, n[n > 1] if len(ids) == 0 else n
-                if len(ids):
-                    keep = (n > 1) | np.isin(u, ids, assume_unique=True)
-                    u, n = u[keep], n[keep]
-                ids, counts = merged([ids, u], [counts, n])
+            for low, high, texts in slices(batch, "text"):
+                sets = shingler.sets(texts)
+                none = pa.nulls(high - low, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).cast(pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none], names)
+                grams = np.sort(np.concatenate(sets))
+                first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+                n = np.diff(np.concatenate([first, [len(grams)]]))
+                grams = grams[first]
+                # A gram seen once here counts only if it was frequent before.
+                at = np.minimum(np.searchsorted(ids, grams), max(0, len(ids) - 1))
+                known = ids[at] == grams if len(ids) else np.zeros(len(grams), bool)
+                counts[at[known]] += n[known]
+                fresh = ~known & (n > 1)
+                ids, counts = np.concatenate([ids, grams[fresh]]), np.concatenate([counts, n[fresh]])
                 if len(ids) > TASK_COUNTS:
                     best = np.argpartition(-counts, TASK_COUNTS)[:TASK_COUNTS]
-                    ids, counts = ids[np.sort(best)], counts[np.sort(best)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(counts)], ["gram", "n"])
+                    ids, counts = ids[best], counts[best]
+                order = np.argsort(ids)
+                ids, counts = ids[order], counts[order]
+        none = pa.nulls(len(ids), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(ids.view(np.int64)), pa.array(counts)], names)
 
     return run
 
 
-def heavy_grams(texts: DataFrame, gram: int, limit: int = HEAVY) -> np.ndarray:
-    """The most frequent grams, rarest of them first: at most `limit` numbers, whatever the input."""
-    counts = texts.mapInArrow(_counter(gram), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counts.filter("n > 2").orderBy(F.desc("n"), "gram").limit(limit).toPandas()
+def heavy_grams(counts: DataFrame, limit: int = HEAVY) -> np.ndarray:
+    """The most frequent grams of counts (gram, n), rarest of them first: at most `limit` numbers, whatever the input."""
+    total = counts.groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = total.filter("n > 2").orderBy(F.desc("n"), "gram").limit(limit).toPandas()
     return rows["gram"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
@@ -164,17 +175,6 @@ def _poster(heavy_in_order: np.ndarray, gram: int, percent: int):
     return run
 
 
-def _informer(gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(gram)
-        for batch in batches:
-            for low, high, texts in slices(batch, "text"):
-                sets = shingler.sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).cast(pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n_shingles"])
-
-    return run
-
-
 class Forest:
     """Union-find over 0..n-1."""
 
@@ -202,47 +202,55 @@ class Forest:
         return a != b
 
 
-def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: list[bytes], percent: int, block: int = 256) -> list[tuple[int, int]]:
-    """Forest over the pairs of a gram's list (sorted by size) that no bound excludes."""
-    n = len(node)
+def sketch_matrices(table: pa.Table) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(width of each row's sketch, sketches folded to each width that occurs; rows narrower than a width are zero there)."""
+    column = table.column("sketch").combine_chunks()
+    raw = np.frombuffer(column.buffers()[2], np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    widths = np.diff(offsets)
+    out = {}
+    for w in np.unique(widths).tolist():
+        full = np.zeros((len(widths), w), np.uint8)
+        for other in np.unique(widths[widths >= w]).tolist():
+            rows = np.flatnonzero(widths == other)
+            at = offsets[rows][:, None] + np.arange(other)[None, :]
+            full[rows] = raw[at].reshape(len(rows), other // w, w).sum(1, dtype=np.uint8)
+        out[w] = full
+    return widths, out
+
+
+def fits(size: np.ndarray, place: np.ndarray, widths: np.ndarray, marks: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (size of i not above that of j) no bound excludes: length, position, sketches."""
+    x, y = size[i], size[j]
+    least = overlap(x, y, percent)
+    good = np.flatnonzero((y * percent <= x * 100) & (np.minimum(x - place[i], y - place[j]) >= least))
+    out = np.zeros(len(i), bool)
+    w = np.minimum(widths[i[good]], widths[j[good]])
+    for v in np.unique(w).tolist():
+        of = good[w == v]
+        for cut in range(0, len(of), 65536):
+            some = of[cut : cut + 65536]
+            d = marks[v][i[some]] - marks[v][j[some]]
+            gap = np.minimum(d, np.negative(d)).sum(1, dtype=np.int64)
+            out[some] = gap <= x[some] + y[some] - 2 * least[some]
+    return out
+
+
+def list_edges(low: int, high: int, node: np.ndarray, size: np.ndarray, place: np.ndarray, widths: np.ndarray, marks: dict[int, np.ndarray], percent: int, block: int = 256) -> list[tuple[int, int]]:
+    """Forest over the pairs of a gram's long list, rows low to high - 1, sorted by size, that no bound excludes."""
+    n = high - low
     forest, edges = Forest(n), []
-    widths = np.array([len(s) for s in sketches])
-    cells = {}
-    for w in np.unique(widths):
-        rows = np.flatnonzero(widths == w)
-        matrix = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint8).reshape(len(rows), int(w))
-        cells[int(w)] = (rows, matrix)
-    # Sketches of different widths meet at the narrower one: cells of the wider one fold together, modulo 256.
-    folded: dict[int, np.ndarray] = {}
-    for w in sorted(cells):
-        full = np.zeros((n, w), np.uint8)
-        for other, (rows, matrix) in cells.items():
-            if other >= w:
-                full[rows] = matrix.reshape(len(rows), other // w, w).sum(1, dtype=np.uint8)
-        folded[w] = full
-    limit = np.searchsorted(size, size * 100 // percent, side="right")
-    for low in range(0, n, block):
-        high = min(n, low + block)
-        for start in range(low, int(limit[low:high].max(initial=0)), block):
+    limit = np.searchsorted(size[low:high], size[low:high] * 100 // percent, side="right")
+    for a in range(0, n, block):
+        b = min(n, a + block)
+        for start in range(a, int(limit[a:b].max(initial=0)), block):
             end = min(n, start + block)
-            x, y = size[low:high, None], size[None, start:end]
-            least = overlap(x, y, percent)
-            good = (y * percent <= x * 100) & (np.arange(start, end)[None, :] > np.arange(low, high)[:, None])
-            good &= 1 + np.minimum(x - place[low:high, None], y - place[None, start:end]) - 1 >= least
-            if not good.any():
-                continue
-            i, j = np.nonzero(good)
-            w = np.minimum(widths[low + i], widths[start + j])
-            gap = np.empty(len(i), np.int64)
-            for v in np.unique(w):
-                of = w == v
-                for cut in range(0, int(of.sum()), 65536):
-                    some = np.flatnonzero(of)[cut : cut + 65536]
-                    d = folded[int(v)][low + i[some]] - folded[int(v)][start + j[some]]
-                    gap[some] = np.minimum(d, np.negative(d)).sum(1, dtype=np.int64)
-            fits = gap <= size[low + i] + size[start + j] - 2 * least[i, j]
-            i, j = low + i[fits], start + j[fits]
+            roots = forest.roots()
             # Answers already implied by the forest are skipped.
+            i, j = np.nonzero((roots[a:b, None] != roots[None, start:end]) & (np.arange(start, end)[None, :] > np.arange(a, b)[:, None]))
+            i, j = i + a, j + start
+            good = fits(size, place, widths, marks, i + low, j + low, percent)
+            i, j = i[good], j[good]
             while len(i):
                 roots = forest.roots()
                 apart = roots[i] != roots[j]
@@ -250,39 +258,57 @@ def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches:
                 if not len(i):
                     break
                 _, lead = np.unique(roots[j], return_index=True)
-                for a, b in zip(i[lead].tolist(), j[lead].tolist(), strict=True):
-                    if forest.join(a, b):
-                        edges.append((int(node[a]), int(node[b])))
+                for p, q in zip(i[lead].tolist(), j[lead].tolist(), strict=True):
+                    if forest.join(p, q):
+                        edges.append((int(node[low + p]), int(node[low + q])))
     return edges
 
 
+#: Lists up to this length are compared all at once.
+SHORT_LIST = 12
+
+
+def table_edges(table: pa.Table, percent: int, last: bool) -> tuple[np.ndarray, int]:
+    """(candidate edges of the lists in a table sorted by (gram, size, node), first row of the list that is still open)."""
+    gram, node = (table.column(c).to_numpy() for c in ("gram", "node"))
+    rest = len(gram) if last or not len(gram) else int(np.searchsorted(gram, gram[-1]))
+    distinct = np.concatenate([[True], (gram[1:rest] != gram[: max(0, rest - 1)]) | (node[1:rest] != node[: max(0, rest - 1)])])[:rest]
+    keep = np.flatnonzero(distinct)
+    gram = gram[keep]
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
+    length = np.diff(np.concatenate([start, [len(gram)]]))
+    shared = np.repeat(length > 1, length)
+    if not shared.any():
+        return np.empty((0, 2), np.int64), rest
+    keep, gram = keep[shared], gram[shared]
+    table = table.select(["node", "size", "place", "sketch"]).take(pa.array(keep))
+    node = table.column("node").to_numpy()
+    size, place = (table.column(c).to_numpy().astype(np.int64) for c in ("size", "place"))
+    widths, marks = sketch_matrices(table)
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    length = np.diff(np.concatenate([start, [len(gram)]]))
+    found = []
+    short = np.repeat(length <= SHORT_LIST, length)
+    for k in range(1, SHORT_LIST):
+        i = np.flatnonzero(short[:-k] & (gram[k:] == gram[:-k]))
+        if not len(i):
+            break
+        i = i[fits(size, place, widths, marks, i, i + k, percent)]
+        found.append(np.stack([node[i], node[i + k]], 1))
+    for a, n in zip(start[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
+        found.append(np.array(list_edges(a, a + n, node, size, place, widths, marks, percent), np.int64).reshape(-1, 2))
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64), rest
+
+
 def _index(percent: int):
     """Rows in (gram, size, node) order -> candidate edges. A list that spans batches is held until it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def lists(table: pa.Table, last: bool):
-            gram, node, size, place = (table.column(c).to_numpy() for c in ("gram", "node", "size", "place"))
-            cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            ends = np.concatenate([cut[1:], [len(gram)]])
-            if not last:
-                cut, ends = cut[:-1], ends[:-1]
-            long = ends - cut > 1
-            found: list[tuple[int, int]] = []
-            marks = table.column("sketch")
-            for a, b in zip(cut[long].tolist(), ends[long].tolist(), strict=True):
-                one = np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])
-                if one.sum() > 1:
-                    s = marks.slice(a, b - a).to_pylist()
-                    rows = np.flatnonzero(one)
-                    found += list_edges(node[a:b][one], size[a:b][one].astype(np.int64), place[a:b][one].astype(np.int64), [s[r] for r in rows], percent)
-            rest = int(ends[-1]) if len(ends) else 0
-            return found, rest
-
-        def write(found):
-            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        def write(edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -291,14 +317,11 @@ def _index(percent: int):
             if held[0].column("gram")[0] == batch.column("gram")[batch.num_rows - 1]:
                 continue
             table = pa.Table.from_batches(held)
-            found, rest = lists(table, False)
+            edges, rest = table_edges(table, percent, False)
             held = table.slice(rest).combine_chunks().to_batches()
-            if found:
-                yield write(found)
+            yield from write(edges)
         if held:
-            found, _ = lists(pa.Table.from_batches(held), True)
-            if found:
-                yield write(found)
+            yield from write(table_edges(pa.Table.from_batches(held), percent, True)[0])
 
     return run
 
@@ -398,8 +421,9 @@ def _families(gram: int, percent: int):
 def join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of documents (doc_id, text)."""
     texts = documents.select("doc_id", "text")
-    info = stored(texts.mapInArrow(_informer(gram), _INFO))
-    heavy = heavy_grams(texts, gram)
+    survey = stored(texts.mapInArrow(_surveyor(gram), _SURVEY))
+    info = survey.filter("node IS NOT NULL").select("doc_id", "node", "n_shingles")
+    heavy = heavy_grams(survey.filter("gram IS NOT NULL").select("gram", "n"))
     posts = texts.select("text").mapInArrow(_poster(heavy, gram, percent), _POST)
     candidates = posts.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_index(percent), "a bigint, b bigint")
     families = stored(components(candidates))
@@ -411,7 +435,8 @@ def join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     # Block i meets the blocks from i on: (i, i) alone, (i, j) on side 0 and (j, i) on side 1.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.concat_ws(":", F.col("root"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("part"), (F.col("block") > j).cast("int").alias("side")))
     members = members.withColumn("m", F.explode(meets)).select("doc_id", "node", "m.part", "m.side")
-    brought = texts.join(members, texts["doc_id"].eqNullSafe(members["doc_id"])).select("part", "side", "node", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["part", "side", "node"])
+    # Members grow with the input, so they are never broadcast.
+    brought = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(members["doc_id"])).select("part", "side", "node", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["part", "side", "node"])
     exact = brought.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), "a bigint, b bigint")
     linked_nodes = components(exact)
     named = info.join(linked_nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker turns into arrays at a time.
 SLICE_BYTES = 4 << 20
-#: Words whose hash a worker remembers.
-CACHED_WORDS = 400_000
+#: Bytes that are hashed at a time; they stay in the processor's cache.
+HASH_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; forgets all when full, so that its size is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, row after the last, texts as UTF-8) of runs of rows with about `limit` bytes of text; null counts as empty."""
     texts = batch.column(column).cast(pa.binary())
@@ -67,6 +55,91 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+class WordHashes:
+    """Texts (UTF-8) -> a 64-bit hash of each word between ASCII white space, for all words of a block at once.
+
+    A word's hash is a polynomial in an odd base over random 64-bit values of its bytes. fold_case: A-Z count as a-z."""
+
+    def __init__(self, fold_case: bool = False) -> None:
+        self.values = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        if fold_case:
+            self.values[65:91] = self.values[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[32, 9, 10, 11, 12, 13]] = True
+        self.values[self.space] = 0
+        self.powers = Powers()
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, number of words of each text)."""
+        hashes, counts, block, size = [], np.zeros(len(texts), np.int64), [], 0
+
+        def close() -> None:
+            if block:
+                h, n = self._block([x for _, x in block])
+                hashes.append(h)
+                np.add.at(counts, [i for i, _ in block], n)
+                block.clear()
+
+        for i, text in enumerate(texts):
+            for piece in self._pieces(text):
+                if size + len(piece) > HASH_BYTES:
+                    close()
+                    size = 0
+                block.append((i, piece))
+                size += len(piece)
+        close()
+        return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
+
+    @staticmethod
+    def _pieces(text: bytes) -> Iterator[bytes]:
+        """text cut between words into pieces of about HASH_BYTES."""
+        at = 0
+        while len(text) - at > HASH_BYTES:
+            gap = _SPACE.search(text, at + HASH_BYTES)
+            end = gap.start() if gap else len(text)
+            yield text[at:end]
+            at = end
+        yield text[at:] if at else text
+
+    def _sum(self, data: np.ndarray) -> np.ndarray:
+        """Running sums of value times power, from 0 on."""
+        up, _ = self.powers.upto(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
+        return sums
+
+    def _long(self, word: np.ndarray) -> int:
+        """The polynomial of a word too long for one block, in blocks."""
+        total = 0
+        for at in range(0, len(word), HASH_BYTES):
+            total += int(self._sum(word[at : at + HASH_BYTES])[-1]) * pow(_BASE, at, 1 << 64)
+        return total & _MASK
+
+    def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        gap = self.space[data]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.concatenate([[0], edge])
+        starts, ends = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            if len(data) <= 4 * HASH_BYTES:
+                sums = self._sum(data)
+                _, down = self.powers.upto(len(data) + 1)
+                h = (sums[ends] - sums[starts]) * down[starts]
+            else:
+                h = np.array([self._long(data[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64)
+            h = mix(h + (ends - starts).astype(np.uint64))
+        limits = np.cumsum([len(t) + 1 for t in texts])
+        return h, np.diff(np.concatenate([[0], np.searchsorted(starts, limits)]))
+
+
+def unique(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x
+
+
 def windows(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     """A 64-bit hash of each run of `width` consecutive word hashes; equal runs have equal hashes wherever they stand."""
     n = len(hashes) - width + 1

@@ -6,11 +6,11 @@ similarity of their sets reaches PERCENT / 100. Equal sets are one node (their h
 1. Order. Every task summarises the counts of its grams (the most frequent ones it met, bounded); summed, the HEAVY most
    frequent go last in the global order, by count, all others first, by hash. The order decides how much work is done,
    never the result. Sets that link share a gram among their first |x| - ceil(t |x|) + 1 in that order.
-2. Index. Each set posts these grams with its size, the gram's position and a sketch (counts of its grams by hash in a few
-   cells). A gram's list is sorted by size and skipped in blocks: a block is left once its sizes exceed |x| / t; inside,
-   position bounds the overlap still possible, and the sketches' distance bounds the symmetric difference from below.
-   What remains in a list is joined to a forest, so a list of n sets emits n - 1 edges at most.
-3. The forest's components hold every link, and a component is one family of similar sets. Their texts are brought
+2. Index. Each set posts these grams with its size and the gram's position. A gram's list is sorted by size and skipped in
+   blocks: a block is left once its sizes exceed |x| / t; inside, position bounds the overlap still possible. Pairs of
+   short lists, and the rows of long ones, then meet the sets' sketches (counts of grams by hash in cells), whose distance
+   bounds the symmetric difference from below. A long list becomes a forest: of n sets n - 1 edges at most go on.
+3. The edges' components hold every link, and a component is one family of similar sets. Their texts are brought
    together once, as blocks of FAMILY_ROWS; a family of several blocks is joined block against block, so that none is a
    single task's work.
 4. Answers. In a family a set is first compared with the sets that answered for its most similar predecessor; once it
@@ -38,8 +38,10 @@ GRAM, PERCENT = 3, 90
 HEAVY = 1 << 16
 TASK_COUNTS = 1 << 16
 FAMILY_ROWS = 512
-_POST = "gram bigint, node bigint, size int, place int, sketch binary"
-_SURVEY = "doc_id bigint, node bigint, n_shingles bigint, gram bigint, n bigint"
+_POST = "gram bigint, node bigint, size int, place int"
+_LIST = "gram bigint, a bigint, b bigint, size int, place int"
+_EDGE = "a bigint, b bigint"
+_SURVEY = "doc_id bigint, node bigint, n_shingles bigint, sketch binary, gram bigint, n bigint"
 
 
 def need(size: np.ndarray | int, percent: int):
@@ -81,18 +83,18 @@ def node_of(grams: np.ndarray) -> int:
         return int(mix(both)[0].view(np.int64))
 
 
-def _surveyor(gram: int):
-    """Two kinds of rows: of each document its node and size; and of each task its most frequent grams with their counts, a summary of bounded size over all its texts."""
+def _surveyor(gram: int, percent: int):
+    """Two kinds of rows: of each document its node, size and sketch; and of each task its most frequent grams with their counts, a summary of bounded size over all its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(gram)
         ids, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        names = ["doc_id", "node", "n_shingles", "gram", "n"]
+        names = ["doc_id", "node", "n_shingles", "sketch", "gram", "n"]
         for batch in batches:
             for low, high, texts in slices(batch, "text"):
                 sets = shingler.sets(texts)
                 none = pa.nulls(high - low, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).cast(pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), none, none], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).cast(pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary()), none, none], names)
                 grams = np.sort(np.concatenate(sets))
                 first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
                 n = np.diff(np.concatenate([first, [len(grams)]]))
@@ -109,7 +111,7 @@ def _surveyor(gram: int):
                 order = np.argsort(ids)
                 ids, counts = ids[order], counts[order]
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(ids.view(np.int64)), pa.array(counts)], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(ids), pa.binary()), pa.array(ids.view(np.int64)), pa.array(counts)], names)
 
     return run
 
@@ -121,17 +123,30 @@ def heavy_grams(counts: DataFrame, limit: int = HEAVY) -> np.ndarray:
     return rows["gram"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def sketch_cells(size: int) -> int:
-    """Cells of a set's sketch: a power of two, growing with the size in whole octaves, at most 64."""
-    return 16 if size <= 1024 else 32 if size <= 4096 else 64
+def sketch_cells(size: int, percent: int) -> int:
+    """Cells of a set's sketch: a power of two that sets unrelated ones apart. The counts of two unrelated sets of n grams in c cells differ by about 1.1 sqrt(n c) in all, links by d n at most, where d = 2 (1 - t) / (1 + t); c = 4 d^2 n gives twice that."""
+    d = 2 * (100 - percent) / (100 + percent)
+    return min(4096, max(16, 1 << int(np.ceil(np.log2(max(1.0, 4 * d * d * size))))))
 
 
-def sketch(grams: np.ndarray) -> bytes:
+def sketch(grams: np.ndarray, percent: int) -> bytes:
     """Counts of grams by the low bits of their hash, modulo 256."""
-    cells = sketch_cells(len(grams))
+    cells = sketch_cells(len(grams), percent)
     return np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8).tobytes()
 
 
+def folded(sketches: list[bytes], cells: int) -> np.ndarray:
+    """Sketches of one width brought to fewer cells; counts add up modulo 256."""
+    width = len(sketches[0])
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), width // cells, cells).sum(1, dtype=np.uint8)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric difference from sketches of one width."""
+    d = x - y
+    return np.minimum(d, np.negative(d)).sum(1, dtype=np.int64)
+
+
 def prefix(grams: np.ndarray, heavy: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     """The first `length` grams in the global order. heavy is sorted, rank its places in the order."""
     if not len(heavy):
@@ -155,7 +170,7 @@ def _poster(heavy_in_order: np.ndarray, gram: int, percent: int):
         for batch in batches:
             for _, _, texts in slices(batch, "text"):
                 done: set[int] = set()
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], []]
                 for grams in shingler.sets(texts):
                     n = len(grams)
                     node = node_of(grams)
@@ -165,12 +180,11 @@ def _poster(heavy_in_order: np.ndarray, gram: int, percent: int):
                     some = prefix(grams, heavy, rank, n - int(need(n, percent)) + 1)
                     cols[0].append(some)
                     cols[1].append((node, n, len(some)))
-                    cols[2] += [sketch(grams)] * len(some)
                 if cols[0]:
                     grams = np.concatenate(cols[0])
                     node, n, k = (np.array(x, np.int64) for x in zip(*cols[1], strict=True))
                     place = np.arange(len(grams)) - np.repeat(np.concatenate([[0], np.cumsum(k)[:-1]]), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(node, k)), pa.array(np.repeat(n, k).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(cols[2], pa.binary())], ["gram", "node", "size", "place", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(node, k)), pa.array(np.repeat(n, k).astype(np.int32)), pa.array(place.astype(np.int32))], ["gram", "node", "size", "place"])
 
     return run
 
@@ -202,45 +216,25 @@ class Forest:
         return a != b
 
 
-def sketch_matrices(table: pa.Table) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """(width of each row's sketch, sketches folded to each width that occurs; rows narrower than a width are zero there)."""
-    column = table.column("sketch").combine_chunks()
-    raw = np.frombuffer(column.buffers()[2], np.uint8)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    widths = np.diff(offsets)
-    out = {}
-    for w in np.unique(widths).tolist():
-        full = np.zeros((len(widths), w), np.uint8)
-        for other in np.unique(widths[widths >= w]).tolist():
-            rows = np.flatnonzero(widths == other)
-            at = offsets[rows][:, None] + np.arange(other)[None, :]
-            full[rows] = raw[at].reshape(len(rows), other // w, w).sum(1, dtype=np.uint8)
-        out[w] = full
-    return widths, out
+def in_reach(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (size of i not above that of j) neither length nor position excludes."""
+    x, y = size[i], size[j]
+    return (y * percent <= x * 100) & (np.minimum(x - place[i], y - place[j]) >= overlap(x, y, percent))
 
 
-def fits(size: np.ndarray, place: np.ndarray, widths: np.ndarray, marks: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs (size of i not above that of j) no bound excludes: length, position, sketches."""
-    x, y = size[i], size[j]
-    least = overlap(x, y, percent)
-    good = np.flatnonzero((y * percent <= x * 100) & (np.minimum(x - place[i], y - place[j]) >= least))
-    out = np.zeros(len(i), bool)
-    w = np.minimum(widths[i[good]], widths[j[good]])
-    for v in np.unique(w).tolist():
-        of = good[w == v]
-        for cut in range(0, len(of), 65536):
-            some = of[cut : cut + 65536]
-            d = marks[v][i[some]] - marks[v][j[some]]
-            gap = np.minimum(d, np.negative(d)).sum(1, dtype=np.int64)
-            out[some] = gap <= x[some] + y[some] - 2 * least[some]
-    return out
-
-
-def list_edges(low: int, high: int, node: np.ndarray, size: np.ndarray, place: np.ndarray, widths: np.ndarray, marks: dict[int, np.ndarray], percent: int, block: int = 256) -> list[tuple[int, int]]:
-    """Forest over the pairs of a gram's long list, rows low to high - 1, sorted by size, that no bound excludes."""
-    n = high - low
+def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: list[bytes], percent: int, block: int = 256) -> list[tuple[int, int]]:
+    """Forest over the pairs of a gram's list, sorted by size, that no bound excludes."""
+    n = len(node)
     forest, edges = Forest(n), []
-    limit = np.searchsorted(size[low:high], size[low:high] * 100 // percent, side="right")
+    widths = np.array([len(s) for s in sketches])
+    kinds = np.unique(widths).tolist()
+    marks = {}
+    for w in kinds:
+        marks[w] = np.zeros((n, w), np.uint8)
+        for other in [k for k in kinds if k >= w]:
+            rows = np.flatnonzero(widths == other)
+            marks[w][rows] = folded([sketches[r] for r in rows], w)
+    limit = np.searchsorted(size, size * 100 // percent, side="right")
     for a in range(0, n, block):
         b = min(n, a + block)
         for start in range(a, int(limit[a:b].max(initial=0)), block):
@@ -249,7 +243,16 @@ def list_edges(low: int, high: int, node: np.ndarray, size: np.ndarray, place: n
             # Answers already implied by the forest are skipped.
             i, j = np.nonzero((roots[a:b, None] != roots[None, start:end]) & (np.arange(start, end)[None, :] > np.arange(a, b)[:, None]))
             i, j = i + a, j + start
-            good = fits(size, place, widths, marks, i + low, j + low, percent)
+            good = in_reach(size, place, i, j, percent)
+            i, j = i[good], j[good]
+            most = size[i] + size[j] - 2 * overlap(size[i], size[j], percent)
+            w = np.minimum(widths[i], widths[j])
+            good = np.zeros(len(i), bool)
+            for v in np.unique(w).tolist():
+                of = np.flatnonzero(w == v)
+                for cut in range(0, len(of), max(1, (1 << 22) // v)):
+                    some = of[cut : cut + max(1, (1 << 22) // v)]
+                    good[some] = distance(marks[v][i[some]], marks[v][j[some]]) <= most[some]
             i, j = i[good], j[good]
             while len(i):
                 roots = forest.roots()
@@ -260,56 +263,63 @@ def list_edges(low: int, high: int, node: np.ndarray, size: np.ndarray, place: n
                 _, lead = np.unique(roots[j], return_index=True)
                 for p, q in zip(i[lead].tolist(), j[lead].tolist(), strict=True):
                     if forest.join(p, q):
-                        edges.append((int(node[low + p]), int(node[low + q])))
+                        edges.append((int(node[p]), int(node[q])))
     return edges
 
 
-#: Lists up to this length are compared all at once.
+#: The pairs of lists up to this length go on one by one; longer lists go on as lists.
 SHORT_LIST = 12
 
 
-def table_edges(table: pa.Table, percent: int, last: bool) -> tuple[np.ndarray, int]:
-    """(candidate edges of the lists in a table sorted by (gram, size, node), first row of the list that is still open)."""
-    gram, node = (table.column(c).to_numpy() for c in ("gram", "node"))
+def table_lists(table: pa.Table, percent: int, last: bool) -> tuple[pa.RecordBatch | None, int]:
+    """(pairs of short lists, rows of long ones; first row of the list that is still open) of a table in (gram, size, node) order."""
+    gram, node, size, place = (table.column(c).to_numpy() for c in ("gram", "node", "size", "place"))
     rest = len(gram) if last or not len(gram) else int(np.searchsorted(gram, gram[-1]))
-    distinct = np.concatenate([[True], (gram[1:rest] != gram[: max(0, rest - 1)]) | (node[1:rest] != node[: max(0, rest - 1)])])[:rest]
-    keep = np.flatnonzero(distinct)
-    gram = gram[keep]
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
-    length = np.diff(np.concatenate([start, [len(gram)]]))
-    shared = np.repeat(length > 1, length)
-    if not shared.any():
-        return np.empty((0, 2), np.int64), rest
-    keep, gram = keep[shared], gram[shared]
-    table = table.select(["node", "size", "place", "sketch"]).take(pa.array(keep))
-    node = table.column("node").to_numpy()
-    size, place = (table.column(c).to_numpy().astype(np.int64) for c in ("size", "place"))
-    widths, marks = sketch_matrices(table)
+    gram, node, size, place = (x[:rest] for x in (gram, node, size, place))
+    if not rest:
+        return None, rest
+    # Copies of a set post the same rows; one stays.
+    keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+    gram, node, size, place = (x[keep] for x in (gram, node, size, place))
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     length = np.diff(np.concatenate([start, [len(gram)]]))
+    n = np.repeat(length, length)
+    shared = n > 1
+    if not shared.any():
+        return None, rest
+    gram, node, size, place, n = (x[shared] for x in (gram, node, size.astype(np.int64), place.astype(np.int64), n))
+    short = n <= SHORT_LIST
     found = []
-    short = np.repeat(length <= SHORT_LIST, length)
     for k in range(1, SHORT_LIST):
         i = np.flatnonzero(short[:-k] & (gram[k:] == gram[:-k]))
         if not len(i):
             break
-        i = i[fits(size, place, widths, marks, i, i + k, percent)]
-        found.append(np.stack([node[i], node[i + k]], 1))
-    for a, n in zip(start[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
-        found.append(np.array(list_edges(a, a + n, node, size, place, widths, marks, percent), np.int64).reshape(-1, 2))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64), rest
-
-
-def _index(percent: int):
-    """Rows in (gram, size, node) order -> candidate edges. A list that spans batches is held until it ends."""
+        i = i[in_reach(size, place, i, i + k, percent)]
+        found.append(np.stack([np.minimum(node[i], node[i + k]), np.maximum(node[i], node[i + k])], 1))
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    if len(pairs):
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+    long = np.flatnonzero(~short)
+    none = lambda m, t: pa.nulls(m, t)
+    m, q = len(pairs), len(long)
+    if not m + q:
+        return None, rest
+    columns = [
+        pa.concat_arrays([none(m, pa.int64()), pa.array(gram[long])]),
+        pa.concat_arrays([pa.array(pairs[:, 0].copy()), pa.array(node[long])]),
+        pa.concat_arrays([pa.array(pairs[:, 1].copy()), none(q, pa.int64())]),
+        pa.concat_arrays([none(m, pa.int32()), pa.array(size[long].astype(np.int32))]),
+        pa.concat_arrays([none(m, pa.int32()), pa.array(place[long].astype(np.int32))]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "a", "b", "size", "place"]), rest
+
+
+def _by_list(work, *args):
+    """Rows sorted by gram -> work(table of whole lists, *args, last): a list that spans batches is held until it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def write(edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -317,15 +327,67 @@ def _index(percent: int):
             if held[0].column("gram")[0] == batch.column("gram")[batch.num_rows - 1]:
                 continue
             table = pa.Table.from_batches(held)
-            edges, rest = table_edges(table, percent, False)
+            made, rest = work(table, *args, False)
             held = table.slice(rest).combine_chunks().to_batches()
-            yield from write(edges)
+            if made is not None:
+                yield made
         if held:
-            yield from write(table_edges(pa.Table.from_batches(held), percent, True)[0])
+            made, _ = work(pa.Table.from_batches(held), *args, True)
+            if made is not None:
+                yield made
 
     return run
 
 
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    if not edges:
+        return None
+    rows = sorted(set(edges))
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in rows], pa.int64()), pa.array([e[1] for e in rows], pa.int64())], ["a", "b"])
+
+
+def long_lists(table: pa.Table, percent: int, last: bool) -> tuple[pa.RecordBatch | None, int]:
+    """Forests of long lists, from rows in (gram, size, node) order with their sketches."""
+    gram, node, size, place = (table.column(c).to_numpy() for c in ("gram", "node", "size", "place"))
+    rest = len(gram) if last else int(np.searchsorted(gram, gram[-1]))
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    edges: list[tuple[int, int]] = []
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(gram)], strict=True):
+        if b <= rest:
+            edges += list_edges(node[a:b], size[a:b].astype(np.int64), place[a:b].astype(np.int64), table.column("sketch").slice(a, b - a).to_pylist(), percent)
+    return _edge_batch(edges), rest
+
+
+def _near_pairs(percent: int):
+    """Pairs (a, b, sizes, sketches) -> those that the sketches leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+            sa, sb = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
+            wa, wb = (np.array([len(s) for s in c], np.int64) for c in (sa, sb))
+            most = x + y - 2 * overlap(x, y, percent)
+            good = np.zeros(len(x), bool)
+            for p, q in {*zip(wa.tolist(), wb.tolist(), strict=True)}:
+                rows = np.flatnonzero((wa == p) & (wb == q))
+                w = min(p, q)
+                good[rows] = distance(folded([sa[r] for r in rows], w), folded([sb[r] for r in rows], w)) <= most[rows]
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def candidates(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components hold every link; nodes has (node, size, sketch)."""
+    lists = stored(posts.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_by_list(table_lists, percent), _LIST))
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = lists.filter("b IS NOT NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    near = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near_pairs(percent), _EDGE)
+    rows = lists.filter("b IS NULL").select("gram", F.col("a").alias("node"), "size", "place").join(nodes.select("node", "sketch"), "node")
+    forests = rows.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_by_list(long_lists, percent), _EDGE)
+    return near.unionByName(forests)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -407,6 +469,8 @@ def _families(gram: int, percent: int):
                     if part != state["part"]:
                         found += close()
                         state["part"] = part
+                    if state["nodes"][side] and state["nodes"][side][-1] == node:
+                        continue  # a repeated row
                     state["nodes"][side].append(node)
                     state["sets"][side].append(grams)
             if found:
@@ -421,12 +485,12 @@ def _families(gram: int, percent: int):
 def join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of documents (doc_id, text)."""
     texts = documents.select("doc_id", "text")
-    survey = stored(texts.mapInArrow(_surveyor(gram), _SURVEY))
+    survey = stored(texts.mapInArrow(_surveyor(gram, percent), _SURVEY))
     info = survey.filter("node IS NOT NULL").select("doc_id", "node", "n_shingles")
     heavy = heavy_grams(survey.filter("gram IS NOT NULL").select("gram", "n"))
     posts = texts.select("text").mapInArrow(_poster(heavy, gram, percent), _POST)
-    candidates = posts.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_index(percent), "a bigint, b bigint")
-    families = stored(components(candidates))
+    nodes = survey.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    families = stored(components(candidates(posts, nodes, percent)))
     # Of each node one document brings the text; a family in blocks of FAMILY_ROWS by a hash of the node.
     lead = info.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).getField("doc_id").alias("doc_id"))
     members = families.join(lead, "node")
@@ -436,7 +500,7 @@ def join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> Data
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.concat_ws(":", F.col("root"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("part"), (F.col("block") > j).cast("int").alias("side")))
     members = members.withColumn("m", F.explode(meets)).select("doc_id", "node", "m.part", "m.side")
     # Members grow with the input, so they are never broadcast.
-    brought = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(members["doc_id"])).select("part", "side", "node", F.encode("text", "UTF-8").alias("text")).dropDuplicates(["part", "side", "node"])
+    brought = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(members["doc_id"])).select("part", "side", "node", F.encode("text", "UTF-8").alias("text"))
     exact = brought.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), "a bigint, b bigint")
     linked_nodes = components(exact)
     named = info.join(linked_nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -12,7 +12,7 @@ items above THETA are retrieved; nothing is cut off.
 
 Verification. A hit counts if the passage holds at least OVERLAP of the item's distinct runs of GRAM words (fewer if the
 item is shorter), and PART_OVERLAP of those of its question and of its answer. The answer is what follows "answer:" (or "a:")
-at a line's start; an item without that mark is split in the middle.
+at a line's start, and a leading "question:" (or "q:") is no part of an item; an item without that mark is split in the middle.
 
 The index is built on the driver from GROUP_ITEMS items at a time; more items make more passes over the documents, so
 what goes to the executors is bounded. Null and empty texts, and items without words, match nothing. Repeated rows of
@@ -38,11 +38,13 @@ BLOCK_ITEMS, GROUP_ITEMS = 8, 2048
 LEAST_CELL = 32
 SLICE = 2 << 20
 SCHEMA = "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double, first_word bigint"
+_QUESTION = re.compile(r"^\s*(?:question|q)\s*:", re.IGNORECASE)
 _ANSWER = re.compile(r"^\s*(?:answer|a)\s*:", re.IGNORECASE | re.MULTILINE)
 
 
 def parts(text: str) -> tuple[list[bytes], list[bytes]]:
     """Words of an item's question and answer."""
+    text = _QUESTION.sub("", text)
     mark = _ANSWER.search(text)
     if mark and fold(text[: mark.start()]).split() and fold(text[mark.end() :]).split():
         return fold(text[: mark.start()]).split(), fold(text[mark.end() :]).split()

@@ -15,20 +15,34 @@ from cairn.llm import decontaminate, packing, secrets, set_join, textkit, toxici
 
 #: Near-duplicate stages take runs of five words and a similarity of 0.8.
 NEAR_GRAM, NEAR_PERCENT = 5, 80
+NO_ID = -(1 << 63)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, made longer until no column of docs bears it."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score stays below the threshold of their language; the classifier is fitted to labelled rows of the input."""
     model = toxicity.learn(docs, textkit.table(spark, sf_dir, "labels"))
-    scored = toxicity.with_scores(docs.select(docs.columns), model, docs.columns)
-    return scored.filter(F.col("score") < toxicity.threshold(model, F.col("lang"))).select(docs.columns)
+    name = free_name(docs, "_toxicity")
+    scored = toxicity.with_scores(docs, model, name)
+    return scored.filter(F.col(name) < toxicity.threshold(model, F.col("lang"))).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest id."""
+    """Of each group of documents that links join, the one with the smallest id; of a repeated row, one. Rows without an id are kept unless they repeat."""
     joined = set_join.join(docs, NEAR_GRAM, NEAR_PERCENT)
-    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    # A null id counts as the key NO_ID, so that the join and the removal of repeated rows share one exchange by key.
+    name, text = free_name(docs, "_key"), free_name(docs, "_text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(name)
+    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    keyed = docs.select("*", key, F.xxhash64("text").alias(text))
+    one = keyed.join(kept.hint("merge"), name, "left_semi").dropDuplicates([name, text])
+    return one.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

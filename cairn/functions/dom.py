@@ -282,6 +282,7 @@ _PREDICATE = re.compile(r"""^(?:(?P<n>\d+)|@(?P<has>[\w:-]+)|@(?P<eq>[\w:-]+)\s*
 def xpath(root: Node, path: str) -> list[Node | str]:
     """Elements or strings of a path of steps /tag, //tag, *, text(), @attribute, with predicates [n], [@a], [@a='v'], [contains(@a, 'v')] and [contains(text(), 'v')], joined by `and`."""
     found: list[Node | str] = [root]
+    order = {id(n): i for i, n in enumerate(root.walk())}
     at = 0
     path = path.strip()
     path = path if path.startswith("/") else "//" + path.removeprefix("./")
@@ -310,10 +311,9 @@ def xpath(root: Node, path: str) -> list[Node | str]:
                     for clause in re.split(r"\s+and\s+", predicate.strip()):
                         kin = _filtered(kin, clause)
                 following += [k for k in kin if not (id(k) in seen or seen.add(id(k)))]
+        if not (text or attr):
+            following.sort(key=lambda x: order[id(x)])
         found = following
-    if any(isinstance(x, Node) for x in found):
-        order = {id(n): i for i, n in enumerate(root.walk())}
-        found.sort(key=lambda x: order.get(id(x), 0))
     return found
 
 

@@ -82,7 +82,7 @@ def is_css(mime: Column, url: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """The body of the first Markdown code fence, or the text."""
     body = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(body != "", body).otherwise(text))
+    return F.regexp_replace(F.when(body != "", body).otherwise(text), r"^\s+|\s+$", "")
 
 
 def rule_error(field: Column, rule: Column) -> Column:

@@ -60,7 +60,12 @@ def canonical(url: Column, strip_tracking: bool = True) -> Column:
     if strip_tracking:
         split = F.filter(split, lambda p: ~F.lower(p["k"]).isin(*TRACKING_KEYS))
     query = F.array_join(F.transform(F.array_sort(split), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
-    return F.when(t == "", F.lit("")).otherwise(_joined(F.lower(F.regexp_extract(t, _SCHEME, 1)), host(t), F.concat(base, params), query))
+    return F.when(F.coalesce(url, F.lit("")) == "", F.lit("")).otherwise(_joined(F.lower(F.regexp_extract(t, _SCHEME, 1)), host(t), _rooted(F.concat(base, F.when(params == ";", F.lit("")).otherwise(params)), host(t)), query))
+
+
+def _rooted(rest: Column, netloc: Column) -> Column:
+    """A path after a host begins with a slash unless it is empty."""
+    return F.when((netloc != "") & (rest != "") & ~rest.startswith("/"), F.concat(F.lit("/"), rest)).otherwise(rest)
 
 
 def canonical_sql(u: str) -> str:
@@ -69,6 +74,8 @@ def canonical_sql(u: str) -> str:
     params = f"regexp_extract({whole}, '{_PARAMS}', 1)"
     base = f"left({whole}, length({whole}) - length({params}))"
     base = f"CASE WHEN {base} = '' THEN '/' WHEN {base} <> '/' AND {base} LIKE '%/' THEN regexp_replace({base}, '/+$', '') ELSE {base} END"
+    rest = f"({base}) || CASE WHEN {params} = ';' THEN '' ELSE {params} END"
+    rest = f"CASE WHEN regexp_extract({t}, '{_HOST}', 1) <> '' AND ({rest}) <> '' AND NOT ({rest}) LIKE '/%' THEN '/' || ({rest}) ELSE {rest} END"
     dec = lambda x: f"url_decode(replace({x}, '+', ' '))"
     enc = lambda x: f"replace(url_encode({x}), '%20', '+')"
     pairs = f"list_filter(string_split(regexp_extract({t}, '{_QUERY}', 1), '&'), lambda p: p <> '')"
@@ -76,7 +83,7 @@ def canonical_sql(u: str) -> str:
     kept = f"list_filter({split}, lambda p: NOT list_contains({_lit(TRACKING_KEYS)}, lower(p.k)))"
     query = f"array_to_string(list_transform(list_sort({kept}), lambda p: {enc('p.k')} || '=' || {enc('p.v')}), '&')"
     scheme, netloc = f"lower(regexp_extract({t}, '{_SCHEME}', 1))", f"lower(regexp_extract({t}, '{_HOST}', 1))"
-    return f"(CASE WHEN {t} = '' THEN '' ELSE (CASE WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END) || (CASE WHEN {netloc} <> '' THEN '//' || {netloc} ELSE '' END) || ({base}) || {params} || (CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END) END)"
+    return f"(CASE WHEN coalesce({u}, '') = '' THEN '' ELSE (CASE WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END) || (CASE WHEN {netloc} <> '' THEN '//' || {netloc} ELSE '' END) || ({rest}) || (CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END) END)"
 
 
 def lookup(url: Column) -> Column:

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cairn.plans import catalogue
@@ -23,7 +24,7 @@ def rows(df, columns):
     """Rows as text; whole floats as integers, since pandas gives nullable integers as floats."""
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         v = v.item() if hasattr(v, "item") else v
         return int(v) if isinstance(v, float) and v.is_integer() else v

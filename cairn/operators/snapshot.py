@@ -102,12 +102,12 @@ def anomalies(classes: DataFrame, n_reordered: DataFrame, first_page_urls: DataF
     return out.withColumn("manual_review", F.col("collapsed") | F.col("empty_head") | F.col("massive_reorder"))
 
 
-def carried_over(prev: DataFrame, curr: DataFrame, run_id: str) -> DataFrame:
-    """Current articles with what is known of them from before: first seen, title, hash, archive record; a capture made before counts as REUSED."""
-    p = prev.select("url", *(F.col(c).alias(f"p_{c}") for c in ("first_seen_run_id", "title", "content_hash", "warc_file", "warc_record_id", "capture_status")), F.lit(True).alias("_p"))
+def carried_over(prev: DataFrame, curr: DataFrame, run_id: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Current articles with what is known of them from before: first seen, title, hash, archive record, and the columns `more`; a capture made before counts as REUSED."""
+    p = prev.select("url", *(F.col(c).alias(f"p_{c}") for c in ("first_seen_run_id", "title", "content_hash", "warc_file", "warc_record_id", "capture_status", *more)), F.lit(True).alias("_p"))
     j = curr.select("url").join(p, "url", "left")
     capture = F.when(F.col("p_capture_status").isin("CAPTURED", "REUSED"), "REUSED").otherwise(F.coalesce("p_capture_status", F.lit("CAPTURED")))
-    return j.select("url", F.coalesce("p_first_seen_run_id", F.lit(run_id)).alias("first_seen_run_id"), F.lit(run_id).alias("last_seen_run_id"), F.when(F.col("_p"), "UNCHANGED").otherwise("NEW").alias("status"), capture.alias("capture_status"), *(F.col(f"p_{c}").alias(c) for c in ("title", "content_hash", "warc_file", "warc_record_id")))
+    return j.select("url", F.coalesce("p_first_seen_run_id", F.lit(run_id)).alias("first_seen_run_id"), F.lit(run_id).alias("last_seen_run_id"), F.when(F.col("_p"), "UNCHANGED").otherwise("NEW").alias("status"), capture.alias("capture_status"), *(F.col(f"p_{c}").alias(c) for c in ("title", "content_hash", "warc_file", "warc_record_id", *more)))
 
 
 def confirmed_removals(prev: DataFrame, curr: DataFrame, probes: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ _RUNS = "runs AS (SELECT o_custkey % 100 AS portal_id, o_orderkey AS run_id, ['R
 
 
 def run_catalog(spark, d):
-    return ledger.pointers(_runs(spark, d), ["portal_id"], "status", "run_id", "run_id")
+    return ledger.pointers(_runs(spark, d), ["portal_id"], "status", "run_id", "run_id").withColumn("pointer", F.col("pointer").cast("string"))
 
 
 def runs_by_status(spark, d):
@@ -114,7 +114,7 @@ SELECT coalesce(b.o_custkey, d.o_custkey) AS o_custkey, coalesce(b.first_run, d.
 def registry_state(spark, d):
     p = _t(spark, d, "pages").select("url", F.lit("PENDING").alias("capture_status"), F.lit(None).cast("int").alias("http_status")).dropDuplicates(["url"])
     ev = _t(spark, d, "pages").select("url", F.col("page_id").alias("seq"), F.when(F.col("page_id") % 3 == 0, "FAILURE").otherwise("SUCCESS").alias("outcome"), F.when(F.col("page_id") % 3 == 0, 500).otherwise(200).alias("http_status"), F.lit("timeout").alias("error")).filter("page_id % 4 <> 0")
-    return ledger.registry_after(p, ev)
+    return ledger.registry_after(p, ev).withColumn("http_status", F.col("http_status").cast("string"))
 
 
 def cascade_delete(spark, d):
@@ -258,13 +258,13 @@ ORACLES = {
     "boundary_revisits": f"WITH {_ISLANDS}, ch AS (SELECT DISTINCT page FROM st WHERE change_type = 'ARTICLE_SET_CHANGED' AND page % 9 = 0), near AS (SELECT page FROM ch UNION SELECT page + 1 FROM ch UNION SELECT page - 1 FROM ch WHERE page > 1) SELECT page FROM near WHERE page IN (SELECT page FROM st GROUP BY page HAVING count(*) < 30)",
     "retry_summary": "WITH e AS (SELECT event_id % 4 AS a, [200, 429, 503, 404, 401][event_id % 5 + 1] AS s, CASE WHEN event_id % 2 = 0 THEN event_id % 90 END AS ra FROM events), c AS (SELECT CASE WHEN s >= 500 THEN 'RETRIABLE' WHEN s = 429 THEN 'RETRIABLE_ONCE' WHEN s = 200 THEN 'OK' ELSE 'TERMINAL' END AS reason, CASE WHEN s = 429 THEN least(coalesce(ra, 30), 60) ELSE (2 ** a)::BIGINT END AS delay FROM e) SELECT reason, count(*) AS n, sum(delay)::BIGINT AS total_delay, max(delay) AS longest FROM c GROUP BY reason",
     "recall_precision": "WITH f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 <> 0), t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0), n AS (SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM f JOIN t USING (doc_id)) AS n_both) SELECT *, round(n_both / n_truth, 4) AS recall, round(n_both / n_found, 4) AS precision FROM n",
-    "run_catalog": f"WITH {_RUNS} SELECT portal_id, count(*) AS n_runs, count(*) FILTER (status IN ('CONVERGED', 'COMPLETED')) AS n_successful, max(run_id) FILTER (status IN ('CONVERGED', 'COMPLETED')) AS pointer FROM runs GROUP BY portal_id",
+    "run_catalog": f"WITH {_RUNS} SELECT portal_id, count(*) AS n_runs, count(*) FILTER (status IN ('CONVERGED', 'COMPLETED')) AS n_successful, (max(run_id) FILTER (status IN ('CONVERGED', 'COMPLETED')))::VARCHAR AS pointer FROM runs GROUP BY portal_id",
     "runs_by_status": f"WITH {_RUNS} SELECT * FROM runs WHERE status IN ('FAILED', 'INTERRUPTED') ORDER BY started_at DESC, run_id LIMIT 100",
     "interrupted_runs": f"WITH {_RUNS} SELECT * FROM runs WHERE status IN ('RUNNING', 'FINALIZING')",
     "recovered_runs": f"WITH {_RUNS} SELECT run_id, CASE WHEN status = 'RUNNING' THEN 'INTERRUPTED' WHEN status = 'FINALIZING' THEN CASE WHEN run_id % 5 = 0 THEN 'CONVERGED' WHEN run_id % 7 = 0 THEN 'FAILED' ELSE 'MANUAL_REVIEW_REQUIRED' END ELSE status END AS recovered_status FROM runs",
     "latest_state": "WITH l AS (SELECT o_custkey, o_orderkey AS last_order FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1), k AS (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P') AS last_status, count(*) AS n_observations FROM orders GROUP BY 1) SELECT * FROM l JOIN k USING (o_custkey)",
     "upsert_merge": _UPSERT,
-    "registry_state": "WITH e AS (SELECT url, page_id % 3 = 0 AS failed FROM pages WHERE page_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1) SELECT p.url, CASE WHEN failed IS NULL THEN 'PENDING' WHEN failed THEN 'FAILED' ELSE 'CAPTURED' END AS capture_status, CASE WHEN failed THEN 500 WHEN NOT failed THEN 200 END AS http_status, CASE WHEN failed THEN 'timeout' END AS error FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN e USING (url)",
+    "registry_state": "WITH e AS (SELECT url, page_id % 3 = 0 AS failed FROM pages WHERE page_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1) SELECT p.url, CASE WHEN failed IS NULL THEN 'PENDING' WHEN failed THEN 'FAILED' ELSE 'CAPTURED' END AS capture_status, CASE WHEN failed THEN '500' WHEN NOT failed THEN '200' END AS http_status, CASE WHEN failed THEN 'timeout' END AS error FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN e USING (url)",
     "cascade_delete": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_custkey % 4 = 0 AND o_custkey IN (SELECT c_custkey FROM customer))",
     "restricted_delete": "SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_custkey IN (SELECT o_custkey FROM orders)",
     "nav_bfs": f"WITH RECURSIVE {_EDGES} SELECT node, depth, array_to_string(path, '>') AS path FROM tree",

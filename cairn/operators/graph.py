@@ -114,6 +114,26 @@ def thread_prefix(pages: DataFrame, thread: str, page: str, ids: str, next_page:
     return marked.withColumn("_e", ended).filter((F.col("_e") == 0) & F.col("genuine") & (F.col("_n") <= max_pages)).drop("_e", "_n", "genuine")
 
 
+def frontier(nodes: DataFrame, depth_first: bool = False) -> DataFrame:
+    """root and the most nodes that wait at once, of each root's traversal: after the k-th visit those stand in line whose parent was among the first k, less the k visited."""
+    key = F.transform("order", lambda x: -x) if depth_first else F.struct("depth", "order")
+    ranked = nodes.select("node", F.element_at("path", 1).alias("root"), F.when(F.size("path") > 1, F.element_at("path", -2)).alias("parent"), F.row_number().over(Window.partitionBy(F.element_at("path", 1)).orderBy(key)).alias("k"))
+    parents = ranked.select("root", F.col("node").alias("parent"), F.col("k").alias("at"))
+    children = ranked.filter("parent IS NOT NULL").join(parents, ["root", "parent"]).groupBy("root", F.col("at").alias("k")).agg(F.count("*").alias("n"))
+    steps = ranked.select("root", "k").join(children, ["root", "k"], "left")
+    waiting = 1 + F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("root").orderBy("k")) - F.col("k")
+    return steps.withColumn("w", waiting).groupBy("root").agg(F.greatest(F.max("w"), F.lit(1)).cast("int").alias("max_frontier"))
+
+
+def traversal_report(nodes: DataFrame, links: DataFrame, articles: DataFrame, n_nodes: int, n_articles: int) -> DataFrame:
+    """One row for a traversal: visits, articles found (articles: node, article), both recalls, cycles, known targets, targets too deep, repeated articles."""
+    found = articles.join(nodes.select("node"), "node").agg(F.countDistinct("article").alias("n_articles"), (F.count("*") - F.countDistinct("article")).alias("duplicate_articles"))
+    kinds = links.agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("CYCLE", "cycles"), ("KNOWN", "duplicate_navigation"), ("TOO_DEEP", "depth_limited"))))
+    share = lambda n, d: F.round(n / d, 4) if d else F.lit(0.0)
+    row = nodes.agg(F.count("*").alias("requests")).crossJoin(F.broadcast(found)).crossJoin(F.broadcast(kinds))
+    return row.withColumns({"article_recall": share(F.col("n_articles"), n_articles), "navigation_recall": share(F.col("requests"), n_nodes)})
+
+
 def child_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Children of a node that a second reading adds, for nodes whose set of children changed. Frames are (node, child)."""
     return after.select("node", "child").distinct().join(before.select("node", "child").distinct(), ["node", "child"], "left_anti")

@@ -139,6 +139,28 @@ def test_traversal_of_shared_children_and_dead_ends(spark):
     assert nodes.count() == 1 and kinds == {}
 
 
+PAGES_OF = lambda x, n: [(x, f"{x}?{k}") for k in range(1, n + 1)]
+SCENARIOS = {
+    "two levels": ([("r", "t"), ("r", "s"), *PAGES_OF("t", 2), *PAGES_OF("s", 2)], {"t?1": 3, "t?2": 3, "s?1": 3, "s?2": 3}, 5, (7, 1.0, 1.0, 0, 0), 4, 3),
+    "three levels": ([("r", "g"), ("r", "h"), ("g", "a"), ("g", "b"), ("h", "c"), *PAGES_OF("a", 1), *PAGES_OF("b", 1), *PAGES_OF("c", 1)], {"a?1": 2, "b?1": 2, "c?1": 2}, 5, (9, 1.0, 1.0, 0, 0), 3, 2),
+    "shared child": ([("r", "e"), ("r", "c"), ("e", "x"), ("c", "x"), *PAGES_OF("x", 1)], {"x?1": 2}, 5, (5, 1.0, 1.0, 0, 1), 2, 2),
+    "cycle": ([("r", "a"), ("a", "b"), ("a", "a?1"), ("b", "a"), ("b", "b?1")], {"a?1": 1, "b?1": 1}, 5, (5, 1.0, 1.0, 1, 0), 2, 2),
+    "too deep": ([(f"d{i}", f"d{i + 1}") for i in range(7)], {"d7": 2}, 4, (5, 0.0, 0.625, 0, 0), 1, 1),
+}
+
+
+@pytest.mark.parametrize("name", SCENARIOS)
+def test_traversal_reports(spark, name):
+    edges, articles, depth, want, breadth, deep = SCENARIOS[name]
+    root = edges[0][0]
+    e = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(edges)], "src string, dst string, pos long")
+    nodes, links = graph.traverse(e, spark.createDataFrame([(root,)], "node string"), depth)
+    found = spark.createDataFrame([(n, f"{n}/{k}") for n, m in articles.items() for k in range(m)], "node string, article string")
+    r = graph.traversal_report(nodes, links, found, len({x for p in edges for x in p}), sum(articles.values())).first()
+    assert (r["requests"], r["article_recall"], r["navigation_recall"], r["cycles"], r["duplicate_navigation"]) == want
+    assert graph.frontier(nodes).first()["max_frontier"] == breadth and graph.frontier(nodes, True).first()["max_frontier"] == deep
+
+
 def test_chains(spark):
     links = spark.createDataFrame([("a", "b", "R"), ("b", "c", "R"), ("c", None, "CONTENT"), ("l", "m", "R"), ("m", "l", "R"), ("z", "nowhere", "R")] + [(f"n{i}", f"n{i + 1}", "R") for i in range(9)], "node string, target string, kind string")
     starts = spark.createDataFrame([(x,) for x in ("a", "l", "z", "n0", "n4", "q")], "start string")

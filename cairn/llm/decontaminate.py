@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .licenses import fold
-from .textkit import slices
+from .textkit import slices, unique
 
 K1, B = 1.2, 0.75
 THETA = 0.5
@@ -57,11 +58,6 @@ def grams(words: list, n: int) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-class _Terms(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 class Index:
     """Items as ordered by id; term 0 stands for every word that no item holds."""
 
@@ -70,7 +66,7 @@ class Index:
         cut = [(i, *parts(text or "")) for i, text in items]
         cut = [c for c in cut if c[1] or c[2]]
         self.ids = [c[0] for c in cut]
-        self.terms = _Terms()
+        self.terms: dict[bytes, int] = {}
         words = [q + a for _, q, a in cut]
         for w in words:
             for x in w:
@@ -100,20 +96,18 @@ class Index:
         self.question = [grams([self.terms[x] for x in q], GRAM) for _, q, _ in cut]
         self.answer = [grams([self.terms[x] for x in a], GRAM) for _, _, a in cut]
 
-    def score_block(self, terms: list[int], block: int) -> dict[int, float]:
+    def score_block(self, terms: np.ndarray, block: int) -> dict[int, float]:
         """Items of a block above theta for a passage of distinct terms; terms with the largest block maxima first, until no new item can reach theta."""
         bounds = self.block_max[terms, block]
+        terms, bounds = terms[bounds > 0], bounds[bounds > 0]
         order = np.argsort(-bounds, kind="stable")
         left = float(bounds.sum())
         found: dict[int, float] = {}
-        for k in order.tolist():
-            bound = float(bounds[k])
-            if bound <= 0:
-                break
+        for term, bound in zip(terms[order].tolist(), bounds[order].tolist(), strict=True):
             fresh = left >= self.theta
-            if not fresh and (not found or max(found.values()) + left < self.theta):
+            if not fresh and max(found.values(), default=0.0) + left < self.theta:
                 return {}
-            for item, x in self.postings[(terms[k], block)]:
+            for item, x in self.postings[term, block]:
                 if item in found:
                     found[item] += x
                 elif fresh:
@@ -140,45 +134,37 @@ class Index:
         """(text number, item, score, overlap, question overlap, answer overlap, first word of the passage) of each verified hit, the best passage of each."""
         if not self.ids:
             return []
-        coded = [np.fromiter(map(self.terms.__getitem__, w), np.int64, len(w)) for w in (fold_bytes(t).split() for t in texts)]
+        coded = [np.fromiter(map(self.terms.get, w, repeat(0)), np.int64, len(w)) for w in (fold(t).split() for t in texts)]
         n_cells = np.array([max(1, -(-len(c) // self.cell)) for c in coded])
         base = np.concatenate([[0], np.cumsum(n_cells + 1)[:-1]])  # an empty cell parts texts
         cell = np.concatenate([b + np.arange(len(c)) // self.cell for b, c in zip(base, coded, strict=True)])
         flat = np.concatenate(coded)
         known = flat > 0
         v = len(self.terms) + 1
-        pairs = np.unique(cell[known] * v + flat[known])
-        where, term = pairs // v, pairs % v
         total = int(base[-1] + n_cells[-1] + 1)
-        bound = np.bincount(where, self.term_max[term], total)
-        live = np.flatnonzero(bound[:-1] + bound[1:] >= self.theta)  # passages, by their first cell
-        if not len(live):
+        real = np.zeros(total, bool)
+        real[np.concatenate([b + np.arange(n) for b, n in zip(base, n_cells, strict=True)])] = True
+        # Distinct (passage, term) pairs; a passage is named by its first cell.
+        here, term = cell[known], flat[known]
+        before = (here > 0) & real[here - 1]
+        pairs = unique(np.concatenate([here * v + term, (here[before] - 1) * v + term[before]]))
+        bound = np.bincount(pairs // v, self.term_max[pairs % v], total)
+        pairs = pairs[bound[pairs // v] >= self.theta]
+        if not len(pairs):
             return []
-        # Block bounds of the cells that live passages touch.
-        used = np.unique(np.concatenate([live, live + 1]))
-        mine = np.isin(where, used)
-        w, t = where[mine], term[mine]
-        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        where, term = pairs // v, pairs % v
+        starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        ends = np.concatenate([starts[1:], [len(where)]])
         best: dict[tuple[int, int], tuple] = {}
-        row = np.full(total + 1, len(starts))
-        row[w[starts]] = np.arange(len(starts))
-        sums = np.zeros((len(starts) + 1, self.n_blocks), np.float32)
         for low in range(0, len(starts), 4096):
-            high = min(len(starts), low + 4096)
-            a, b = starts[low], starts[high] if high < len(starts) else len(w)
-            sums[low:high] = np.add.reduceat(self.block_max[t[a:b]], starts[low:high] - a, axis=0)
-        ends = np.concatenate([starts[1:], [len(w)]])
-        for low in range(0, len(live), 4096):
-            some = live[low : low + 4096]
-            hit, block = np.nonzero(sums[row[some]] + sums[row[some + 1]] >= self.theta)
-            for passage, b in zip(some[hit].tolist(), block.tolist(), strict=True):
-                terms: set[int] = set()
-                for r in (row[passage], row[passage + 1]):
-                    if r < len(starts):
-                        terms.update(t[starts[r] : ends[r]].tolist())
-                scored = self.score_block(sorted(terms), b)
+            some = starts[low : low + 4096]
+            first_row, last_row = some[0], ends[min(len(ends), low + 4096) - 1]
+            bounds = np.add.reduceat(self.block_max[term[first_row:last_row]], some - first_row, axis=0)
+            for k, b in zip(*(x.tolist() for x in np.nonzero(bounds >= self.theta)), strict=True):
+                scored = self.score_block(term[some[k] : ends[low + k]], b)
                 if not scored:
                     continue
+                passage = int(where[some[k]])
                 text = int(np.searchsorted(base, passage, side="right")) - 1
                 first = (passage - int(base[text])) * self.cell
                 words = coded[text][first : first + 2 * self.cell].tolist()
@@ -188,10 +174,6 @@ class Index:
         return [(text, item, *rest) for (text, item), rest in sorted(best.items())]
 
 
-def fold_bytes(text: bytes) -> bytes:
-    return fold(text.decode("utf-8", "surrogatepass"))
-
-
 def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items by id, GROUP_ITEMS at a time."""
     group: list[tuple[int, str]] = []

@@ -42,8 +42,9 @@ SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 10 else 32 for c in range(256))
 
 
-def fold(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
+def fold(text: str | bytes | None) -> bytes:
+    """UTF-8 with A-Z lowered and other ASCII than letters, digits and line feeds blanked."""
+    return (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).translate(_FOLD)
 
 
 def template_words(templates: dict[str, str]) -> dict[str, frozenset[bytes]]:

@@ -125,14 +125,14 @@ def test_shards_balance_and_slots(make_docs, corpus):
     totals = {k: sum(r["size"] for r in v) for k, v in by.items()}
     mean = sum(totals.values()) / 8
     biggest = max(r["size"] for r in rows)
-    assert all(abs(totals.get(k, 0) - mean) <= max(biggest, 0.01 * mean) for k in range(8))
+    assert all(abs(totals.get(k, 0) - mean) <= max(biggest, 0.02 * mean) for k in range(8))
     for v in by.values():
         assert sorted(r["slot"] for r in v) == list(range(len(v)))
     texts = dict(corpus + extra)
     for r in rows:
         t = (texts[r["doc_id"]] or "").encode()
         assert r["size"] == len(t) + 16
-        assert r["text_crc32"] == (zlib.crc32(t) if texts[r["doc_id"]] is not None else None) or texts[r["doc_id"]] is None
+        assert r["text_crc32"] == zlib.crc32(t)
 
 
 def test_small_groups_of_copies_stay_together(make_docs):
@@ -268,7 +268,7 @@ def test_wand_finds_what_brute_force_finds():
     found = {(t, i) for t, i, *_ in index.search(texts)}
     want = set()
     for t, text in enumerate(texts):
-        w = [index.terms[x] for x in decontaminate.fold_bytes(text).split()]
+        w = [index.terms.get(x, 0) for x in decontaminate.fold(text).split()]
         for i in range(len(index.ids)):
             if index.verify(i, w):
                 want.add((t, i))
@@ -278,7 +278,7 @@ def test_wand_finds_what_brute_force_finds():
 def test_scores_are_bm25_sums():
     index = decontaminate.Index([(i, item(i)) for i in range(20)], theta=0.05)
     for block in range(index.n_blocks):
-        terms = sorted({index.terms[w] for w in item(3).encode().split()})
+        terms = np.array(sorted({index.terms[w] for w in item(3).encode().split()}))
         want = {}
         for t in terms:
             for i, x in index.postings.get((t, block), []):

@@ -34,6 +34,7 @@ GRAM = 4
 #: Windows that a task remembers as frequent; it bounds memory and decides only where a repeat is settled.
 REMEMBERED = 1 << 18
 NO_ID = -(1 << 63)
+#: Low bits of a hash that give way to the place in its slice; more only for a single text of over 2**24 words.
 _PLACE_BITS = 24
 _SEED = "key bigint, doc_key bigint, start int, n int, data binary"
 _SPAN = "doc_key bigint, start int, n int"
@@ -100,9 +101,8 @@ def _seeder(width: int, gram: int):
                     continue
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 grams, whole = windows(flat, gram, powers), windows(flat, width, powers)
-                # Places past the mask's reach would mix up anchors; a slice has far fewer words.
                 place = np.arange(len(grams), dtype=np.uint64)
-                mask = np.uint64((1 << _PLACE_BITS) - 1)
+                mask = np.uint64((1 << max(_PLACE_BITS, len(grams).bit_length())) - 1)
                 best = sliding_min((grams & ~mask) | place, width - gram + 1)
                 owner = np.repeat(np.arange(len(lengths)), np.maximum(0, lengths - width + 1))
                 at = np.concatenate([b + np.arange(max(0, n - width + 1)) for b, n in zip(begin, lengths, strict=True)])

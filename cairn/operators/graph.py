@@ -145,74 +145,148 @@ def provenance(nodes: DataFrame, articles: DataFrame) -> DataFrame:
     return paths.groupBy("article").agg(F.count("*").alias("n_paths"), F.array_join(F.array_sort(F.collect_list("path")), " ").alias("paths"))
 
 
-def resolve_gates(requests: DataFrame, responses: DataFrame, allowed_hosts: tuple[str, ...], allowed_gates: tuple[str, ...]) -> DataFrame:
-    """Outcome of each request (session, seq, url) against recorded responses (url, status_code, page_type, gate_type, target_url, sets_cookie).
-
-    Redirects and gates share a session's cookies, so a session is a fold in the order of seq; sessions are independent
-    and spread over tasks. A session's responses are joined to it by the pages its chains can reach."""
-    linked = chains(responses.select(F.col("url").alias("node"), F.col("target_url").alias("target"), F.col("page_type").alias("kind")), requests.select(F.col("url").alias("start")).distinct(), MAX_REDIRECTS + MAX_GATES + 1)
-    pages = linked.select("start", F.explode("path").alias("url")).join(responses, "url")
-    by_start = pages.groupBy("start").agg(F.collect_list(F.struct("url", "status_code", "page_type", "gate_type", "target_url", "sets_cookie")).alias("pages"))
+RESOLVED = "session string, seq long, url string, status string, redirects int, gates int, session_reused boolean, components int, complete boolean, requests int"
+
+
+def reached(starts: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
+    """start and url: what each start reaches over steps (url, target) within so many hops, itself included."""
+    known = starts.select("start", F.col("start").alias("url")).distinct()
+    level = known
+    for _ in range(hops):
+        level = _stored(level.join(steps, "url").select("start", F.col("target").alias("url")).distinct().join(known, ["start", "url"], "left_anti"))
+        if level.isEmpty():
+            break
+        known = known.unionByName(level)
+    return known
+
+
+def resolve_gates(requests: DataFrame, responses: DataFrame, allowed_hosts: tuple[str, ...], allowed_gates: tuple[str, ...], follow_pages: bool = False) -> DataFrame:
+    """Outcome of each request (session, seq, url) against recorded responses, which a session's cookies decide.
+
+    responses: url, in_session (the answer with or without the origin's cookie; null: either), status_code, page_type
+    (CONTENT, REDIRECT, GATE), gate_type, interaction, target_url, sets_cookie, next_page_url; URLs are canonical. A session's
+    requests share cookies and the origins' interaction counts, so a session is a fold in the order of seq; sessions are
+    independent and spread over tasks. With follow_pages an article's next pages are resolved too, each through its gates,
+    and status says why the article ended."""
+    steps = responses.select("url", F.explode(F.array_compact(F.array("target_url", "next_page_url"))).alias("target")).distinct()
+    hops = (MAX_REDIRECTS + MAX_GATES) * (MAX_COMPONENT_PAGES if follow_pages else 1) + 1
+    pages = reached(requests.select(F.col("url").alias("start")), steps, hops).join(responses, "url")
+    fields = ["url", "in_session", "status_code", "page_type", "gate_type", "interaction", "target_url", "sets_cookie", "next_page_url"]
+    by_start = pages.groupBy("start").agg(F.collect_list(F.struct(*fields)).alias("pages"))
     joined = requests.join(by_start, requests["url"] == by_start["start"], "left").select("session", "seq", requests["url"], "pages")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        passed: set[str] = set()
-        tries: dict[str, int] = {}
-        out = []
+        session, out = GateSession(allowed_hosts, allowed_gates), []
         for r in rows.sort_values("seq").itertuples(index=False):
-            known = {} if r.pages is None else {p["url"]: p for p in r.pages}
-            status, hops, gates, reused = _resolve(r.url, known, allowed_hosts, allowed_gates, passed, tries)
-            out.append((r.session, r.seq, r.url, status, hops, gates, reused))
-        return pd.DataFrame(out, columns=["session", "seq", "url", "status", "redirects", "gates", "session_reused"])
+            known: dict[str, list] = {}
+            for page in () if r.pages is None else r.pages:
+                known.setdefault(page["url"], []).append(page)
+            out.append((r.session, r.seq, r.url, *(session.article(r.url, known) if follow_pages else session.one(r.url, known))))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in RESOLVED.split(", ")])
 
-    return joined.groupBy("session").applyInPandas(fold, "session string, seq long, url string, status string, redirects int, gates int, session_reused boolean")
+    return joined.groupBy("session").applyInPandas(fold, RESOLVED)
 
 
 def _host(url: str) -> str:
     return url.split("://", 1)[-1].split("/", 1)[0].lower()
 
 
-def _resolve(url: str, known: dict, hosts: tuple[str, ...], allowed: tuple[str, ...], passed: set[str], tries: dict[str, int]) -> tuple[str, int, int, bool]:
-    chain, redirects, gates, reused = [url], 0, 0, False
-    while True:
-        origin = _host(url)
-        if hosts and origin not in hosts:
-            return "OUT_OF_SCOPE_GATE_TARGET", redirects, gates, reused
-        page = known.get(url)
-        if page is None:
-            return "FETCH_FAILED", redirects, gates, reused
-        kind, target = page["page_type"], page["target_url"]
-        if kind == "GATE" and origin in passed and target:
-            reused, url = True, target
-            chain.append(url)
-            if len(chain) > MAX_REDIRECTS + MAX_GATES + 1:
-                return "GATE_LOOP_DETECTED", redirects, gates, reused
-            continue
-        if kind == "CONTENT" and page["status_code"] == 200:
-            return "RESOLVED", redirects, gates, reused
-        if kind != "GATE" and page["status_code"] in (403, 404, 500):
-            return "FETCH_FAILED", redirects, gates, reused
-        if kind == "REDIRECT" and target:
-            redirects += 1
-            if redirects > MAX_REDIRECTS or target in chain:
-                return "REDIRECT_LOOP_DETECTED", redirects, gates, reused
-        elif kind == "GATE":
-            gates += 1
-            if gates > MAX_GATES:
-                return "GATE_LOOP_DETECTED", redirects, gates, reused
-            if page["gate_type"] not in allowed or not target:
-                return "GATE_BLOCKED", redirects, gates, reused
-            if tries.get(origin, 0) >= MAX_ORIGIN:
-                return "GATE_ORIGIN_BUDGET_EXHAUSTED", redirects, gates, reused
-            tries[origin] = tries.get(origin, 0) + 1
+class GateSession:
+    """Cookies and interaction counts of one session."""
+
+    def __init__(self, hosts: tuple[str, ...], allowed: tuple[str, ...]) -> None:
+        self.hosts, self.allowed = hosts, allowed
+        self.cookies: set[str] = set()
+        self.tries: dict[str, int] = {}
+        self.redirects = self.gates = self.requests = 0
+        self.reused = False
+
+    def _begin(self) -> None:
+        self.redirects = self.gates = self.requests = 0
+        self.reused = False
+
+    def _answer(self, url: str, known: dict[str, list]) -> dict | None:
+        self.requests += 1
+        inside = _host(url) in self.cookies
+        return next((p for p in known.get(url, ()) if p["in_session"] is None or p["in_session"] == inside), None)
+
+    def resolve(self, url: str, known: dict[str, list]) -> tuple[str, dict | None]:
+        """(status, page): content, a failure, a redirect or a gate at a time, in that order."""
+        chain, redirects, gates = [url], 0, 0
+        while True:
+            origin = _host(url)
+            if self.hosts and origin not in self.hosts:
+                return "OUT_OF_SCOPE_GATE_TARGET", None
+            had = origin in self.cookies
+            page = self._answer(url, known)
+            if page is None:
+                return "FETCH_FAILED", None
+            kind, target = page["page_type"], page["target_url"]
             if page["sets_cookie"]:
-                passed.add(origin)
-            elif target == url:
-                return "GATE_LOOP_DETECTED", redirects, gates, reused
-        else:
-            return "UNKNOWN_ERROR", redirects, gates, reused
-        url = target
-        chain.append(url)
+                self.cookies.add(origin)
+            if kind == "CONTENT" and page["status_code"] == 200:
+                self.reused |= had and page["in_session"] is True
+                return "RESOLVED", page
+            if page["status_code"] in (403, 404, 500) and kind != "GATE":
+                return "FETCH_FAILED", page
+            if kind == "REDIRECT" or 300 <= page["status_code"] < 400:
+                redirects += 1
+                self.redirects += 1
+                if redirects > MAX_REDIRECTS:
+                    return "REDIRECT_LIMIT_EXCEEDED", page
+                if not target or target in chain:
+                    return "REDIRECT_LOOP_DETECTED", page
+            elif kind == "GATE":
+                gates += 1
+                self.gates += 1
+                fault = self._gate(url, page, gates)
+                if fault:
+                    return fault, page
+                target = target or url
+            else:
+                return "UNKNOWN_ERROR", page
+            url = target
+            chain.append(url)
+
+    def _gate(self, url: str, page: dict, gates: int) -> str | None:
+        origin = _host(url)
+        if gates > MAX_GATES:
+            return "GATE_LOOP_DETECTED"
+        if page["gate_type"] not in self.allowed:
+            return "GATE_BLOCKED"
+        if self.tries.get(origin, 0) >= MAX_ORIGIN:
+            return "GATE_ORIGIN_BUDGET_EXHAUSTED"
+        if page["interaction"] == "UNSUPPORTED":
+            return "UNSUPPORTED_GATE"
+        self.tries[origin] = self.tries.get(origin, 0) + 1
+        return "GATE_LOOP_DETECTED" if (page["target_url"] or url) == url and not page["sets_cookie"] else None
+
+    def _told(self, status: str, components: int, complete: bool) -> tuple:
+        return status, self.redirects, self.gates, self.reused, components, complete, self.requests
+
+    def one(self, url: str, known: dict[str, list]) -> tuple:
+        self._begin()
+        status, _ = self.resolve(url, known)
+        return self._told(status, int(status == "RESOLVED"), status == "RESOLVED")
+
+    def article(self, url: str, known: dict[str, list]) -> tuple:
+        """The pages of an article from its first on."""
+        self._begin()
+        seen: list[str] = []
+        while True:
+            if len(seen) >= MAX_COMPONENT_PAGES:
+                return self._told("PAGE_BUDGET_EXHAUSTED", len(seen), False)
+            status, page = self.resolve(url, known)
+            if status != "RESOLVED":
+                return self._told(f"GATE_RESOLUTION_FAILED_{status}", len(seen), False)
+            if page["url"] in seen:
+                return self._told("ARTICLE_PAGE_LOOP_DETECTED", len(seen), False)
+            seen.append(page["url"])
+            if not page["next_page_url"]:
+                return self._told("LAST_PAGE_REACHED", len(seen), True)
+            if page["next_page_url"] in seen:
+                return self._told("ARTICLE_PAGE_LOOP_DETECTED", len(seen), False)
+            url = page["next_page_url"]
 
 
 def session_metrics(resolved: DataFrame) -> DataFrame:

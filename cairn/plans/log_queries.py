@@ -195,9 +195,9 @@ def gate_sessions(spark, d):
     url = lambda c: F.concat(F.lit("https://h"), (c % 3).cast("string"), F.lit(".example/"), c.cast("string"))
     i = F.col("page_id")
     kind = F.when(i % 4 == 0, "GATE").when(i % 4 == 1, "REDIRECT").otherwise("CONTENT")
-    responses = p.select(url(i).alias("url"), F.when(i % 11 == 2, 404).otherwise(200).alias("status_code"), kind.alias("page_type"), F.when(i % 8 == 0, "AGE_CONFIRMATION").otherwise("LOGIN").alias("gate_type"), F.when(i % 4 < 2, url((i * 3 + 1) % n)).alias("target_url"), (i % 3 == 0).alias("sets_cookie"))
+    responses = p.select(url(i).alias("url"), F.when(i % 11 == 2, 404).otherwise(200).alias("status_code"), kind.alias("page_type"), F.when(i % 8 == 0, "AGE_CONFIRMATION").otherwise("LOGIN").alias("gate_type"), F.when(i % 4 < 2, url((i * 3 + 1) % n)).alias("target_url"), (i % 3 == 0).alias("sets_cookie"), F.lit(None).cast("boolean").alias("in_session"), F.lit("CONFIRM").alias("interaction"), F.when(i % 6 == 2, url(i + 1)).alias("next_page_url"))
     requests = p.select(F.concat(F.lit("s"), (i % 20).cast("string")).alias("session"), i.alias("seq"), url(i).alias("url"))
-    return graph.session_metrics(graph.resolve_gates(requests, responses, (), ("AGE_CONFIRMATION",)))
+    return graph.session_metrics(graph.resolve_gates(requests, responses, (), ("AGE_CONFIRMATION",), follow_pages=True))
 
 
 def _turns(spark, d):

@@ -168,16 +168,66 @@ def test_chains(spark):
     assert got == {"a": (2, "CONTENT"), "l": (1, "LOOP"), "z": (1, "MISSING"), "n0": (5, "TOO_LONG"), "n4": (5, "MISSING"), "q": (0, "MISSING")}
 
 
+RESPONSE = "url string, in_session boolean, status_code int, page_type string, gate_type string, interaction string, target_url string, sets_cookie boolean, next_page_url string"
+U = "https://h.x/"
+
+
+def page(name, following=None, status=200):
+    return (U + name, None, status, "CONTENT", None, None, None, False, U + following if following else None)
+
+
+def gate(name, target=None, kind="AGE", act="CONFIRM", cookie=True, inside=False):
+    return (U + name, inside, 200, "GATE", kind, act, U + (target or name), cookie, None)
+
+
+def hop(name, target):
+    return (U + name, None, 302, "REDIRECT", None, None, target if "://" in target else U + target, False, None)
+
+
+def inside(name, following=None):
+    return (U + name, True, 200, "CONTENT", None, None, None, False, U + following if following else None)
+
+
+SESSIONS = {
+    "no gate": ([page("a")], ["a"], [("RESOLVED", 1, False)], [("LAST_PAGE_REACHED", 1, 1)]),
+    "age gate": ([gate("a"), inside("a")], ["a"], [("RESOLVED", 2, True)], [("LAST_PAGE_REACHED", 1, 2)]),
+    "session for a site": ([x for n in "abc" for x in (gate(n), inside(n))], list("abc"), [("RESOLVED", 2, True), ("RESOLVED", 1, True), ("RESOLVED", 1, True)], None),
+    "redirect to a gate": ([hop("a", "m"), gate("m", "d"), page("d")], ["a"], [("RESOLVED", 3, False)], [("LAST_PAGE_REACHED", 1, 3)]),
+    "gate loop": ([gate("a", cookie=False)], ["a"], [("GATE_LOOP_DETECTED", 1, False)], [("GATE_RESOLUTION_FAILED_GATE_LOOP_DETECTED", 0, 1)]),
+    "denied gate": ([gate("a", kind="LOGIN")], ["a"], [("GATE_BLOCKED", 1, False)], [("GATE_RESOLUTION_FAILED_GATE_BLOCKED", 0, 1)]),
+    "unsupported": ([gate("a", act="UNSUPPORTED")], ["a"], [("UNSUPPORTED_GATE", 1, False)], None),
+    "external": ([hop("a", "https://o.y/")], ["a"], [("OUT_OF_SCOPE_GATE_TARGET", 1, False)], [("GATE_RESOLUTION_FAILED_OUT_OF_SCOPE_GATE_TARGET", 0, 1)]),
+    "redirect loop": ([hop("a", "b"), hop("b", "a")], ["a"], [("REDIRECT_LOOP_DETECTED", 2, False)], None),
+    "five hops": ([hop(f"r{i}", f"r{i + 1}") for i in range(5)] + [page("r5")], ["r0"], [("RESOLVED", 6, False)], None),
+    "six hops": ([hop(f"r{i}", f"r{i + 1}") for i in range(6)] + [page("r6")], ["r0"], [("REDIRECT_LIMIT_EXCEEDED", 6, False)], None),
+    "budget of an origin": ([gate(f"g{i}", f"g{i + 1}", inside=None) for i in range(4)] + [page("g4")], ["g0"], [("GATE_ORIGIN_BUDGET_EXHAUSTED", 4, False)], None),
+    "three pages": ([page("a", "b"), page("b", "c"), page("c")], ["a"], None, [("LAST_PAGE_REACHED", 3, 3)]),
+    "page loop": ([page("a", "b"), page("b", "a")], ["a"], None, [("ARTICLE_PAGE_LOOP_DETECTED", 2, 2)]),
+    "missing page": ([page("a", "b"), page("b", status=404)], ["a"], None, [("GATE_RESOLUTION_FAILED_FETCH_FAILED", 1, 2)]),
+    "gate on page two": ([page("a", "b"), gate("b"), inside("b", "c"), page("c")], ["a"], None, [("LAST_PAGE_REACHED", 3, 4)]),
+    "eleven pages": ([page(f"p{i}", f"p{i + 1}") for i in range(10)] + [page("p10")], ["p0"], None, [("PAGE_BUDGET_EXHAUSTED", 10, 10)]),
+    "nothing recorded": ([page("z")], ["a"], [("FETCH_FAILED", 1, False)], None),
+}
+
+
 def test_gates(spark):
-    u = "https://h.x/"
-    responses = spark.createDataFrame(
-        [(u + "g", 200, "GATE", "AGE", u + "c", True), (u + "c", 200, "CONTENT", None, None, False), (u + "b", 200, "GATE", "LOGIN", u + "c", True), (u + "r", 302, "REDIRECT", None, u + "c", False), (u + "s", 302, "REDIRECT", None, u + "s2", False), (u + "s2", 302, "REDIRECT", None, u + "s", False), (u + "e", 200, "REDIRECT", None, "https://o.y/", False), (u + "self", 200, "GATE", "AGE", u + "self", False), (u + "404", 404, "CONTENT", None, None, False)],
-        "url string, status_code int, page_type string, gate_type string, target_url string, sets_cookie boolean",
-    )
-    asked = ["c", "self", "g", "g", "b", "r", "s", "e", "404", "none"]
-    requests = spark.createDataFrame([("s1", i, u + x) for i, x in enumerate(asked)], "session string, seq long, url string")
-    got = {r["seq"]: (r["status"], r["session_reused"]) for r in graph.resolve_gates(requests, responses, ("h.x",), ("AGE",)).collect()}
-    assert got == {0: ("RESOLVED", False), 1: ("GATE_LOOP_DETECTED", False), 2: ("RESOLVED", False), 3: ("RESOLVED", True), 4: ("RESOLVED", True), 5: ("RESOLVED", False), 6: ("REDIRECT_LOOP_DETECTED", False), 7: ("OUT_OF_SCOPE_GATE_TARGET", False), 8: ("FETCH_FAILED", False), 9: ("FETCH_FAILED", False)}
+    """All scenarios at once: each is a session on hosts of its own."""
+    here = lambda i, u: u.replace("https://h.x/", f"https://h{i}.x/") if u else u
+    responses, requests, hosts = [], [], []
+    for i, (pages, asked, *_) in enumerate(SESSIONS.values()):
+        responses += [tuple(here(i, v) if isinstance(v, str) else v for v in p) for p in pages]
+        requests += [(str(i), k, here(i, U + a)) for k, a in enumerate(asked)]
+        hosts.append(f"h{i}.x")
+    df = spark.createDataFrame(responses, RESPONSE)
+    asked = spark.createDataFrame(requests, "session string, seq long, url string")
+    single, whole = ({(r["session"], r["seq"]): r for r in graph.resolve_gates(asked, df, tuple(hosts), ("AGE",), follow).collect()} for follow in (False, True))
+    for i, (name, (_, _, one, article)) in enumerate(SESSIONS.items()):
+        for k, want in enumerate(one or ()):
+            r = single[str(i), k]
+            assert (r["status"], r["requests"], r["session_reused"]) == want, name
+        for k, want in enumerate(article or ()):
+            r = whole[str(i), k]
+            assert (r["status"], r["components"], r["requests"]) == want, name
 
 
 def test_logical_articles(spark):

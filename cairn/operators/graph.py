@@ -54,9 +54,9 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFr
 
 
 def depth_first_order(nodes: DataFrame) -> DataFrame:
-    """nodes with `rank` in depth-first order. Siblings go in reverse link order, as from a stack: a path of negated positions sorts that way, and a node comes before what lies below it."""
+    """nodes with `rank` in depth-first order below each root. Siblings go in reverse link order, as from a stack: a path of negated positions sorts that way, and a node comes before what lies below it."""
     key = F.transform("order", lambda x: -x)
-    return nodes.withColumn("rank", F.row_number().over(Window.orderBy(key)))
+    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy(F.element_at("path", 1)).orderBy(key)))
 
 
 def reach(spark, edges_view: str, roots_view: str, max_depth: int) -> DataFrame:

@@ -116,27 +116,29 @@ def confirmed_removals(prev: DataFrame, curr: DataFrame, probes: DataFrame) -> D
     return missing.join(probes, "url").filter(F.coalesce(F.col("status_code"), F.lit(404)).isin(404, 410)).select("url", F.lit("REMOVED").alias("status"))
 
 
-def visited_pages(pages: DataFrame, prev: DataFrame, prev_head: str | None, prev_incomplete: bool, max_pages: int) -> DataFrame:
+def visited_pages(pages: DataFrame, prev: DataFrame, prev_head: str | None, prev_incomplete: bool, max_pages: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pages that an incremental crawl reads, from the page log (pos from 1, url, status_code, set_fingerprint, next_page_url).
 
     It ends at an access gate; at an unchanged head, unless the last run was cut short; at a later page that equals its
     former self; or at max_pages completed ones. A failed page is read but not counted. Column `outcome` says what each
-    page did; the page at which the crawl ends is included."""
-    p = prev.select("url", F.col("set_fingerprint").alias("p_set"), F.col("next_page_url").alias("p_next"), F.lit(True).alias("_p"))
-    j = pages.join(p, "url", "left")
+    page did; the page at which the crawl ends is included. With keys (a portal's, say) many logs are cut at once, each a
+    window of its own; prev_head is then a column prev_head of pages."""
+    head = F.col("prev_head") if keys else F.lit(prev_head)
+    p = prev.select(*keys, "url", F.col("set_fingerprint").alias("p_set"), F.col("next_page_url").alias("p_next"), F.lit(True).alias("_p"))
+    j = pages.join(p, [*keys, "url"], "left")
     failed = F.coalesce(F.col("status_code") != 200, F.lit(False))
     gate = F.col("status_code").isin(401, 403)
     same_next = F.col("_p").isNotNull() & F.col("next_page_url").eqNullSafe(F.col("p_next"))
-    head_same = (F.col("pos") == 1) & F.lit(prev_head is not None and not prev_incomplete) & same_next & F.col("set_fingerprint").eqNullSafe(F.lit(prev_head))
+    head_same = (F.col("pos") == 1) & head.isNotNull() & F.lit(not prev_incomplete) & same_next & F.col("set_fingerprint").eqNullSafe(head)
     match = (F.col("pos") > 1) & same_next & (F.col("set_fingerprint") == F.col("p_set"))
     outcome = F.when(gate, "ACCESS_GATE").when(failed, "FETCH_FAILED").when(head_same | match, "BOUNDARY_RECONCILED").otherwise("COMPLETE")
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     j = j.withColumn("outcome", outcome)
     ended = F.coalesce(F.max(F.col("outcome").isin("ACCESS_GATE", "BOUNDARY_RECONCILED").cast("int")).over(w), F.lit(0))
     dead = F.coalesce(F.max((F.col("outcome") == "FETCH_FAILED").cast("int")).over(w), F.lit(0))
     counted = F.coalesce(F.sum((~F.col("outcome").isin("ACCESS_GATE", "FETCH_FAILED")).cast("int")).over(w), F.lit(0))
     # The link to the next page is read from the page itself, so a failed page ends the chain too.
-    return j.withColumns({"_e": ended, "_d": dead, "_n": counted}).filter((F.col("_e") == 0) & (F.col("_d") == 0) & (F.col("_n") < max_pages)).select("pos", "url", "outcome")
+    return j.withColumns({"_e": ended, "_d": dead, "_n": counted}).filter((F.col("_e") == 0) & (F.col("_d") == 0) & (F.col("_n") < max_pages)).select(*keys, "pos", "url", "outcome")
 
 
 def convergence(budget_exhausted: Column, n_anomalies: Column, n_errors: Column, n_articles: Column) -> Column:

@@ -68,6 +68,14 @@ def test_incremental_prefix(spark, pages, head, incomplete, limit, want):
     assert [r["outcome"] for r in got] == want
 
 
+def test_prefixes_of_many_portals(spark):
+    rows = [("a", 1, "p1", 200, "A", "p2", "A"), ("a", 2, "p2", 200, "B", None, "A"), ("b", 1, "p1", 200, "Z", "p2", "A"), ("b", 2, "p2", 200, "B", None, "A"), ("c", 1, "p1", 200, "A", "p2", None), ("c", 2, "p2", 500, "B", None, None)]
+    pages = spark.createDataFrame(rows, "portal string, pos int, url string, status_code int, set_fingerprint string, next_page_url string, prev_head string")
+    prev = spark.createDataFrame([(p, u, f, n) for p in "abc" for u, f, n in (("p1", "A", "p2"), ("p2", "B", None))], "portal string, url string, set_fingerprint string, next_page_url string")
+    got = sorted(tuple(r) for r in snapshot.visited_pages(pages, prev, None, False, 9, ("portal",)).select("portal", "pos", "outcome").collect())
+    assert got == [("a", 1, "BOUNDARY_RECONCILED"), ("b", 1, "COMPLETE"), ("b", 2, "BOUNDARY_RECONCILED"), ("c", 1, "COMPLETE"), ("c", 2, "FETCH_FAILED")]
+
+
 def plain_stability(visits):
     out, last = [], {}
     for page, s, o in visits:

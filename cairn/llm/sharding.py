@@ -10,7 +10,7 @@ over the id hash, which splits the group. Then one exchange moves each row to it
 Law `bytes`: each splitter lies within TOLERANCE of its share, or as near as whole rows allow. A group of equal texts is
 split only if keeping it whole would leave that tolerance. With weight=None the same search balances row counts.
 
-Null texts weigh the fixed bytes of a row; null ids hash like any value. Rows equal in text and id can't be told apart
+Null texts weigh the fixed bytes of a row and count as empty; null ids hash like any value. Rows equal in text and id can't be told apart
 and lie in one shard. An empty table gives an empty result. Extra columns come along untouched in `exchange`.
 """
 
@@ -23,7 +23,7 @@ from .textkit import stored
 
 N_SHARDS = 40
 ROW_BYTES = 16
-TOLERANCE = 0.002
+TOLERANCE = 0.01
 STEP_BITS = 8
 FIRST_BITS = 12
 KEY_BITS = 124
@@ -125,6 +125,6 @@ def exchange(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> Da
 
 def shard_documents(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of documents (doc_id, text), by law `bytes`."""
-    slim = keyed(documents.select("doc_id", "text")).select("doc_id", "_high", "_low", "_size", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+    slim = keyed(documents.select("doc_id", "text")).select("doc_id", "_high", "_low", "_size", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
     placed = exchange(stored(slim), n_shards, tolerance)
     return placed.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from urllib.parse import urljoin
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 # Query keys that only track, patterns of the link classifier and of the article filter.
 TRACKING_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid")
@@ -158,5 +159,25 @@ def resolved(base: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, reference, strict=True)], dtype=object)
 
 
+def robots_allowed(agent: str):
+    """A function of (robots, url): whether the site's robots text lets `agent` fetch the URL; a text that could not be had (null) allows all."""
+
+    @F.pandas_udf(BooleanType())
+    def allowed(robots: pd.Series, url: pd.Series) -> pd.Series:
+        parsers: dict[str, RobotFileParser] = {}
+
+        def one(text: str | None, u: str | None) -> bool:
+            if text is None or u is None:
+                return True
+            if text not in parsers:
+                parsers[text] = RobotFileParser()
+                parsers[text].parse(text.splitlines())
+            return parsers[text].can_fetch(agent, u)
+
+        return pd.Series([one(t, u) for t, u in zip(robots, url, strict=True)])
+
+    return allowed
+
+
 def topic_link(url: Column, marker: str = "/support/topic/") -> Column:
     return F.contains(F.coalesce(url, F.lit("")), F.lit(marker))

@@ -130,33 +130,46 @@ def migrations(current: int, steps: dict[int, str], supported: int) -> list[str]
     return [steps[v] for v in sorted(steps) if current < v <= supported]
 
 
-def visit_schedule(observations_: pd.DataFrame, profile: str, pages: int) -> pd.DataFrame:
-    """The visits that a policy makes to a recorded simulator (page, visit_no, urls): each page once in order, then changed or unconfirmed pages again with their neighbours, first come first served, within the profile's visits and requests.
+def visit_schedule(log: pd.DataFrame, profile: str, pages: int) -> pd.DataFrame:
+    """The visits that a policy makes to a recorded simulator (page, visit_no, urls; a visit that was not recorded repeats the one before).
+
+    INITIAL: each page once in order; then changed pages with their neighbours, and pages seen too seldom, first come first
+    served. With ROBUST_HEAD_VERIFIED the head is read again at the end (HEAD_VERIFICATION); if it has changed, it and its
+    neighbours follow (RECONCILIATION), and the head once more. The profile bounds the visits of a page and all requests.
 
     A simulator's log is a few dozen rows; this is the scheduling loop that live crawls run on the driver."""
     most, _, required = observations.PROFILES[profile]
     budget = observations.request_budget(profile, pages)
-    log = {(r.page, r.visit_no): list(r.urls) for r in observations_.itertuples(index=False)}
-    last_visit: dict[int, int] = {}
+    recorded = {(r.page, r.visit_no): list(r.urls) for r in log.itertuples(index=False)}
+    visits: dict[int, int] = {}
     stable: dict[int, int] = {}
     sets: dict[int, frozenset] = {}
-    queue, made, first_round = list(range(1, pages + 1)), [], True
-    while queue and len(made) < budget:
-        page = queue.pop(0)
-        visit = last_visit.get(page, 0) + 1
-        if visit > most:
-            continue
-        known = max((v for p, v in log if p == page and v <= visit), default=None)
-        if known is None:
-            continue
-        found = frozenset(log[page, known])
+    made: list[tuple] = []
+
+    def visit(page: int, phase: str) -> bool | None:
+        """Whether the page changed; None if it may not or cannot be read."""
+        number = visits.get(page, 0) + 1
+        known = max((v for p, v in recorded if p == page and v <= number), default=None)
+        if number > most or known is None or len(made) >= budget:
+            return None
+        found = frozenset(recorded[page, known])
         changed = page in sets and sets[page] != found
         stable[page] = 1 if page not in sets or changed else stable[page] + 1
-        sets[page], last_visit[page] = found, visit
-        made.append((len(made) + 1, page, visit, sorted(found), changed))
-        if changed:
-            queue += [p for p in (page, page + 1, page - 1) if 1 <= p <= pages and p not in queue]
-        if not queue and first_round:
-            first_round = False
-            queue += [p for p in sets if stable[p] < required]
-    return pd.DataFrame(made, columns=["request_no", "page", "visit_no", "urls", "changed"])
+        sets[page], visits[page] = found, number
+        made.append((len(made) + 1, phase, page, number, sorted(found), changed))
+        return changed
+
+    def work(queue: list[int], phase: str, again: bool) -> None:
+        while queue and len(made) < budget:
+            page = queue.pop(0)
+            if visit(page, phase):
+                queue += [p for p in (page, page + 1, page - 1) if 1 <= p <= pages and p not in queue]
+            if not queue and again:
+                again = False
+                queue += [p for p in sets if stable[p] < required]
+
+    work(list(range(1, pages + 1)), "INITIAL", True)
+    if profile == "ROBUST_HEAD_VERIFIED":
+        while visit(1, "HEAD_VERIFICATION"):
+            work([1, 2], "RECONCILIATION", False)
+    return pd.DataFrame(made, columns=["request_no", "phase", "page", "visit_no", "urls", "changed"])

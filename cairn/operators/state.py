@@ -8,7 +8,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Attempts of an event, seconds of a lease, seconds until a retry.
 MAX_ATTEMPTS, LEASE_S, RETRY_S = 5, 60, 30
@@ -67,6 +68,18 @@ class Outbox:
         return "OK"
 
 
+def outbox_due(status: Column, attempts: Column, next_at: Column, lease_until: Column, now: Column) -> Column:
+    """Whether an event can be claimed: waiting and due, or in flight under a lease that ran out, with attempts left."""
+    waiting = status.isin("PENDING", "RETRY") & (next_at <= now)
+    return F.coalesce((waiting | ((status == "IN_FLIGHT") & (lease_until <= now))) & (attempts < MAX_ATTEMPTS), F.lit(False))
+
+
+def next_claims(events: DataFrame, now: Column, limit: int = 1) -> DataFrame:
+    """The oldest due events: by next_at, created_at, then event_id."""
+    due = outbox_due(F.col("status"), F.col("attempts"), F.col("next_at"), F.col("lease_until"), now)
+    return events.filter(due).orderBy("next_at", "created_at", "event_id").limit(limit)
+
+
 @dataclass
 class Lease:
     """The lease of a portal, with its fencing generation and the baseline that it guards."""

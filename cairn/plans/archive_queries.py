@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import crawl, observations
+from ..operators import crawl, observations, state
 from ..sources import state_json
 
 
@@ -141,6 +141,21 @@ def url_lineage(spark, d):
     return a.withColumn("state", F.when(F.col("last_run") < 11, "GONE").when(F.col("first_run") == 11, "NEW").otherwise("REUSED"))
 
 
+def outbox_due(spark, d):
+    """The first hundred events that a worker would claim at second 5000."""
+    e = _t(spark, d, "events")
+    i = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ("PENDING", "RETRY", "IN_FLIGHT", "COMPLETED", "FAILED"))), (i % 5 + 1).cast("int"))
+    rows = e.select(i.alias("event_id"), status.alias("status"), (i % 7).cast("int").alias("attempts"), (i * 3 % 9000).alias("next_at"), F.when(i % 5 == 2, i * 11 % 9000).alias("lease_until"), (i % 97).alias("created_at"))
+    return state.next_claims(rows, F.lit(5000), 100).select("event_id", "status", "attempts", "next_at")
+
+
+def robots_gate(spark, d):
+    robots = F.when(F.col("page_id") % 3 == 0, F.lit(None)).when(F.col("page_id") % 3 == 1, F.lit("User-agent: *\nDisallow: /en/\n")).otherwise(F.lit("User-agent: cairn\nDisallow: /\n"))
+    p = _t(spark, d, "pages")
+    return p.select("page_id", urls.robots_allowed("cairn")(robots, F.col("url")).alias("allowed"))
+
+
 def head_recall(spark, d):
     """What a first pass over each user's events finds against all of them."""
     v = _t(spark, d, "events").select("user_id", "event_id", F.concat("event_type", (F.col("event_id") % 30).cast("string")).alias("item"))
@@ -148,7 +163,7 @@ def head_recall(spark, d):
     return observations.recall(found, v, "item")
 
 
-QUERIES = {f.__name__: f for f in (incremental_run, incremental_classes, fetch_retries, state_documents, catalog_documents, control_projection, hydration, quarantine, deposit_actions, deposit_metadata_errors, run_report, url_lineage, head_recall)}
+QUERIES = {f.__name__: f for f in (incremental_run, incremental_classes, fetch_retries, state_documents, catalog_documents, control_projection, hydration, quarantine, deposit_actions, deposit_metadata_errors, run_report, url_lineage, outbox_due, robots_gate, head_recall)}
 
 ORACLES = {
     "incremental_classes": f"{_RUN} SELECT * FROM classes",
@@ -163,5 +178,7 @@ ORACLES = {
     "deposit_metadata_errors": "WITH t AS (SELECT doc_id, length(text) AS n FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN least(n, doc_id % 9) < 5 THEN 'TITLE_TOO_SHORT' END, CASE WHEN least(n, doc_id % 40) < 20 THEN 'DESCRIPTION_TOO_SHORT' END, CASE WHEN doc_id % 5 = 0 THEN 'NO_CREATOR' END, CASE WHEN doc_id % 6 = 0 THEN 'NO_LICENSE' END, CASE WHEN doc_id % 4 = 0 THEN 'UNKNOWN_ACCESS' END], lambda x: x IS NOT NULL), ',') AS errors FROM t",
     "run_report": "SELECT (o_custkey % 10)::VARCHAR AS portal, o_orderstatus AS status, count(*) AS n_runs, grouping((o_custkey % 10)::VARCHAR, o_orderstatus)::INT AS level FROM orders GROUP BY ROLLUP ((o_custkey % 10)::VARCHAR, o_orderstatus)",
     "url_lineage": "WITH e AS (SELECT event_type || (user_id % 40) AS url, event_id % 12 AS run FROM events), a AS (SELECT url, min(run) AS first_run, max(run) AS last_run, count(DISTINCT run) AS n_runs FROM e GROUP BY url) SELECT *, CASE WHEN last_run < 11 THEN 'GONE' WHEN first_run = 11 THEN 'NEW' ELSE 'REUSED' END AS state FROM a",
+    "outbox_due": "WITH r AS (SELECT event_id, ['PENDING', 'RETRY', 'IN_FLIGHT', 'COMPLETED', 'FAILED'][event_id % 5 + 1] AS status, (event_id % 7)::INT AS attempts, event_id * 3 % 9000 AS next_at, CASE WHEN event_id % 5 = 2 THEN event_id * 11 % 9000 END AS lease_until, event_id % 97 AS created_at FROM events) SELECT event_id, status, attempts, next_at FROM r WHERE attempts < 5 AND ((status IN ('PENDING', 'RETRY') AND next_at <= 5000) OR (status = 'IN_FLIGHT' AND lease_until <= 5000)) ORDER BY next_at, created_at, event_id LIMIT 100",
+    "robots_gate": f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN true WHEN page_id % 3 = 1 THEN NOT regexp_extract(url, '{urls._PATH}', 1) LIKE '/en/%' ELSE false END AS allowed FROM pages",
     "head_recall": "WITH v AS (SELECT event_type || (event_id % 30) AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT DISTINCT item FROM v WHERE n <= 40), t AS (SELECT DISTINCT item FROM v), n AS (SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM f JOIN t USING (item)) AS n_both) SELECT *, round(n_both / n_truth, 4) AS recall, round(n_both / n_found, 4) AS precision FROM n",
 }

@@ -148,7 +148,7 @@ def simulator(changes):
     return pd.DataFrame(rows, columns=["page", "visit_no", "urls"])
 
 
-@pytest.mark.parametrize(("profile", "requests"), [("NAIVE", 5), ("PRECISION", 10), ("ROBUST", 10)])
+@pytest.mark.parametrize(("profile", "requests"), [("NAIVE", 5), ("PRECISION", 10), ("ROBUST", 10), ("ROBUST_HEAD_VERIFIED", 11)])
 def test_policies_on_a_stable_archive(profile, requests):
     got = crawl.visit_schedule(simulator({}), profile, 5)
     assert len(got) == requests and not got["changed"].any()
@@ -162,3 +162,10 @@ def test_policies_on_a_changing_archive(spark):
     log = spark.createDataFrame([(int(r.request_no), int(r.page), ",".join(r.urls)) for r in robust.itertuples()], "n long, page int, s string")
     last = observations.stability(log, "page", ["n"], "s").groupBy("page").agg(F.max_by("stable_count", "n").alias("c")).collect()
     assert all(r["c"] >= 2 for r in last)
+
+
+def test_head_verification_finds_a_late_insertion():
+    got = crawl.visit_schedule(simulator({(1, 3): ["late", "i10", "i11", "i12"], (2, 3): ["i13", "i20", "i21", "i22"]}), "ROBUST_HEAD_VERIFIED", 5)
+    phases = got.groupby("phase").size().to_dict()
+    assert phases["INITIAL"] == 10 and phases["HEAD_VERIFICATION"] >= 1 and phases["RECONCILIATION"] >= 2
+    assert "late" in set(sum(got["urls"], [])) and not got.iloc[-1]["changed"]

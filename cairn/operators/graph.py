@@ -7,10 +7,11 @@ pointer doubling: the number of rounds is the logarithm of the longest chain.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import ordered_fold
+
 # Limits of redirect chains, of gates in a chain, and of gates of one origin.
 MAX_REDIRECTS, MAX_GATES, MAX_ORIGIN = 5, 5, 3
 MAX_COMPONENT_PAGES = 10
@@ -149,15 +150,14 @@ RESOLVED = "session string, seq long, url string, status string, redirects int,
 
 
 def reached(starts: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
-    """start and url: what each start reaches over steps (url, target) within so many hops, itself included."""
-    known = starts.select("start", F.col("start").alias("url")).distinct()
-    level = known
-    for _ in range(hops):
-        level = _stored(level.join(steps, "url").select("start", F.col("target").alias("url")).distinct().join(known, ["start", "url"], "left_anti"))
-        if level.isEmpty():
-            break
-        known = known.unionByName(level)
-    return known
+    """start and url: what each start reaches over steps (url, target) within hops steps at least, itself included; the reach doubles each round, so rounds are the logarithm of hops."""
+    own = steps.select(F.explode(F.array("url", "target")).alias("url")).distinct().select("url", F.col("url").alias("target"))
+    reach, far = _stored(steps.select("url", "target").unionByName(own).distinct()), 1
+    while far < hops:
+        onward = reach.select(F.col("url").alias("target"), F.col("target").alias("next"))
+        reach, far = _stored(reach.join(onward, "target").select("url", F.col("next").alias("target")).distinct()), 2 * far
+    found = starts.select("start").distinct().join(reach.select(F.col("url").alias("start"), F.col("target").alias("url")), "start")
+    return found.unionByName(starts.select("start", F.col("start").alias("url"))).distinct()
 
 
 def resolve_gates(requests: DataFrame, responses: DataFrame, allowed_hosts: tuple[str, ...], allowed_gates: tuple[str, ...], follow_pages: bool = False) -> DataFrame:
@@ -175,16 +175,13 @@ def resolve_gates(requests: DataFrame, responses: DataFrame, allowed_hosts: tupl
     by_start = pages.groupBy("start").agg(F.collect_list(F.struct(*fields)).alias("pages"))
     joined = requests.join(by_start, requests["url"] == by_start["start"], "left").select("session", "seq", requests["url"], "pages")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        session, out = GateSession(allowed_hosts, allowed_gates), []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            known: dict[str, list] = {}
-            for page in () if r.pages is None else r.pages:
-                known.setdefault(page["url"], []).append(page)
-            out.append((r.session, r.seq, r.url, *(session.article(r.url, known) if follow_pages else session.one(r.url, known))))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RESOLVED.split(", ")])
+    def step(session: GateSession, r: tuple) -> tuple:
+        known: dict[str, list] = {}
+        for page in () if r.pages is None else r.pages:
+            known.setdefault(page["url"], []).append(page)
+        return r.session, r.seq, r.url, *(session.article(r.url, known) if follow_pages else session.one(r.url, known))
 
-    return joined.groupBy("session").applyInPandas(fold, RESOLVED)
+    return ordered_fold(joined, "session", "seq", lambda: GateSession(allowed_hosts, allowed_gates), step, RESOLVED)
 
 
 def _host(url: str) -> str:

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -117,29 +118,46 @@ OUTBOX_SCHEMA = "event_id string, seq long, cmd string, result string, status st
 LEASE_SCHEMA = "portal_id string, seq long, cmd string, result string, owner string, generation long, expires long, baseline string, baseline_generation long"
 
 
+def ordered_fold(rows: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, tuple], tuple], schema: str) -> DataFrame:
+    """step(state, row) of every row, each key from start() on in its order. Sorted rows stream through: of a key only its state is held, however many rows it has."""
+    columns = [c.split() for c in schema.split(", ")]
+    whole = {n: "Int64" for n, t in columns if t in ("long", "int")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if getattr(row, key) != current:
+                    current, held = getattr(row, key), start()
+                out.append(step(held, row))
+            yield pd.DataFrame(out, columns=[n for n, _ in columns]).astype(whole)
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
+def outbox_step(event: Outbox, r: tuple) -> tuple:
+    result = event.step(r.cmd, int(r.at), r.token, r.error, bool(r.reconcile))
+    return r.event_id, r.seq, r.cmd, result, event.status, event.attempts, event.lease_until, event.next_at
+
+
+def lease_step(lease: Lease, r: tuple) -> tuple:
+    generation = None if pd.isna(r.generation) else int(r.generation)
+    result = lease.step(r.cmd, r.owner, int(r.at), int(r.ttl), generation, r.baseline)
+    return r.portal_id, r.seq, r.cmd, result, lease.owner, lease.generation, lease.expires, lease.baseline, lease.baseline_generation
+
+
 def fold_outbox(rows: pd.DataFrame, event: Outbox) -> pd.DataFrame:
-    out = []
-    for r in rows.sort_values("seq").itertuples(index=False):
-        result = event.step(r.cmd, int(r.at), r.token, r.error, bool(r.reconcile))
-        out.append((r.event_id, r.seq, r.cmd, result, event.status, event.attempts, event.lease_until, event.next_at))
-    made = pd.DataFrame(out, columns=[c.split()[0] for c in OUTBOX_SCHEMA.split(", ")])
-    return made.astype({"lease_until": "Int64", "next_at": "Int64"})
+    """The commands of one event, from its state on."""
+    out = [outbox_step(event, r) for r in rows.sort_values("seq").itertuples(index=False)]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in OUTBOX_SCHEMA.split(", ")]).astype({"lease_until": "Int64", "next_at": "Int64"})
 
 
 def outbox(commands: DataFrame) -> DataFrame:
     """Result and state after each command (event_id, seq, cmd, at, token, error, reconcile) of each event."""
-    return commands.groupBy("event_id").applyInPandas(lambda rows: fold_outbox(rows, Outbox()), OUTBOX_SCHEMA)
+    return ordered_fold(commands, "event_id", "seq", Outbox, outbox_step, OUTBOX_SCHEMA)
 
 
 def leases(commands: DataFrame) -> DataFrame:
     """Result and state after each command (portal_id, seq, cmd, owner, at, ttl, generation, baseline) of each portal."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        lease, out = Lease(), []
-        for r in rows.sort_values("seq").itertuples(index=False):
-            generation = None if pd.isna(r.generation) else int(r.generation)
-            result = lease.step(r.cmd, r.owner, int(r.at), int(r.ttl), generation, r.baseline)
-            out.append((r.portal_id, r.seq, r.cmd, result, lease.owner, lease.generation, lease.expires, lease.baseline, lease.baseline_generation))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LEASE_SCHEMA.split(", ")])
-
-    return commands.groupBy("portal_id").applyInPandas(fold, LEASE_SCHEMA)
+    return ordered_fold(commands, "portal_id", "seq", Lease, lease_step, LEASE_SCHEMA)

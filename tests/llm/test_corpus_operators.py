@@ -348,3 +348,23 @@ def test_toxicity_without_labels(spark, make_docs):
     assert toxicity.classify(docs.limit(0), spark.createDataFrame([], schema)).collect() == []
     one = spark.createDataFrame([(i, 1, 1) for i in range(50)], schema)
     assert {r["score"] for r in toxicity.classify(docs, one).collect()} == {1.0}
+
+
+def test_every_language_gets_its_own_threshold(spark, make_docs):
+    rows = [(i, text, "es" if i % 20 == 3 else lang, toxic) for i, text, lang, toxic in toxic_rows(1500, 1)]
+    docs = make_docs([r[:3] for r in rows] + [(9000, "x", None), (9001, "x", "it")])
+    labels = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert set(model.thresholds) == {"en", "es", "fr"}
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
+    assert all(got[r[0]]["threshold"] == model.thresholds[r[2]] for r in rows) and {got[9000]["threshold"], got[9001]["threshold"]} == {0.7}
+    assert all(r["rejected"] == (r["score"] >= r["threshold"]) for r in got.values())
+
+
+def test_language_cut_weighs_rows_and_shrinks():
+    toxic, clean = np.zeros(91), np.zeros(91)
+    toxic[31:], clean[:31] = 1, 1  # all toxic rows reach the cut 0.40, no clean row does
+    few = toxicity.language_cut(toxic, clean, 60, 600)
+    assert 0.4 < toxicity.language_cut(toxic * 100, clean * 100, 6000, 60000) < few < 0.7
+    clean[31:51] = 0.1  # a clean row among them stands for many
+    assert toxicity.language_cut(toxic, clean, 60, 60000) > few

@@ -1,13 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, and each run of up to `SPAN_LINES` lines that follow one another (a notice is often
-wrapped). A block matches a template when it holds at least `THRESHOLD` of the template's distinct words. Templates are
-few and fixed in number, so they go to every task; the documents stay where they are.
+Blocks are all runs of up to `SPAN` times as many words as the template has, whatever the line breaks between them. A block
+matches a template when it holds at least `THRESHOLD` of the template's distinct words. Templates are few and fixed in
+number, so they go to every task; the documents stay where they are.
 
 Template words are ordered by their count over the whole corpus, rarest first. A block that holds a share t of a
 template of n words misses at most n - ceil(t*n) of them, so it holds one of its n - ceil(t*n) + 1 rarest (prefix
 filter); it has at least ceil(t*n) distinct words (length filter); and a first common word at position i of the order
-leaves at most n - i words to share (positional filter). What passes is counted exactly.
+leaves at most n - i words to share (positional filter). A text is first filtered as one block; of the templates that it
+reaches as a whole, a window slides over all its words and is counted exactly.
 
 Base phrases are counted in the whole word sequence of a document, across lines. Null and empty texts have no words: zero
 counts, null places, empty labels, score 0. Repeated rows give repeated results.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-SPAN_LINES = 3
+SPAN = 2
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Short notices by which the licenses are usually invoked.
 TEMPLATES = {
@@ -75,6 +76,7 @@ class Index:
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float) -> None:
         self.threshold = threshold
         self.ordered = {name: sorted(words, key=lambda w: (counts.get(w, 0), w)) for name, words in template_words(templates).items()}
+        self.width = {name: SPAN * len(fold(text).split()) for name, text in templates.items()}
         self.least = {name: max(1, math.ceil(threshold * len(words) - 1e-9)) for name, words in self.ordered.items()}
         self.prefix: dict[bytes, list[tuple[str, int]]] = {}
         for name, words in self.ordered.items():
@@ -99,9 +101,29 @@ class Index:
         return found
 
 
-def scan_text(text: str | None, index: Index, span: int = SPAN_LINES) -> tuple:
-    folded = fold(text)
-    words = folded.split()
+def blocks(places: list[tuple[int, bytes]], width: int, least: int, disjoint: bool) -> tuple[int, list[int]]:
+    """Most distinct words in a block of `width` words, and the first word of each block that holds `least`; places are (place, word) of a template's words. disjoint: a match ends its block, and the next begins after it."""
+    inside: Counter[bytes] = Counter()
+    most, starts, low = 0, [], 0
+    for k, (at, word) in enumerate(places):
+        inside[word] += 1
+        while places[low][0] <= at - width:
+            gone = places[low][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            low += 1
+        most = max(most, len(inside))
+        if len(inside) >= least:
+            starts.append(places[low][0])
+            if disjoint:
+                inside.clear()
+                low = k + 1
+    return most, starts
+
+
+def scan_text(text: str | None, index: Index) -> tuple:
+    words = fold(text).split()
     flat = b" " + b" ".join(words) + b" "
     places, labels = [], set()
     for phrase, label in PHRASES:
@@ -111,24 +133,22 @@ def scan_text(text: str | None, index: Index, span: int = SPAN_LINES) -> tuple:
             labels.add(label)
     score, n_blocks, more = float(bool(places)), 0, set()
     if not index.rare.isdisjoint(words):
-        lines = [line.split() for line in folded.split(b"\n")]
-        near = {j for i, line in enumerate(lines) if not index.rare.isdisjoint(line) for j in range(max(0, i - span + 1), i + 1)}
-        for i in sorted(near):
-            hits: dict[str, float] = {}
-            block: set[bytes] = set()
-            for line in lines[i : i + span]:
-                block.update(line)
-                for name, share in index.match(block).items():
-                    hits[name] = max(share, hits.get(name, 0.0))
-            n_blocks += bool(hits)
-            more |= set(hits)
-            score = max([score, *hits.values()])
+        begins: set[int] = set()
+        for name in index.match(set(words)):
+            own, width, least = frozenset(index.ordered[name]), index.width[name], index.least[name]
+            found = [(i, w) for i, w in enumerate(words) if w in own]
+            most, _ = blocks(found, width, least, False)
+            if most >= least:
+                more.add(name)
+                score = max(score, most / len(own))
+                begins.update(blocks(found, width, least, True)[1])
+        n_blocks = len(begins)
     join = lambda some: ",".join(sorted(some))
     return len(words), len(places), min(places, default=None), max(places, default=None), join(labels), join(labels | more), score, n_blocks
 
 
 def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of documents (doc_id, text). n_blocks counts the lines at which a matching block begins."""
+    """One row per row of documents (doc_id, text). n_blocks counts the words at which a matching block begins; blocks of one template do not overlap."""
     index = Index(templates, word_counts(documents, templates), threshold)
     names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64()]

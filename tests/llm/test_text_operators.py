@@ -105,6 +105,39 @@ def test_license_scan_rows(make_docs):
     assert licenses.scan(make_docs(rows).limit(0)).collect() == []
 
 
+def test_license_blocks_whatever_the_lines(make_docs):
+    gpl = licenses.TEMPLATES["gpl-text"].split()
+    plain = ["free", "and", "unencumbered", "software", "released", "into", "the", "public", "domain"]
+    rows = [(1, "\n".join(" ".join(gpl[i : i + 5]) for i in range(0, len(gpl), 5))), (2, "\n\n".join(" ".join(gpl[i : i + 7]) for i in range(0, len(gpl), 7))), (3, "\n * ".join(gpl)), (4, " ".join(gpl) + "\n" + " ".join(gpl))]
+    rows += [(5, "this is " + " ".join(" ".join([w, *(f"x{i}" for i in range(300))]) for w in plain)), (6, "this\n\nis\n" + "\n".join(plain))]
+    got = {r["doc_id"]: (r["labels"], r["n_blocks"]) for r in licenses.scan(make_docs(rows)).collect()}
+    assert all("gpl-text" in got[i][0] for i in (1, 2, 3, 4)) and [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 1, 2]
+    assert got[5] == ("", 0) and got[6] == ("unlicense-text", 1)
+
+
+def test_license_blocks_equal_brute_force():
+    rng = random.Random(6)
+    sets = licenses.template_words(licenses.TEMPLATES)
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [w if rng.random() < 0.9 else "zz" for w in licenses.TEMPLATES[rng.choice(list(sets))].split() for _ in range(1 + (rng.random() < 0.1))]
+            words += ["zz"] * rng.randrange(30)
+        rng.random() < 0.3 and words.sort(key=lambda _: rng.random())
+        folded = licenses.fold(" ".join(words)).split()
+        want = {}
+        for name, own in sets.items():
+            width = 2 * len(licenses.fold(licenses.TEMPLATES[name]).split())
+            share = max(len(own & set(folded[i : i + width])) for i in range(len(folded))) / len(own)
+            if share >= 0.8:
+                want[name] = share
+        text = "".join(w + rng.choice([" ", "\n", "\n\n"]) for w in words)
+        got = licenses.scan_text(text, index)
+        assert {x for x in got[5].split(",") if x.endswith("-text")} == set(want)
+        assert got[6] == pytest.approx(max([float(got[1] > 0), *want.values()])) and (got[7] > 0) == bool(want)
+
+
 def test_chunked_counts_equal_whole_counts():
     import public_tokenizers
 

@@ -15,19 +15,23 @@ item is shorter), and PART_OVERLAP of those of its question and of its answer. T
 at a line's start, and a leading "question:" (or "q:") is no part of an item; an item without that mark is split in the middle.
 
 The index is built on the driver from GROUP_ITEMS items at a time; more items make more passes over the documents, so
-what goes to the executors is bounded. Null and empty texts, and items without words, match nothing. Repeated rows of
+what goes to the executors is bounded. The number of items, their lengths and the items of each word are counted once over
+the whole benchmark (on the driver one number for each of its distinct words), so groups part postings and nothing else. Null and empty texts, and items without words, match nothing. Repeated rows of
 documents give repeated results; of repeated item ids each row is an item.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .licenses import fold
 from .textkit import slices, unique
@@ -58,11 +62,29 @@ def grams(words: list, n: int) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+@dataclass
+class Counts:
+    """Of all items that have words: their number, the sum and the largest of their lengths, and the items that hold each word."""
+
+    n: int = 0
+    total: int = 0
+    longest: int = 0
+    items: Counter[bytes] = field(default_factory=Counter)
+
+    def add(self, texts: Iterable[str | None]) -> Counts:
+        for question, answer in (parts(x or "") for x in texts):
+            if size := len(question) + len(answer):
+                self.n, self.total, self.longest = self.n + 1, self.total + size, max(self.longest, size)
+                self.items.update({*question, *answer})
+        return self
+
+
 class Index:
-    """Items as ordered by id; term 0 stands for every word that no item holds."""
+    """Items as ordered by id; term 0 stands for every word that no item holds. counts: of the whole benchmark, where items are a group of it."""
 
-    def __init__(self, items: list[tuple[int, str]], theta: float = THETA) -> None:
+    def __init__(self, items: list[tuple[int, str]], theta: float = THETA, counts: Counts | None = None) -> None:
         self.theta = theta
+        counts = counts or Counts().add(text for _, text in items)
         cut = [(i, *parts(text or "")) for i, text in items]
         cut = [c for c in cut if c[1] or c[2]]
         self.ids = [c[0] for c in cut]
@@ -72,12 +94,12 @@ class Index:
             for x in w:
                 if x not in self.terms:
                     self.terms[x] = len(self.terms) + 1
-        self.cell = max([LEAST_CELL, *map(len, words)])
+        self.cell = max(LEAST_CELL, counts.longest)
         n, v = len(cut), len(self.terms) + 1
         coded = [[self.terms[x] for x in w] for w in words]
-        df = np.bincount([t for c in coded for t in set(c)], minlength=v) if n else np.zeros(v)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, coded)) / max(1, n)
+        df = np.array([0, *(counts.items[x] for x in self.terms)])
+        idf = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
+        mean = counts.total / max(1, counts.n)
         self.n_blocks = -(-n // BLOCK_ITEMS)
         self.block_max = np.zeros((v, self.n_blocks), np.float32)
         #: (term, block) -> [(item, impact)]
@@ -174,6 +196,26 @@ class Index:
         return [(text, item, *rest) for (text, item), rest in sorted(best.items())]
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task's items: a row for each word, and one without a word for the rest."""
+    c = Counts()
+    for batch in batches:
+        c.add(batch.column("text").to_pylist())
+    n = len(c.items)
+    yield pa.RecordBatch.from_arrays([pa.array([None, *c.items], pa.binary()), pa.array([c.n, *c.items.values()], pa.int64()), pa.array([c.total] + [0] * n, pa.int64()), pa.array([c.longest] + [0] * n, pa.int64())], ["word", "n", "total", "longest"])
+
+
+def benchmark_counts(benchmark: DataFrame) -> Counts:
+    out = Counts()
+    rows = benchmark.select("text").mapInArrow(_counter, "word binary, n bigint, total bigint, longest bigint")
+    for r in rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest")).toLocalIterator():
+        if r["word"] is None:
+            out.n, out.total, out.longest = r["n"], r["total"], r["longest"]
+        else:
+            out.items[bytes(r["word"])] = r["n"]
+    return out
+
+
 def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items by id, GROUP_ITEMS at a time."""
     group: list[tuple[int, str]] = []
@@ -214,15 +256,16 @@ def _cleaner(index: Index):
 
 def find(documents: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFrame:
     """One row per row of documents (doc_id, text) and item of benchmark (item_id, text) that it leaks. No shuffle."""
-    found = None
+    found, counts = None, benchmark_counts(benchmark)
     for group in _groups(benchmark):
-        more = documents.select("doc_id", "text").mapInArrow(_matcher(Index(group, theta)), SCHEMA)
+        more = documents.select("doc_id", "text").mapInArrow(_matcher(Index(group, theta, counts)), SCHEMA)
         found = more if found is None else found.unionAll(more)
     return documents.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, theta: float = THETA) -> DataFrame:
     """documents without the rows that leak an item, with all columns."""
+    counts = benchmark_counts(benchmark)
     for group in _groups(benchmark):
-        documents = documents.mapInArrow(_cleaner(Index(group, theta)), documents.schema)
+        documents = documents.mapInArrow(_cleaner(Index(group, theta, counts)), documents.schema)
     return documents

@@ -305,6 +305,21 @@ def test_item_groups_cover_all_items(spark, make_docs, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [5]
 
 
+def test_item_groups_change_no_result(spark, make_docs, monkeypatch):
+    items = [(i, "common words of every item " + item(i)) for i in range(6)] + [(6, "common words of every item"), (7, item(7) + " " + " ".join(f"tail{i}" for i in range(90)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(i, f"x {text} y") for i, text in items] + [(10 + i, " ".join(text.split()[2:])) for i, text in items])
+
+    def found():
+        return {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.find(docs, bench, 0.3).collect()}
+
+    whole, clean = found(), sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "GROUP_ITEMS", 3)
+    parted = found()
+    assert parted.keys() == whole.keys() and all(parted[k] == pytest.approx(whole[k]) for k in whole)
+    assert clean == sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect())
+
+
 def toxic_rows(n, seed):
     rng = random.Random(seed)
     bad = {"en": ["vile", "scummy"], "fr": ["affreux", "nul"]}

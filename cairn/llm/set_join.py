@@ -18,7 +18,7 @@ similarity of their sets reaches PERCENT / 100. Equal sets are one node (their h
    whole sets, so links are exact. Linked nodes become components.
 
 No words or text: an empty set, linked with nothing. Fewer words than GRAM: the whole sequence is the one gram. doc_id is
-the key; repeated rows are copies of one node, each with its row. A null id takes part; a component of nothing but null
+the key of a row; its text is found again by id and a hash of the text. Repeated rows are copies of one node, each with its row. A null id takes part; a component of nothing but null
 ids has a null component_id.
 """
 
@@ -41,7 +41,7 @@ FAMILY_ROWS = 512
 _POST = "gram bigint, node bigint, size int, place int"
 _LIST = "gram bigint, a bigint, b bigint, size int, place int"
 _EDGE = "a bigint, b bigint"
-_SURVEY = "doc_id bigint, node bigint, n_shingles bigint, sketch binary, gram bigint, n bigint"
+_SURVEY = "doc_id bigint, key bigint, node bigint, n_shingles bigint, sketch binary, gram bigint, n bigint"
 
 
 def need(size: np.ndarray | int, percent: int):
@@ -89,12 +89,12 @@ def _surveyor(gram: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(gram)
         ids, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        names = ["doc_id", "node", "n_shingles", "sketch", "gram", "n"]
+        names = ["doc_id", "key", "node", "n_shingles", "sketch", "gram", "n"]
         for batch in batches:
             for low, high, texts in slices(batch, "text"):
                 sets = shingler.sets(texts)
                 none = pa.nulls(high - low, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).cast(pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary()), none, none], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).cast(pa.int64()), batch.column("key").slice(low, high - low), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary()), none, none], names)
                 grams = np.sort(np.concatenate(sets))
                 first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
                 n = np.diff(np.concatenate([first, [len(grams)]]))
@@ -111,7 +111,7 @@ def _surveyor(gram: int, percent: int):
                 order = np.argsort(ids)
                 ids, counts = ids[order], counts[order]
         none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(ids), pa.binary()), pa.array(ids.view(np.int64)), pa.array(counts)], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(ids), pa.binary()), pa.array(ids.view(np.int64)), pa.array(counts)], names)
 
     return run
 
@@ -484,29 +484,34 @@ def _families(gram: int, percent: int):
 
 def join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of documents (doc_id, text)."""
-    texts = documents.select("doc_id", "text")
+    return keyed_join(documents, gram, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed_join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of `join` with key, the xxhash64 of the text, and lead_key, the smallest key of the component's rows without an id (null for empty sets)."""
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("key"))
     survey = stored(texts.mapInArrow(_surveyor(gram, percent), _SURVEY))
-    info = survey.filter("node IS NOT NULL").select("doc_id", "node", "n_shingles")
+    info = survey.filter("node IS NOT NULL").select("doc_id", "key", "node", "n_shingles")
     heavy = heavy_grams(survey.filter("gram IS NOT NULL").select("gram", "n"))
     posts = texts.select("text").mapInArrow(_poster(heavy, gram, percent), _POST)
     nodes = survey.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     families = stored(components(candidates(posts, nodes, percent)))
     # Of each node one document brings the text; a family in blocks of FAMILY_ROWS by a hash of the node.
-    lead = info.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).getField("doc_id").alias("doc_id"))
+    lead = info.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("of")).select("node", "of.doc_id", "of.key")
     members = families.join(lead, "node")
     blocks = families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
     members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Block i meets the blocks from i on: (i, i) alone, (i, j) on side 0 and (j, i) on side 1.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.concat_ws(":", F.col("root"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("part"), (F.col("block") > j).cast("int").alias("side")))
-    members = members.withColumn("m", F.explode(meets)).select("doc_id", "node", "m.part", "m.side")
+    members = members.withColumn("m", F.explode(meets)).select("doc_id", "key", "node", "m.part", "m.side")
     # Members grow with the input, so they are never broadcast.
-    brought = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(members["doc_id"])).select("part", "side", "node", F.encode("text", "UTF-8").alias("text"))
+    brought = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["key"] == members["key"])).select("part", "side", "node", F.encode("text", "UTF-8").alias("text"))
     exact = brought.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), "a bigint, b bigint")
     linked_nodes = components(exact)
     named = info.join(linked_nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named)
-    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("lead_key"))
+    return named.join(least, "root", "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("lead_key")).alias("lead_key"))
 
 
 #: The same rows in DuckDB's SQL.

@@ -34,14 +34,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest id; of a repeated row, one. Rows without an id are kept unless they repeat."""
-    joined = set_join.join(docs, NEAR_GRAM, NEAR_PERCENT)
-    # A null id counts as the key NO_ID, so that the join and the removal of repeated rows share one exchange by key.
-    name, text = free_name(docs, "_key"), free_name(docs, "_text")
+    """Of each group of documents that links join, the one with the smallest id; of a repeated row, one. Of a group of rows without an id one stays too."""
+    joined = set_join.keyed_join(docs, NEAR_GRAM, NEAR_PERCENT)
+    # A null id counts as the key NO_ID with a hash of the text, so that the join and the removal of repeated rows share one exchange by key.
+    name, part, text = free_name(docs, "_key"), free_name(docs, "_part"), free_name(docs, "_text")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(name)
-    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    keyed = docs.select("*", key, F.xxhash64("text").alias(text))
-    one = keyed.join(kept.hint("merge"), name, "left_semi").dropDuplicates([name, text])
+    of = lambda x: F.when(F.col("doc_id").isNull(), x).otherwise(F.lit(0)).cast("long").alias(part)
+    first = F.col("doc_id").isNotNull() | F.coalesce(F.col("key") == F.col("lead_key"), F.lit(True))
+    kept = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & first).select(key, of(F.col("key"))).distinct()
+    keyed = docs.select("*", key, of(F.xxhash64("text")), F.xxhash64("text").alias(text))
+    one = keyed.join(kept.hint("merge"), [name, part], "left_semi").dropDuplicates([name, part, text])
     return one.select(docs.columns)
 
 

@@ -59,6 +59,18 @@ def plain_components(rows, gram, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
+def test_set_join_and_pipeline_on_rows_without_id(spark, make_docs):
+    import corpus_pipeline
+
+    base, other = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    near = lambda words: " ".join([*words[:-1], "z"])
+    rows = [(None, " ".join(other)), (None, near(other)), (None, " ".join(base)), (5, near(base)), (None, "lone words"), (None, None), (None, "")]
+    got = {(r["doc_id"], r["key"]): r["component_id"] for r in set_join.keyed_join(make_docs(rows, 1)).collect()}
+    assert sorted(map(str, got.values())) == ["5", "5", "None", "None", "None", "None", "None"]
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, make_docs(rows, 1), "").collect()]
+    assert sorted(left, key=str) in [sorted([(None, x), (5, near(base)), (None, "lone words"), (None, None), (None, "")], key=str) for x in (" ".join(other), near(other))]
+
+
 @pytest.mark.parametrize(("gram", "percent", "short", "block"), [(3, 90, 12, 512), (5, 80, 12, 512), (2, 60, 2, 4), (3, 90, 2, 3)])
 def test_set_join_equals_brute_force(make_docs, corpus, monkeypatch, gram, percent, short, block):
     monkeypatch.setattr(set_join, "SHORT_LIST", short)

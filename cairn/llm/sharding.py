@@ -23,7 +23,7 @@ from .textkit import stored
 
 N_SHARDS = 40
 ROW_BYTES = 16
-TOLERANCE = 0.01
+TOLERANCE = 0.002
 STEP_BITS = 8
 FIRST_BITS = 12
 KEY_BITS = 124

@@ -156,6 +156,12 @@ def test_small_groups_of_copies_stay_together(make_docs):
     assert sum(len(s) > 1 for s in where.values()) <= 9
 
 
+def test_splitters_lie_near_their_share(spark):
+    docs = spark.range(40000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    sizes = [r["count"] for r in sharding.shard_documents(docs).groupBy("shard").count().orderBy("shard").collect()]
+    assert len(sizes) == 40 and max(abs(sum(sizes[:i]) - 1000 * i) for i in range(40)) <= 2
+
+
 def test_shards_of_nothing_and_of_repeats(make_docs):
     assert sharding.shard_documents(make_docs([(1, "a")]).limit(0)).collect() == []
     got = sharding.shard_documents(make_docs([(1, "a"), (1, "a"), (None, "b")]), 4).collect()

@@ -11,7 +11,8 @@ leaves at most n - i words to share (positional filter). A text is first filtere
 reaches as a whole, a window slides over all its words and is counted exactly.
 
 Base phrases are counted in the whole word sequence of a document, across lines. Null and empty texts have no words: zero
-counts, null places, empty labels, score 0. Repeated rows give repeated results.
+counts, null places, empty labels, score 0. Repeated rows give repeated results, a null doc_id stays null, an empty table gives
+no rows. Only doc_id and text are read, so further columns of any name are ignored. Work and memory grow linearly with a text.
 """
 
 from __future__ import annotations
@@ -127,9 +128,10 @@ def scan_text(text: str | None, index: Index) -> tuple:
     flat = b" " + b" ".join(words) + b" "
     places, labels = [], set()
     for phrase, label in PHRASES:
-        needle, at = f" {phrase} ".encode(), -1
+        needle, at, place, counted = f" {phrase} ".encode(), -1, 0, 0
         while (at := flat.find(needle, at + 1)) >= 0:
-            places.append(flat.count(b" ", 0, at))
+            place, counted = place + flat.count(b" ", counted, at), at
+            places.append(place)
             labels.add(label)
     score, n_blocks, more = float(bool(places)), 0, set()
     if not index.rare.isdisjoint(words):

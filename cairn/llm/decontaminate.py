@@ -2,13 +2,16 @@
 
 Index. Items are folded to words (A-Z lower, other ASCII that is no letter or digit parts words). An item's BM25 impacts
 are divided by the score of the item against itself, so a passage's score is the share of the item's weight that it
-covers, and one threshold THETA holds for all. Postings are cut in blocks of BLOCK_ITEMS items with the largest impact of
-each term in each block.
+covers, and one threshold THETA holds for all. Postings are cut in blocks of BLOCK_ITEMS items; a term's list names the
+blocks that hold it, each with the largest impact in it.
 
 Query. Passages are two adjacent cells of as many words as the longest item, one every cell, so each stretch of an item's
-length lies within one. Upper bounds prune in three steps: the sum of each term's largest impact (all passages of a slice at
-once), the sum of its block maxima per block, and, term by term inside a block, what the terms still to come can add. All
-items above THETA are retrieved; nothing is cut off.
+length lies within one. All passages of a slice are asked at once, in four steps that each only see what the one before left.
+(1) A passage whose terms' largest impacts do not sum to THETA is dropped. (2) The other passages' terms stand in the order
+of their largest impact; the pivot is the first at which their sum reaches PIVOT * THETA. Only the lists from the pivot on
+are walked; a block is left if its maxima there, with all that the terms before the pivot can add, stay below THETA.
+(3) In the blocks that remain the same bound is taken for each item. (4) The items that remain are scored in full. All items
+above THETA are retrieved; nothing is cut off, and memory follows the lists walked, VISITS entries at a time.
 
 Verification. A hit counts if the passage holds at least OVERLAP of the item's distinct runs of GRAM words (fewer if the
 item is shorter), and PART_OVERLAP of those of its question and of its answer. The answer is what follows "answer:" (or "a:")
@@ -16,8 +19,10 @@ at a line's start, and a leading "question:" (or "q:") is no part of an item; an
 
 The index is built on the driver from GROUP_ITEMS items at a time; more items make more passes over the documents, so
 what goes to the executors is bounded. The number of items, their lengths and the items of each word are counted once over
-the whole benchmark (on the driver one number for each of its distinct words), so groups part postings and nothing else. Null and empty texts, and items without words, match nothing. Repeated rows of
-documents give repeated results; of repeated item ids each row is an item.
+the whole benchmark (on the driver one number for each of its distinct words), so groups part postings and nothing else.
+Null and empty texts, and items without words, match nothing; a null doc_id stays null. Repeated rows of documents give
+repeated results; of repeated item ids each row is an item. An empty table on either side gives no hits. `find` reads only
+doc_id, text and item_id, text; `clean` keeps all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ GRAM, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
 BLOCK_ITEMS, GROUP_ITEMS = 8, 2048
 LEAST_CELL = 32
 SLICE = 2 << 20
+#: Share of theta that the terms before a passage's pivot stay below, and entries of lists that are walked at a time.
+PIVOT, VISITS = 0.25, 1 << 20
 SCHEMA = "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double, first_word bigint"
 _QUESTION = re.compile(r"^\s*(?:question|q)\s*:", re.IGNORECASE)
 _ANSWER = re.compile(r"^\s*(?:answer|a)\s*:", re.IGNORECASE | re.MULTILINE)
@@ -101,41 +108,63 @@ class Index:
         idf = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
         mean = counts.total / max(1, counts.n)
         self.n_blocks = -(-n // BLOCK_ITEMS)
-        self.block_max = np.zeros((v, self.n_blocks), np.float32)
-        #: (term, block) -> [(item, impact)]
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, c in enumerate(coded):
-            tf = np.bincount(c, minlength=v)
-            at = np.flatnonzero(tf)
-            impact = idf[at] * tf[at] * (K1 + 1) / (tf[at] + K1 * (1 - B + B * len(c) / mean))
-            impact = impact / impact.sum()
-            b = i // BLOCK_ITEMS
-            for t, x in zip(at.tolist(), impact.tolist(), strict=True):
-                self.postings.setdefault((t, b), []).append((i, x))
-            self.block_max[at, b] = np.maximum(self.block_max[at, b], impact * (1 + 1e-6))
-        self.term_max = self.block_max.max(axis=1) if self.n_blocks else np.zeros(v, np.float32)
+        # Postings in the order of (term, item): item and impact. An entry of a term's list stands for those of one block.
+        self.item_terms, self.item_impacts = [], []
+        for c in coded:
+            at, tf = np.unique(c, return_counts=True)
+            impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(c) / mean))
+            self.item_terms.append(at)
+            self.item_impacts.append(impact / impact.sum())
         self.grams = [grams(c, GRAM) for c in coded]
         self.question = [grams([self.terms[x] for x in q], GRAM) for _, q, _ in cut]
         self.answer = [grams([self.terms[x] for x in a], GRAM) for _, _, a in cut]
-
-    def score_block(self, terms: np.ndarray, block: int) -> dict[int, float]:
-        """Items of a block above theta for a passage of distinct terms; terms with the largest block maxima first, until no new item can reach theta."""
-        bounds = self.block_max[terms, block]
-        terms, bounds = terms[bounds > 0], bounds[bounds > 0]
-        order = np.argsort(-bounds, kind="stable")
-        left = float(bounds.sum())
-        found: dict[int, float] = {}
-        for term, bound in zip(terms[order].tolist(), bounds[order].tolist(), strict=True):
-            fresh = left >= self.theta
-            if not fresh and max(found.values(), default=0.0) + left < self.theta:
-                return {}
-            for item, x in self.postings[term, block]:
-                if item in found:
-                    found[item] += x
-                elif fresh:
-                    found[item] = x
-            left -= bound
-        return {item: x for item, x in found.items() if x >= self.theta}
+        if not n:
+            return
+        term, item = np.concatenate(self.item_terms), np.repeat(np.arange(n), [len(t) for t in self.item_terms])
+        order = np.lexsort((item, term))
+        term, self.item, self.impact = term[order], item[order], np.concatenate(self.item_impacts)[order]
+        place = term * self.n_blocks + self.item // BLOCK_ITEMS
+        self.first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        self.n_postings = np.diff(np.concatenate([self.first, [len(place)]]))
+        self.block, self.maxima = place[self.first] % self.n_blocks, np.maximum.reduceat(self.impact, self.first)
+        self.lists = np.searchsorted(term[self.first], np.arange(v + 1))
+        self.term_max = np.zeros(v)
+        np.maximum.at(self.term_max, term, self.impact)
+
+    def retrieve(self, term: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, item, score) of all items above theta; passage k has the terms starts[k] to ends[k], in the order of their largest impact."""
+        least = self.theta - 1e-9
+        most = self.term_max[term]
+        sums = np.concatenate([[0.0], np.cumsum(most)])
+        passage = np.repeat(np.arange(len(starts)), ends - starts)
+        beyond = sums[1:] - sums[starts][passage] >= PIVOT * self.theta
+        before = np.add.reduceat(np.where(beyond, 0.0, most), starts)
+        rows = np.flatnonzero(beyond)
+        n = np.diff(self.lists)[term[rows]]
+        at = np.concatenate([[0], np.cumsum(n)])
+        last = np.flatnonzero(np.concatenate([passage[rows][1:] != passage[rows][:-1], [True]])) + 1
+        low = 0
+        while low < len(rows):
+            # Whole passages, with about VISITS entries.
+            high = int(last[max(np.searchsorted(at[last], at[low] + VISITS, side="right") - 1, np.searchsorted(last, low, side="right"))])
+            some, m, zero = rows[low:high], n[low:high], passage[rows[low]]
+            entry = np.repeat(self.lists[term[some]] - (at[low:high] - at[low]), m) + np.arange(int(m.sum()))
+            key = np.repeat(passage[some] - zero, m) * self.n_blocks + self.block[entry]
+            bound = np.bincount(key, self.maxima[entry])
+            open_ = bound + before[zero + np.arange(len(bound)) // self.n_blocks] >= least
+            left = open_[key]
+            visited, key = np.unique(key[left], return_inverse=True)
+            entry, m = entry[left], self.n_postings[entry[left]]
+            posting = np.repeat(self.first[entry] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            cell = np.repeat(key, m) * BLOCK_ITEMS + self.item[posting] % BLOCK_ITEMS
+            bound = np.bincount(cell, self.impact[posting], len(visited) * BLOCK_ITEMS)
+            where = visited // self.n_blocks + zero
+            for cell in np.flatnonzero(bound + np.repeat(before[where], BLOCK_ITEMS) >= least).tolist():
+                k, item = int(where[cell // BLOCK_ITEMS]), int(visited[cell // BLOCK_ITEMS] % self.n_blocks) * BLOCK_ITEMS + cell % BLOCK_ITEMS
+                score = float(self.item_impacts[item][np.isin(self.item_terms[item], term[starts[k] : ends[k]])].sum())
+                if score >= self.theta:
+                    yield k, item, score
+            low = high
 
     def verify(self, item: int, words: list[int]) -> tuple[float, float, float] | None:
         """(overlap, of the question, of the answer) if the passage holds enough of the item. A run shorter than GRAM is looked for at its own length."""
@@ -171,28 +200,21 @@ class Index:
         before = (here > 0) & real[here - 1]
         pairs = unique(np.concatenate([here * v + term, (here[before] - 1) * v + term[before]]))
         bound = np.bincount(pairs // v, self.term_max[pairs % v], total)
-        pairs = pairs[bound[pairs // v] >= self.theta]
+        pairs = pairs[bound[pairs // v] >= self.theta - 1e-9]
         if not len(pairs):
             return []
         where, term = pairs // v, pairs % v
+        order = np.lexsort((self.term_max[term], where))
+        where, term = where[order], term[order]
         starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         ends = np.concatenate([starts[1:], [len(where)]])
         best: dict[tuple[int, int], tuple] = {}
-        for low in range(0, len(starts), 4096):
-            some = starts[low : low + 4096]
-            first_row, last_row = some[0], ends[min(len(ends), low + 4096) - 1]
-            bounds = np.add.reduceat(self.block_max[term[first_row:last_row]], some - first_row, axis=0)
-            for k, b in zip(*(x.tolist() for x in np.nonzero(bounds >= self.theta)), strict=True):
-                scored = self.score_block(term[some[k] : ends[low + k]], b)
-                if not scored:
-                    continue
-                passage = int(where[some[k]])
-                text = int(np.searchsorted(base, passage, side="right")) - 1
-                first = (passage - int(base[text])) * self.cell
-                words = coded[text][first : first + 2 * self.cell].tolist()
-                for item, x in scored.items():
-                    if (checked := self.verify(item, words)) and x > best.get((text, item), (0.0,))[0]:
-                        best[text, item] = (x, *checked, first)
+        for k, item, x in self.retrieve(term, starts, ends):
+            passage = int(where[starts[k]])
+            text = int(np.searchsorted(base, passage, side="right")) - 1
+            first = (passage - int(base[text])) * self.cell
+            if x > best.get((text, item), (0.0,))[0] and (checked := self.verify(item, coded[text][first : first + 2 * self.cell].tolist())):
+                best[text, item] = (x, *checked, first)
         return [(text, item, *rest) for (text, item), rest in sorted(best.items())]
 
 

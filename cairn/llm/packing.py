@@ -1,8 +1,8 @@
 """Packing: optimal length buckets by dynamic programming, token-budget batches inside each bucket.
 
-The histogram of lengths over all rows (one number per distinct length; lengths over EXACT_TOKENS are first rounded up to
-a relative step of 1/1024, so it has at most EXACT_TOKENS + 1024 numbers per doubling beyond) goes to the driver. With
-lengths v_1 < ... < v_D, row counts and token sums, the programme
+The histogram of exact lengths over all rows goes to the driver: two numbers per distinct length, and D distinct lengths
+hold at least D^2 / 2 tokens, so D is at most the square root of twice the tokens, whatever the number of rows. With
+lengths v_1 < ... < v_D and row counts, the programme
 
     best(k, j) = min over i < j of best(k - 1, i) + v_j * rows(i+1..j) - tokens(i+1..j)
 
@@ -13,7 +13,8 @@ A batch of a bucket with padded length v has max(1, budget // v) rows. A bucket
 about PART_BATCHES batches, so no task holds a whole bucket; the last batch of a part may be short. Inside a part rows
 stand in the order of the hash, then the id.
 
-Null and empty texts have length 0 and are packed like others. Repeated rows are packed each. An empty table gives no rows.
+Null and empty texts have length 0 and are packed like others. Repeated rows are packed each, and rows without an id like
+rows of one id. An empty table gives no rows. Only doc_id and text are read, so further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from .textkit import stored
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 1 << 16
-EXACT_TOKENS = 1 << 16
 PART_BATCHES = 32
 PART_ROWS = 1024
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -36,20 +36,14 @@ def word_length(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def grid(length: Column) -> Column:
-    """length, rounded up to a step of a 1024th of its power of two where it is over EXACT_TOKENS."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 10).cast("long")
-    return F.when(length <= EXACT_TOKENS, length).otherwise(F.ceil(length / F.greatest(step, F.lit(1))).cast("long") * step)
-
-
-def boundaries(lengths: list[int], rows: list[int], tokens: list[int], n_buckets: int) -> list[int]:
-    """Upper ends of the buckets with the least padding; lengths ascend, tokens are sums of true lengths."""
+def boundaries(lengths: list[int], rows: list[int], n_buckets: int) -> list[int]:
+    """Upper ends of the buckets with the least padding; lengths ascend."""
     d = len(lengths)
     if not d:
         return []
     v = np.array([0, *lengths], np.int64)
     c = np.concatenate([[0], np.cumsum(rows)]).astype(np.int64)
-    s = np.concatenate([[0], np.cumsum(tokens)]).astype(np.int64)
+    s = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64) * np.asarray(rows, np.int64))]).astype(np.int64)
     cost = v * c - s  # one bucket over the first j lengths
     back, costs = [np.zeros(d + 1, np.int64)], [int(cost[d])]
     for k in range(2, min(n_buckets, d) + 1):
@@ -91,20 +85,20 @@ def choice(length: Column, ends: list[int], values: list) -> Column:
 
 def pack(rows: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """rows (doc_id, n_tokens) with bucket, padded_tokens, part, batch and slot: a batch is (bucket, part, batch)."""
-    rows = stored(rows.select("doc_id", "n_tokens").withColumn("_v", grid(F.col("n_tokens"))))
-    histogram = sorted(tuple(r) for r in rows.groupBy("_v").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect())
+    rows = stored(rows.select("doc_id", "n_tokens"))
+    histogram = sorted(tuple(r) for r in rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
     columns = ["doc_id", "n_tokens", "bucket", "padded_tokens", "part", "batch", "slot"]
-    ends = boundaries([h[0] for h in histogram], [h[1] for h in histogram], [h[2] for h in histogram], n_buckets)
+    ends = boundaries([h[0] for h in histogram], [h[1] for h in histogram], n_buckets)
     if not ends:
         return rows.withColumns({c: F.lit(0) for c in columns[2:4]} | {"part": F.lit(0).cast("long"), "batch": F.lit(0).cast("long"), "slot": F.lit(0)}).withColumn("padded_tokens", F.lit(0).cast("long")).select(columns)
     n_rows, at = [0] * len(ends), 0
-    for length, n, _ in histogram:
+    for length, n in histogram:
         while length > ends[at]:
             at += 1
         n_rows[at] += n
     per_batch = [max(1, budget // max(1, end)) for end in ends]
     parts = [-(-n // max(PART_ROWS, PART_BATCHES * b)) for n, b in zip(n_rows, per_batch, strict=True)]
-    length, key = F.col("_v"), F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    length, key = F.col("n_tokens"), F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
     placed = rows.withColumns({"_key": key, "bucket": choice(length, ends, list(range(len(ends)))), "padded_tokens": choice(length, ends, ends).cast("long"), "_per": choice(length, ends, per_batch)})
     placed = placed.withColumn("part", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % choice(length, ends, parts))
     n = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("_key", "doc_id")) - 1
@@ -117,7 +111,7 @@ def pack_documents(documents: DataFrame, n_buckets: int = N_BUCKETS, budget: int
     return pack(documents.select("doc_id", word_length(F.col("text")).alias("n_tokens")), n_buckets, budget)
 
 
-#: The same batches in DuckDB's SQL; lengths there are at most EXACT_TOKENS.
+#: The same batches in DuckDB's SQL.
 ORACLE = f"""
 WITH RECURSIVE lens AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
 hist AS (SELECT n, count(*) AS c FROM lens GROUP BY n),

@@ -40,6 +40,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """text cut between words into pieces of about HASH_BYTES."""
+    at = 0
+    while len(text) - at > HASH_BYTES:
+        gap = _SPACE.search(text, at + HASH_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
 
@@ -81,7 +92,7 @@ class WordHashes:
                 block.clear()
 
         for i, text in enumerate(texts):
-            for piece in self._pieces(text):
+            for piece in pieces(text):
                 if size + len(piece) > HASH_BYTES:
                     close()
                     size = 0
@@ -90,17 +101,6 @@ class WordHashes:
         close()
         return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
 
-    @staticmethod
-    def _pieces(text: bytes) -> Iterator[bytes]:
-        """text cut between words into pieces of about HASH_BYTES."""
-        at = 0
-        while len(text) - at > HASH_BYTES:
-            gap = _SPACE.search(text, at + HASH_BYTES)
-            end = gap.start() if gap else len(text)
-            yield text[at:end]
-            at = end
-        yield text[at:] if at else text
-
     def _sum(self, data: np.ndarray) -> np.ndarray:
         """Running sums of value times power, from 0 on."""
         up, _ = self.powers.upto(len(data) + 1)

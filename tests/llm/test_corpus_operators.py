@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -12,6 +13,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 from cairn.llm import additive, components, decontaminate, neighbours, packing, repeats, set_join, sharding, toxicity
 from pyspark.sql import functions as F
@@ -408,6 +410,60 @@ def test_toxicity_on_held_out_rows(spark, make_docs):
     assert got[9002]["predicted"] == 1 and got[9001]["score"] == got[9000]["score"]
 
 
+def plain_logit(model, text):
+    """Words, filters and pooling by loops."""
+    words = [model.rows[xxhash.xxh3_64_intdigest(w.encode()) % toxicity.BUCKETS] for w in plain_words(text)]
+    total = model.offset
+    for w, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            responses = []
+            for at in range(max(1, len(words))):
+                rows = [words[at + k] if at + k < len(words) else 0 for k in range(width)]
+                responses.append(sum(float(model.table[r] @ model.filters[w][k][:, f]) for k, r in enumerate(rows)))
+            total += max(0.0, max(responses) + float(model.biases[w][f])) * float(model.output[w * toxicity.FILTERS + f])
+    return total
+
+
+@pytest.mark.parametrize("run", [1 << 16, 7, 1])
+def test_scores_equal_loops_over_words_and_filters(monkeypatch, run):
+    rows = toxic_rows(400, 3)
+    model = toxicity.fit([r[1] for r in rows], np.array([r[3] for r in rows]), 0.3)
+    texts = ["", "vile", "en1 vile, EN2", rows[0][1], rows[1][1] + " scummy end", " ".join(r[1] for r in rows[:3])]
+    monkeypatch.setattr(toxicity, "RUN_TOKENS", run)
+    buckets = toxicity.Buckets()
+    got = toxicity.logits(model, [model.rows[buckets.of(t)] for t in texts])
+    assert got == pytest.approx([plain_logit(model, t) for t in texts], abs=1e-3)
+
+
+def test_memory_for_a_long_text_is_bounded():
+    rows = toxic_rows(400, 3)
+    model = toxicity.fit([r[1] for r in rows], np.array([r[3] for r in rows]), 0.3)
+    text = ("en1 fr2 de3 " * 1_700_000 + "vile").encode()
+    tracemalloc.start()
+    tokens = model.rows[toxicity.Buckets().of(text)]
+    got = toxicity.logits(model, [tokens])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(tokens) == 5_100_001 and peak < 200 << 20
+    assert got[0] == pytest.approx(plain_logit(model, "en1 fr2 de3 en1 fr2 de3 en1 fr2 de3 vile"), abs=1e-3)
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, i % 2, "x" * n, n) for i, n in enumerate([10, 20, 3000, 40, 50, 60])], "doc_id long, toxic int, text string, size int")
+    assert [r["doc_id"] for r in toxicity.sampled(rows, 10**6, 100)] == [0, 1, 3, 4, 5]
+    some = toxicity.sampled(rows, 100, 100)
+    assert some and sum(r["size"] for r in some) <= 100
+    assert toxicity.sampled(rows.limit(0)) == []
+
+
+def test_of_several_texts_of_an_id_one_is_learned_from(spark, make_docs):
+    rows = toxic_rows(300, 2)
+    labels = spark.createDataFrame([(r[0], 1, r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    twice = [r[:3] for r in rows] + [(r[0], "other " + r[1], r[2]) for r in rows[:150]] + [(None, "vile", "en")]
+    a, b = (sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in toxicity.classify(make_docs(some, parts), labels).collect()) for some, parts in ((twice, 2), (twice[::-1], 3)))
+    assert [i for i, _ in a] == [i for i, _ in b] and [x for _, x in a] == pytest.approx([x for _, x in b], abs=1e-5)
+
+
 def test_toxicity_without_use_of_lang_or_held_out_labels(spark, make_docs):
     rows = toxic_rows(300, 2)
     flip = [(r[0], 1, 1 - r[3] if zlib.crc32(str(r[0]).encode()) % 3 == 1 else r[3]) for r in rows]

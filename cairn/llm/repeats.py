@@ -1,20 +1,25 @@
 """Substring deduplication by seed and extend: repeated passages of MIN_WORDS words or more, exactly, without pairs of documents.
 
-Seeds. In every run of MIN_WORDS words the GRAM-word sequence with the smallest hash is its anchor (the leftmost of equal
-ones), so equal runs have equal anchors at equal places, wherever they stand. About two in MIN_WORDS - GRAM + 2 places are
-anchors; they are what documents are joined on.
-
-Extension. An anchor carries one 48-bit hash for each run around it that it anchors: how far a match reaches to the left
-and to the right of the anchor is read off the runs that agree, in one pass over the occurrences of an anchor in (doc_id,
-start) order. A run that an earlier occurrence has too is a repeat; repeats that follow one another join to the maximal
+Seeds. In every run of MIN_WORDS words the GRAM-word sequence that comes first in an order of all of them is its anchor (the
+leftmost of equal ones), so equal runs have equal anchors at equal places, wherever they stand. The order is by hash, but
+sequences that take at least a share of 1 / HEAVY of all places come last; there are at most HEAVY, found in one pass over all
+texts. About two in MIN_WORDS - GRAM + 2 places are anchors; they are what documents are joined on. So a common phrase is an
+anchor only for runs that hold nothing but common phrases, and those are joined on a hash of the run itself: no anchor
+gathers all the contexts of a common phrase in one task.
+
+Extension. An anchor carries a 64-bit hash for each run around it that it anchors: how far a match reaches to the left
+and to the right of the anchor is read off the runs that agree, in one pass over the occurrences of an anchor in the order of
+documents. A run that an earlier occurrence has too is a repeat; repeats that follow one another join to the maximal
 ones. Nothing grows with the square of a group: an occurrence is compared with the set of runs seen so far. Two runs are
-taken as equal if 64 bits of anchor hash and 48 bits of run hash agree.
+taken as equal if 32 bits of anchor hash and 64 bits of run hash agree.
 
 Before the shuffle, runs that occur again within a slice of a task (or were found often before in that task) are settled
 on the spot, so that a passage in a third of all documents sends few rows per task.
 
-Null and empty texts, and texts of fewer words than MIN_WORDS, repeat nothing. doc_id is the key: rows that share one are
-one document, whose repeats apply to each of them; a null id comes before all others.
+Null and empty texts, and texts of fewer words than MIN_WORDS, repeat nothing. A document is a doc_id with a text: rows equal
+in both are one document, whose repeats apply to each of them; rows that share an id but not a text are documents of their
+own, in the order of a hash of the text, and so are rows without an id, which come before all others. An empty table gives no
+rows. Only doc_id and text are read, so further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Powers, WordHashes, mix, slices, windows
+from .textkit import Counts, Powers, WordHashes, mix, slices, stored, windows
 
 MIN_WORDS = 20
 GRAM = 4
 #: Windows that a task remembers as frequent; it bounds memory and decides only where a repeat is settled.
 REMEMBERED = 1 << 18
+#: A share of 1 / HEAVY of all places makes a sequence common, if it has LEAST_HEAVY places at all; that decides where runs meet, never the result.
+HEAVY, LEAST_HEAVY = 1 << 16, 1 << 10
 NO_ID = -(1 << 63)
 #: Low bits of a hash that give way to the place in its slice; more only for a single text of over 2**24 words.
 _PLACE_BITS = 24
-_SEED = "key bigint, doc_key bigint, start int, n int, data binary"
-_SPAN = "doc_key bigint, start int, n int"
+_SEED = "key int, doc_key bigint, text_key bigint, start int, n int, data binary"
+_SPAN = "doc_key bigint, text_key bigint, start int, n int"
+_NAMES = [c.split()[0] for c in _SEED.split(", ")]
+#: Doc_key, text_key and start of places.
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,15 +69,16 @@ def runs(where: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(where)]]))
 
 
-def earlier(ids: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whether an equal id stands earlier in (doc, start) order, index of the first of each id, ids' counts)."""
-    order = np.lexsort((start, doc, ids))
+def earlier(ids: np.ndarray, at: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether an equal id stands at an earlier place, index of the first of each id, ids' counts)."""
+    doc, text, start = at
+    order = np.lexsort((start, text, doc, ids))
     head = np.concatenate([[True], ids[order][1:] != ids[order][:-1]]) if len(ids) else np.empty(0, bool)
     group = np.cumsum(head) - 1
     first = order[head]
     again = np.empty(len(ids), bool)
     lead = first[group]
-    again[order] = ~head & ~((doc[order] == doc[lead]) & (start[order] == start[lead]))
+    again[order] = ~head & ~((doc[order] == doc[lead]) & (text[order] == text[lead]) & (start[order] == start[lead]))
     return again, first, np.bincount(group, minlength=len(first))
 
 
@@ -75,105 +86,140 @@ class Frequent:
     """Windows that a task met often, with the first place it saw each at."""
 
     def __init__(self) -> None:
-        self.ids, self.doc, self.start = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.at = np.empty(0, np.uint64), (np.empty(0, np.int64),) * 3
 
-    def settled(self, ids: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+    def settled(self, ids: np.ndarray, at: Places) -> np.ndarray:
         if not len(self.ids):
             return np.zeros(len(ids), bool)
-        known, d, s = self.ids[at] == ids, self.doc[at], self.start[at]
-        return known & ((doc > d) | ((doc == d) & (start > s)))
+        i = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        later = np.zeros(len(ids), bool)
+        for here, there in zip(reversed(at), reversed(self.at), strict=True):
+            later = (here > there[i]) | ((here == there[i]) & later)
+        return (self.ids[i] == ids) & later
+
+    def add(self, ids: np.ndarray, at: Places) -> None:
+        ids = np.concatenate([self.ids, ids])[-REMEMBERED:]
+        at = tuple(np.concatenate(x)[-REMEMBERED:] for x in zip(self.at, at, strict=True))
+        _, first, _ = earlier(ids, at)
+        self.ids, self.at = ids[first], tuple(x[first] for x in at)
+
+
+def _counter(gram: int):
+    """The most frequent sequences of a task and their counts; a null one with the number of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, powers, counts = WordHashes(), Powers(), Counts(HEAVY)
+        for batch in batches:
+            for _, _, texts in slices(batch, "text"):
+                counts.add(windows(hashes.of(texts)[0], gram, powers))
+        kept = counts.n > counts.total // (4 * HEAVY)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *counts.ids[kept].view(np.int64).tolist()], pa.int64()), pa.array([counts.total, *counts.n[kept].tolist()], pa.int64())], ["gram", "n"])
+
+    return run
 
-    def add(self, ids: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
-        ids, doc, start = (np.concatenate(x)[-REMEMBERED:] for x in ((self.ids, ids), (self.doc, doc), (self.start, start)))
-        _, first, _ = earlier(ids, doc, start)
-        self.ids, self.doc, self.start = ids[first], doc[first], start[first]
 
+def common(texts: DataFrame, gram: int) -> np.ndarray:
+    """Sorted hashes of the common sequences of texts (text): at most HEAVY numbers."""
+    counts = stored(texts.select("text").mapInArrow(_counter(gram), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = counts.filter("gram IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.filter((F.col("n") >= LEAST_HEAVY) & (F.col("n") * HEAVY >= total) & F.col("gram").isNotNull()).select("gram").toPandas()
+    return np.sort(found["gram"].to_numpy(np.int64).view(np.uint64))
 
-def _seeder(width: int, gram: int):
+
+def _seeder(width: int, gram: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers, often = WordHashes(), Powers(), Frequent()
         for batch in batches:
             for low, high, texts in slices(batch, "text"):
-                keys = batch.column("doc_key").slice(low, high - low).to_numpy()
+                keys = [batch.column(c).slice(low, high - low).to_numpy() for c in ("doc_key", "text_key")]
                 flat, lengths = hashes.of(texts)
                 if lengths.max(initial=0) < width:
                     continue
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 grams, whole = windows(flat, gram, powers), windows(flat, width, powers)
+                last = np.isin(grams, heavy)
                 place = np.arange(len(grams), dtype=np.uint64)
                 mask = np.uint64((1 << max(_PLACE_BITS, len(grams).bit_length())) - 1)
-                best = sliding_min((grams & ~mask) | place, width - gram + 1)
+                order = (grams >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
+                best = sliding_min((order & ~mask) | place, width - gram + 1)
                 owner = np.repeat(np.arange(len(lengths)), np.maximum(0, lengths - width + 1))
                 at = np.concatenate([b + np.arange(max(0, n - width + 1)) for b, n in zip(begin, lengths, strict=True)])
                 anchor = (best[at] & mask).astype(np.int64)
-                doc, start = keys[owner], at - begin[owner]
+                where = (keys[0][owner], keys[1][owner], at - begin[owner])
                 ids = mix(grams[anchor] ^ whole[at] * np.uint64(0x9E3779B97F4A7C15))
-                again, first, counts = earlier(ids, doc, start)
-                again |= often.settled(ids, doc, start)
+                again, first, counts = earlier(ids, where)
+                again |= often.settled(ids, where)
                 some = first[counts > 1]
-                often.add(ids[some], doc[some], start[some])
-                parts = []
+                often.add(ids[some], tuple(x[some] for x in where))
+                # A run of nothing but common sequences meets its like by its own hash.
+                alone = last[anchor]
+                key = mix(np.where(alone, ids, grams[anchor])).view(np.int64).astype(np.int32)
                 here = np.flatnonzero(again)
                 f, n = runs(at[here], owner[here])
                 i = here[f]
-                parts.append((mix(doc[i].astype(np.uint64)).view(np.int64), doc[i], start[i], n, pa.nulls(len(i), pa.binary())))
+                yield _seeds(key[i], where, i, n, pa.nulls(len(i), pa.binary()))
                 here = np.flatnonzero(~again)
-                f, n = runs(at[here], owner[here], anchor[here])
+                f, n = runs(at[here], owner[here], anchor[here], np.where(alone[here], here, -1))
                 i = here[f]
-                body = np.ascontiguousarray(whole[at[here]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                ends = np.concatenate([[0], np.cumsum(n)]) * 6
-                data = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body)])
-                parts.append((grams[anchor[i]].view(np.int64), doc[i], start[i], n, data))
-                for key, d, s, n, data in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), data], ["key", "doc_key", "start", "n", "data"])
+                ends = np.concatenate([[0], np.cumsum(n)]) * 8
+                data = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(whole[at[here]].astype("<u8").tobytes())])
+                yield _seeds(key[i], where, i, n, data)
 
     return run
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_key", "start", "n"])
+def _seeds(key: np.ndarray, at: Places, i: np.ndarray, n: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+    doc, text, start = (x[i] for x in at)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(text), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), data], _NAMES)
+
+
+def _spans(at: Places, n: np.ndarray) -> pa.RecordBatch:
+    doc, text, start = at
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_key", "text_key", "start", "n"])
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in (key, doc, start) order -> runs of repeats. Of the last key of a batch, the runs seen go on to the next batch."""
-    open_key, seen = None, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    """Rows in the order of key and place -> runs of repeats. Of the last key of a batch, the runs seen go on to the next batch."""
+    open_key, seen, seen_at = None, np.empty(0, np.uint64), (np.empty(0, np.int64),) * 3
     for batch in batches:
         settled = batch.column("data").is_null().to_numpy(zero_copy_only=False)
-        key, doc, start, n = (batch.column(c).to_numpy() for c in ("key", "doc_key", "start", "n"))
+        key, n = batch.column("key").to_numpy(), batch.column("n").to_numpy()
+        where = tuple(batch.column(c).to_numpy() for c in ("doc_key", "text_key", "start"))
         if settled.any():
-            yield _spans(doc[settled], start[settled], n[settled])
+            yield _spans(tuple(x[settled] for x in where), n[settled])
         rows = np.flatnonzero(~settled)
         if not len(rows):
             continue
         data = batch.column("data").filter(pa.array(~settled))
-        raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, 6)
-        body = np.zeros((len(raw), 8), np.uint8)
-        body[:, :6] = raw
+        body = np.frombuffer(b"".join(data.to_pylist()), "<u8")
         of = np.repeat(rows, n[rows])
         offset = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n[rows])[:-1]]), n[rows])
-        ids = mix(key[of].view(np.uint64) ^ body.view("<u8")[:, 0] * np.uint64(0x9E3779B97F4A7C15))
-        d, s = doc[of], start[of] + offset
-        carried = len(seen[0]) if open_key == key[rows[0]] else 0
+        ids = mix(key[of].astype(np.uint64) ^ body * np.uint64(0x9E3779B97F4A7C15))
+        at = (where[0][of], where[1][of], where[2][of].astype(np.int64) + offset)
+        carried = len(seen) if open_key == key[rows[0]] else 0
         if carried:
-            ids, d, s = (np.concatenate(x) for x in zip(seen, (ids, d, s), strict=True))
-        again, first, _ = earlier(ids, d, s)
+            ids, at = np.concatenate([seen, ids]), tuple(np.concatenate(x) for x in zip(seen_at, at, strict=True))
+        again, first, _ = earlier(ids, at)
         open_key = key[rows[-1]]
         last = np.concatenate([np.full(carried, open_key == key[rows[0]]), key[of] == open_key])
         keep = first[last[first]]
-        seen = ids[keep], d[keep], s[keep]
+        seen, seen_at = ids[keep], tuple(x[keep] for x in at)
         here = np.flatnonzero(again)
         here = here[here >= carried]
         f, length = runs(here, of[here - carried])
         if len(f):
-            yield _spans(d[here[f]], s[here[f]], length)
+            yield _spans(tuple(x[here[f]] for x in at), length)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and the two keys of the document: doc_id (NO_ID for null) and a hash of the text."""
+    return documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), F.xxhash64("text").alias("text_key"))
 
 
 def spans(documents: DataFrame, width: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
-    """doc_key, start, n: at n consecutive words from start (words from 0) begin runs of `width` words that occur earlier too. doc_key is doc_id, NO_ID for null."""
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), "text")
-    seeds = keyed.mapInArrow(_seeder(width, gram), _SEED)
-    return seeds.repartition("key").sortWithinPartitions("key", "doc_key", "start").mapInArrow(_extend, _SPAN)
+    """doc_key, text_key, start, n: at n consecutive words from start (words from 0) begin runs of `width` words that occur earlier too."""
+    seeds = _keyed(documents).select("doc_key", "text_key", "text").mapInArrow(_seeder(width, gram, common(documents, gram)), _SEED)
+    return seeds.repartition("key").sortWithinPartitions("key", "doc_key", "text_key", "start").mapInArrow(_extend, _SPAN)
 
 
 def _cutter(width: int):
@@ -202,9 +248,8 @@ def _cutter(width: int):
 
 def remove(documents: DataFrame, width: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and n_spans (maximal repeats removed) of each row of documents (doc_id, text)."""
-    found = spans(documents, width, gram).groupBy("doc_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    keyed = documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"))
-    joined = keyed.join(found, "doc_key", "left").select("doc_id", "text", "spans")
+    found = spans(documents, width, gram).groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    joined = _keyed(documents).join(found, ["doc_key", "text_key"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cutter(width), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_spans bigint")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import Powers, WordHashes, mix, slices, stored, unique, windows
+from .textkit import Counts, Powers, WordHashes, mix, slices, stored, unique, windows
 
 GRAM, PERCENT = 3, 90
 HEAVY = 1 << 16
@@ -88,30 +88,16 @@ def _surveyor(gram: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(gram)
-        ids, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        counts = Counts(TASK_COUNTS)
         names = ["doc_id", "key", "node", "n_shingles", "sketch", "gram", "n"]
         for batch in batches:
             for low, high, texts in slices(batch, "text"):
                 sets = shingler.sets(texts)
                 none = pa.nulls(high - low, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).cast(pa.int64()), batch.column("key").slice(low, high - low), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary()), none, none], names)
-                grams = np.sort(np.concatenate(sets))
-                first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
-                n = np.diff(np.concatenate([first, [len(grams)]]))
-                grams = grams[first]
-                # A gram seen once here counts only if it was frequent before.
-                at = np.minimum(np.searchsorted(ids, grams), max(0, len(ids) - 1))
-                known = ids[at] == grams if len(ids) else np.zeros(len(grams), bool)
-                counts[at[known]] += n[known]
-                fresh = ~known & (n > 1)
-                ids, counts = np.concatenate([ids, grams[fresh]]), np.concatenate([counts, n[fresh]])
-                if len(ids) > TASK_COUNTS:
-                    best = np.argpartition(-counts, TASK_COUNTS)[:TASK_COUNTS]
-                    ids, counts = ids[best], counts[best]
-                order = np.argsort(ids)
-                ids, counts = ids[order], counts[order]
-        none = pa.nulls(len(ids), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(ids), pa.binary()), pa.array(ids.view(np.int64)), pa.array(counts)], names)
+                counts.add(np.concatenate(sets))
+        none = pa.nulls(len(counts.ids), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), pa.binary()), pa.array(counts.ids.view(np.int64)), pa.array(counts.n)], names)
 
     return run
 

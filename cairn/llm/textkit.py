@@ -140,6 +140,32 @@ def unique(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x
 
 
+class Counts:
+    """The most frequent hashes that a task met, with their counts: a summary of at most `limit` numbers, whatever the input."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.total = limit, 0
+        self.ids, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, grams: np.ndarray) -> None:
+        self.total += len(grams)
+        grams = np.sort(grams)
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+        n = np.diff(np.concatenate([first, [len(grams)]]))
+        grams = grams[first]
+        # A gram seen once here counts only if it was frequent before.
+        at = np.minimum(np.searchsorted(self.ids, grams), max(0, len(self.ids) - 1))
+        known = self.ids[at] == grams if len(self.ids) else np.zeros(len(grams), bool)
+        self.n[at[known]] += n[known]
+        fresh = ~known & (n > 1)
+        ids, n = np.concatenate([self.ids, grams[fresh]]), np.concatenate([self.n, n[fresh]])
+        if len(ids) > self.limit:
+            best = np.argpartition(-n, self.limit)[: self.limit]
+            ids, n = ids[best], n[best]
+        order = np.argsort(ids)
+        self.ids, self.n = ids[order], n[order]
+
+
 def windows(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     """A 64-bit hash of each run of `width` consecutive word hashes; equal runs have equal hashes wherever they stand."""
     n = len(hashes) - width + 1

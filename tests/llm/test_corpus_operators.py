@@ -19,23 +19,34 @@ from cairn.llm import additive, components, decontaminate, neighbours, packing,
 from pyspark.sql import functions as F
 
 
-def plain_repeats(rows, width):
-    order = sorted(rows, key=lambda r: r[0])
-    texts = {i: [w for w in (t or "").encode().split()] for i, t in order}
-    first, gone = {}, {i: set() for i in texts}
-    for i, words in texts.items():
+def plain_repeats(rows, width, order=lambda r: r[0]):
+    """Rows are documents, in their order."""
+    texts = [[w for w in (r[1] or "").encode().split()] for r in sorted(rows, key=order)]
+    first, out = {}, []
+    for i, words in enumerate(texts):
+        gone = set()
         for p in range(len(words) - width + 1):
             g = tuple(words[p : p + width])
             if first.setdefault(g, (i, p)) != (i, p):
-                gone[i].update(range(p, p + width))
-    return {i: (len(w), len(gone[i]), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone[i])).hexdigest()) for i, w in texts.items()}
+                gone.update(range(p, p + width))
+        out.append((len(words), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(words) if k not in gone)).hexdigest()))
+    return out
 
 
-def test_repeats_equal_brute_force(make_docs, corpus):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove(make_docs(corpus, 5)).collect()}
+@pytest.mark.parametrize("heavy", [1 << 10, 2])
+def test_repeats_equal_brute_force(make_docs, corpus, monkeypatch, heavy):
+    monkeypatch.setattr(repeats, "LEAST_HEAVY", heavy)
+    got = [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove(make_docs(corpus, 5)).orderBy("doc_id").collect()]
     assert got == plain_repeats(corpus, 20)
 
 
+def test_common_sequences_are_found(make_docs, monkeypatch):
+    monkeypatch.setattr(repeats, "LEAST_HEAVY", 5)
+    docs = make_docs([(i, f"a{i} b{i} one two three four c{i}") for i in range(9)])
+    powers, hashes = repeats.Powers(), repeats.WordHashes()
+    assert repeats.common(docs, 4).tolist() == repeats.windows(hashes.of([b"one two three four"])[0], 4, powers).tolist() and len(repeats.common(docs.limit(0), 4)) == 0
+
+
 def test_repeats_hard_rows(make_docs):
     text = " ".join(f"k{i}" for i in range(30))
     rows = [(1, text), (1, text), (None, text), (2, None), (3, text + " " + text)]
@@ -44,6 +55,29 @@ def test_repeats_hard_rows(make_docs):
     assert repeats.remove(make_docs(rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("heavy", [1 << 10, 2])
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, make_docs, monkeypatch, heavy):
+    monkeypatch.setattr(repeats, "LEAST_HEAVY", heavy)
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (None, "n " * 25), (None, "m1 " + a), (None, b + " tail"), (None, None), (7, b + " " + a), (7, "x " + b)]
+    keys = {r["text"]: r["h"] for r in make_docs(rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = lambda r: (r[0] is not None, r[0] or 0, keys[r[1]])
+    want = dict(zip(sorted(rows, key=order), plain_repeats(rows, 20, order)))
+    done = repeats.remove(make_docs(rows)).collect()
+    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in done)
+    assert got == sorted(want.values()) and len(done) == len(rows)
+    assert want[1, a][1] == 30 and want[None, "n " * 25][1] == 24
+
+
+def test_hot_anchor_spreads_over_keys(make_docs, monkeypatch):
+    monkeypatch.setattr(repeats, "LEAST_HEAVY", 50)
+    line = " ".join(f"line{i}" for i in range(18))
+    docs = make_docs([(i, f"p{i} {line} q{i} r{i} s{i}") for i in range(300)])
+    seeds = repeats._keyed(docs).mapInArrow(repeats._seeder(20, 4, repeats.common(docs, 4)), repeats._SEED)
+    assert max(r["count"] for r in seeds.groupBy("key").count().collect()) <= 3
+    assert sum(r["n_removed"] for r in repeats.remove(docs).collect()) == 0
+
+
 def plain_components(rows, gram, percent):
     sets = {}
     for i, t in rows:

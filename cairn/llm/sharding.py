@@ -5,13 +5,18 @@ found by counting, not by sorting: each round counts exactly the bytes below a g
 partitions, and the next grid lies inside the cells that hold a splitter not yet within tolerance. A cell is a prefix of
 the key's bits, so a round reads only the rows of open cells, and what comes back is at most n_shards * 2**STEP_BITS
 sums, whatever the input. When a cell is a single text hash and still too heavy (a hot group of copies), its rounds go on
-over the id hash, which splits the group. Then one exchange moves each row to its shard.
+over the id hash, which splits the group. Then one exchange moves each row to its shard, and inside it to its piece: a cell of
+the key (some first bits of each hash) of about PIECE_ROWS rows, so neither a shard nor a group of copies is one task's work.
+Rows are numbered inside pieces, and a piece's first number is the count of the rows before it, so slots have no gaps and follow
+the cells of the key.
 
 Law `bytes`: each splitter lies within TOLERANCE of its share, or as near as whole rows allow. A group of equal texts is
 split only if keeping it whole would leave that tolerance. With weight=None the same search balances row counts.
 
-Null texts weigh the fixed bytes of a row and count as empty; null ids hash like any value. Rows equal in text and id can't be told apart
-and lie in one shard. An empty table gives an empty result. Extra columns come along untouched in `exchange`.
+Null texts weigh the fixed bytes of a row and count as empty; null ids hash like any value. Rows equal in text and id can't be
+told apart and lie in one shard. An empty table gives an empty result. `shard_documents` reads only doc_id and text, whatever
+other columns there are; in `exchange` further columns come along, unless they bear the names _high, _low, _size, _a, _b,
+_first, shard or slot.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ ROW_BYTES = 16
 TOLERANCE = 0.002
 STEP_BITS = 8
 FIRST_BITS = 12
+PIECE_ROWS = 1 << 17
+#: Of the bits that name a piece, at most so many are taken from the id hash.
+ID_BITS = 6
 KEY_BITS = 124
 _HALF = KEY_BITS // 2
 
@@ -116,11 +124,19 @@ def shard_of(bounds: list[tuple[int, int]]) -> Column:
     return tree(0, len(bounds)).cast("int")
 
 
-def exchange(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """keys (from `keyed`, cheap to read again) with shard and slot, moved once; slots follow the sort key inside a shard."""
+def exchange(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """keys (from `keyed`, cheap to read again) with shard and slot, moved once."""
     bounds = splitters(keys, n_shards, tolerance)
-    order = Window.partitionBy("shard").orderBy("_high", "_low")
-    return keys.withColumn("shard", shard_of(bounds)).withColumn("slot", F.row_number().over(order).cast("long") - 1)
+    bits = max(0, (keys.count() // (n_shards * piece_rows)).bit_length())
+    id_bits = min(ID_BITS, bits)
+    cell = {"_a": F.shiftright("_high", _HALF - bits), "_b": F.shiftright("_low", _HALF - id_bits)}
+    piece = ["shard", "_a", "_b"]
+    placed = keys.withColumn("shard", shard_of(bounds)).withColumns(cell)
+    # One row for each piece: how many rows of its shard lie in pieces before it.
+    before = Window.partitionBy("shard").orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy(*piece).agg(F.count("*").alias("_n")).select(*piece, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(*piece).orderBy("_high", "_low")).cast("long") - 1
+    return placed.withColumn("slot", inside).join(first, piece).withColumn("slot", F.col("_first") + F.col("slot")).drop("_a", "_b", "_first")
 
 
 def shard_documents(documents: DataFrame, n_shards: int = N_SHARDS, tolerance: float = TOLERANCE) -> DataFrame:

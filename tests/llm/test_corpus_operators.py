@@ -186,6 +186,39 @@ def test_shards_balance_and_slots(make_docs, corpus):
         assert r["text_crc32"] == zlib.crc32(t)
 
 
+@pytest.mark.parametrize(("n_shards", "tolerance", "weight"), [(8, 0.002, True), (5, 0.2, True), (7, 0.0, False)])
+def test_splitters_equal_sorting(spark, make_docs, corpus, n_shards, tolerance, weight):
+    extra = [(1000 + i, "hot copy " * 20) for i in range(300)] + [(1000, "hot copy " * 20)] * 40 + [(None, "x"), (None, None)]
+    keys = sharding.keyed(make_docs(corpus + extra))
+    if not weight:
+        keys = keys.withColumn("_size", F.lit(1).cast("long"))
+    rows = sorted((r["_high"], r["_low"], r["_size"]) for r in keys.collect())
+    bounds = sharding.splitters(keys, n_shards, tolerance)
+    total = sum(r[2] for r in rows)
+    assert len(bounds) == n_shards - 1 and bounds == sorted(bounds)
+    at = {}  # bytes below each place where rows can be parted
+    below = 0
+    for high, low, size in rows:
+        at.setdefault((high, low), below)
+        below += size
+    cuts = sorted({*at.values(), total})
+    for i, bound in enumerate(bounds, 1):
+        want, got = total * i / n_shards, sum(size for high, low, size in rows if (high, low) < bound)
+        assert abs(got - want) <= max(tolerance * total / n_shards, min(abs(c - want) for c in cuts))
+    placed = sharding.exchange(keys, n_shards, tolerance).collect()
+    assert all(r["shard"] == sum(b <= (r["_high"], r["_low"]) for b in bounds) for r in placed) and len(placed) == len(rows)
+
+
+@pytest.mark.parametrize("piece_rows", [1, 7, 1 << 17])
+def test_slots_of_pieces_have_no_gaps(make_docs, corpus, piece_rows):
+    docs = make_docs(corpus + [(1000 + i, "hot copy " * 20) for i in range(500)])
+    got = sharding.exchange(sharding.keyed(docs), 3, piece_rows=piece_rows).select("shard", "slot", "_high", "_low").collect()
+    for rows in shard_sizes(got).values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+        if piece_rows > 7:
+            assert [(r["_high"], r["_low"]) for r in sorted(rows, key=lambda r: r["slot"])] == sorted((r["_high"], r["_low"]) for r in rows)
+
+
 def test_small_groups_of_copies_stay_together(make_docs):
     rows = [(i, f"text number {i // 3} " * 3) for i in range(3000)]
     got = sharding.shard_documents(make_docs(rows), 10, 0.01).collect()

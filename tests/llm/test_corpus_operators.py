@@ -318,6 +318,30 @@ def test_neighbours_recall_and_ties(spark):
             assert r["score"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
 
 
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 20)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2500, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2500)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in neighbours.search(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = plain_neighbours(list(range(2500)), x, 5, 50)
+    assert np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.97
+    assert neighbours.block_share(200, 1) == 200 and neighbours.block_share(200, 20) == 27 and neighbours.block_share(1000, 10**6) == 5
+
+
+def test_lengths_and_shared_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (100, [3.0]), (150, [0.0, 2.0]), (150, [5.0, 0.0]), (1, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, vector string, rank int")
+    got = {}
+    for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    # 150 asks with its smallest vector (0, 2); 1 counts with its nearer vector; lengths do not mix, so 100 finds nothing.
+    assert got == {0: [150, 1, 2], 50: [51], 150: [2, 1, 0]}
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(df).collect()] == [(0, 1, 1)]

@@ -1,7 +1,10 @@
 """Corpus pipeline: toxicity, n-gram Jaccard join, benchmark decontamination, secret scan, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; what it returns is written as
-Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Parquet and read again as the next one's docs. All but the last return the columns of documents, further ones of any name
+included; columns that a stage needs for itself get names that are free. Null and empty texts are clean everywhere and stay
+(as groups of their own rows). Empty tables pass through. Rows that share an id but not a text are rows of their own: each is
+scored, searched and masked for itself, and near copies among them are one group.
 """
 
 from __future__ import annotations
@@ -68,8 +71,14 @@ STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("deconta
 ORACLE_SQL = None
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the rows go through Parquet in the folder of spark.checkpoint.dir."""
+    """All stages over documents; between stages the rows go through Parquet in the folder of spark.checkpoint.dir. A stage's folder goes once the next one's is written; the last stays, since the result may read it."""
     docs = textkit.table(spark, sf_dir, "documents")
     folder = f"{textkit.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
@@ -77,4 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if i:
+                removed(spark, f"{folder}/{STAGES[i - 1][0]}")
     return docs

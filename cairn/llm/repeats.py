@@ -72,8 +72,12 @@ def runs(where: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def earlier(ids: np.ndarray, at: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(whether an equal id stands at an earlier place, index of the first of each id, ids' counts)."""
     doc, text, start = at
-    order = np.lexsort((start, text, doc, ids))
+    order = np.argsort(ids)
     head = np.concatenate([[True], ids[order][1:] != ids[order][:-1]]) if len(ids) else np.empty(0, bool)
+    # Only ids that occur again need the order of their places.
+    several = np.flatnonzero(~head | np.concatenate([~head[1:], np.zeros(min(1, len(head)), bool)]))
+    some = order[several]
+    order[several] = some[np.lexsort((start[some], text[some], doc[some], ids[some]))]
     group = np.cumsum(head) - 1
     first = order[head]
     again = np.empty(len(ids), bool)
@@ -137,7 +141,7 @@ def _seeder(width: int, gram: int, heavy: np.ndarray):
                     continue
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 grams, whole = windows(flat, gram, powers), windows(flat, width, powers)
-                last = np.isin(grams, heavy)
+                last = heavy[np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)] == grams if len(heavy) else np.zeros(len(grams), bool)
                 place = np.arange(len(grams), dtype=np.uint64)
                 mask = np.uint64((1 << max(_PLACE_BITS, len(grams).bit_length())) - 1)
                 order = (grams >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))

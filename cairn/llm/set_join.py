@@ -11,15 +11,19 @@ similarity of their sets reaches PERCENT / 100. Equal sets are one node (their h
    short lists, and the rows of long ones, then meet the sets' sketches (counts of grams by hash in cells), whose distance
    bounds the symmetric difference from below. A long list becomes a forest: of n sets n - 1 edges at most go on.
 3. The edges' components hold every link, and a component is one family of similar sets. Their texts are brought
-   together once, as blocks of FAMILY_ROWS; a family of several blocks is joined block against block, so that none is a
-   single task's work.
+   together as blocks of FAMILY_ROWS, so that no family is a single task's work. Each block is joined with itself and with the
+   family's first one. That settles a family whose sets hang together, as a hot group of near copies does: each text is sent
+   twice (those of the first block once a block, which is once for each other text). Only families that are still in
+   several linked groups go on: blocks of one group each (small groups share blocks) meet the blocks of other groups whose
+   sizes are in reach.
 4. Answers. In a family a set is first compared with the sets that answered for its most similar predecessor; once it
    links to one of a group, the group's other members are skipped, since they are linked already. Comparisons use the
    whole sets, so links are exact. Linked nodes become components.
 
 No words or text: an empty set, linked with nothing. Fewer words than GRAM: the whole sequence is the one gram. doc_id is
-the key of a row; its text is found again by id and a hash of the text. Repeated rows are copies of one node, each with its row. A null id takes part; a component of nothing but null
-ids has a null component_id.
+the key of a row; its text is found again by id and a hash of the text, so rows that share an id may differ in text. Repeated
+rows are copies of one node, each with its row. A null id takes part; a component of nothing but null ids has a null
+component_id. An empty table gives no rows. Only doc_id and text are read, so further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -399,8 +403,8 @@ class Family:
         return np.flatnonzero(good)
 
 
-def family_edges(nodes_a: list[int], sets_a: list[np.ndarray], nodes_b: list[int] | None, sets_b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Forest of the exact links inside a block, or between two blocks.
+def family_edges(nodes_a: list[int], sets_a: list[np.ndarray], nodes_b: list[int] | None, sets_b: list[np.ndarray] | None, percent: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Forest of the exact links inside a block, or between two blocks. groups: of all sets, where some are known to be linked.
 
     A set that is in a group with links is asked about only while sets outside its group remain in reach of its size:
     its answers follow from those of the set it is linked to, and only the rest is computed."""
@@ -408,6 +412,9 @@ def family_edges(nodes_a: list[int], sets_a: list[np.ndarray], nodes_b: list[int
     others, sets = (nodes_a, sets_a) if within else (nodes_b, sets_b)
     n, m = len(nodes_a), len(others)
     forest, edges = Forest(n if within else n + m), []
+    if groups is not None:
+        _, first, inverse = np.unique(groups, return_index=True, return_inverse=True)
+        forest.up = first[inverse]
     shift = 0 if within else n
     sizes_a, sizes_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets])
     low, high = need(sizes_a, percent), sizes_a * 100 // percent
@@ -430,44 +437,89 @@ def family_edges(nodes_a: list[int], sets_a: list[np.ndarray], nodes_b: list[int
     return edges
 
 
-_ROW = "part string, side int, node bigint, text binary"
-
-
 def _families(gram: int, percent: int):
-    """Rows in (part, side, node) order -> exact edges; a part holds one or two blocks of a family."""
+    """Rows in (part, side, node) order, with the group of each node -> exact edges; a part holds one or two blocks of a family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(gram)
-        state: dict = {"part": None, "nodes": ([], []), "sets": ([], [])}
+        part, held = None, ([], [])
 
         def close() -> list[tuple[int, int]]:
-            (na, nb), (sa, sb) = state["nodes"], state["sets"]
-            state["nodes"], state["sets"] = ([], []), ([], [])
+            (na, sa, ga), (nb, sb, gb) = (tuple(map(list, zip(*rows, strict=True))) or ([], [], []) for rows in held)
+            for rows in held:
+                rows.clear()
             if nb:
-                return family_edges(na, sa, nb, sb, percent) if na else []
-            return family_edges(na, sa, None, None, percent) if len(na) > 1 else []
+                return family_edges(na, sa, nb, sb, percent, ga + gb) if na else []
+            return family_edges(na, sa, None, None, percent, ga) if len(na) > 1 else []
 
         for batch in batches:
             found: list[tuple[int, int]] = []
-            parts, sides, nodes = (batch.column(c).to_pylist() for c in ("part", "side", "node"))
+            parts, sides, nodes, groups = (batch.column(c).to_pylist() for c in ("part", "side", "node", "grp"))
             for low, high, texts in slices(batch, "text"):
-                for part, side, node, grams in zip(parts[low:high], sides[low:high], nodes[low:high], shingler.sets(texts), strict=True):
-                    if part != state["part"]:
+                for p, side, node, group, grams in zip(parts[low:high], sides[low:high], nodes[low:high], groups[low:high], shingler.sets(texts), strict=True):
+                    if p != part:
                         found += close()
-                        state["part"] = part
-                    if state["nodes"][side] and state["nodes"][side][-1] == node:
-                        continue  # a repeated row
-                    state["nodes"][side].append(node)
-                    state["sets"][side].append(grams)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
-        found = close()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["a", "b"])
+                        part = p
+                    if not held[side] or held[side][-1][0] != node:  # else a repeated row
+                        held[side].append((node, grams, group))
+            if (made := _edge_batch(found)) is not None:
+                yield made
+        if (made := _edge_batch(close())) is not None:
+            yield made
 
     return run
 
 
+def _first_meetings(members: DataFrame) -> DataFrame:
+    """members (node, root, blocks) with part, side and grp: each block alone, and with block 0 of its family."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    meets = F.transform(others, lambda j: F.struct(F.concat_ws(":", "root", F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("part"), (F.col("block") > j).cast("int").alias("side")))
+    return members.withColumn("block", block).withColumn("m", F.explode(meets)).select("node", "m.part", "m.side", F.col("node").alias("grp"))
+
+
+def _later_meetings(members: DataFrame, percent: int) -> DataFrame:
+    """members (node, root, size, grp) with part and side: the blocks of one group, or of several small ones, against those of other groups in reach. Pairs are made of blocks, not of members."""
+    n = members.groupBy("root", "grp").agg(F.count("*").alias("n"))
+    small = F.col("n") < FAMILY_ROWS
+    pool = n.groupBy("root").agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("pool"))
+    n = n.join(pool, "root").select("root", "grp", F.when(small, F.concat(F.lit("p"), F.pmod(F.xxhash64("grp"), F.ceil(F.col("pool") / FAMILY_ROWS)).cast("string"))).alias("shared"), F.ceil(F.col("n") / FAMILY_ROWS).alias("own"))
+    own = F.concat_ws(".", F.lit("g"), "grp", F.pmod(F.xxhash64("node"), F.col("own")))
+    placed = members.join(n, ["root", "grp"]).withColumn("block", F.coalesce("shared", own))
+    blocks = placed.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.when(F.col("shared").isNull(), F.col("grp"))).alias("only"))
+    a, b = (blocks.select("root", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high", "only"))) for x in "ab")
+    apart = ~F.coalesce(F.col("only_a") == F.col("only_b"), F.lit(False))
+    reach = (F.col("low_a") * percent <= F.col("high_b") * 100) & (F.col("low_b") * percent <= F.col("high_a") * 100)
+    pairs = a.join(b.hint("merge"), "root").filter((F.col("block_a") <= F.col("block_b")) & apart & reach).withColumn("part", F.concat_ws(":", "root", "block_a", "block_b"))
+    sides = pairs.select("root", "part", F.col("block_a").alias("block"), F.lit(0).alias("side")).unionByName(pairs.filter("block_a <> block_b").select("root", "part", F.col("block_b").alias("block"), F.lit(1).alias("side")))
+    return placed.select("root", "block", "node", "grp").join(sides.hint("merge"), ["root", "block"]).select("node", "part", "side", "grp")
+
+
+def linked_nodes(texts: DataFrame, lead: DataFrame, families: DataFrame, gram: int, percent: int) -> DataFrame:
+    """node, root: the components of the exact links inside families (node, root). lead: of each node its size, and the doc_id and key of the row of texts that brings its text."""
+
+    def exact(meetings: DataFrame) -> DataFrame:
+        sent = meetings.join(lead.select("node", "doc_id", "key"), "node")
+        # Members grow with the input, so they are never broadcast.
+        brought = texts.join(sent.hint("merge"), texts["doc_id"].eqNullSafe(sent["doc_id"]) & (texts["key"] == sent["key"])).select("part", "side", "node", "grp", F.encode("text", "UTF-8").alias("text"))
+        return brought.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), _EDGE)
+
+    blocks = families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
+    first = stored(components(exact(_first_meetings(families.join(blocks, "root")))))
+    large = families.join(blocks.filter("blocks > 1").select("root"), "root").join(first.select("node", F.col("root").alias("grp")), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    parted = large.groupBy("root").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("root")
+    members = stored(large.join(parted, "root", "left_semi").join(lead.select("node", "size"), "node"))
+    if members.isEmpty():
+        return first
+    # Links between groups join the groups' roots.
+    of = lambda c: members.select(F.col("node").alias(c), F.col("grp").alias(f"{c}_grp"))
+    between = exact(_later_meetings(members, percent)).join(of("a"), "a").join(of("b"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
+    joined = stored(components(between))
+    known = first.unionByName(members.filter("node = grp").select("node", F.col("grp").alias("root"))).distinct()
+    renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("over"))
+    return known.join(renamed, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+
+
 def join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of documents (doc_id, text)."""
     return keyed_join(documents, gram, percent).select("doc_id", "n_shingles", "component_id")
@@ -482,19 +534,10 @@ def keyed_join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     posts = texts.select("text").mapInArrow(_poster(heavy, gram, percent), _POST)
     nodes = survey.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     families = stored(components(candidates(posts, nodes, percent)))
-    # Of each node one document brings the text; a family in blocks of FAMILY_ROWS by a hash of the node.
-    lead = info.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("of")).select("node", "of.doc_id", "of.key")
-    members = families.join(lead, "node")
-    blocks = families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
-    members = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block i meets the blocks from i on: (i, i) alone, (i, j) on side 0 and (j, i) on side 1.
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.concat_ws(":", F.col("root"), F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("part"), (F.col("block") > j).cast("int").alias("side")))
-    members = members.withColumn("m", F.explode(meets)).select("doc_id", "key", "node", "m.part", "m.side")
-    # Members grow with the input, so they are never broadcast.
-    brought = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(members["doc_id"]) & (texts["key"] == members["key"])).select("part", "side", "node", F.encode("text", "UTF-8").alias("text"))
-    exact = brought.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), "a bigint, b bigint")
-    linked_nodes = components(exact)
-    named = info.join(linked_nodes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Of each node one document brings the text.
+    lead = info.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", F.col("n_shingles").alias("size"))).alias("of")).select("node", "of.doc_id", "of.key", "of.size")
+    roots = linked_nodes(texts, lead, families, gram, percent)
+    named = info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named)
     least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("lead_key"))
     return named.join(least, "root", "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("lead_key")).alias("lead_key"))

@@ -118,6 +118,47 @@ def test_set_join_equals_brute_force(make_docs, corpus, monkeypatch, gram, perce
     assert got == plain_components(corpus, gram, percent)
 
 
+@pytest.mark.parametrize("block", [3, 8, 40])
+def test_large_families_link_across_blocks(spark, make_docs, monkeypatch, block):
+    """Families of many blocks: one that hangs together, one in several groups, and chains of sets that grow."""
+    monkeypatch.setattr(set_join, "FAMILY_ROWS", block)
+    monkeypatch.setattr(set_join, "SHORT_LIST", 2)
+    rng, rows = random.Random(4), []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+
+    base = [f"h{i}" for i in range(80)]
+    for _ in range(40):
+        add([f"x{rng.randrange(10**6)}" if k == 3 else w for k, w in enumerate(base)])
+    for group in range(5):  # alike enough to be candidates, too far apart to link
+        own = [f"g{group}-{i}" if i % 17 == group else f"s{i}" for i in range(120)]
+        for _ in range(9):
+            add([f"y{rng.randrange(10**6)}" if k == 60 else w for k, w in enumerate(own)])
+    for n in range(30, 90):
+        add([f"c{i}" for i in range(n)])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in set_join.join(make_docs(rows, 4), 3, 90).collect()}
+    assert got == plain_components(rows, 3, 90)
+    nodes = spark.createDataFrame([(i, i % 2 * 50) for i in range(400)], "node long, root long").withColumn("size", F.lit(10))
+    loose = set_join._later_meetings(nodes.withColumn("grp", F.when(F.col("node") < 380, F.col("root")).otherwise(F.col("node"))).withColumn("root", F.lit(1)), 90)
+    met = {}
+    for r in loose.collect():
+        met.setdefault(r["part"], []).append((r["node"], r["grp"]))
+    pairs = {frozenset((a, b)) for rs in met.values() for (a, g), (b, h) in combinations(rs, 2) if g != h}
+    groups = {i: i % 2 * 50 if i < 380 else i for i in range(400)}
+    assert pairs == {frozenset((a, b)) for a, b in combinations(range(400), 2) if groups[a] != groups[b]}
+
+
+def test_set_join_of_texts_that_share_ids(make_docs):
+    c, b = [f"c{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    c2, b2 = [*c[:-1], "z"], [*b[:-1], "z"]
+    long = " ".join(f"l{i % 70_000}" for i in range(400_000))
+    rows = [(5, " ".join(b)), (5, " ".join(c)), (6, " ".join(c2)), (8, " ".join(b2)), (9, long), (10, long + " end"), (11, " ".join(f"l{i}" for i in range(50_000)))]
+    for order in (rows, rows[::-1]):
+        got = sorted((r["doc_id"], r["component_id"]) for r in set_join.join(make_docs(order, 2)).collect())
+        assert got == [(5, 5), (5, 5), (6, 5), (8, 5), (9, 9), (10, 9), (11, 11)]
+
+
 def test_set_join_hard_rows(make_docs):
     rows = [(4, "p q r s"), (4, "p q r s"), (None, "p q r s"), (7, "P Q R S"), (8, None), (9, ""), (10, "p")]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in set_join.join(make_docs(rows)).collect()), key=str)

@@ -471,11 +471,11 @@ def _families(gram: int, percent: int):
 
 
 def _first_meetings(members: DataFrame) -> DataFrame:
-    """members (node, root, blocks) with part, side and grp: each block alone, and with block 0 of its family."""
+    """members (node, root, blocks, text) with part, side and grp: each block alone, and with block 0 of its family."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
     meets = F.transform(others, lambda j: F.struct(F.concat_ws(":", "root", F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("part"), (F.col("block") > j).cast("int").alias("side")))
-    return members.withColumn("block", block).withColumn("m", F.explode(meets)).select("node", "m.part", "m.side", F.col("node").alias("grp"))
+    return members.withColumn("block", block).withColumn("m", F.explode(meets)).select("m.part", "m.side", "node", F.col("node").alias("grp"), "text")
 
 
 def _later_meetings(members: DataFrame, percent: int) -> DataFrame:
@@ -498,24 +498,28 @@ def _later_meetings(members: DataFrame, percent: int) -> DataFrame:
 def linked_nodes(texts: DataFrame, lead: DataFrame, families: DataFrame, gram: int, percent: int) -> DataFrame:
     """node, root: the components of the exact links inside families (node, root). lead: of each node its size, and the doc_id and key of the row of texts that brings its text."""
 
-    def exact(meetings: DataFrame) -> DataFrame:
-        sent = meetings.join(lead.select("node", "doc_id", "key"), "node")
-        # Members grow with the input, so they are never broadcast.
-        brought = texts.join(sent.hint("merge"), texts["doc_id"].eqNullSafe(sent["doc_id"]) & (texts["key"] == sent["key"])).select("part", "side", "node", "grp", F.encode("text", "UTF-8").alias("text"))
-        return brought.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), _EDGE)
+    def exact(met: DataFrame) -> DataFrame:
+        return met.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), _EDGE)
 
     blocks = families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
-    first = stored(components(exact(_first_meetings(families.join(blocks, "root")))))
-    large = families.join(blocks.filter("blocks > 1").select("root"), "root").join(first.select("node", F.col("root").alias("grp")), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    members = families.join(blocks, "root").join(lead, "node")
+    # The texts of members are found once, of repeated rows one; members grow with the input, so they are never broadcast.
+    of_row = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
+    row = [*of_row, "key"]
+    found = texts.withColumns(of_row).select(*row, "text").join(members.withColumns(of_row).drop("doc_id").hint("merge"), row).dropDuplicates(row)
+    members = stored(found.select("node", "root", "blocks", "size", F.encode("text", "UTF-8").alias("text")))
+    first = stored(components(exact(_first_meetings(members))))
+    large = members.filter("blocks > 1").select("node", "root", "size").join(first.select("node", F.col("root").alias("grp")), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
     parted = large.groupBy("root").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("root")
-    members = stored(large.join(parted, "root", "left_semi").join(lead.select("node", "size"), "node"))
-    if members.isEmpty():
+    large = stored(large.join(parted, "root", "left_semi"))
+    if large.isEmpty():
         return first
     # Links between groups join the groups' roots.
-    of = lambda c: members.select(F.col("node").alias(c), F.col("grp").alias(f"{c}_grp"))
-    between = exact(_later_meetings(members, percent)).join(of("a"), "a").join(of("b"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
+    of = lambda c: large.select(F.col("node").alias(c), F.col("grp").alias(f"{c}_grp"))
+    met = _later_meetings(large, percent).join(members.filter("blocks > 1").select("node", "text"), "node")
+    between = exact(met).join(of("a"), "a").join(of("b"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
     joined = stored(components(between))
-    known = first.unionByName(members.filter("node = grp").select("node", F.col("grp").alias("root"))).distinct()
+    known = first.unionByName(large.filter("node = grp").select("node", F.col("grp").alias("root"))).distinct()
     renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("over"))
     return known.join(renamed, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
 

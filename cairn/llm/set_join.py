@@ -501,8 +501,9 @@ def linked_nodes(texts: DataFrame, lead: DataFrame, families: DataFrame, gram: i
     def exact(met: DataFrame) -> DataFrame:
         return met.repartition("part").sortWithinPartitions("part", "side", "node").mapInArrow(_families(gram, percent), _EDGE)
 
-    blocks = families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
-    members = families.join(blocks, "root").join(lead, "node")
+    # Stored, so that the join's both sides are exchanged as they are and a hot root can be split.
+    blocks = stored(families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks")).filter("blocks > 1"))
+    members = families.join(blocks, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(lead, "node")
     # The texts of members are found once, of repeated rows one; members grow with the input, so they are never broadcast.
     of_row = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
     row = [*of_row, "key"]
@@ -543,8 +544,12 @@ def keyed_join(documents: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     roots = linked_nodes(texts, lead, families, gram, percent)
     named = info.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named)
-    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("lead_key"))
-    return named.join(least, "root", "left").select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("lead_key")).alias("lead_key"))
+    least = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("lead_key"), F.count("*").alias("n")).filter("n > 1")
+    # Rows that are alone in their component need no join; the rest is stored, so that a hot root can be split.
+    named = named.join(stored(least.withColumn("shared", F.lit(True))), "root", "left")
+    alone = F.col("shared").isNull()
+    own_key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNull(), F.col("key"))
+    return named.select("doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.when(alone, own_key).otherwise(F.col("lead_key")).alias("lead_key"))
 
 
 #: The same rows in DuckDB's SQL.

@@ -15,8 +15,12 @@ def _text(v: Column, path: str) -> Column:
 
 
 def _truthy(v: Column, path: str) -> Column:
-    at = F.try_variant_get(v, path, "string")
-    return F.coalesce((at != "") & (at != "0") & (at != "false") & (at != "{}") & (at != "[]"), F.lit(False))
+    """Whether a value is there and neither empty, zero nor false; the text "0" or "false" is a text like any other."""
+    at = F.try_variant_get(v, path, "variant")
+    kind, shown = F.schema_of_variant(at), F.try_variant_get(v, path, "string")
+    number = F.coalesce(shown.try_cast("double") != 0, F.lit(True))
+    out = F.when(kind == "STRING", shown != "").when(kind == "BOOLEAN", shown == "true").when(kind == "VOID", F.lit(False)).when(kind.startswith("ARRAY"), shown != "[]").when(kind.startswith("OBJECT"), shown != "{}").otherwise(number)
+    return F.coalesce(at.isNotNull() & out, F.lit(False))
 
 
 def classify(text: Column) -> Column:
@@ -45,8 +49,9 @@ def words(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two word sets, four digits; 0 if both are empty."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    """Jaccard similarity of two arrays of distinct words, four digits; 0 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
     return F.when(either > 0, F.round(both / either, 4)).otherwise(F.lit(0.0))
 
 

@@ -183,16 +183,19 @@ def deposit_access(access: Column, known: Sequence[str] = ("open", "embargoed",
     return F.when(F.lower(access).isin(*known), F.lower(access)).otherwise("restricted")
 
 
-def deposit_errors(title: Column, description: Column, creators: Column, license_: Column, access: Column, keywords: Column, published: Column) -> Column:
-    """Codes of the faults of a deposit's metadata."""
+def deposit_errors(title: Column, description: Column, creators: Column, domains: Column, formats: Column, manifest: Column, access: Column, embargo: Column) -> Column:
+    """Codes of the faults of a deposit's metadata: short or missing texts, empty lists, no manifest, an embargo without its date."""
+    length = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
     checks = [
-        (F.length(F.trim(F.coalesce(title, F.lit("")))) < 5, "TITLE_TOO_SHORT"),
-        (F.length(F.trim(F.coalesce(description, F.lit("")))) < 20, "DESCRIPTION_TOO_SHORT"),
-        (F.coalesce(F.size(creators), F.lit(0)) < 1, "NO_CREATOR"),
-        (F.coalesce(F.exists(creators, lambda c: F.coalesce(F.trim(c), F.lit("")) == ""), F.lit(False)), "BLANK_CREATOR"),
-        (F.coalesce(F.trim(license_), F.lit("")) == "", "NO_LICENSE"),
-        (~F.coalesce(F.lower(access).isin("open", "embargoed", "restricted", "closed"), F.lit(False)), "UNKNOWN_ACCESS"),
-        (F.coalesce(F.size(keywords), F.lit(0)) < 1, "NO_KEYWORD"),
+        (length(title) < 5, "TITLE_TOO_SHORT"),
+        (none(creators), "NO_CREATOR"),
+        (length(description) < 20, "DESCRIPTION_TOO_SHORT"),
+        (none(domains), "NO_SOURCE_DOMAIN"),
+        (none(formats), "NO_ARCHIVE_FORMAT"),
+        (blank(manifest), "NO_CHECKSUM_MANIFEST"),
+        (F.coalesce(access == "embargoed", F.lit(False)) & blank(embargo), "NO_EMBARGO_DATE"),
     ]
     return F.filter(F.array(*(F.when(c, F.lit(name)) for c, name in checks)), lambda x: x.isNotNull())
 

@@ -20,7 +20,7 @@ def validate(pages: DataFrame, rules: dict[str, dict[str, str]], threshold: floa
     per = found.groupBy("field").agg(
         F.count("*").alias("tested"),
         F.count_if("success").alias("successful"),
-        F.count_if(~F.col("success") & F.contains(F.lower(F.coalesce("error", F.lit(""))), F.lit("empty text"))).alias("empty"),
+        F.count_if(~F.col("success") & F.col("error").eqNullSafe("EMPTY_TEXT")).alias("empty"),
         F.count_if(F.col("success") & (F.col("match_count") > 1)).alias("several"),
         F.count_if(~F.col("success")).alias("failures"),
     )

@@ -80,7 +80,7 @@ def state_documents(spark, d):
 
 
 def catalog_documents(spark, d):
-    o = _t(spark, d, "orders").filter("o_custkey % 50 = 0")
+    o = _t(spark, d, "orders")
     runs = o.select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("portal_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 9 == 0, "__system__").otherwise(F.col("o_orderkey").cast("string")).alias("run_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started_at"), F.lit("CONVERGED").alias("status"))
     for c in state_json.RUN.split(", "):
         n, t = c.split()
@@ -121,11 +121,11 @@ def deposit_actions(spark, d):
 
 
 def deposit_metadata_errors(spark, d):
-    docs = _t(spark, d, "documents")
     i = F.col("doc_id")
-    errors = text.deposit_errors(F.left("text", (i % 9).cast("int")), F.left("text", (i % 40).cast("int")), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("source")), F.when(i % 6 > 0, F.lit("cc")), F.when(i % 4 > 0, F.lit("open")).otherwise("secret"), F.array("lang"), F.lit(None))
-    clean = docs.withColumn("text", F.translate("text", " \n\t", "___"))
-    return clean.select("doc_id", F.array_join(errors, ",").alias("errors"))
+    title = F.when(i % 7 == 0, F.col("text")).when(i % 7 == 1, F.col("lang")).when(i % 7 == 2, "   abc   ").when(i % 7 == 3, F.lit(None)).otherwise(F.col("source"))
+    filled = lambda n, c: F.when(i % n == 0, F.array().cast("array<string>")).when(i % n == 1, F.lit(None)).otherwise(F.array(c))
+    errors = text.deposit_errors(title, F.when(i % 9 == 0, "short" + " " * 30).otherwise(F.col("text")), filled(5, F.col("source")), filled(11, F.col("lang")), filled(8, F.lit("WARC")), F.when(i % 6 == 0, "").when(i % 6 > 1, "sums"), F.when(i % 4 == 0, "embargoed").when(i % 4 == 1, "open"), F.when(i % 3 == 0, "2030-01-01"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(errors, ",").alias("errors"))
 
 
 def run_report(spark, d):
@@ -170,12 +170,14 @@ ORACLES = {
     "incremental_run": f"{_RUN}, s AS (SELECT count(*) FILTER (change <> 'NEW') AS n_prev, count(*) FILTER (change <> 'NOT_OBSERVED') AS n_curr, {', '.join(f'''count(*) FILTER (change = '{c}') AS n_{c.lower()}''' for c in ('NEW', 'UNCHANGED', 'CONTENT_CHANGED', 'METADATA_CHANGED', 'NOT_OBSERVED', 'FETCH_FAILED', 'REMOVED'))} FROM classes) SELECT s.*, (SELECT count(DISTINCT page_id % 20) FROM p WHERE page_id % 9 <> 4) AS n_pages, 0::BIGINT AS n_failed_pages, false AS gate, false AS reconciled, false AS empty_head, false AS article_gate, 'CONVERGED' AS convergence FROM s",
     "fetch_retries": "WITH a AS (SELECT user_id::VARCHAR AS url, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, [503, 429, 200, 500, 404][event_id % 5 + 1] AS s, CASE WHEN event_id % 2 = 0 THEN 70 END AS ra, event_id % 7 = 0 AS reused FROM events), b AS (SELECT *, sum(CASE WHEN s = 429 THEN 1 ELSE 0 END) OVER (PARTITION BY url ORDER BY attempt) AS n429 FROM a), c AS (SELECT *, CASE WHEN s >= 500 OR (s = 429 AND n429 <= 1) THEN CASE WHEN attempt > 3 THEN 'GIVE_UP' ELSE 'RETRY' END WHEN s = 429 THEN 'GIVE_UP' ELSE 'DONE' END AS next_step FROM b), e AS (SELECT *, coalesce(max(CASE WHEN next_step <> 'RETRY' THEN 1 ELSE 0 END) OVER (PARTITION BY url ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM c) SELECT url, attempt::INT AS attempt, s AS status_code, next_step, CASE WHEN next_step <> 'RETRY' THEN 0 WHEN s = 429 THEN least(coalesce(ra, 30), 60) ELSE (2 ** attempt)::BIGINT END AS delay, CASE WHEN reused THEN 0 ELSE 1 END AS cost FROM e WHERE ended = 0",
     "state_documents": f"WITH a AS (SELECT 'portal' || (page_id % 5) AS portal_id, {urls.canonical_sql('url')} AS url, min(page_id) AS pos, min(sha256(html)) AS h FROM pages GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY portal_id ORDER BY pos, url) AS n FROM a) SELECT portal_id, count(*) AS n_articles, count(*) AS n_ordered, sha256(string_agg(url || h, chr(10) ORDER BY n)) AS digest FROM r GROUP BY portal_id",
-    "catalog_documents": "WITH r AS (SELECT 'p' || o_custkey AS portal_id, o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders WHERE o_custkey % 50 = 0 AND o_orderkey % 9 <> 0) SELECT portal_id, max(seq)::VARCHAR AS head, min(s) AS first_capture, count(*)::INT AS n_runs FROM r GROUP BY portal_id",
+    "catalog_documents": "WITH r AS (SELECT 'p' || o_custkey AS portal_id, o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%d') AS s FROM orders WHERE o_orderkey % 9 <> 0) SELECT portal_id, max(seq)::VARCHAR AS head, min(s) AS first_capture, count(*)::INT AS n_runs FROM r GROUP BY portal_id",
     "control_projection": "WITH o AS (SELECT o_custkey AS p, min(o_orderkey) AS a, max(o_orderkey) AS b, arg_min(o_orderdate::DATE, o_orderkey) AS da, arg_max(o_orderdate::DATE, o_orderkey) AS db FROM orders GROUP BY 1), j AS (SELECT p, CASE WHEN p % 5 > 0 THEN a END AS base, CASE WHEN p % 7 > 0 THEN b END AS head, da, db FROM o WHERE p IN (SELECT c_custkey FROM customer)), n AS (SELECT *, coalesce(head <> base AND db > da, false) AS newer FROM j) SELECT p AS portal_id, (CASE WHEN base IS NULL OR newer THEN head ELSE base END)::VARCHAR AS head, (base IS NOT NULL AND NOT newer) AS projected FROM n",
     "hydration": "SELECT c_custkey AS portal_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 10 WHEN c_custkey % 2 = 0 THEN c_custkey * 20 END::VARCHAR AS baseline, CASE WHEN c_custkey % 3 = 0 THEN 'CONTROL' WHEN c_custkey % 2 = 0 THEN 'CATALOG' ELSE 'NONE' END AS origin FROM customer",
     "quarantine": "SELECT o_custkey % 100 AS portal_id, o_orderkey AS run_id, CASE WHEN o_orderkey % 10 = 0 THEN 'OLD' ELSE 'INVALID_PACKAGE' END AS reason FROM orders WHERE o_orderkey % 5 = 0",
     "deposit_actions": "SELECT o_custkey % 100 AS portal_id, o_orderkey AS run_id, CASE WHEN o_orderkey % 3 > 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'RECONCILE_CHANGED_PACKAGE' WHEN o_orderkey % 2 = 0 THEN 'RETURN_RECEIPT' ELSE 'RESUME_DRAFT' END WHEN o_orderkey % 5 > 0 THEN 'CREATE_DRAFT' ELSE 'REJECT_INVALID_PACKAGE' END AS action FROM orders",
-    "deposit_metadata_errors": "WITH t AS (SELECT doc_id, length(text) AS n FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN least(n, doc_id % 9) < 5 THEN 'TITLE_TOO_SHORT' END, CASE WHEN least(n, doc_id % 40) < 20 THEN 'DESCRIPTION_TOO_SHORT' END, CASE WHEN doc_id % 5 = 0 THEN 'NO_CREATOR' END, CASE WHEN doc_id % 6 = 0 THEN 'NO_LICENSE' END, CASE WHEN doc_id % 4 = 0 THEN 'UNKNOWN_ACCESS' END], lambda x: x IS NOT NULL), ',') AS errors FROM t",
+    "deposit_metadata_errors": r"""WITH t AS (SELECT doc_id AS i, coalesce(CASE i % 7 WHEN 0 THEN text WHEN 1 THEN lang WHEN 2 THEN '   abc   ' WHEN 3 THEN NULL ELSE source END, '') AS title, CASE WHEN i % 9 = 0 THEN 'short' ELSE coalesce(text, '') END AS description FROM documents),
+n AS (SELECT i, length(regexp_replace(title, '^\s+|\s+$', '', 'g')) AS title, length(regexp_replace(description, '^\s+|\s+$', '', 'g')) AS description FROM t)
+SELECT i AS doc_id, array_to_string(list_filter([CASE WHEN title < 5 THEN 'TITLE_TOO_SHORT' END, CASE WHEN i % 5 < 2 THEN 'NO_CREATOR' END, CASE WHEN description < 20 THEN 'DESCRIPTION_TOO_SHORT' END, CASE WHEN i % 11 < 2 THEN 'NO_SOURCE_DOMAIN' END, CASE WHEN i % 8 < 2 THEN 'NO_ARCHIVE_FORMAT' END, CASE WHEN i % 6 < 2 THEN 'NO_CHECKSUM_MANIFEST' END, CASE WHEN i % 4 = 0 AND i % 3 > 0 THEN 'NO_EMBARGO_DATE' END], lambda x: x IS NOT NULL), ',') AS errors FROM n""",
     "run_report": "SELECT (o_custkey % 10)::VARCHAR AS portal, o_orderstatus AS status, count(*) AS n_runs, grouping((o_custkey % 10)::VARCHAR, o_orderstatus)::INT AS level FROM orders GROUP BY ROLLUP ((o_custkey % 10)::VARCHAR, o_orderstatus)",
     "url_lineage": "WITH e AS (SELECT event_type || (user_id % 40) AS url, event_id % 12 AS run FROM events), a AS (SELECT url, min(run) AS first_run, max(run) AS last_run, count(DISTINCT run) AS n_runs FROM e GROUP BY url) SELECT *, CASE WHEN last_run < 11 THEN 'GONE' WHEN first_run = 11 THEN 'NEW' ELSE 'REUSED' END AS state FROM a",
     "outbox_due": "WITH r AS (SELECT event_id, ['PENDING', 'RETRY', 'IN_FLIGHT', 'COMPLETED', 'FAILED'][event_id % 5 + 1] AS status, (event_id % 7)::INT AS attempts, event_id * 3 % 9000 AS next_at, CASE WHEN event_id % 5 = 2 THEN event_id * 11 % 9000 END AS lease_until, event_id % 97 AS created_at FROM events) SELECT event_id, status, attempts, next_at FROM r WHERE attempts < 5 AND ((status IN ('PENDING', 'RETRY') AND next_at <= 5000) OR (status = 'IN_FLIGHT' AND lease_until <= 5000)) ORDER BY next_at, created_at, event_id LIMIT 100",

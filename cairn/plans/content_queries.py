@@ -22,20 +22,45 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _rich(spark, d):
+    """The pages with assets, images, dates, authors and marks of lazy loading, by their number."""
+    i = F.col("page_id")
+    n = i.cast("string")
+    some = lambda cond, *parts: F.when(cond, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise("")
+    every = F.lit(True)
+    head = F.concat(some(every, '<link rel="stylesheet" href="/s', (i % 3).cast("string"), '.css">'), some(i % 2 == 1, '<link rel="shortcut icon" href="/favicon.ico">'), some(i % 5 == 0, '<link rel="preload" as="font" href="https://fonts.example/f.woff2">'), some(i % 3 == 0, '<link rel="canonical" href=" https://c.example/', n, '">'), some(i % 4 > 0, '<meta name="author" content="A', (i % 4).cast("string"), '">'), some(i % 6 == 0, '<meta property="article:published_time" content="2024-01-01">'), some(i % 3 == 1, '<script src="/app', (i % 2).cast("string"), '.js" defer></script>'), some(i % 8 == 0, '<link rel="https://api.w.org/" href="/wp-json/">'), some(every, "</head>"))
+    body = F.concat(some(i % 2 == 0, '<img src="/img/', n, '.png" srcset="/img/', n, ".png 1x, /img/", n, '-2.png 2x" loading="lazy">'), some(i % 3 == 0, '<img src="https://cdn.example/logo.svg">'), some(i % 7 == 0, '<img data-src="/lazy', n, '.jpg" src="data:image/gif;base64,x">'), some(i % 5 == 1, '<time datetime="2023-0', (i % 9 + 1).cast("string"), '-01">x</time>'), some(i % 11 == 0, '<video src="/v', n, '.mp4"></video>'), some(every, "</article>"))
+    foot = F.concat(F.lit("<footer>"), some(i % 4 == 0, '<img src="/foot', (i % 2).cast("string"), '.png">'))
+    h = F.replace(F.replace(F.replace(F.col("html"), F.lit("</head>"), head), F.lit("</article>"), body), F.lit("<footer>"), foot)
+    return _t(spark, d, "pages").select("page_id", "url", h.alias("html"))
+
+
+_ORIGIN = "regexp_extract(url, '^[^/]*//[^/?#]*', 0)"
+
+
 def html_metadata(spark, d):
-    return html.page_metadata(_t(spark, d, "pages")).select("page_id", "title", "heading", F.coalesce("canonical_url", F.lit("-")).alias("canonical_url"), F.coalesce("author", F.lit("-")).alias("author"))
+    shown = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return html.page_metadata(_rich(spark, d)).select("page_id", "title", "heading", *map(shown, ("canonical_url", "author", "publication_date", "rest_api_url")))
 
 
 def lazy_loading(spark, d):
-    return html.page_lazy_loading(_t(spark, d, "pages"))
+    return html.page_lazy_loading(_rich(spark, d))
+
+
+def lazy_samples(spark, d):
+    return html.page_lazy_samples(_rich(spark, d)).select("page_id", "mark", "tag", "source")
 
 
 def page_assets(spark, d):
-    return html.page_assets(_t(spark, d, "pages")).groupBy("resource_type").agg(F.count("*").alias("n"), F.count_if("same_origin").alias("n_same_origin"))
+    return html.page_assets(_rich(spark, d)).select("page_id", "asset_url", "resource_type", "same_origin")
+
+
+def assets_by_type(spark, d):
+    return html.page_assets(_rich(spark, d)).groupBy("resource_type").agg(F.count("*").alias("n"), F.count_if("same_origin").alias("n_same_origin"))
 
 
 def page_image_roles(spark, d):
-    return html.page_images(_t(spark, d, "pages")).groupBy("role").agg(F.count("*").alias("n"))
+    return html.page_images(_rich(spark, d))
 
 
 def link_discovery(spark, d):
@@ -75,9 +100,12 @@ def selector_repair(spark, d):
 
 
 def field_accuracy(spark, d):
+    """Three fields against what the page's text says; the last truth is wrong for one page in four."""
     pages = _t(spark, d, "pages")
-    truth = pages.select("page_id", F.lit("title").alias("field"), F.trim(F.replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("&amp;"), F.lit("&"))).alias("expected"))
-    return rules.field_accuracy(html.page_fields(pages, {"title": RULES["title"]}), truth)
+    plain = lambda c: F.trim(F.replace(c, F.lit("&amp;"), F.lit("&")))
+    truths = {"title": plain(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)), "body": plain(F.regexp_extract("html", "<p><b>([^<]*)", 1)), "ad": F.when(F.col("page_id") % 4 == 0, "-").otherwise(plain(F.regexp_extract("html", '<div class="ad">([^<]*)', 1)))}
+    truth = pages.select("page_id", F.explode(F.create_map(*(x for f, c in truths.items() for x in (F.lit(f), c)))).alias("field", "expected"))
+    return rules.field_accuracy(html.page_fields(pages, {"title": RULES["title"], "body": RULES["first"], "ad": {"selector": "div.ad", "type": "css"}}), truth)
 
 
 def html_split(spark, d):
@@ -126,11 +154,13 @@ def json_classes(spark, d):
 
 
 def text_similarity(spark, d):
+    """Each document against one benchmark item, all items in turn; words are taken once of each text."""
     docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
-    j = docs.select("doc_id", F.col("text").alias("a"), (F.col("doc_id") % 40).alias("item_id")).join(items.select("item_id", F.col("text").alias("b")), "item_id")
-    a, b = json_payload.words(F.col("a")), json_payload.words(F.col("b"))
-    same = json_payload.same_article(F.substring("b", 1, 10), F.substring("b", 1, 20), F.lit("zz"), F.col("a"))
-    return j.select("doc_id", "item_id", json_payload.jaccard(a, b).alias("jaccard"), same["title_match"].alias("title_match"))
+    n = items.count()
+    a = docs.select("doc_id", F.col("text").alias("a"), json_payload.words(F.col("text")).alias("wa"), (F.col("doc_id") % n).alias("item_id"))
+    b = items.select("item_id", F.col("text").alias("b"), json_payload.words(F.col("text")).alias("wb"))
+    same = json_payload.same_article(F.col("b"), F.col("a"), F.left(F.md5("b"), F.lit(1)), F.col("a"))
+    return a.join(b, "item_id").select("doc_id", "item_id", json_payload.jaccard(F.col("wa"), F.col("wb")).alias("jaccard"), same["title_match"].alias("title_match"), same["identity"].alias("identity"))
 
 
 def rule_proposals(spark, d):
@@ -265,25 +295,32 @@ def lease_fold(spark, d):
     return state.leases(cmds).groupBy("cmd", "result").agg(F.count("*").alias("n"), F.max("generation").alias("highest_generation"))
 
 
-QUERIES = {f.__name__: f for f in (html_metadata, lazy_loading, page_assets, page_image_roles, link_discovery, rewritten_links, reduced_pages, selector_validation, selector_acceptance, selector_repair, field_accuracy, html_split, content_categories, usable_html, replay_lookup, content_dedup, file_digests, json_classes, text_similarity, rule_proposals, manifest_verify, manifest_rollup, manifest_lines, manifest_text, fk_audit, pointer_audit, deposit_verify, deposit_quota, deposit_transitions, catalog_reconcile, reconcile_actions, fallback_heads, retention_plan, reclaimable_bytes, baseline_checks, outbox_fold, lease_fold)}
+_ASSETS = f"""WITH o AS (SELECT page_id AS i, {_ORIGIN} AS o FROM pages), assets AS (
+SELECT i AS page_id, o || '/img/' || i || '.png' AS asset_url, 'image' AS resource_type, true AS same_origin FROM o WHERE i % 2 = 0 UNION ALL SELECT i, o || '/img/' || i || '-2.png', 'image', true FROM o WHERE i % 2 = 0
+UNION ALL SELECT i, 'https://cdn.example/logo.svg', 'image', false FROM o WHERE i % 3 = 0 UNION ALL SELECT i, o || '/foot' || (i % 2) || '.png', 'image', true FROM o WHERE i % 4 = 0 UNION ALL SELECT i, o || '/s' || (i % 3) || '.css', 'css', true FROM o
+UNION ALL SELECT i, o || '/favicon.ico', 'image', true FROM o WHERE i % 2 = 1 UNION ALL SELECT i, o || '/app' || (i % 2) || '.js', 'javascript', true FROM o WHERE i % 3 = 1 UNION ALL SELECT i, 'https://fonts.example/f.woff2', 'font', false FROM o WHERE i % 5 = 0 UNION ALL SELECT i, o || '/v' || i || '.mp4', 'video', true FROM o WHERE i % 11 = 0)"""
+
+QUERIES = {f.__name__: f for f in (html_metadata, lazy_loading, lazy_samples, page_assets, assets_by_type, page_image_roles, link_discovery, rewritten_links, reduced_pages, selector_validation, selector_acceptance, selector_repair, field_accuracy, html_split, content_categories, usable_html, replay_lookup, content_dedup, file_digests, json_classes, text_similarity, rule_proposals, manifest_verify, manifest_rollup, manifest_lines, manifest_text, fk_audit, pointer_audit, deposit_verify, deposit_quota, deposit_transitions, catalog_reconcile, reconcile_actions, fallback_heads, retention_plan, reclaimable_bytes, baseline_checks, outbox_fold, lease_fold)}
 
 ORACLES = {
-    "html_metadata": "SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS heading, '-' AS canonical_url, '-' AS author FROM pages",
-    "lazy_loading": "SELECT page_id, false AS detected, 0 AS loading_lazy, 0 AS data_src, 0 AS srcset, 0 AS deferred_scripts FROM pages",
-    "page_assets": "SELECT 'none' AS resource_type, 0::BIGINT AS n, 0::BIGINT AS n_same_origin WHERE false",
-    "page_image_roles": "SELECT 'none' AS role, 0::BIGINT AS n WHERE false",
+    "html_metadata": f"SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS heading, CASE WHEN page_id % 3 = 0 THEN 'https://c.example/' || page_id ELSE '-' END AS canonical_url, CASE WHEN page_id % 4 > 0 THEN 'A' || (page_id % 4) ELSE '-' END AS author, CASE WHEN page_id % 5 = 1 THEN '2023-0' || (page_id % 9 + 1) || '-01' WHEN page_id % 6 = 0 THEN '2024-01-01' ELSE '-' END AS publication_date, CASE WHEN page_id % 8 = 0 THEN {_ORIGIN} || '/wp-json/' ELSE '-' END AS rest_api_url FROM pages",
+    "lazy_loading": "SELECT page_id, (page_id % 2 = 0 OR page_id % 7 = 0 OR page_id % 3 = 1) AS detected, (page_id % 2 = 0)::INT AS loading_lazy, (page_id % 7 = 0)::INT AS data_src, (page_id % 2 = 0)::INT AS srcset, (page_id % 3 = 1)::INT AS deferred_scripts FROM pages",
+    "lazy_samples": "SELECT page_id, 'loading_lazy' AS mark, 'img' AS tag, '/img/' || page_id || '.png' AS source FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'data_src', 'img', '/lazy' || page_id || '.jpg' FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT page_id, 'deferred_script', 'script', '/app' || (page_id % 2) || '.js' FROM pages WHERE page_id % 3 = 1",
+    "page_assets": f"{_ASSETS} SELECT * FROM assets",
+    "assets_by_type": f"{_ASSETS} SELECT resource_type, count(*) AS n, count(*) FILTER (same_origin) AS n_same_origin FROM assets GROUP BY 1",
+    "page_image_roles": f"WITH o AS (SELECT page_id, {_ORIGIN} AS o FROM pages) SELECT page_id, o || '/img/' || page_id || '.png' AS image_url, 'article_content' AS role FROM o WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'https://cdn.example/logo.svg', 'site_chrome' FROM o WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'data:image/gif;base64,x', 'article_content' FROM o WHERE page_id % 7 = 0 UNION ALL SELECT page_id, o || '/foot' || (page_id % 2) || '.png', 'site_chrome' FROM o WHERE page_id % 4 = 0",
     "rewritten_links": f"{_HREFS} SELECT page_id, len(list_filter(hs, lambda h: h NOT LIKE '#%' AND h NOT LIKE 'mailto:%' AND h NOT LIKE 'javascript:%'))::INT AS n_replay_links FROM a",
     "reduced_pages": f"{_HREFS} SELECT page_id, false AS has_dropped, len(hs)::INT AS n_links FROM a",
     "html_split": "SELECT page_id, CASE WHEN n <= 3 THEN 'generation' WHEN n <= 5 THEN 'validation' ELSE 'held_out' END AS part FROM (SELECT page_id, row_number() OVER (ORDER BY url) AS n FROM pages) WHERE n <= 6",
-    "field_accuracy": "SELECT 'title' AS field, count(*) AS n_expected, count(*) AS n_correct, 1.0::DOUBLE AS accuracy FROM pages",
+    "field_accuracy": "SELECT unnest(['title', 'body', 'ad']) AS field, count(*) AS n_expected, unnest([count(*), count(*), count(*) FILTER (page_id % 4 > 0)]) AS n_correct, round(unnest([count(*), count(*), count(*) FILTER (page_id % 4 > 0)]) / count(*), 4) AS accuracy FROM pages",
     "content_categories": "WITH c AS (SELECT CASE WHEN page_id % 13 = 0 THEN 'OTHER' ELSE ['HTML', 'HTML', 'CSS', 'JAVASCRIPT', 'IMAGE', 'JSON', 'FONT', 'TEXT', 'XML', 'PDF', CASE WHEN page_id % 2 = 0 AND split_part(url || '.css', '?', 1) LIKE '%.css' THEN 'CSS' ELSE 'OTHER' END][page_id % 11 + 1] END AS category FROM pages), d AS (SELECT unnest(['HTML', 'CSS', 'JAVASCRIPT', 'IMAGE', 'JSON', 'FONT', 'TEXT', 'XML', 'PDF', 'OTHER']) AS category) SELECT d.category, count(c.category) AS n FROM d LEFT JOIN c USING (category) GROUP BY 1",
     "usable_html": "SELECT count(*) FILTER (page_id % 13 <> 0 AND page_id % 11 < 2) AS n_loose, count(*) FILTER (page_id % 13 <> 0 AND page_id % 11 < 2 AND page_id % 5 <> 1) AS n_strict FROM pages",
     "content_dedup": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1",
     "file_digests": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents",
     "json_classes": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'NON_JSON' WHEN event_id % 4 = 2 THEN 'METADATA_JSON' WHEN event_id % 100 > 50 THEN 'CONTENT_JSON' ELSE 'METADATA_JSON' END AS json_class FROM events",
-    "text_similarity": r"""WITH j AS (SELECT doc_id, b.item_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
-w AS (SELECT doc_id, item_id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(a), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(b), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS b FROM j),
-n AS (SELECT *, len(list_intersect(a, b)) AS o FROM w) SELECT doc_id, item_id, CASE WHEN len(a) + len(b) - o > 0 THEN round(o / (len(a) + len(b) - o), 4) ELSE 0.0 END AS jaccard, true AS title_match FROM n""",
+    "text_similarity": r"""WITH j AS (SELECT doc_id, b.item_id, d.text AS ta, b.text AS tb, trim(regexp_replace(regexp_replace(lower(d.text), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS pa, trim(regexp_replace(regexp_replace(lower(b.text), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS pb FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+w AS (SELECT *, list_distinct(list_filter(string_split(pa, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(pb, ' '), lambda x: x <> '')) AS b, contains(pa, pb) OR contains(pb, pa) AS title_match FROM j),
+n AS (SELECT *, len(list_intersect(a, b)) AS o FROM w) SELECT doc_id, item_id, CASE WHEN len(a) + len(b) - o > 0 THEN round(o / (len(a) + len(b) - o), 4) ELSE 0.0 END AS jaccard, title_match, title_match OR contains(ta, left(md5(tb), 1)) AS identity FROM n""",
     "rule_proposals": "WITH s AS (SELECT page_id, page_id % 13 = 0 AS blank, page_id % 11 AS k, page_id % 7 AS m FROM pages) SELECT page_id, CASE WHEN blank THEN 'INVALID_FIELD' WHEN k = 0 THEN 'DISALLOWED_KEYS' WHEN k = 1 THEN 'MISSING_SELECTOR' WHEN m = 0 THEN 'EMPTY_SELECTOR' WHEN k = 2 THEN 'UNSUPPORTED_TYPE' WHEN m < 4 THEN 'DANGEROUS_PATTERN' ELSE 'OK' END AS result FROM s",
     "manifest_verify": "SELECT 'docs/' || doc_id AS path, CASE WHEN doc_id % 19 = 0 THEN 'MISSING' WHEN doc_id % 23 = 0 THEN 'UNEXPECTED' WHEN doc_id % 17 = 0 THEN 'MISMATCH' ELSE 'VERIFIED' END AS state FROM documents WHERE NOT (doc_id % 19 = 0 AND doc_id % 23 = 0)",
     "manifest_rollup": "WITH v AS (SELECT length('docs/' || doc_id) AS package, CASE WHEN doc_id % 19 = 0 THEN 'MISSING' WHEN doc_id % 23 = 0 THEN 'UNEXPECTED' WHEN doc_id % 17 = 0 THEN 'MISMATCH' ELSE 'VERIFIED' END AS state FROM documents WHERE NOT (doc_id % 19 = 0 AND doc_id % 23 = 0)) SELECT package::INT AS package, count(*) FILTER (state = 'VERIFIED') AS n_verified, count(*) FILTER (state = 'MISSING') AS n_missing, count(*) FILTER (state = 'MISMATCH') AS n_mismatch, count(*) FILTER (state = 'UNEXPECTED') AS n_unexpected, bool_and(state = 'VERIFIED') AS is_valid FROM v GROUP BY package",

@@ -52,8 +52,8 @@ def head_verification(spark, d):
 
 def boundary_revisits(spark, d):
     s = observations.stability(_visits(spark, d), "page", ["ts", "event_id"], "set_fp")
-    changed = s.filter("change_type = 'ARTICLE_SET_CHANGED' AND page % 9 = 0").select("page").distinct()
-    return observations.revisits(changed, "page", s.groupBy("page").agg(F.count("*").alias("n")), 30)
+    changed = s.filter("change_type = 'ARTICLE_SET_CHANGED'").select("page").distinct()
+    return observations.revisits(changed, "page", s.groupBy("page").agg(F.count("*").alias("n")), 67)
 
 
 def retry_summary(spark, d):
@@ -155,7 +155,7 @@ def nav_link_kinds(spark, d):
 
 def nav_dfs_order(spark, d):
     nodes, _ = graph.traverse(*_edges(spark, d), 2)
-    return graph.depth_first_order(nodes.filter("path[0] = 'r1'")).select("node", "depth", "rank")
+    return graph.depth_first_order(nodes).select(F.element_at("path", 1).alias("root"), "node", "depth", "rank")
 
 
 def nav_reach(spark, d):
@@ -255,7 +255,7 @@ ORACLES = {
     "request_phases": "SELECT user_id AS page, count(*) FILTER (event_id % 4 = 0) AS n_initial, count(*) FILTER (event_id % 4 IN (1, 3)) AS n_head, count(*) FILTER (event_id % 4 = 2) AS n_reconciliation, count(*) AS n_requests FROM events GROUP BY user_id",
     "convergence": f"WITH {_ISLANDS}, last AS (SELECT *, page % 50 AS portal FROM st QUALIFY row_number() OVER (PARTITION BY page ORDER BY ts DESC, event_id DESC) = 1) SELECT portal, count(*) AS n_pages, count(*) FILTER (stable_count >= 2) AS n_stable, (bool_and(stable_count >= 2) AND NOT bool_or(visit_no > 40)) AS converged FROM last GROUP BY portal",
     "head_verification": "WITH h AS (SELECT event_id, ts, event_type AS s FROM events WHERE user_id = 7 AND event_id > 100), i AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER (ORDER BY ts, event_id) THEN 1 ELSE 0 END AS c FROM h), g AS (SELECT *, sum(c) OVER (ORDER BY ts, event_id) AS island FROM i), n AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY ts, event_id) AS k FROM g) SELECT coalesce(arg_max(k, (ts, event_id)) >= 2, false) AS head_verified, count(*) AS head_visits FROM n",
-    "boundary_revisits": f"WITH {_ISLANDS}, ch AS (SELECT DISTINCT page FROM st WHERE change_type = 'ARTICLE_SET_CHANGED' AND page % 9 = 0), near AS (SELECT page FROM ch UNION SELECT page + 1 FROM ch UNION SELECT page - 1 FROM ch WHERE page > 1) SELECT page FROM near WHERE page IN (SELECT page FROM st GROUP BY page HAVING count(*) < 30)",
+    "boundary_revisits": f"WITH {_ISLANDS}, ch AS (SELECT DISTINCT page FROM st WHERE change_type = 'ARTICLE_SET_CHANGED'), near AS (SELECT page FROM ch UNION SELECT page + 1 FROM ch UNION SELECT page - 1 FROM ch WHERE page > 1) SELECT page FROM near WHERE page IN (SELECT page FROM st GROUP BY page HAVING count(*) < 67)",
     "retry_summary": "WITH e AS (SELECT event_id % 4 AS a, [200, 429, 503, 404, 401][event_id % 5 + 1] AS s, CASE WHEN event_id % 2 = 0 THEN event_id % 90 END AS ra FROM events), c AS (SELECT CASE WHEN s >= 500 THEN 'RETRIABLE' WHEN s = 429 THEN 'RETRIABLE_ONCE' WHEN s = 200 THEN 'OK' ELSE 'TERMINAL' END AS reason, CASE WHEN s = 429 THEN least(coalesce(ra, 30), 60) ELSE (2 ** a)::BIGINT END AS delay FROM e) SELECT reason, count(*) AS n, sum(delay)::BIGINT AS total_delay, max(delay) AS longest FROM c GROUP BY reason",
     "recall_precision": "WITH f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 <> 0), t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0), n AS (SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM f JOIN t USING (doc_id)) AS n_both) SELECT *, round(n_both / n_truth, 4) AS recall, round(n_both / n_found, 4) AS precision FROM n",
     "run_catalog": f"WITH {_RUNS} SELECT portal_id, count(*) AS n_runs, count(*) FILTER (status IN ('CONVERGED', 'COMPLETED')) AS n_successful, (max(run_id) FILTER (status IN ('CONVERGED', 'COMPLETED')))::VARCHAR AS pointer FROM runs GROUP BY portal_id",
@@ -269,7 +269,7 @@ ORACLES = {
     "restricted_delete": "SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey % 4 = 0 AND c_custkey IN (SELECT o_custkey FROM orders)",
     "nav_bfs": f"WITH RECURSIVE {_EDGES} SELECT node, depth, array_to_string(path, '>') AS path FROM tree",
     "nav_link_kinds": f"WITH RECURSIVE {_EDGES}, met AS (SELECT t.depth + 1 AS depth, list_contains(t.path, e.dst) AS cyc FROM tree t JOIN edges e ON e.src = t.node) SELECT CASE WHEN cyc THEN 'CYCLE' WHEN depth > 2 THEN 'TOO_DEEP' ELSE 'NEW' END AS kind, count(*) AS n FROM met GROUP BY 1",
-    "nav_dfs_order": f"WITH RECURSIVE {_EDGES} SELECT node, depth, (row_number() OVER (ORDER BY list_transform(ord, lambda x: -x)))::INT AS rank FROM tree WHERE path[1] = 'r1'",
+    "nav_dfs_order": f"WITH RECURSIVE {_EDGES} SELECT path[1] AS root, node, depth, (row_number() OVER (PARTITION BY path[1] ORDER BY list_transform(ord, lambda x: -x)))::INT AS rank FROM tree",
     "nav_reach": f"WITH RECURSIVE {_EDGES.replace('t.depth < 2', 't.depth < 3')} SELECT node, min(depth) AS depth FROM tree GROUP BY node",
     "provenance_paths": f"WITH RECURSIVE {_EDGES}, a AS (SELECT DISTINCT o_orderkey % 500 AS article, array_to_string(t.path, '>') AS path FROM orders JOIN tree t ON t.node = 'c' || o_custkey) SELECT article, count(*) AS n_paths, md5(string_agg(path, ' ' ORDER BY path)) AS paths_md5 FROM a GROUP BY article",
     "redirect_chains": _CHAINS,

@@ -171,16 +171,19 @@ def carried_over(spark, d):
 
 
 def incremental_prefix(spark, d):
-    """Each host is a portal's archive page in the order of its name; the crawl ends at the first that is as before."""
-    curr = _host_pages(spark, d, "curr").filter("url > 'm'")
-    log = curr.select((F.row_number().over(Window.orderBy("url"))).alias("pos"), "url", F.when(F.length("url") == 99, 500).otherwise(200).alias("status_code"), F.col("unordered_fingerprint").alias("set_fingerprint"), "next_page_url")
-    prev = _host_pages(spark, d, "prev").select("url", F.col("unordered_fingerprint").alias("set_fingerprint"), "next_page_url")
-    return snapshot.visited_pages(log, prev, None, False, 20)
-
-
-_PREFIX = f"""{_PAGE_PAIR}, log AS (SELECT row_number() OVER (ORDER BY url) AS pos, c.url, (c.s = p.s AND c.n IS NOT DISTINCT FROM p.n AND p.url IS NOT NULL) AS same FROM (SELECT * FROM curr WHERE url > 'm') c LEFT JOIN prev p USING (url)),
-cut AS (SELECT coalesce(min(pos) FILTER (same AND pos > 1), 1000000000) AS last FROM log)
-SELECT pos::INT AS pos, url, CASE WHEN pos = last THEN 'BOUNDARY_RECONCILED' ELSE 'COMPLETE' END AS outcome FROM log, cut WHERE pos <= last AND pos <= 20"""
+    """Hosts with one first letter are a portal's archive pages in the order of their names; each portal's crawl ends at the first page that is as before."""
+    portal = F.left("url", F.lit(1)).alias("portal")
+    curr = _host_pages(spark, d, "curr").withColumn("portal", portal)
+    pos = F.row_number().over(Window.partitionBy("portal").orderBy("url"))
+    log = curr.select("portal", pos.alias("pos"), "url", F.when(F.length("url") % 23 == 0, 500).otherwise(200).alias("status_code"), F.col("unordered_fingerprint").alias("set_fingerprint"), "next_page_url", F.lit(None).cast("string").alias("prev_head"))
+    prev = _host_pages(spark, d, "prev").select(portal, "url", F.col("unordered_fingerprint").alias("set_fingerprint"), "next_page_url")
+    return snapshot.visited_pages(log, prev, None, False, 5, ("portal",))
+
+
+_PREFIX = f"""{_PAGE_PAIR}, log AS (SELECT left(c.url, 1) AS portal, row_number() OVER (PARTITION BY left(c.url, 1) ORDER BY c.url) AS pos, c.url, length(c.url) % 23 = 0 AS failed, (c.s = p.s AND c.n IS NOT DISTINCT FROM p.n AND p.url IS NOT NULL) AS same FROM curr c LEFT JOIN prev p USING (url)),
+done AS (SELECT *, CASE WHEN failed THEN 'FETCH_FAILED' WHEN pos > 1 AND same THEN 'BOUNDARY_RECONCILED' ELSE 'COMPLETE' END AS outcome FROM log),
+cut AS (SELECT portal, coalesce(min(pos) FILTER (outcome <> 'COMPLETE'), 1000000000) AS last FROM done GROUP BY portal)
+SELECT portal, pos::INT AS pos, url, outcome FROM done JOIN cut USING (portal) WHERE pos <= last AND pos <= 5"""
 
 QUERIES = {f.__name__: f for f in (url_canonical, url_lookup_norm, page_fingerprints, child_fingerprints, url_ledger, url_duplicates, new_per_host, archive_order, link_classes, snapshot_diff, diff_summary, reordered_urls, anomaly_flags, page_change_types, thread_page_changes, removed_probe, carried_over, incremental_prefix)}
 

@@ -103,8 +103,33 @@ def test_small_functions(spark):
     assert column(spark, ["secret abcd"], lambda c: text.masked(c, F.lit("abcd"))) == ["secret ***"]
     assert text.config_hash({"b": 1, "a": "é"}) == hashlib.sha256('{"a": "é", "b": 1}'.encode()).hexdigest()[:8]
     assert column(spark, ["open", "odd", None], text.deposit_access) == ["open", "restricted", "restricted"]
-    errors = spark.range(1).select(text.deposit_errors(F.lit("abc"), F.lit("d" * 20), F.array(F.lit("")), F.lit(None).cast("string"), F.lit("open"), F.array(F.lit("k")), F.lit(None)).alias("e")).first()["e"]
-    assert errors == ["TITLE_TOO_SHORT", "BLANK_CREATOR", "NO_LICENSE"]
+
+
+def test_deposit_errors(spark):
+    """The seven rules, each alone and all at once."""
+    fine = ("  A title ", " d" * 12, ["c"], ["x.org"], ["WARC"], "sums", "open", None)
+    faults = [(0, "  abc  ", "TITLE_TOO_SHORT"), (0, None, "TITLE_TOO_SHORT"), (1, "short" + " " * 30, "DESCRIPTION_TOO_SHORT"), (2, [], "NO_CREATOR"), (2, None, "NO_CREATOR"), (3, [], "NO_SOURCE_DOMAIN"), (4, None, "NO_ARCHIVE_FORMAT"), (5, "", "NO_CHECKSUM_MANIFEST"), (6, "embargoed", "NO_EMBARGO_DATE")]
+    rows = [fine, ("A title", "d" * 20, [""], ["x"], ["y"], " ", "odd", None), (*fine[:6], "embargoed", "2030-01-01"), (None,) * 8] + [(*fine[:i], value, *fine[i + 1 :]) for i, value, _ in faults]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, d string, c array<string>, s array<string>, f array<string>, m string, a string, e string")
+    got = [r["x"] for r in df.orderBy("i").select(text.deposit_errors(*(F.col(c) for c in "tdcsfmae")).alias("x")).collect()]
+    assert got[:4] == [[], [], [], ["TITLE_TOO_SHORT", "NO_CREATOR", "DESCRIPTION_TOO_SHORT", "NO_SOURCE_DOMAIN", "NO_ARCHIVE_FORMAT", "NO_CHECKSUM_MANIFEST"]]
+    assert got[4:] == [[code] for *_, code in faults]
+
+
+def test_names_that_look_empty_count(spark):
+    body = "x" * 60
+    named = lambda name: '{"content": "%s", %s}' % (body, name)
+    yes = ['"title": "0"', '"slug": "false"', '"title": "{}"', '"id": 7', '"title": {"rendered": ""}', '"id": true', '"slug": [0]', '"id": 0.5']
+    no = ['"title": ""', '"id": 0', '"id": 0.0', '"slug": false', '"title": null', '"title": {}', '"slug": []', '"other": 1']
+    got = column(spark, [named(x) for x in yes + no], json_payload.classify)
+    assert got == ["CONTENT_JSON"] * len(yes) + ["METADATA_JSON"] * len(no)
+
+
+def test_lazy_samples_are_the_first_five():
+    root = dom.parse("".join(f'<img loading="lazy" src="{i}.png" data-src="d{i}">' for i in range(7)) + '<iframe data-lazy="z"></iframe><script async src="s.js"></script><script>x</script>')
+    got = html.lazy_samples(root)
+    assert [s for kind, _, s in got if kind == "loading_lazy"] == [f"{i}.png" for i in range(5)]
+    assert [s for kind, _, s in got if kind == "data_src"] == [f"d{i}" for i in range(5)] and got[-1] == ("deferred_script", "script", "s.js")
 
 
 PAGE = """<html><head><title> Page </title><link rel="canonical" href="/c"><link rel="stylesheet" href="s.css"><link rel="shortcut icon" href="f.ico"><link rel="preload" as="font" href="f.woff2">
@@ -137,7 +162,7 @@ def test_rules_on_a_page(selector, kind, value, count):
     assert (got["value"], got["match_count"], got["success"]) == (value, count, True)
 
 
-@pytest.mark.parametrize(("selector", "kind", "error"), [("", "css", "Selector is empty"), ("h9", "css", "No element"), ("p[", "css", "Invalid"), ("//p[last()]", "xpath", "Invalid"), ("img", "css", "empty text")])
+@pytest.mark.parametrize(("selector", "kind", "error"), [("", "css", "EMPTY_SELECTOR"), ("h9", "css", "NO_MATCH"), ("p[", "css", "BAD_SELECTOR css"), ("//p[last()]", "xpath", "BAD_SELECTOR xpath"), ("img", "css", "EMPTY_TEXT")])
 def test_rule_faults(selector, kind, error):
     got = html.extract(dom.parse(PAGE), selector, kind)
     assert not got["success"] and error in got["error"]

@@ -308,7 +308,8 @@ ORACLES = {
     "lazy_samples": "SELECT page_id, 'loading_lazy' AS mark, 'img' AS tag, '/img/' || page_id || '.png' AS source FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'data_src', 'img', '/lazy' || page_id || '.jpg' FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT page_id, 'deferred_script', 'script', '/app' || (page_id % 2) || '.js' FROM pages WHERE page_id % 3 = 1",
     "page_assets": f"{_ASSETS} SELECT * FROM assets",
     "assets_by_type": f"{_ASSETS} SELECT resource_type, count(*) AS n, count(*) FILTER (same_origin) AS n_same_origin FROM assets GROUP BY 1",
-    "page_image_roles": f"WITH o AS (SELECT page_id, {_ORIGIN} AS o FROM pages) SELECT page_id, o || '/img/' || page_id || '.png' AS image_url, 'article_content' AS role FROM o WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'https://cdn.example/logo.svg', 'site_chrome' FROM o WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'data:image/gif;base64,x', 'article_content' FROM o WHERE page_id % 7 = 0 UNION ALL SELECT page_id, o || '/foot' || (page_id % 2) || '.png', 'site_chrome' FROM o WHERE page_id % 4 = 0",
+    # Open <b> and <p> of the pages count as ancestors; the article has to be among the first eight.
+    "page_image_roles": f"WITH o AS (SELECT page_id, {_ORIGIN} AS o, CASE WHEN len(regexp_extract_all(html, '<p><b>')) <= 3 THEN 'article_content' ELSE 'unknown' END AS r FROM pages) SELECT page_id, o || '/img/' || page_id || '.png' AS image_url, r AS role FROM o WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'https://cdn.example/logo.svg', 'site_chrome' FROM o WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'data:image/gif;base64,x', r FROM o WHERE page_id % 7 = 0 UNION ALL SELECT page_id, o || '/foot' || (page_id % 2) || '.png', 'site_chrome' FROM o WHERE page_id % 4 = 0",
     "rewritten_links": f"{_HREFS} SELECT page_id, len(list_filter(hs, lambda h: h NOT LIKE '#%' AND h NOT LIKE 'mailto:%' AND h NOT LIKE 'javascript:%'))::INT AS n_replay_links FROM a",
     "reduced_pages": f"{_HREFS} SELECT page_id, false AS has_dropped, len(hs)::INT AS n_links FROM a",
     "html_split": "SELECT page_id, CASE WHEN n <= 3 THEN 'generation' WHEN n <= 5 THEN 'validation' ELSE 'held_out' END AS part FROM (SELECT page_id, row_number() OVER (ORDER BY url) AS n FROM pages) WHERE n <= 6",

@@ -223,6 +223,36 @@ def deposit_transitions(spark, d):
     return t.select("event_id", F.coalesce("previous", F.lit("-")).alias("previous"), "status", "is_allowed")
 
 
+#: The outbox as a recursion over each user's commands, one command a step.
+_OUTBOX = f"""WITH RECURSIVE n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+c AS (SELECT user_id, seq, CASE WHEN seq = 1 THEN 'insert' ELSE ['claim', 'complete', 'retry', 'renew', 'claim', 'retry'][event_id % 6 + 1] END AS cmd, seq * 25 AS t_now, 't' || (event_id % 2) AS tok, event_id % 17 = 0 AS rec FROM n),
+f AS (SELECT user_id, 0::BIGINT AS seq, 'ABSENT' AS status, 0 AS attempts, 0::BIGINT AS next_at, NULL::BIGINT AS lease, NULL::VARCHAR AS token, NULL::VARCHAR AS result FROM n WHERE seq = 1
+ UNION ALL SELECT user_id, seq,
+  CASE WHEN cmd = 'insert' AND status = 'ABSENT' THEN 'PENDING' WHEN dead THEN 'RECONCILIATION_REQUIRED' WHEN claims THEN 'IN_FLIGHT' WHEN holds AND cmd = 'complete' THEN 'COMPLETED' WHEN holds AND cmd = 'retry' THEN CASE WHEN rec THEN 'RECONCILIATION_REQUIRED' WHEN attempts >= {state.MAX_ATTEMPTS} THEN 'FAILED' ELSE 'RETRY' END ELSE status END,
+  attempts + claims::INT, CASE WHEN cmd = 'insert' AND status = 'ABSENT' THEN t_now WHEN holds AND cmd = 'retry' THEN t_now + {state.RETRY_S} ELSE next_at END,
+  CASE WHEN claims OR (holds AND cmd = 'renew') THEN t_now + {state.LEASE_S} WHEN dead OR holds THEN NULL ELSE lease END, CASE WHEN claims THEN tok WHEN dead OR (holds AND cmd <> 'renew') THEN NULL ELSE token END,
+  CASE WHEN cmd = 'insert' THEN CASE WHEN status = 'ABSENT' THEN 'OK' ELSE 'EXISTS' END WHEN cmd = 'claim' THEN CASE WHEN claims THEN 'OK' ELSE 'NOT_DUE' END WHEN holds THEN 'OK' ELSE 'LEASE_LOST' END
+ FROM (SELECT f.* EXCLUDE (seq), c.* EXCLUDE (user_id), coalesce(cmd = 'claim' AND status = 'IN_FLIGHT' AND lease <= t_now AND attempts >= {state.MAX_ATTEMPTS}, false) AS dead,
+   coalesce(cmd = 'claim' AND attempts < {state.MAX_ATTEMPTS} AND ((status IN ('PENDING', 'RETRY') AND next_at <= t_now) OR (status = 'IN_FLIGHT' AND lease <= t_now)), false) AS claims,
+   coalesce(cmd IN ('renew', 'complete', 'retry') AND status = 'IN_FLIGHT' AND token = tok AND lease > t_now, false) AS holds FROM f JOIN c ON c.user_id = f.user_id AND c.seq = f.seq + 1))"""
+
+_LEASES = """WITH RECURSIVE n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+c AS (SELECT user_id, seq, ['acquire', 'renew', 'commit', 'release'][event_id % 4 + 1] AS cmd, 'o' || (event_id % 2) AS who, seq * 20 AS t_now, seq // 3 AS given FROM n),
+f AS (SELECT user_id, 0::BIGINT AS seq, NULL::VARCHAR AS cmd, NULL::VARCHAR AS result, NULL::VARCHAR AS owner, 0::BIGINT AS expires, 0::BIGINT AS generation, 0::BIGINT AS baseline_at FROM n WHERE seq = 1
+ UNION ALL SELECT user_id, seq, cmd, CASE WHEN cmd = 'acquire' THEN CASE WHEN held THEN 'HELD' ELSE 'OK' END WHEN NOT mine THEN 'LEASE_LOST' WHEN cmd = 'commit' AND t_now < baseline_at THEN 'REGRESSION' ELSE 'OK' END,
+  CASE WHEN takes THEN who WHEN mine AND cmd = 'release' THEN NULL ELSE owner END, CASE WHEN takes OR (mine AND cmd = 'renew') THEN t_now + 50 WHEN mine AND cmd = 'release' THEN 0 ELSE expires END, generation + takes::INT, CASE WHEN mine AND cmd = 'commit' AND t_now >= baseline_at THEN t_now ELSE baseline_at END
+ FROM (SELECT *, cmd = 'acquire' AND NOT held AS takes, cmd <> 'acquire' AND held AND owner = who AND given = generation AS mine FROM (SELECT f.* EXCLUDE (seq, cmd, result), c.* EXCLUDE (user_id), owner IS NOT NULL AND t_now < expires AS held FROM f JOIN c ON c.user_id = f.user_id AND c.seq = f.seq + 1)))"""
+
+#: Rules on the known shape of the pages: whether a field has a text, and whether it has several matches.
+_RULES = r"""m AS (SELECT page_id, unnest(['title', 'first', 'links', 'image', 'frame']) AS field, unnest([trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) <> '', trim(regexp_extract(html, '<p><b>([^<]*)', 1)) <> '', len(regexp_extract_all(html, '<a href="[^"]*">[^<]*[^<\s][^<]*</a>')) > 0, false, true]) AS ok, unnest([1, 1, len(regexp_extract_all(html, '<a href=')), 0, 2]) AS n FROM pages),
+v AS (SELECT field, count(*) AS tested, count(*) FILTER (ok) AS successful, count(*) FILTER (NOT ok AND n > 0) AS empty, count(*) FILTER (ok AND n > 1) AS several, count(*) FILTER (NOT ok) AS failures, round_even(count(*) FILTER (ok) / count(*), 4) AS rate FROM m GROUP BY field)"""
+
+_REPLAY = f"""WITH i AS (SELECT *, CASE WHEN page_id % 5 = 1 THEN 404 ELSE 200 END AS status, regexp_replace(norm, '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS loose FROM (SELECT page_id, {urls.lookup_sql('url')} AS norm FROM pages WHERE page_id % 4 <> 0) QUALIFY row_number() OVER (PARTITION BY norm ORDER BY page_id DESC) = 1),
+l AS (SELECT loose, arg_min(status, norm) AS status FROM i GROUP BY loose),
+r AS (SELECT page_id, {urls.lookup_sql('url')} AS norm FROM (SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url WHEN url LIKE '%/' THEN left(url, length(url) - 1) ELSE url || '/' END AS url FROM pages)),
+j AS (SELECT r.page_id, coalesce(a.status, b.status, l.status) AS status FROM r LEFT JOIN i a ON a.norm = r.norm LEFT JOIN i b ON b.norm = CASE WHEN r.norm LIKE '%/' THEN left(r.norm, length(r.norm) - 1) ELSE r.norm || '/' END LEFT JOIN l ON l.loose = regexp_replace(r.norm, '^[A-Za-z][A-Za-z0-9+.-]*:', ''))
+SELECT page_id AS request_no, CASE WHEN status IS NULL THEN 'RESOURCE_NOT_IN_ARCHIVE' ELSE 'FOUND' END AS outcome, coalesce(status, 404) AS status_code FROM j"""
+
 _MOVES = ", ".join(f"('{a}', '{b}')" for a, bs in state.DEPOSIT_MOVES.items() for b in bs)
 _STATES = "[" + ", ".join(f"'{a}'" for a in state.DEPOSIT_MOVES) + "]"
 
@@ -310,6 +340,13 @@ ORACLES = {
     "assets_by_type": f"{_ASSETS} SELECT resource_type, count(*) AS n, count(*) FILTER (same_origin) AS n_same_origin FROM assets GROUP BY 1",
     # Open <b> and <p> of the pages count as ancestors; the article has to be among the first eight.
     "page_image_roles": f"WITH o AS (SELECT page_id, {_ORIGIN} AS o, CASE WHEN len(regexp_extract_all(html, '<p><b>')) <= 3 THEN 'article_content' ELSE 'unknown' END AS r FROM pages) SELECT page_id, o || '/img/' || page_id || '.png' AS image_url, r AS role FROM o WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'https://cdn.example/logo.svg', 'site_chrome' FROM o WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'data:image/gif;base64,x', r FROM o WHERE page_id % 7 = 0 UNION ALL SELECT page_id, o || '/foot' || (page_id % 2) || '.png', 'site_chrome' FROM o WHERE page_id % 4 = 0",
+    "link_discovery": f"{_HREFS}, l AS (SELECT page_id, pos, {_ORIGIN} || h AS link FROM (SELECT page_id, url, unnest(list_transform(hs, lambda h: replace(h, '&amp;', '&'))) AS h, generate_subscripts(hs, 1) AS pos FROM a)), u AS (SELECT page_id, {urls.canonical_sql('link')} AS u FROM l), d AS (SELECT page_id, count(*) AS n, count(DISTINCT u) AS m FROM u GROUP BY 1) SELECT page_id, n AS n_candidates, m AS n_distinct, replace(hs[1], '&amp;', '&') AS first_href, n - m AS n_duplicates FROM d JOIN a USING (page_id)",
+    "selector_validation": f"WITH {_RULES} SELECT *, rate >= {rules.THRESHOLD} AS acceptable FROM v",
+    "selector_acceptance": f"WITH {_RULES} SELECT bool_and(rate >= {rules.THRESHOLD}) AS accepted, count(*) AS n_fields FROM v WHERE field IN ('title', 'links')",
+    "selector_repair": f"WITH {_RULES} SELECT v.field, v.rate AS old_rate, t.rate AS new_rate, t.rate >= {rules.THRESHOLD} AS applied FROM v, (SELECT rate FROM v WHERE field = 'title') t WHERE v.field = 'image'",
+    "replay_lookup": _REPLAY,
+    "outbox_fold": f"{_OUTBOX} SELECT status, result, count(*) AS n, max(attempts) AS most_attempts FROM f WHERE seq > 0 GROUP BY 1, 2",
+    "lease_fold": f"{_LEASES} SELECT cmd, result, count(*) AS n, max(generation) AS highest_generation FROM f WHERE seq > 0 GROUP BY 1, 2",
     "rewritten_links": f"{_HREFS} SELECT page_id, len(list_filter(hs, lambda h: h NOT LIKE '#%' AND h NOT LIKE 'mailto:%' AND h NOT LIKE 'javascript:%'))::INT AS n_replay_links FROM a",
     "reduced_pages": f"{_HREFS} SELECT page_id, false AS has_dropped, len(hs)::INT AS n_links FROM a",
     "html_split": "SELECT page_id, CASE WHEN n <= 3 THEN 'generation' WHEN n <= 5 THEN 'validation' ELSE 'held_out' END AS part FROM (SELECT page_id, row_number() OVER (ORDER BY url) AS n FROM pages) WHERE n <= 6",

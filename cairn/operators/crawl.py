@@ -173,3 +173,15 @@ def visit_schedule(log: pd.DataFrame, profile: str, pages: int) -> pd.DataFrame:
         while visit(1, "HEAD_VERIFICATION"):
             work([1, 2], "RECONCILIATION", False)
     return pd.DataFrame(made, columns=["request_no", "phase", "page", "visit_no", "urls", "changed"])
+
+
+def visit_schedules(log: DataFrame, profile: str, pages: int) -> DataFrame:
+    """`visit_schedule` of every portal of a log (portal_id, page, visit_no, urls); portals spread over tasks, and a portal's log is as small as its simulator."""
+    kind = log.schema["portal_id"].dataType.simpleString()
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        made = visit_schedule(rows, profile, pages)
+        made.insert(0, "portal_id", key[0])
+        return made.astype({"changed": bool})
+
+    return log.groupBy("portal_id").applyInPandas(one, f"portal_id {kind}, request_no int, phase string, page int, visit_no int, urls array<string>, changed boolean")

@@ -114,6 +114,34 @@ class Lease:
         return "OK"
 
 
+@dataclass
+class Stored:
+    """An object of a store that only takes conditional writes. Its version is its etag; versions never come again."""
+
+    there: bool = False
+    version: int = 0
+
+    def step(self, cmd: str, etag: int | None) -> str:
+        """put_new: only where there is none; put_if_match: only over the version that the writer has seen."""
+        if cmd == "put_new":
+            if self.there:
+                return "CONFLICT"
+            self.there, self.version = True, self.version + 1
+            return "OK"
+        if not self.there:
+            return "NOT_FOUND"
+        if cmd == "put_if_match":
+            if etag != self.version:
+                return "PRECONDITION_FAILED"
+            self.version += 1
+        elif cmd == "delete":
+            self.there = False
+        elif cmd != "get":
+            return "UNKNOWN_COMMAND"
+        return "OK"
+
+
+OBJECT_SCHEMA = "path string, seq long, cmd string, result string, version long, there boolean"
 OUTBOX_SCHEMA = "event_id string, seq long, cmd string, result string, status string, attempts int, lease_until long, next_at long"
 LEASE_SCHEMA = "portal_id string, seq long, cmd string, result string, owner string, generation long, expires long, baseline string, baseline_generation long"
 
@@ -161,3 +189,13 @@ def outbox(commands: DataFrame) -> DataFrame:
 def leases(commands: DataFrame) -> DataFrame:
     """Result and state after each command (portal_id, seq, cmd, owner, at, ttl, generation, baseline) of each portal."""
     return ordered_fold(commands, "portal_id", "seq", Lease, lease_step, LEASE_SCHEMA)
+
+
+def object_step(held: Stored, r: tuple) -> tuple:
+    result = held.step(r.cmd, None if pd.isna(r.etag) else int(r.etag))
+    return r.path, r.seq, r.cmd, result, held.version, held.there
+
+
+def objects(commands: DataFrame) -> DataFrame:
+    """Result and state after each command (path, seq, cmd, etag) of each object: compare and swap by version."""
+    return ordered_fold(commands, "path", "seq", Stored, object_step, OBJECT_SCHEMA)

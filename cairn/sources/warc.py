@@ -1,7 +1,7 @@
 """WARC and WACZ files as a Spark data source on the standard library: `spark.read.format("warc")`, and a writer.
 
 Options of the reader: `path` (a file, a folder or a glob), `records` = response (default) or all, `payload` = true (default)
-or false: without payload the bytes are skipped, not kept. One partition per file; records are read one after another, so
+or false: without payload the bytes are skipped, not kept; `limit`: a file is left after so many rows. One partition per file; records are read one after another, so
 a file never has to fit in memory, and a limit stops the reading.
 
 Later records of a URL win (`latest`); a malformed status is null; a missing content type is null.
@@ -20,6 +20,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -141,13 +142,14 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
         self.all = options.get("records", "response").lower() == "all"
+        self.limit = int(options["limit"]) if "limit" in options else None
 
     def partitions(self) -> list[InputPartition]:
         return [_File(f) for f in files_of(self.path)] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         if partition.path:
-            yield from read_file(partition.path, self.payload, self.all)
+            yield from islice(read_file(partition.path, self.payload, self.all), self.limit)
 
 
 @dataclass
@@ -308,6 +310,18 @@ def validated(path: str) -> dict:
     return out | {"valid": True}
 
 
+def validations(spark: SparkSession, path: str) -> DataFrame:
+    """`validated` of every file below a path that driver and executors share; one file is one row of work, read by the executors."""
+    names = files_of(path)
+    rows = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names)), "file")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([{"file": f} | validated(f) for f in batch["file"]], columns=["file", "valid", "error", "size", "sha256", "total", "html"])
+
+    return rows.mapInPandas(run, "file string, valid boolean, error string, size bigint, sha256 string, total bigint, html bigint")
+
+
 def wacz_pages(path: str) -> list[str]:
     """URLs of a WACZ's page list; lines that are no JSON objects are passed over."""
     out = []

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import crawl, observations
-from cairn.sources import config, packages, state_json
+from cairn.sources import config, packages, state_json, warc
 
 
 def test_packages_are_sealed(spark, tmp_path):
@@ -169,3 +169,27 @@ def test_head_verification_finds_a_late_insertion():
     phases = got.groupby("phase").size().to_dict()
     assert phases["INITIAL"] == 10 and phases["HEAD_VERIFICATION"] >= 1 and phases["RECONCILIATION"] >= 2
     assert "late" in set(sum(got["urls"], [])) and not got.iloc[-1]["changed"]
+
+
+def test_portals_have_schedules_of_their_own(spark):
+    logs = {p: simulator({(2, 2): [f"new{p}"]} if p % 2 else {}) for p in range(4)}
+    rows = [(p, int(r.page), int(r.visit_no), list(r.urls)) for p, log in logs.items() for r in log.itertuples(index=False)]
+    got = crawl.visit_schedules(spark.createDataFrame(rows, "portal_id int, page int, visit_no int, urls array<string>"), "ROBUST", 5).toPandas()
+    for p, log in logs.items():
+        mine = got[got["portal_id"] == p].sort_values("request_no")
+        want = crawl.visit_schedule(log, "ROBUST", 5)
+        assert mine[["phase", "page", "visit_no"]].values.tolist() == want[["phase", "page", "visit_no"]].values.tolist()
+
+
+def test_files_are_validated_on_executors(spark, tmp_path):
+    pages = spark.createDataFrame([(f"https://x.y/{i}", bytearray(b"<p>" * (i + 1)), 200) for i in range(6)], "uri string, payload binary, status_code int")
+    warc.write(pages.coalesce(1), str(tmp_path / "w"), compress=False)
+    whole = next((tmp_path / "w").glob("*.warc"))
+    (tmp_path / "w" / "cut.warc").write_bytes(whole.read_bytes()[:-30])
+    (tmp_path / "w" / "empty.warc").write_bytes(b"")
+    got = {r["file"].rsplit("/", 1)[1]: r for r in warc.validations(spark, str(tmp_path / "w")).collect()}
+    assert got[whole.name]["valid"] and (got[whole.name]["total"], got[whole.name]["html"]) == (6, 6) and got[whole.name]["size"] == whole.stat().st_size
+    assert got["cut.warc"]["error"].startswith("PARSE_ERROR") and got["empty.warc"]["error"] == "EMPTY_FILE"
+    (tmp_path / "w" / "cut.warc").unlink()
+    (tmp_path / "w" / "empty.warc").unlink()
+    assert spark.read.format("warc").option("limit", "2").load(str(tmp_path / "w")).count() == 2

@@ -379,3 +379,9 @@ def test_fingerprint_ignores_input_order(spark):
     a = spark.createDataFrame(rows, "p long, u string").repartition(6).agg(fingerprints.ordered(F.col("u"), F.col("p"))).first()
     b = spark.createDataFrame(sorted(rows), "p long, u string").agg(fingerprints.ordered(F.col("u"), F.col("p"))).first()
     assert a == b
+
+
+def test_conditional_writes():
+    o = state.Stored()
+    steps = [("put_if_match", 0, "NOT_FOUND"), ("get", None, "NOT_FOUND"), ("put_new", None, "OK"), ("put_new", None, "CONFLICT"), ("put_if_match", 0, "PRECONDITION_FAILED"), ("put_if_match", 1, "OK"), ("put_if_match", 1, "PRECONDITION_FAILED"), ("put_if_match", None, "PRECONDITION_FAILED"), ("odd", 2, "UNKNOWN_COMMAND"), ("delete", None, "OK"), ("put_if_match", 2, "NOT_FOUND"), ("put_new", None, "OK"), ("get", None, "OK")]
+    assert [o.step(cmd, etag) for cmd, etag, _ in steps] == [want for *_, want in steps] and o.version == 3

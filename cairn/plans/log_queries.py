@@ -200,6 +200,19 @@ def gate_sessions(spark, d):
     return graph.session_metrics(graph.resolve_gates(requests, responses, (), ("AGE_CONFIRMATION",)))
 
 
+#: The sessions as a recursion over the pages that each request comes to; a session goes on with its next request where one ends.
+_GATES = f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), rq AS (SELECT page_id % 20 AS s, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS k, page_id AS x FROM pages),
+p AS (SELECT page_id AS x, (page_id * 3 + 1) % n AS target FROM pages, n),
+w AS (SELECT s, k, x, [x] AS chain, 0 AS r, 0 AS g, [0, 0, 0] AS tries, 0 AS red, 0 AS gat, 0 AS loops FROM rq WHERE k = 1
+ UNION ALL SELECT s, k + (NOT goes)::INT, CASE WHEN goes THEN target ELSE following END, CASE WHEN goes THEN list_append(chain, target) ELSE [following] END, CASE WHEN goes THEN r ELSE 0 END, CASE WHEN goes THEN g ELSE 0 END,
+  [tries[1] + (passes AND x % 3 = 0)::INT, tries[2] + (passes AND x % 3 = 1)::INT, tries[3] + (passes AND x % 3 = 2)::INT], red + is_hop::INT, gat + is_gate::INT, loops + (NOT goes AND ((is_hop AND r <= {graph.MAX_REDIRECTS}) OR (is_gate AND g > {graph.MAX_GATES}) OR passes))::INT
+ FROM (SELECT *, (is_hop AND r <= {graph.MAX_REDIRECTS} AND NOT list_contains(chain, target)) OR (passes AND (target <> x OR x % 3 = 0)) AS goes
+ FROM (SELECT *, is_gate AND g <= {graph.MAX_GATES} AND x % 8 = 0 AND tries[x % 3 + 1] < {graph.MAX_ORIGIN} AS passes
+ FROM (SELECT w.* EXCLUDE (r, g), w.r + (p.x IS NOT NULL AND w.x % 4 = 1 AND w.x % 11 <> 2)::INT AS r, w.g + (p.x IS NOT NULL AND w.x % 4 = 0)::INT AS g, p.x IS NOT NULL AND w.x % 4 = 1 AND w.x % 11 <> 2 AS is_hop, p.x IS NOT NULL AND w.x % 4 = 0 AS is_gate, p.target, q.x AS following
+  FROM w LEFT JOIN p ON p.x = w.x LEFT JOIN rq q ON q.s = w.s AND q.k = w.k + 1 WHERE w.x IS NOT NULL))))
+SELECT 's' || s AS session, (k - 1)::BIGINT AS n_requests, red::BIGINT AS n_redirects, gat::BIGINT AS n_gates, 0::BIGINT AS n_reused, loops::BIGINT AS n_loops FROM w WHERE x IS NULL"""
+
+
 def _turns(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("h")).dropDuplicates(["conv_id", "turn"])
 
@@ -273,6 +286,7 @@ ORACLES = {
     "nav_reach": f"WITH RECURSIVE {_EDGES.replace('t.depth < 2', 't.depth < 3')} SELECT node, min(depth) AS depth FROM tree GROUP BY node",
     "provenance_paths": f"WITH RECURSIVE {_EDGES}, a AS (SELECT DISTINCT o_orderkey % 500 AS article, array_to_string(t.path, '>') AS path FROM orders JOIN tree t ON t.node = 'c' || o_custkey) SELECT article, count(*) AS n_paths, md5(string_agg(path, ' ' ORDER BY path)) AS paths_md5 FROM a GROUP BY article",
     "redirect_chains": _CHAINS,
+    "gate_sessions": _GATES,
     "thread_pages": _THREADS,
     "logical_articles": _LOGICAL,
     "new_posts": "WITH t AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, md5(text) AS h FROM conversations) SELECT DISTINCT conv_id AS node, h AS child FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.conv_id = t.conv_id AND u.h = t.h AND u.turn % 2 = 0)",

@@ -41,9 +41,10 @@ def fallback_heads(states: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def retention(folders: DataFrame, heads: DataFrame, keep: int = KEEP_STAGING) -> DataFrame:
-    """folders (portal_id, name, is_package, has_anomaly, bytes) with keep and reason. Packages, the head's folder, and folders with anomalies stay; of the others the newest `keep` by name."""
-    j = folders.join(heads.select("portal_id", "head_run"), "portal_id", "left")
-    head = F.coalesce(F.contains(F.col("name"), F.col("head_run")), F.lit(False))
+    """folders (portal_id, name, is_package, has_anomaly, bytes) with keep and reason. Packages, the head's folder, and folders with anomalies stay; of the others the newest `keep` by name. The head's folder holds its id in its name, or its run_dir (where heads has one) ends with the folder's name."""
+    run_dir = F.col("run_dir") if "run_dir" in heads.columns else F.lit(None).cast("string").alias("run_dir")
+    j = folders.join(heads.select("portal_id", "head_run", run_dir), "portal_id", "left")
+    head = F.coalesce(F.contains(F.col("name"), F.col("head_run")), F.lit(False)) | F.coalesce((F.col("name") != "") & F.endswith(F.regexp_replace("run_dir", "/+$", ""), F.col("name")), F.lit(False))
     reason = F.when(F.col("is_package"), "PACKAGE").when(head, "HEAD").when(F.col("has_anomaly"), "ANOMALY")
     j = j.withColumn("reason", reason)
     n = F.row_number().over(Window.partitionBy("portal_id", F.col("reason").isNull()).orderBy(F.desc("name")))

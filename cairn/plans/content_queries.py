@@ -64,10 +64,10 @@ def page_image_roles(spark, d):
 
 
 def link_discovery(spark, d):
-    """Candidate links of each page, canonical, first seen first."""
+    """Candidate links of each page, canonical: how many, the first as it stands, and the first ten that differ."""
     links = html.page_links(_t(spark, d, "pages")).withColumn("u", urls.canonical(F.col("link_url")))
-    per = links.groupBy("page_id").agg(F.count("*").alias("n_candidates"), F.countDistinct("u").alias("n_distinct"), F.min_by("href", "pos").alias("first_href"))
-    return per.withColumn("n_duplicates", F.col("n_candidates") - F.col("n_distinct"))
+    per = links.groupBy("page_id").agg(F.count("*").alias("n_candidates"), F.countDistinct("u").alias("n_distinct"), F.min_by("href", "pos").alias("first_href"), F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "u"))), lambda r: r["u"])), 1, 10).alias("ten"))
+    return per.select("page_id", "n_candidates", "n_distinct", "first_href", (F.col("n_candidates") - F.col("n_distinct")).alias("n_duplicates"), F.array_join("ten", " ").alias("first_ten"))
 
 
 _HREFS = r"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs FROM pages)"""
@@ -285,7 +285,7 @@ def fallback_heads(spark, d):
 def _retention(spark, d):
     _, _, o = _packages(spark, d)
     folders = o.select("portal_id", F.format_string("run-%08d", F.col("run_id")).alias("name"), (F.col("run_id") % 6 == 0).alias("is_package"), (F.col("run_id") % 10 == 3).alias("has_anomaly"), (F.col("run_id") * 10).alias("bytes"))
-    heads = o.groupBy("portal_id").agg(F.format_string("run-%08d", F.min("run_id")).alias("head_run"))
+    heads = o.groupBy("portal_id").agg(F.format_string("run-%08d", F.min("run_id")).alias("head_run"), F.format_string("/data/run-%08d", F.max(F.when(F.col("run_id") % 6 > 0, F.col("run_id")))).alias("run_dir"))
     return recovery.retention(folders, heads)
 
 
@@ -297,8 +297,8 @@ def reclaimable_bytes(spark, d):
     return recovery.reclaimable(_retention(spark, d))
 
 
-_RETENTION = f"""WITH {_PACKAGES}, h AS (SELECT portal_id, printf('run-%08d', min(run_id)) AS head_run FROM o GROUP BY 1),
-f AS (SELECT o.portal_id, printf('run-%08d', run_id) AS name, CASE WHEN run_id % 6 = 0 THEN 'PACKAGE' WHEN printf('run-%08d', run_id) = head_run THEN 'HEAD' WHEN run_id % 10 = 3 THEN 'ANOMALY' END AS r, run_id * 10 AS bytes FROM o JOIN h USING (portal_id)),
+_RETENTION = f"""WITH {_PACKAGES}, h AS (SELECT portal_id, printf('run-%08d', min(run_id)) AS head_run, printf('run-%08d', max(run_id) FILTER (run_id % 6 > 0)) AS head_dir FROM o GROUP BY 1),
+f AS (SELECT o.portal_id, printf('run-%08d', run_id) AS name, CASE WHEN run_id % 6 = 0 THEN 'PACKAGE' WHEN printf('run-%08d', run_id) IN (head_run, head_dir) THEN 'HEAD' WHEN run_id % 10 = 3 THEN 'ANOMALY' END AS r, run_id * 10 AS bytes FROM o JOIN h USING (portal_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY portal_id, r IS NULL ORDER BY name DESC) AS n FROM f),
 plan AS (SELECT portal_id, name, (r IS NOT NULL OR n <= 5) AS kept, coalesce(r, CASE WHEN n <= 5 THEN 'RECENT' ELSE 'REMOVABLE' END) AS reason, bytes FROM k)"""
 
@@ -340,7 +340,7 @@ ORACLES = {
     "assets_by_type": f"{_ASSETS} SELECT resource_type, count(*) AS n, count(*) FILTER (same_origin) AS n_same_origin FROM assets GROUP BY 1",
     # Open <b> and <p> of the pages count as ancestors; the article has to be among the first eight.
     "page_image_roles": f"WITH o AS (SELECT page_id, {_ORIGIN} AS o, CASE WHEN len(regexp_extract_all(html, '<p><b>')) <= 3 THEN 'article_content' ELSE 'unknown' END AS r FROM pages) SELECT page_id, o || '/img/' || page_id || '.png' AS image_url, r AS role FROM o WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'https://cdn.example/logo.svg', 'site_chrome' FROM o WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'data:image/gif;base64,x', r FROM o WHERE page_id % 7 = 0 UNION ALL SELECT page_id, o || '/foot' || (page_id % 2) || '.png', 'site_chrome' FROM o WHERE page_id % 4 = 0",
-    "link_discovery": f"{_HREFS}, l AS (SELECT page_id, pos, {_ORIGIN} || h AS link FROM (SELECT page_id, url, unnest(list_transform(hs, lambda h: replace(h, '&amp;', '&'))) AS h, generate_subscripts(hs, 1) AS pos FROM a)), u AS (SELECT page_id, {urls.canonical_sql('link')} AS u FROM l), d AS (SELECT page_id, count(*) AS n, count(DISTINCT u) AS m FROM u GROUP BY 1) SELECT page_id, n AS n_candidates, m AS n_distinct, replace(hs[1], '&amp;', '&') AS first_href, n - m AS n_duplicates FROM d JOIN a USING (page_id)",
+    "link_discovery": f"{_HREFS}, l AS (SELECT page_id, pos, {_ORIGIN} || h AS link FROM (SELECT page_id, url, unnest(list_transform(hs, lambda h: replace(h, '&amp;', '&'))) AS h, generate_subscripts(hs, 1) AS pos FROM a)), u AS (SELECT page_id, pos, {urls.canonical_sql('link')} AS u FROM l), d AS (SELECT page_id, count(*) AS n, count(DISTINCT u) AS m FROM u GROUP BY 1), o AS (SELECT page_id, u, row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) AS k FROM u GROUP BY page_id, u), t AS (SELECT page_id, string_agg(u, ' ' ORDER BY k) AS ten FROM o WHERE k <= 10 GROUP BY 1) SELECT page_id, n AS n_candidates, m AS n_distinct, replace(hs[1], '&amp;', '&') AS first_href, n - m AS n_duplicates, ten AS first_ten FROM d JOIN a USING (page_id) JOIN t USING (page_id)",
     "selector_validation": f"WITH {_RULES} SELECT *, rate >= {rules.THRESHOLD} AS acceptable FROM v",
     "selector_acceptance": f"WITH {_RULES} SELECT bool_and(rate >= {rules.THRESHOLD}) AS accepted, count(*) AS n_fields FROM v WHERE field IN ('title', 'links')",
     "selector_repair": f"WITH {_RULES} SELECT v.field, v.rate AS old_rate, t.rate AS new_rate, t.rate >= {rules.THRESHOLD} AS applied FROM v, (SELECT rate FROM v WHERE field = 'title') t WHERE v.field = 'image'",

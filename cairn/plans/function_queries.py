@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
-from ..operators import crawl, graph, integrity, state
-from ..sources import packages, warc
+from ..operators import crawl, graph, integrity, rules, state
+from ..sources import config, packages, snapshots, state_json, warc
 from . import log_queries
 
 
@@ -166,7 +166,69 @@ def replay_pages(spark, d):
     return shown.select("page_id", F.regexp_extract("replay_html", r"url\('([^']*)'\)", 1).alias("css_link"), F.contains("replay_html", F.lit("url(data:x)")).alias("data_kept"))
 
 
-QUERIES = {f.__name__: f for f in (url_properties, article_links, resolved_links, run_names, answer_bodies, contained_paths, page_marks, etags_and_leases, deposit_records, deposit_listing, remote_verify, max_frontier, object_store, visit_policy, warc_roundtrip, warc_validation, package_roundtrip, replay_pages)}
+def point_lookup(spark, d):
+    """The first record of a URL that has two, in an archive of all pages and some of them again."""
+    pages = _t(spark, d, "pages").select(F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"), F.lit(200).alias("status_code"))
+    again = pages.filter(F.col("uri").contains("a")).withColumns({"payload": F.lit("again").cast("binary"), "status_code": F.lit(404)})
+    path = _folder(spark, "warc").removeprefix("file:")
+    warc.write(pages.unionByName(again).coalesce(1), path)
+    url = _t(spark, d, "pages").agg(F.max(F.when(F.col("url").contains("a"), F.col("url")))).first()[0]
+    found = warc.lookup(warc.read(spark, path), url)
+    return found.select("target_uri", "status_code", F.sha2("payload", 256).alias("payload_sha256")).unionByName(warc.lookup(warc.read(spark, path), "https://nowhere/").select("target_uri", "status_code", F.lit("-").alias("payload_sha256")))
+
+
+def stored_html(spark, d):
+    """Articles of state documents that keep their page, under three names of which the first counts."""
+    i = F.col("page_id")
+    doc = F.struct(F.concat(F.lit("p"), (i % 5).cast("string")).alias("portal_id"), F.lit("r").alias("run_id"), F.create_map("url", F.struct(F.col("url").alias("canonical_url"), F.when(i % 4 == 0, F.create_map(F.lit("raw_html"), F.lit("raw"), F.lit("html"), F.lit("h"))).when(i % 4 == 1, F.create_map(F.lit("html"), F.lit("h"), F.lit("html_content"), F.lit("c"))).when(i % 4 == 2, F.create_map(F.lit("html_content"), F.lit("c"))).alias("metadata"))).alias("articles"))
+    path = _folder(spark, "states")
+    _t(spark, d, "pages").select(F.to_json(doc).alias("value")).repartition(4).write.text(path)
+    # One document per line here; a state file of its own is read by read_states.
+    docs = spark.read.text(path).select(F.from_json("value", state_json.STATE).alias("s")).select("s.*")
+    return state_json.stored_html(docs).select("portal_id", "url", "html")
+
+
+def rule_file(spark, d):
+    """Rules read from a file, checked field by field, and run on all pages."""
+    shown = config.parse_rules("selectors:\n  title:\n    selector: article h1\n  links:\n    selector: //nav/ul/li/a\n    type: xpath\n  none: h6.x\nmetadata:\n  version: 3\n  acceptance_threshold: 0.8\n")
+    again = config.parse_rules(config.rules_text(shown))
+    found = rules.validate(_t(spark, d, "pages"), again["selectors"], again["threshold"])
+    return found.select("field", "tested", "successful", "acceptable", F.lit(again["version"]).alias("version"))
+
+
+def backup_restore(spark, d):
+    """Tables copied away and back; a second restore over them is refused."""
+    base = _folder(spark, "backup")
+    _t(spark, d, "nation").write.parquet(f"{base}/nation")
+    packages.backup(spark, {"nation": f"{base}/nation"}, f"{base}/copy")
+    packages.restore(spark, f"{base}/copy", {"nation": f"{base}/back"})
+    try:
+        packages.restore(spark, f"{base}/copy", {"nation": f"{base}/back"})
+        refused = False
+    except FileExistsError:
+        refused = True
+    return spark.read.parquet(f"{base}/back").select("n_nationkey", "n_name", F.lit(refused).alias("refused"))
+
+
+def snapshot_versions(spark, d):
+    """Two versions of a set of tables, and a writer who built on an old one."""
+    path = _folder(spark, "versions")
+    region, nation = _t(spark, d, "region"), _t(spark, d, "nation")
+    first = snapshots.publish(spark, {"region": region, "nation": nation}, path)
+    second = snapshots.publish(spark, {"region": region.filter("r_regionkey > 1"), "nation": nation.filter("n_regionkey > 1")}, path, after=first)
+    try:
+        snapshots.publish(spark, {"region": region}, path, after=first)
+        refused = False
+    except snapshots.Conflict:
+        refused = True
+    rows = [snapshots.read(spark, path, t, v).agg(F.lit(t).alias("name"), F.lit(v).alias("version"), F.count("*").alias("n_rows")) for t in ("region", "nation") for v in (first, second)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumns({"is_current": F.col("version") == snapshots.current(spark, path), "refused": F.lit(refused)})
+
+
+QUERIES = {f.__name__: f for f in (url_properties, article_links, resolved_links, run_names, answer_bodies, contained_paths, page_marks, etags_and_leases, deposit_records, deposit_listing, remote_verify, max_frontier, object_store, visit_policy, warc_roundtrip, warc_validation, package_roundtrip, replay_pages, point_lookup, stored_html, rule_file, backup_restore, snapshot_versions)}
 
 _HASH = text.config_hash({"b": 1, "a": "é"})
 #: The objects' fold as a recursion over each user's commands.
@@ -193,5 +255,10 @@ ORACLES = {
     "warc_roundtrip": "SELECT url AS target_uri, CASE WHEN page_id % 10 = 1 THEN 404 ELSE 200 END AS status_code, CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml' ELSE 'text/css' END AS content_type, octet_length(encode(html)) AS size, sha256(html) AS payload_sha256, md5(html) AS text_md5, page_id % 4 < 2 AS is_html FROM pages WHERE page_id % 10 <> 0 AND page_id % 13 <> 0",
     "warc_validation": "SELECT true AS all_valid, count(*) AS n_records, count(*) FILTER (page_id % 3 <> 0) AS n_html, 0::BIGINT AS n_errors FROM pages",
     "package_roundtrip": "SELECT 'regions' AS name, true AS verified, count(*) AS n_rows FROM region UNION ALL SELECT 'nations', true, count(*) FROM nation",
+    "point_lookup": "SELECT max(url) AS target_uri, 200 AS status_code, sha256(arg_max(html, (url, -page_id))) AS payload_sha256 FROM pages WHERE contains(url, 'a')",
+    "stored_html": "SELECT 'p' || (page_id % 5) AS portal_id, url, ['raw', 'h', 'c'][page_id % 4 + 1] AS html FROM pages WHERE page_id % 4 < 3",
+    "rule_file": "SELECT 'title' AS field, count(*) AS tested, count(*) FILTER (trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) <> '') AS successful, successful >= 0.8 * tested AS acceptable, 3 AS version FROM pages UNION ALL SELECT 'links', count(*), count(*) FILTER (len(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*[^<\\s][^<]*</a>')) > 0) AS s, s >= 0.8 * count(*), 3 FROM pages UNION ALL SELECT 'none', count(*), 0, false, 3 FROM pages",
+    "backup_restore": "SELECT n_nationkey, n_name, true AS refused FROM nation",
+    "snapshot_versions": "SELECT 'region' AS name, v AS version, count(*) FILTER (v = 1 OR r_regionkey > 1) AS n_rows, v = 2 AS is_current, true AS refused FROM region, (SELECT unnest([1, 2]) AS v) GROUP BY v UNION ALL SELECT 'nation', v, count(*) FILTER (v = 1 OR n_regionkey > 1), v = 2, true FROM nation, (SELECT unnest([1, 2]) AS v) GROUP BY v",
     "replay_pages": "WITH p AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/?#]*', 0) || '/i/' || page_id || '.png' AS u FROM pages) SELECT page_id, '/replay?url=' || replace(replace(replace(u, '%', '%25'), ':', '%3A'), '/', '%2F') AS css_link, true AS data_kept FROM p",
 }

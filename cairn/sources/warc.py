@@ -246,6 +246,11 @@ def resources(rows: DataFrame) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
+def lookup(rows: DataFrame, url: str) -> DataFrame:
+    """The first record whose URL is `url` as it stands: at most one row."""
+    return rows.filter(F.col("target_uri") == url).orderBy("file", "record_no").limit(1)
+
+
 def replayed(requests: DataFrame, index: DataFrame) -> DataFrame:
     """Each request (request_no, url) with the resource that answers it: by its normalised URL, else by that with the slash toggled, else by host, path and query whatever the scheme; a miss is a 404."""
     r = requests.withColumn("_norm", urls.lookup(F.col("url")))

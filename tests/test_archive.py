@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import crawl, observations
-from cairn.sources import config, packages, state_json, warc
+from cairn.sources import config, packages, snapshots, state_json, warc
 
 
 def test_packages_are_sealed(spark, tmp_path):
@@ -193,3 +193,28 @@ def test_files_are_validated_on_executors(spark, tmp_path):
     (tmp_path / "w" / "cut.warc").unlink()
     (tmp_path / "w" / "empty.warc").unlink()
     assert spark.read.format("warc").option("limit", "2").load(str(tmp_path / "w")).count() == 2
+
+
+def test_versions_are_published_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "v")
+    assert snapshots.current(spark, path) == 0
+    assert snapshots.publish(spark, {"a": spark.range(3), "b": spark.range(1)}, path, after=0) == 1
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        snapshots.publish(spark, {"a": spark.range(9), "b": broken}, path)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.publish(spark, {"a": spark.range(9)}, path, after=0)
+    assert snapshots.current(spark, path) == 1 and snapshots.read(spark, path, "a").count() == 3
+    assert len([p for p in (tmp_path / "v").iterdir() if p.name.startswith("version-")]) == 1
+    assert snapshots.publish(spark, {"a": spark.range(5)}, path) == 2
+    assert (snapshots.read(spark, path, "a").count(), snapshots.read(spark, path, "a", 1).count()) == (5, 3)
+
+
+def test_a_marker_that_exists_is_a_conflict(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v")
+    snapshots.publish(spark, {"a": spark.range(3)}, path)
+    monkeypatch.setattr(snapshots, "current", lambda *_: 0)  # as seen by a writer that began before
+    with pytest.raises(snapshots.Conflict):
+        snapshots.publish(spark, {"a": spark.range(9)}, path)
+    monkeypatch.undo()
+    assert snapshots.read(spark, path, "a").count() == 3

@@ -385,3 +385,10 @@ def test_conditional_writes():
     o = state.Stored()
     steps = [("put_if_match", 0, "NOT_FOUND"), ("get", None, "NOT_FOUND"), ("put_new", None, "OK"), ("put_new", None, "CONFLICT"), ("put_if_match", 0, "PRECONDITION_FAILED"), ("put_if_match", 1, "OK"), ("put_if_match", 1, "PRECONDITION_FAILED"), ("put_if_match", None, "PRECONDITION_FAILED"), ("odd", 2, "UNKNOWN_COMMAND"), ("delete", None, "OK"), ("put_if_match", 2, "NOT_FOUND"), ("put_new", None, "OK"), ("get", None, "OK")]
     assert [o.step(cmd, etag) for cmd, etag, _ in steps] == [want for *_, want in steps] and o.version == 3
+
+
+def test_head_folder_is_kept_by_its_run_dir(spark):
+    folders = spark.createDataFrame([("p", n, False, False, 1) for n in ("a1", "b2", "c3", "xb2", "")], "portal_id string, name string, is_package boolean, has_anomaly boolean, bytes long")
+    heads = spark.createDataFrame([("p", "c3", "/runs/xb2/")], "portal_id string, head_run string, run_dir string")
+    got = {r["name"]: r["reason"] for r in recovery.retention(folders, heads, 1).collect()}
+    assert got == {"a1": "RECENT", "b2": "HEAD", "xb2": "HEAD", "c3": "HEAD", "": "REMOVABLE"}

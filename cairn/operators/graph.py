@@ -140,6 +140,12 @@ def child_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.select("node", "child").distinct().join(before.select("node", "child").distinct(), ["node", "child"], "left_anti")
 
 
+def hierarchy(posts: DataFrame, levels: list[str]) -> DataFrame:
+    """Per value of the first level (a forum's category): how many of each level below it there are, and its rows."""
+    below = [F.countDistinct(level).alias(f"n_{level}s") for level in levels[1:]]
+    return posts.groupBy(levels[0]).agg(*below, F.count("*").alias("n_posts"))
+
+
 def provenance(nodes: DataFrame, articles: DataFrame) -> DataFrame:
     """Distinct navigation paths of each article, over articles (node, article)."""
     paths = articles.join(nodes, "node").select("article", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path")).distinct()

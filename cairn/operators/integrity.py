@@ -26,6 +26,15 @@ def rollup(states: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return states.groupBy(*group).agg(*(n(s).alias(f"n_{s.lower()}") for s in ("VERIFIED", "MISSING", "MISMATCH", "UNEXPECTED")), F.coalesce(F.bool_and(F.col("state") == "VERIFIED"), F.lit(True)).alias("is_valid"))
 
 
+def error_lists(states: DataFrame, faults: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Per package all errors in one text: faults of its metadata (group, error), then missing, changed and unexpected files, each kind by name."""
+    kinds = {"MISSING": 1, "MISMATCH": 2, "UNEXPECTED": 3}
+    rank = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    files = states.filter(F.col("state").isin(*kinds)).select(*group, F.try_element_at(rank, F.col("state")).alias("_k"), F.col("path").alias("error"))
+    both = faults.select(*group, F.lit(0).alias("_k"), "error").unionByName(files)
+    return both.groupBy(*group).agg(F.count("*").alias("n_errors"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "error"))), lambda r: r["error"]), "; ").alias("errors"))
+
+
 def parsed_manifest(lines: DataFrame) -> DataFrame:
     """sha256, path, line_no and error of manifest lines (line_no, value); blank lines and comments go. Paths that leave the package are errors."""
     p = lines.select("line_no", manifest_line(F.col("value")).alias("m")).select("line_no", "m.*")

@@ -91,3 +91,10 @@ def recall(found: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     n = j.agg(F.count("_f").alias("n_found"), F.count("_t").alias("n_truth"), F.count_if(F.col("_f").isNotNull() & F.col("_t").isNotNull()).alias("n_both"))
     share = lambda d: F.when(F.col(d) > 0, F.round(F.col("n_both") / F.col(d), 4)).otherwise(F.lit(0.0))
     return n.withColumns({"recall": share("n_truth"), "precision": share("n_found")})
+
+
+def classified(found: DataFrame, truth: DataFrame, key: str, total: Column) -> DataFrame:
+    """One row: false positives, false negatives and the accuracy over `total` rows (four digits; 0 of none)."""
+    j = found.select(key).distinct().withColumn("_f", F.lit(1)).join(truth.select(key).distinct().withColumn("_t", F.lit(1)), key, "full_outer")
+    n = j.agg(F.count_if(F.col("_t").isNull()).alias("false_positives"), F.count_if(F.col("_f").isNull()).alias("false_negatives"))
+    return n.withColumn("accuracy", F.when(total > 0, F.round((total - F.col("false_positives") - F.col("false_negatives")) / total, 4)).otherwise(F.lit(0.0)))

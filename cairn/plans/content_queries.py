@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import html, json_payload, text, urls
-from ..operators import integrity, recovery, rules, state
+from ..operators import integrity, observations, recovery, rules, state
 from ..sources import warc
 
 RULES = {
@@ -122,6 +122,13 @@ def content_categories(spark, d):
     return warc.categories(_as_records(spark, d))
 
 
+def category_errors(spark, d):
+    """Pages that count as HTML by a loose test of their type, against those that are usable."""
+    r = _as_records(spark, d)
+    strict = r.filter(F.coalesce(text.usable_html(F.col("warc_type"), F.col("status_code"), F.col("content_type"), F.col("payload_length")), F.lit(False)) | (F.col("page_id") % 17 == 0))
+    return observations.classified(warc.html_records(r), strict, "page_id", F.lit(r.count()))
+
+
 def usable_html(spark, d):
     r = _as_records(spark, d)
     return r.agg(F.count_if((F.col("warc_type") == "response") & text.loose_html(F.col("content_type"))).alias("n_loose"), F.count_if(F.coalesce(text.usable_html(F.col("warc_type"), F.col("status_code"), F.col("content_type"), F.col("payload_length")), F.lit(False))).alias("n_strict"))
@@ -180,6 +187,13 @@ def manifest_rollup(spark, d):
     return integrity.rollup(manifest_verify(spark, d).withColumn("package", F.length("path")), ["package"])
 
 
+def package_errors(spark, d):
+    """All errors of packages of files, with faults of their metadata."""
+    states = manifest_verify(spark, d).withColumn("package", F.length("path"))
+    faults = _t(spark, d, "documents").filter("doc_id < 3").select(F.length(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))).alias("package"), F.concat(F.lit("fault "), F.col("doc_id").cast("string")).alias("error"))
+    return integrity.error_lists(states, faults, ["package"]).select("package", "n_errors", F.md5("errors").alias("errors_md5"))
+
+
 def manifest_lines(spark, d):
     i = F.col("doc_id")
     name = F.when(i % 9 == 0, "../x").when(i % 9 == 1, "C:/y").when(i % 9 == 2, "a//./b\\c").when(i % 9 == 3, "/abs").otherwise(F.concat(F.lit("docs/"), i.cast("string")))
@@ -330,7 +344,7 @@ SELECT i AS page_id, o || '/img/' || i || '.png' AS asset_url, 'image' AS resour
 UNION ALL SELECT i, 'https://cdn.example/logo.svg', 'image', false FROM o WHERE i % 3 = 0 UNION ALL SELECT i, o || '/foot' || (i % 2) || '.png', 'image', true FROM o WHERE i % 4 = 0 UNION ALL SELECT i, o || '/s' || (i % 3) || '.css', 'css', true FROM o
 UNION ALL SELECT i, o || '/favicon.ico', 'image', true FROM o WHERE i % 2 = 1 UNION ALL SELECT i, o || '/app' || (i % 2) || '.js', 'javascript', true FROM o WHERE i % 3 = 1 UNION ALL SELECT i, 'https://fonts.example/f.woff2', 'font', false FROM o WHERE i % 5 = 0 UNION ALL SELECT i, o || '/v' || i || '.mp4', 'video', true FROM o WHERE i % 11 = 0)"""
 
-QUERIES = {f.__name__: f for f in (html_metadata, lazy_loading, lazy_samples, page_assets, assets_by_type, page_image_roles, link_discovery, rewritten_links, reduced_pages, selector_validation, selector_acceptance, selector_repair, field_accuracy, html_split, content_categories, usable_html, replay_lookup, content_dedup, file_digests, json_classes, text_similarity, rule_proposals, manifest_verify, manifest_rollup, manifest_lines, manifest_text, fk_audit, pointer_audit, deposit_verify, deposit_quota, deposit_transitions, catalog_reconcile, reconcile_actions, fallback_heads, retention_plan, reclaimable_bytes, baseline_checks, outbox_fold, lease_fold)}
+QUERIES = {f.__name__: f for f in (html_metadata, lazy_loading, lazy_samples, page_assets, assets_by_type, page_image_roles, link_discovery, rewritten_links, reduced_pages, selector_validation, selector_acceptance, selector_repair, field_accuracy, html_split, content_categories, category_errors, usable_html, replay_lookup, content_dedup, file_digests, json_classes, text_similarity, rule_proposals, manifest_verify, manifest_rollup, package_errors, manifest_lines, manifest_text, fk_audit, pointer_audit, deposit_verify, deposit_quota, deposit_transitions, catalog_reconcile, reconcile_actions, fallback_heads, retention_plan, reclaimable_bytes, baseline_checks, outbox_fold, lease_fold)}
 
 ORACLES = {
     "html_metadata": f"SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS heading, CASE WHEN page_id % 3 = 0 THEN 'https://c.example/' || page_id ELSE '-' END AS canonical_url, CASE WHEN page_id % 4 > 0 THEN 'A' || (page_id % 4) ELSE '-' END AS author, CASE WHEN page_id % 5 = 1 THEN '2023-0' || (page_id % 9 + 1) || '-01' WHEN page_id % 6 = 0 THEN '2024-01-01' ELSE '-' END AS publication_date, CASE WHEN page_id % 8 = 0 THEN {_ORIGIN} || '/wp-json/' ELSE '-' END AS rest_api_url FROM pages",
@@ -353,6 +367,7 @@ ORACLES = {
     "field_accuracy": "SELECT unnest(['title', 'body', 'ad']) AS field, count(*) AS n_expected, unnest([count(*), count(*), count(*) FILTER (page_id % 4 > 0)]) AS n_correct, round(unnest([count(*), count(*), count(*) FILTER (page_id % 4 > 0)]) / count(*), 4) AS accuracy FROM pages",
     "content_categories": "WITH c AS (SELECT CASE WHEN page_id % 13 = 0 THEN 'OTHER' ELSE ['HTML', 'HTML', 'CSS', 'JAVASCRIPT', 'IMAGE', 'JSON', 'FONT', 'TEXT', 'XML', 'PDF', CASE WHEN page_id % 2 = 0 AND split_part(url || '.css', '?', 1) LIKE '%.css' THEN 'CSS' ELSE 'OTHER' END][page_id % 11 + 1] END AS category FROM pages), d AS (SELECT unnest(['HTML', 'CSS', 'JAVASCRIPT', 'IMAGE', 'JSON', 'FONT', 'TEXT', 'XML', 'PDF', 'OTHER']) AS category) SELECT d.category, count(c.category) AS n FROM d LEFT JOIN c USING (category) GROUP BY 1",
     "usable_html": "SELECT count(*) FILTER (page_id % 13 <> 0 AND page_id % 11 < 2) AS n_loose, count(*) FILTER (page_id % 13 <> 0 AND page_id % 11 < 2 AND page_id % 5 <> 1) AS n_strict FROM pages",
+    "category_errors": "WITH f AS (SELECT page_id, page_id % 13 <> 0 AND page_id % 11 < 2 AS loose, (page_id % 13 <> 0 AND page_id % 11 < 2 AND page_id % 5 <> 1) OR page_id % 17 = 0 AS strict FROM pages) SELECT count(*) FILTER (loose AND NOT strict) AS false_positives, count(*) FILTER (strict AND NOT loose) AS false_negatives, round(count(*) FILTER (loose = strict) / count(*), 4) AS accuracy FROM f",
     "content_dedup": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1",
     "file_digests": "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents",
     "json_classes": "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'NON_JSON' WHEN event_id % 4 = 2 THEN 'METADATA_JSON' WHEN event_id % 100 > 50 THEN 'CONTENT_JSON' ELSE 'METADATA_JSON' END AS json_class FROM events",
@@ -362,6 +377,7 @@ n AS (SELECT *, len(list_intersect(a, b)) AS o FROM w) SELECT doc_id, item_id, C
     "rule_proposals": "WITH s AS (SELECT page_id, page_id % 13 = 0 AS blank, page_id % 11 AS k, page_id % 7 AS m FROM pages) SELECT page_id, CASE WHEN blank THEN 'INVALID_FIELD' WHEN k = 0 THEN 'DISALLOWED_KEYS' WHEN k = 1 THEN 'MISSING_SELECTOR' WHEN m = 0 THEN 'EMPTY_SELECTOR' WHEN k = 2 THEN 'UNSUPPORTED_TYPE' WHEN m < 4 THEN 'DANGEROUS_PATTERN' ELSE 'OK' END AS result FROM s",
     "manifest_verify": "SELECT 'docs/' || doc_id AS path, CASE WHEN doc_id % 19 = 0 THEN 'MISSING' WHEN doc_id % 23 = 0 THEN 'UNEXPECTED' WHEN doc_id % 17 = 0 THEN 'MISMATCH' ELSE 'VERIFIED' END AS state FROM documents WHERE NOT (doc_id % 19 = 0 AND doc_id % 23 = 0)",
     "manifest_rollup": "WITH v AS (SELECT length('docs/' || doc_id) AS package, CASE WHEN doc_id % 19 = 0 THEN 'MISSING' WHEN doc_id % 23 = 0 THEN 'UNEXPECTED' WHEN doc_id % 17 = 0 THEN 'MISMATCH' ELSE 'VERIFIED' END AS state FROM documents WHERE NOT (doc_id % 19 = 0 AND doc_id % 23 = 0)) SELECT package::INT AS package, count(*) FILTER (state = 'VERIFIED') AS n_verified, count(*) FILTER (state = 'MISSING') AS n_missing, count(*) FILTER (state = 'MISMATCH') AS n_mismatch, count(*) FILTER (state = 'UNEXPECTED') AS n_unexpected, bool_and(state = 'VERIFIED') AS is_valid FROM v GROUP BY package",
+    "package_errors": "WITH v AS (SELECT length('docs/' || doc_id) AS package, CASE WHEN doc_id % 19 = 0 THEN 1 WHEN doc_id % 23 = 0 THEN 3 WHEN doc_id % 17 = 0 THEN 2 END AS k, 'docs/' || doc_id AS error FROM documents WHERE NOT (doc_id % 19 = 0 AND doc_id % 23 = 0) UNION ALL SELECT length('docs/' || doc_id), 0, 'fault ' || doc_id FROM documents WHERE doc_id < 3) SELECT package::INT AS package, count(*) AS n_errors, md5(string_agg(error, '; ' ORDER BY k, error)) AS errors_md5 FROM v WHERE k IS NOT NULL GROUP BY package",
     "manifest_lines": "WITH s AS (SELECT doc_id AS line_no, doc_id % 10 AS k, doc_id % 9 AS m, md5(doc_id::VARCHAR) AS h FROM documents) SELECT line_no, CASE WHEN k <> 2 THEN h END AS sha256, CASE WHEN k = 2 THEN NULL WHEN m = 0 THEN '../x' WHEN m = 1 THEN 'C:/y' WHEN m = 2 THEN 'a/b/c' WHEN m = 3 THEN '/abs' ELSE 'docs/' || line_no END AS path, CASE WHEN k = 2 THEN 'MALFORMED' WHEN m IN (0, 1, 3) THEN 'UNSAFE_PATH' END AS error FROM s WHERE k > 1",
     "manifest_text": "WITH t AS (SELECT string_agg(sha256(html) || '  p/' || page_id, chr(10) ORDER BY 'p/' || page_id) || chr(10) AS text FROM pages) SELECT sha256(text) AS package_fingerprint, length(text)::INT AS length FROM t",
     "fk_audit": "SELECT 'orders_customer' AS constraint_name, count(*) AS n_violations FROM orders WHERE o_orderkey % 40 <> 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 50 <> 0) UNION ALL SELECT 'lineitem_orders', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 40 <> 0) UNION ALL SELECT 'customer_nation', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)",

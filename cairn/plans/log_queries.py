@@ -257,10 +257,17 @@ def new_posts(spark, d):
 def forum_hierarchy(spark, d):
     """Posts, topics and pages per category: category, page, topic, post as four levels."""
     c = _t(spark, d, "conversations").select((F.col("conv_id") % 9).alias("category"), (F.col("conv_id") % 9 * 100 + F.col("conv_id") % 3).alias("page"), F.col("conv_id").alias("topic"), "turn")
-    return c.groupBy("category").agg(F.countDistinct("page").alias("n_pages"), F.countDistinct("topic").alias("n_topics"), F.count("*").alias("n_posts"))
+    return graph.hierarchy(c, ["category", "page", "topic"])
 
 
-QUERIES = {f.__name__: f for f in (stability_islands, visit_budget, request_phases, convergence, head_verification, boundary_revisits, retry_summary, recall_precision, run_catalog, runs_by_status, interrupted_runs, recovered_runs, latest_state, upsert_merge, registry_state, cascade_delete, restricted_delete, nav_bfs, nav_link_kinds, nav_dfs_order, nav_reach, provenance_paths, redirect_chains, gate_sessions, thread_pages, logical_articles, new_posts, forum_hierarchy)}
+def registry_by_status(spark, d):
+    """Registered URLs whose capture failed, in the order of their registration."""
+    state = registry_state(spark, d)
+    seq = _t(spark, d, "pages").groupBy("url").agg(F.min("page_id").alias("seq"))
+    return ledger.with_status(state.join(seq, "url").withColumnRenamed("capture_status", "status"), ["FAILED"], [F.col("seq")], 50).select("url", "status", "error", "seq")
+
+
+QUERIES = {f.__name__: f for f in (stability_islands, visit_budget, request_phases, convergence, head_verification, boundary_revisits, retry_summary, recall_precision, run_catalog, runs_by_status, interrupted_runs, recovered_runs, latest_state, upsert_merge, registry_state, cascade_delete, restricted_delete, nav_bfs, nav_link_kinds, nav_dfs_order, nav_reach, provenance_paths, redirect_chains, gate_sessions, thread_pages, logical_articles, new_posts, forum_hierarchy, registry_by_status)}
 
 ORACLES = {
     "stability_islands": f"WITH {_ISLANDS} SELECT event_id, page, visit_no, change_type, stable_count, stable_count >= 2 AS is_stable FROM st",
@@ -290,5 +297,6 @@ ORACLES = {
     "thread_pages": _THREADS,
     "logical_articles": _LOGICAL,
     "new_posts": "WITH t AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, md5(text) AS h FROM conversations) SELECT DISTINCT conv_id AS node, h AS child FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.conv_id = t.conv_id AND u.h = t.h AND u.turn % 2 = 0)",
+    "registry_by_status": "WITH e AS (SELECT url, page_id % 3 = 0 AS failed FROM pages WHERE page_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1), s AS (SELECT url, min(page_id) AS seq FROM pages GROUP BY url) SELECT url, 'FAILED' AS status, 'timeout' AS error, seq FROM e JOIN s USING (url) WHERE failed ORDER BY seq LIMIT 50",
     "forum_hierarchy": "SELECT conv_id % 9 AS category, count(DISTINCT conv_id % 9 * 100 + conv_id % 3) AS n_pages, count(DISTINCT conv_id) AS n_topics, count(*) AS n_posts FROM conversations GROUP BY 1",
 }

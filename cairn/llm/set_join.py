@@ -9,7 +9,8 @@ similarity of their sets reaches PERCENT / 100. Equal sets are one node (their h
 2. Index. Each set posts these grams with its size and the gram's position. A gram's list is sorted by size and skipped in
    blocks: a block is left once its sizes exceed |x| / t; inside, position bounds the overlap still possible. Pairs of
    short lists, and the rows of long ones, then meet the sets' sketches (counts of grams by hash in cells), whose distance
-   bounds the symmetric difference from below. A long list becomes a forest: of n sets n - 1 edges at most go on.
+   bounds the symmetric difference from below. A long list becomes a forest: of n sets n - 1 edges at most go on. A list of
+   over LIST_ROWS sets is cut into blocks, which meet as those of a family do (3), so that no list is a single task's work.
 3. The edges' components hold every link, and a component is one family of similar sets. Their texts are brought
    together as blocks of FAMILY_ROWS, so that no family is a single task's work. Each block is joined with itself and with the
    family's first one. That settles a family whose sets hang together, as a hot group of near copies does: each text is sent
@@ -41,7 +42,9 @@ from .textkit import Counts, Powers, WordHashes, mix, slices, stored, unique, wi
 GRAM, PERCENT = 3, 90
 HEAVY = 1 << 16
 TASK_COUNTS = 1 << 16
-FAMILY_ROWS = 512
+FAMILY_ROWS, LIST_ROWS = 512, 1024
+#: Rows of one list that are held at a time while lists are told apart.
+HELD_ROWS = 1 << 16
 _POST = "gram bigint, node bigint, size int, place int"
 _LIST = "gram bigint, a bigint, b bigint, size int, place int"
 _EDGE = "a bigint, b bigint"
@@ -185,6 +188,12 @@ class Forest:
     def __init__(self, n: int) -> None:
         self.up = np.arange(n)
 
+    def grouped(self, groups: np.ndarray | list[int] | None) -> None:
+        """Join the members of each group, before anything else is joined."""
+        if groups is not None:
+            _, first, inverse = np.unique(groups, return_index=True, return_inverse=True)
+            self.up = first[inverse]
+
     def root(self, i: int) -> int:
         up = self.up
         while up[i] != i:
@@ -212,10 +221,12 @@ def in_reach(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray,
     return (y * percent <= x * 100) & (np.minimum(x - place[i], y - place[j]) >= overlap(x, y, percent))
 
 
-def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: list[bytes], percent: int, block: int = 256) -> list[tuple[int, int]]:
-    """Forest over the pairs of a gram's list, sorted by size, that no bound excludes."""
+def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: list[bytes], percent: int, block: int = 256, side: np.ndarray | None = None, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Forest over the pairs of a gram's list, sorted by size, that no bound excludes. side: of a list of two blocks, only pairs between them count. groups: of sets that are joined already."""
     n = len(node)
     forest, edges = Forest(n), []
+    forest.grouped(groups)
+    two = side is not None and side.min() != side.max()
     widths = np.array([len(s) for s in sketches])
     kinds = np.unique(widths).tolist()
     marks = {}
@@ -234,6 +245,8 @@ def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches:
             i, j = np.nonzero((roots[a:b, None] != roots[None, start:end]) & (np.arange(start, end)[None, :] > np.arange(a, b)[:, None]))
             i, j = i + a, j + start
             good = in_reach(size, place, i, j, percent)
+            if two:
+                good &= side[i] != side[j]
             i, j = i[good], j[good]
             most = size[i] + size[j] - 2 * overlap(size[i], size[j], percent)
             w = np.minimum(widths[i], widths[j])
@@ -261,22 +274,67 @@ def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches:
 SHORT_LIST = 12
 
 
-def table_lists(table: pa.Table, percent: int, last: bool) -> tuple[pa.RecordBatch | None, int]:
-    """(pairs of short lists, rows of long ones; first row of the list that is still open) of a table in (gram, size, node) order."""
+def _list_rows(pairs: np.ndarray, gram: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Pairs of short lists, and rows of long ones."""
+    none = lambda m, t: pa.nulls(m, t)
+    m, q = len(pairs), len(gram)
+    columns = [
+        pa.concat_arrays([none(m, pa.int64()), pa.array(gram)]),
+        pa.concat_arrays([pa.array(pairs[:, 0].copy()), pa.array(node)]),
+        pa.concat_arrays([pa.array(pairs[:, 1].copy()), none(q, pa.int64())]),
+        pa.concat_arrays([none(m, pa.int32()), pa.array(size.astype(np.int32))]),
+        pa.concat_arrays([none(m, pa.int32()), pa.array(place.astype(np.int32))]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["gram", "a", "b", "size", "place"])
+
+
+def _lists(percent: int):
+    """Rows in (gram, size, node) order -> pairs of short lists and rows of long ones. An open list is held until it ends; one of over HELD_ROWS rows goes on at once, and what follows of it too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        long: int | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n = sum(b.num_rows for b in held)
+            if held[0].column("gram")[0] == batch.column("gram")[batch.num_rows - 1] and n <= HELD_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            gram = table.column("gram").to_numpy()
+            rest = int(np.searchsorted(gram, gram[-1]))
+            if not rest:
+                rest, long_now = n, int(gram[0])
+            else:
+                long_now = long
+            made = table_lists(table.slice(0, rest), percent, long_now)
+            long = long_now if long_now == int(gram[-1]) else None
+            held = table.slice(rest).combine_chunks().to_batches()
+            if made is not None:
+                yield made
+        if held and (made := table_lists(pa.Table.from_batches(held), percent, long)) is not None:
+            yield made
+
+    return run
+
+
+def table_lists(table: pa.Table, percent: int, long: int | None = None) -> pa.RecordBatch | None:
+    """Pairs of short lists, and rows of long ones, of a table in (gram, size, node) order; `long`: a gram whose list is long whatever stands here."""
     gram, node, size, place = (table.column(c).to_numpy() for c in ("gram", "node", "size", "place"))
-    rest = len(gram) if last or not len(gram) else int(np.searchsorted(gram, gram[-1]))
-    gram, node, size, place = (x[:rest] for x in (gram, node, size, place))
-    if not rest:
-        return None, rest
+    if not len(gram):
+        return None
     # Copies of a set post the same rows; one stays.
     keep = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
     gram, node, size, place = (x[keep] for x in (gram, node, size, place))
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     length = np.diff(np.concatenate([start, [len(gram)]]))
     n = np.repeat(length, length)
+    if long is not None:
+        n[gram == long] = SHORT_LIST + 1
     shared = n > 1
     if not shared.any():
-        return None, rest
+        return None
     gram, node, size, place, n = (x[shared] for x in (gram, node, size.astype(np.int64), place.astype(np.int64), n))
     short = n <= SHORT_LIST
     found = []
@@ -290,41 +348,27 @@ def table_lists(table: pa.Table, percent: int, last: bool) -> tuple[pa.RecordBat
     if len(pairs):
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
-    long = np.flatnonzero(~short)
-    none = lambda m, t: pa.nulls(m, t)
-    m, q = len(pairs), len(long)
-    if not m + q:
-        return None, rest
-    columns = [
-        pa.concat_arrays([none(m, pa.int64()), pa.array(gram[long])]),
-        pa.concat_arrays([pa.array(pairs[:, 0].copy()), pa.array(node[long])]),
-        pa.concat_arrays([pa.array(pairs[:, 1].copy()), none(q, pa.int64())]),
-        pa.concat_arrays([none(m, pa.int32()), pa.array(size[long].astype(np.int32))]),
-        pa.concat_arrays([none(m, pa.int32()), pa.array(place[long].astype(np.int32))]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["gram", "a", "b", "size", "place"]), rest
+    of = np.flatnonzero(~short)
+    return _list_rows(pairs, gram[of], node[of], size[of], place[of]) if len(pairs) + len(of) else None
 
 
-def _by_list(work, *args):
-    """Rows sorted by gram -> work(table of whole lists, *args, last): a list that spans batches is held until it ends."""
+def _by_part(work):
+    """Rows sorted by part -> work(table of one whole part): a part that spans batches is held until it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if held[0].column("gram")[0] == batch.column("gram")[batch.num_rows - 1]:
-                continue
-            table = pa.Table.from_batches(held)
-            made, rest = work(table, *args, False)
-            held = table.slice(rest).combine_chunks().to_batches()
-            if made is not None:
-                yield made
-        if held:
-            made, _ = work(pa.Table.from_batches(held), *args, True)
-            if made is not None:
-                yield made
+            part = np.asarray(batch.column("part"))
+            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if held and held[0].column("part")[0] != batch.column("part")[a]:
+                        if (made := work(pa.Table.from_batches(held))) is not None:
+                            yield made
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held and (made := work(pa.Table.from_batches(held))) is not None:
+            yield made
 
     return run
 
@@ -336,16 +380,14 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in rows], pa.int64()), pa.array([e[1] for e in rows], pa.int64())], ["a", "b"])
 
 
-def long_lists(table: pa.Table, percent: int, last: bool) -> tuple[pa.RecordBatch | None, int]:
-    """Forests of long lists, from rows in (gram, size, node) order with their sketches."""
-    gram, node, size, place = (table.column(c).to_numpy() for c in ("gram", "node", "size", "place"))
-    rest = len(gram) if last else int(np.searchsorted(gram, gram[-1]))
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    edges: list[tuple[int, int]] = []
-    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(gram)], strict=True):
-        if b <= rest:
-            edges += list_edges(node[a:b], size[a:b].astype(np.int64), place[a:b].astype(np.int64), table.column("sketch").slice(a, b - a).to_pylist(), percent)
-    return _edge_batch(edges), rest
+def long_lists(percent: int):
+    """Forest of a list, or of two blocks of one, from rows in the order of size with their sketches."""
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        node, size, place, side, group = (table.column(c).to_numpy() for c in ("node", "size", "place", "side", "grp"))
+        return _edge_batch(list_edges(node, size.astype(np.int64), place.astype(np.int64), table.column("sketch").to_pylist(), percent, side=side, groups=group))
+
+    return _by_part(work)
 
 
 def _near_pairs(percent: int):
@@ -369,13 +411,37 @@ def _near_pairs(percent: int):
 
 def candidates(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every link; nodes has (node, size, sketch)."""
-    lists = stored(posts.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_by_list(table_lists, percent), _LIST))
+    lists = stored(posts.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_lists(percent), _LIST))
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     pairs = lists.filter("b IS NOT NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
     near = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near_pairs(percent), _EDGE)
-    rows = lists.filter("b IS NULL").select("gram", F.col("a").alias("node"), "size", "place").join(nodes.select("node", "sketch"), "node")
-    forests = rows.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_by_list(long_lists, percent), _EDGE)
-    return near.unionByName(forests)
+    rows = lists.filter("b IS NULL").select(F.col("gram").alias("root"), F.col("a").alias("node"), "size", "place")
+    blocks = stored(rows.groupBy("root").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks")).filter("blocks > 1"))
+    cut = not blocks.isEmpty()
+    rows = rows.join(blocks, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if cut else rows.withColumn("blocks", F.lit(1))
+    payload = ["size", "place", "sketch"]
+
+    def forests(met: DataFrame) -> DataFrame:
+        return met.repartition("part").sortWithinPartitions("part", "size", "node").mapInArrow(long_lists(percent), _EDGE)
+
+    # Sketches come to the rows before they are sent to blocks.
+    rows = rows.join(nodes.select("node", "sketch"), "node")
+    if not cut:
+        return near.unionByName(forests(_first_meetings(rows, payload)))
+    rows = stored(rows.dropDuplicates(["root", "node"]))
+    first = stored(components(near.unionByName(forests(_first_meetings(rows, payload)))))
+    members = rows.filter("blocks > 1").select("root", "node", "size").join(first.select("node", F.col("root").alias("grp")), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    members = stored(members.join(_parted(members), "root", "left_semi"))
+    edges = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if members.isEmpty():
+        return edges
+    met = _later_meetings(members, percent, LIST_ROWS).join(rows.select("root", "node", *payload), ["root", "node"])
+    return edges.unionByName(forests(met))
+
+
+def _parted(members: DataFrame) -> DataFrame:
+    """Roots of members (root, grp) that hold more than one group."""
+    return members.groupBy("root").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("root")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -412,9 +478,7 @@ def family_edges(nodes_a: list[int], sets_a: list[np.ndarray], nodes_b: list[int
     others, sets = (nodes_a, sets_a) if within else (nodes_b, sets_b)
     n, m = len(nodes_a), len(others)
     forest, edges = Forest(n if within else n + m), []
-    if groups is not None:
-        _, first, inverse = np.unique(groups, return_index=True, return_inverse=True)
-        forest.up = first[inverse]
+    forest.grouped(groups)
     shift = 0 if within else n
     sizes_a, sizes_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets])
     low, high = need(sizes_a, percent), sizes_a * 100 // percent
@@ -470,20 +534,20 @@ def _families(gram: int, percent: int):
     return run
 
 
-def _first_meetings(members: DataFrame) -> DataFrame:
-    """members (node, root, blocks, text) with part, side and grp: each block alone, and with block 0 of its family."""
+def _first_meetings(members: DataFrame, payload: list[str]) -> DataFrame:
+    """members (node, root, blocks) with part, side and grp: each block alone, and with block 0 of its family."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
     meets = F.transform(others, lambda j: F.struct(F.concat_ws(":", "root", F.least(F.col("block"), j), F.greatest(F.col("block"), j)).alias("part"), (F.col("block") > j).cast("int").alias("side")))
-    return members.withColumn("block", block).withColumn("m", F.explode(meets)).select("m.part", "m.side", "node", F.col("node").alias("grp"), "text")
+    return members.withColumn("block", block).withColumn("m", F.explode(meets)).select("m.part", "m.side", "node", F.col("node").alias("grp"), *payload)
 
 
-def _later_meetings(members: DataFrame, percent: int) -> DataFrame:
+def _later_meetings(members: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """members (node, root, size, grp) with part and side: the blocks of one group, or of several small ones, against those of other groups in reach. Pairs are made of blocks, not of members."""
     n = members.groupBy("root", "grp").agg(F.count("*").alias("n"))
-    small = F.col("n") < FAMILY_ROWS
+    small = F.col("n") < block_rows
     pool = n.groupBy("root").agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("pool"))
-    n = n.join(pool, "root").select("root", "grp", F.when(small, F.concat(F.lit("p"), F.pmod(F.xxhash64("grp"), F.ceil(F.col("pool") / FAMILY_ROWS)).cast("string"))).alias("shared"), F.ceil(F.col("n") / FAMILY_ROWS).alias("own"))
+    n = n.join(pool, "root").select("root", "grp", F.when(small, F.concat(F.lit("p"), F.pmod(F.xxhash64("grp"), F.ceil(F.col("pool") / block_rows)).cast("string"))).alias("shared"), F.ceil(F.col("n") / block_rows).alias("own"))
     own = F.concat_ws(".", F.lit("g"), "grp", F.pmod(F.xxhash64("node"), F.col("own")))
     placed = members.join(n, ["root", "grp"]).withColumn("block", F.coalesce("shared", own))
     blocks = placed.groupBy("root", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.when(F.col("shared").isNull(), F.col("grp"))).alias("only"))
@@ -492,7 +556,7 @@ def _later_meetings(members: DataFrame, percent: int) -> DataFrame:
     reach = (F.col("low_a") * percent <= F.col("high_b") * 100) & (F.col("low_b") * percent <= F.col("high_a") * 100)
     pairs = a.join(b.hint("merge"), "root").filter((F.col("block_a") <= F.col("block_b")) & apart & reach).withColumn("part", F.concat_ws(":", "root", "block_a", "block_b"))
     sides = pairs.select("root", "part", F.col("block_a").alias("block"), F.lit(0).alias("side")).unionByName(pairs.filter("block_a <> block_b").select("root", "part", F.col("block_b").alias("block"), F.lit(1).alias("side")))
-    return placed.select("root", "block", "node", "grp").join(sides.hint("merge"), ["root", "block"]).select("node", "part", "side", "grp")
+    return placed.select("root", "block", "node", "grp").join(sides.hint("merge"), ["root", "block"]).select("root", "node", "part", "side", "grp")
 
 
 def linked_nodes(texts: DataFrame, lead: DataFrame, families: DataFrame, gram: int, percent: int) -> DataFrame:
@@ -509,15 +573,14 @@ def linked_nodes(texts: DataFrame, lead: DataFrame, families: DataFrame, gram: i
     row = [*of_row, "key"]
     found = texts.withColumns(of_row).select(*row, "text").join(members.withColumns(of_row).drop("doc_id").hint("merge"), row).dropDuplicates(row)
     members = stored(found.select("node", "root", "blocks", "size", F.encode("text", "UTF-8").alias("text")))
-    first = stored(components(exact(_first_meetings(members))))
+    first = stored(components(exact(_first_meetings(members, ["text"]))))
     large = members.filter("blocks > 1").select("node", "root", "size").join(first.select("node", F.col("root").alias("grp")), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    parted = large.groupBy("root").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a <> b").select("root")
-    large = stored(large.join(parted, "root", "left_semi"))
+    large = stored(large.join(_parted(large), "root", "left_semi"))
     if large.isEmpty():
         return first
     # Links between groups join the groups' roots.
     of = lambda c: large.select(F.col("node").alias(c), F.col("grp").alias(f"{c}_grp"))
-    met = _later_meetings(large, percent).join(members.filter("blocks > 1").select("node", "text"), "node")
+    met = _later_meetings(large, percent, FAMILY_ROWS).drop("root").join(members.filter("blocks > 1").select("node", "text"), "node")
     between = exact(met).join(of("a"), "a").join(of("b"), "b").select(F.col("a_grp").alias("a"), F.col("b_grp").alias("b"))
     joined = stored(components(between))
     known = first.unionByName(large.filter("node = grp").select("node", F.col("grp").alias("root"))).distinct()

@@ -12,6 +12,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -123,6 +124,7 @@ def test_large_families_link_across_blocks(spark, make_docs, monkeypatch, block)
     """Families of many blocks: one that hangs together, one in several groups, and chains of sets that grow."""
     monkeypatch.setattr(set_join, "FAMILY_ROWS", block)
     monkeypatch.setattr(set_join, "SHORT_LIST", 2)
+    monkeypatch.setattr(set_join, "LIST_ROWS", 2 * block)
     rng, rows = random.Random(4), []
 
     def add(words):
@@ -140,7 +142,7 @@ def test_large_families_link_across_blocks(spark, make_docs, monkeypatch, block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in set_join.join(make_docs(rows, 4), 3, 90).collect()}
     assert got == plain_components(rows, 3, 90)
     nodes = spark.createDataFrame([(i, i % 2 * 50) for i in range(400)], "node long, root long").withColumn("size", F.lit(10))
-    loose = set_join._later_meetings(nodes.withColumn("grp", F.when(F.col("node") < 380, F.col("root")).otherwise(F.col("node"))).withColumn("root", F.lit(1)), 90)
+    loose = set_join._later_meetings(nodes.withColumn("grp", F.when(F.col("node") < 380, F.col("root")).otherwise(F.col("node"))).withColumn("root", F.lit(1)), 90, block)
     met = {}
     for r in loose.collect():
         met.setdefault(r["part"], []).append((r["node"], r["grp"]))
@@ -149,6 +151,26 @@ def test_large_families_link_across_blocks(spark, make_docs, monkeypatch, block)
     assert pairs == {frozenset((a, b)) for a, b in combinations(range(400), 2) if groups[a] != groups[b]}
 
 
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_long_lists_go_on_at_once(monkeypatch, most):
+    monkeypatch.setattr(set_join, "HELD_ROWS", most)
+    rng = random.Random(most)
+    rows = sorted((g, 100, n % 40, 0) for g, size in enumerate([1, 2, 50, 3, 30, 1, 14, 60, 2]) for n in rng.sample(range(90), size))
+    batches = [pa.record_batch(dict(zip(("gram", "size", "node", "place"), map(list, zip(*rows[i : i + 7]))))) for i in range(0, len(rows), 7)]
+    pairs, lists = set(), {}
+    for b in set_join._lists(90)(iter(batches)):
+        for r in b.to_pylist():
+            if r["b"] is None:
+                lists.setdefault(r["gram"], set()).add(r["a"])
+            else:
+                pairs.add((r["a"], r["b"]))
+    nodes = {}
+    for g, _, n, _ in rows:
+        nodes.setdefault(g, set()).add(n)
+    assert all(lists[g] == ns for g, ns in nodes.items() if len(ns) > set_join.SHORT_LIST or g in lists)
+    assert pairs >= {(a, b) for g, ns in nodes.items() if g not in lists for a, b in combinations(sorted(ns), 2)}
+
+
 def test_set_join_of_texts_that_share_ids(make_docs):
     c, b = [f"c{i}" for i in range(60)], [f"b{i}" for i in range(60)]
     c2, b2 = [*c[:-1], "z"], [*b[:-1], "z"]

@@ -5,7 +5,7 @@ Kinds. Base: assign, access, hex. Added, each kept only if its embedded checksum
 bytes equals the decoded size). `hex` has no keyword: its automaton words would be the sixteen digits themselves, so one
 compiled scan for long runs stands in for the prefilter.
 
-Null and empty texts have no span. A repeated row gives a repeated result. Columns of the input with names of the result
+Null and empty texts have no span. A repeated row gives a repeated result, a null doc_id stays null, an empty table gives no rows. Columns of the input with names of the result
 are not carried along; the operator returns doc_id and its own columns only.
 """
 

@@ -6,7 +6,9 @@ merge can then cross such a boundary, so the pieces on its two sides depend on t
 
 A chunk and its successor overlap; they are spliced at the last boundary in the overlap which is stable and where both
 encodings begin a piece. If the overlap holds none (a long run without spaces, or one long run of spaces), it is doubled
-and both chunks are encoded anew, up to the whole rest of the text. Null counts as empty: no bytes, no tokens.
+and both chunks are encoded anew, up to the whole rest of the text. Null counts as empty: no bytes, no tokens. A repeated row
+gives a repeated result, a null doc_id stays null, an empty table gives no rows. Only doc_id and text are read, so further columns
+of any name are ignored.
 """
 
 from __future__ import annotations

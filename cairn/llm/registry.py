@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dominance, licenses, neighbours, packing, repeats, secrets, set_join, sharding, token_count, toxicity
+from . import decontaminate, dominance, licenses, neighbours, packing, repeats, secrets, set_join, sharding, token_count, topk, toxicity
 from .textkit import table
 
 
@@ -24,8 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": lambda spark, d: token_count.count_tokens(documents(spark, d)),
         "op10_additive_neighbours": lambda spark, d: neighbours.search(table(spark, d, "embeddings")),
         "op12_dominance_counts": lambda spark, d: dominance.count_sales(table(spark, d, "sales")),
+        "op13_norm_bucket_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_length_packing": packing.ORACLE, "op6_seed_extend_dedup": repeats.ORACLE, "op7_skip_jaccard_join": set_join.ORACLE, "op12_dominance_counts": dominance.ORACLE}
+    return {"op4_length_packing": packing.ORACLE, "op6_seed_extend_dedup": repeats.ORACLE, "op7_skip_jaccard_join": set_join.ORACLE, "op12_dominance_counts": dominance.ORACLE, "op13_norm_bucket_topk": topk.ORACLE}

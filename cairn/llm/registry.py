@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dominance, licenses, neighbours, packing, repeats, secrets, set_join, sharding, token_count, topk, toxicity
+from . import decontaminate, dominance, licenses, neighbours, packing, repeats, secrets, set_join, sharding, token_align, token_count, topk, toxicity
 from .textkit import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": lambda spark, d: licenses.scan(documents(spark, d)),
         "op9_token_counts": lambda spark, d: token_count.count_tokens(documents(spark, d)),
         "op10_additive_neighbours": lambda spark, d: neighbours.search(table(spark, d, "embeddings")),
+        "op11_token_alignment": lambda spark, d: token_align.align(documents(spark, d)),
         "op12_dominance_counts": lambda spark, d: dominance.count_sales(table(spark, d, "sales")),
         "op13_norm_bucket_topk": lambda spark, d: topk.search(table(spark, d, "embeddings")),
     }

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Counts, Powers, WordHashes, mix, slices, stored, windows
+from .textkit import Counts, WordHashes, mix, slices, stored, windows
 
 MIN_WORDS = 20
 GRAM = 4
@@ -69,15 +69,17 @@ def runs(where: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(where)]]))
 
 
-def earlier(ids: np.ndarray, at: Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(whether an equal id stands at an earlier place, index of the first of each id, ids' counts)."""
+def earlier(ids: np.ndarray, at: Places, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether an equal id stands at an earlier place, index of the first of each id, ids' counts). With a key, ids are equal only under one key."""
     doc, text, start = at
-    order = np.argsort(ids)
+    order = np.argsort(ids) if key is None else np.lexsort((ids, key))
     head = np.concatenate([[True], ids[order][1:] != ids[order][:-1]]) if len(ids) else np.empty(0, bool)
+    if key is not None and len(ids):
+        head[1:] |= key[order][1:] != key[order][:-1]
     # Only ids that occur again need the order of their places.
     several = np.flatnonzero(~head | np.concatenate([~head[1:], np.zeros(min(1, len(head)), bool)]))
     some = order[several]
-    order[several] = some[np.lexsort((start[some], text[some], doc[some], ids[some]))]
+    order[several] = some[np.lexsort((start[some], text[some], doc[some], ids[some], *([] if key is None else [key[some]])))]
     group = np.cumsum(head) - 1
     first = order[head]
     again = np.empty(len(ids), bool)
@@ -112,10 +114,10 @@ def _counter(gram: int):
     """The most frequent sequences of a task and their counts; a null one with the number of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers, counts = WordHashes(), Powers(), Counts(HEAVY)
+        hashes, counts = WordHashes(), Counts(HEAVY)
         for batch in batches:
             for _, _, texts in slices(batch, "text"):
-                counts.add(windows(hashes.of(texts)[0], gram, powers))
+                counts.add(windows(hashes.of(texts)[0], gram))
         kept = counts.n > counts.total // (4 * HEAVY)
         yield pa.RecordBatch.from_arrays([pa.array([None, *counts.ids[kept].view(np.int64).tolist()], pa.int64()), pa.array([counts.total, *counts.n[kept].tolist()], pa.int64())], ["gram", "n"])
 
@@ -132,7 +134,7 @@ def common(texts: DataFrame, gram: int) -> np.ndarray:
 
 def _seeder(width: int, gram: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers, often = WordHashes(), Powers(), Frequent()
+        hashes, often = WordHashes(), Frequent()
         for batch in batches:
             for low, high, texts in slices(batch, "text"):
                 keys = [batch.column(c).slice(low, high - low).to_numpy() for c in ("doc_key", "text_key")]
@@ -140,7 +142,7 @@ def _seeder(width: int, gram: int, heavy: np.ndarray):
                 if lengths.max(initial=0) < width:
                     continue
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                grams, whole = windows(flat, gram, powers), windows(flat, width, powers)
+                grams, whole = windows(flat, gram), windows(flat, width)
                 last = heavy[np.minimum(np.searchsorted(heavy, grams), len(heavy) - 1)] == grams if len(heavy) else np.zeros(len(grams), bool)
                 place = np.arange(len(grams), dtype=np.uint64)
                 mask = np.uint64((1 << max(_PLACE_BITS, len(grams).bit_length())) - 1)
@@ -198,12 +200,13 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body = np.frombuffer(b"".join(data.to_pylist()), "<u8")
         of = np.repeat(rows, n[rows])
         offset = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n[rows])[:-1]]), n[rows])
-        ids = mix(key[of].astype(np.uint64) ^ body * np.uint64(0x9E3779B97F4A7C15))
+        ids, keys = body, key[of]
         at = (where[0][of], where[1][of], where[2][of].astype(np.int64) + offset)
         carried = len(seen) if open_key == key[rows[0]] else 0
         if carried:
             ids, at = np.concatenate([seen, ids]), tuple(np.concatenate(x) for x in zip(seen_at, at, strict=True))
-        again, first, _ = earlier(ids, at)
+            keys = np.concatenate([np.full(carried, open_key, keys.dtype), keys])
+        again, first, _ = earlier(ids, at, keys)
         open_key = key[rows[-1]]
         last = np.concatenate([np.full(carried, open_key == key[rows[0]]), key[of] == open_key])
         keep = first[last[first]]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textkit import Counts, Powers, WordHashes, mix, slices, stored, unique, windows
+from .textkit import Counts, WordHashes, mix, slices, stored, unique, windows
 
 GRAM, PERCENT = 3, 90
 HEAVY = 1 << 16
@@ -62,17 +62,17 @@ class Shingler:
     """Texts -> sorted distinct gram hashes."""
 
     def __init__(self, gram: int) -> None:
-        self.gram, self.words, self.powers = gram, WordHashes(fold_case=True), Powers()
+        self.gram, self.words = gram, WordHashes(fold_case=True)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         flat, counts = self.words.of(texts)
-        grams = windows(flat, self.gram, self.powers)
+        grams = windows(flat, self.gram)
         out, at = [], 0
         for n in counts.tolist():
             if n >= self.gram:
                 out.append(unique(grams[at : at + n - self.gram + 1]))
             else:
-                out.append(windows(flat[at : at + n], n, self.powers) if n else flat[:0])
+                out.append(windows(flat[at : at + n], n) if n else flat[:0])
             at += n
         return out
 

@@ -8,16 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker turns into arrays at a time.
 SLICE_BYTES = 4 << 20
 #: Bytes that are hashed at a time; they stay in the processor's cache.
 HASH_BYTES = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -42,44 +40,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
-    """text cut between words into pieces of about HASH_BYTES."""
+    """text cut between words into pieces of about HASH_BYTES; a word longer than that is a piece of its own."""
     at = 0
     while len(text) - at > HASH_BYTES:
         gap = _SPACE.search(text, at + HASH_BYTES)
         end = gap.start() if gap else len(text)
+        if end - at > 2 * HASH_BYTES:
+            before = max(text.rfind(bytes([c]), at, at + HASH_BYTES) for c in b" \t\n\x0b\x0c\r")
+            if before > at:
+                end = before
         yield text[at:end]
         at = end
     yield text[at:] if at else text
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _BASE, np.uint64), dtype=np.uint64)])
-                self.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, _INVERSE, np.uint64), dtype=np.uint64)])
-        return self.up[:n], self.down[:n]
-
-
 class WordHashes:
     """Texts (UTF-8) -> a 64-bit hash of each word between ASCII white space, for all words of a block at once.
 
-    A word's hash is a polynomial in an odd base over random 64-bit values of its bytes. fold_case: A-Z count as a-z."""
+    A word of up to WORD_BYTES bytes is the sum of random 64-bit values, one for each place and byte, and its length, mixed; a longer one is hashed
+    by xxh3. Neither is a polynomial, for which words of a known pattern have equal hashes. fold_case: A-Z count as a-z."""
+
+    WORD_BYTES = 64
 
     def __init__(self, fold_case: bool = False) -> None:
-        self.values = np.random.default_rng(20240229).integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        values = np.random.default_rng(20240229).integers(0, 1 << 64, (self.WORD_BYTES, 256), np.uint64)
         if fold_case:
-            self.values[65:91] = self.values[97:123]
+            values[:, 65:91] = values[:, 97:123]
+        self.fold_case = fold_case
         self.space = np.zeros(256, bool)
         self.space[[32, 9, 10, 11, 12, 13]] = True
-        self.values[self.space] = 0
-        self.powers = Powers()
+        values[:, self.space] = 0
+        self.values = values.ravel()
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words, number of words of each text)."""
@@ -97,40 +88,43 @@ class WordHashes:
                 if size + len(piece) > HASH_BYTES:
                     close()
                     size = 0
+                if len(piece) > 2 * HASH_BYTES:  # a word of that length
+                    hashes.append(np.array([self.one(w) for w in piece.split()], np.uint64))
+                    counts[i] += len(hashes[-1])
+                    continue
                 block.append((i, piece))
                 size += len(piece)
         close()
         return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), counts
 
-    def _sum(self, data: np.ndarray) -> np.ndarray:
-        """Running sums of value times power, from 0 on."""
-        up, _ = self.powers.upto(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * up[: len(data)], out=sums[1:], dtype=np.uint64)
-        return sums
-
-    def _long(self, word: np.ndarray) -> int:
-        """The polynomial of a word too long for one block, in blocks."""
-        total = 0
-        for at in range(0, len(word), HASH_BYTES):
-            total += int(self._sum(word[at : at + HASH_BYTES])[-1]) * pow(_BASE, at, 1 << 64)
-        return total & _MASK
+    def one(self, word: bytes) -> int:
+        if len(word) > self.WORD_BYTES:
+            return xxhash.xxh3_64_intdigest(word.lower() if self.fold_case else word)
+        data = np.frombuffer(word, np.uint8)
+        with np.errstate(over="ignore"):
+            return int(mix(self.values[np.arange(len(data)) * 256 + data].sum(dtype=np.uint64, keepdims=True) + np.uint64(len(data)))[0])
 
     def _block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        whole = b"\n".join([*texts, b""])
+        data = np.frombuffer(whole, np.uint8)
         gap = self.space[data]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if not gap[0]:
             edge = np.concatenate([[0], edge])
         starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        place = np.arange(starts[0], len(data), dtype=np.int32)
+        place -= np.repeat(starts.astype(np.int32), np.diff(np.concatenate([starts, [len(data)]])))
+        np.minimum(place, self.WORD_BYTES - 1, out=place)
+        place <<= 8
+        place += data[starts[0] :]
+        sums = np.zeros(len(place) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            if len(data) <= 4 * HASH_BYTES:
-                sums = self._sum(data)
-                _, down = self.powers.upto(len(data) + 1)
-                h = (sums[ends] - sums[starts]) * down[starts]
-            else:
-                h = np.array([self._long(data[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64)
-            h = mix(h + (ends - starts).astype(np.uint64))
+            np.cumsum(self.values[place], out=sums[1:], dtype=np.uint64)
+            h = mix(sums[ends - starts[0]] - sums[starts - starts[0]] + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > self.WORD_BYTES).tolist():
+            h[i] = self.one(whole[starts[i] : ends[i]])
         limits = np.cumsum([len(t) + 1 for t in texts])
         return h, np.diff(np.concatenate([[0], np.searchsorted(starts, limits)]))
 
@@ -167,15 +161,28 @@ class Counts:
         self.ids, self.n = ids[order], n[order]
 
 
-def windows(hashes: np.ndarray, width: int, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each run of `width` consecutive word hashes; equal runs have equal hashes wherever they stand."""
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of the pairs (x, y); mixed, so that sums and differences inside a run do not cancel."""
+    with np.errstate(over="ignore"):
+        return mix(x * np.uint64(0x9E3779B97F4A7C15) + (y ^ (y >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` consecutive word hashes; equal runs have equal hashes wherever they stand. Runs are joined from runs of 1, 2, 4, ... words."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        up, down = powers.upto(len(hashes) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
-        return mix((sums[width:] - sums[:-width]) * down[:n] + np.uint64(width))
+    runs, size, done = hashes, 1, 0
+    out = np.full(len(hashes) + 1, np.uint64(width), np.uint64)
+    while size <= width:
+        if width & size:
+            left = len(hashes) - done - size + 1
+            out = _joined(out[:left], runs[done : done + left])
+            done += size
+        size *= 2
+        if size <= width:
+            runs = _joined(runs[: -size // 2], runs[size // 2 :])
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from cairn.llm import additive, components, decontaminate, neighbours, packing, repeats, set_join, sharding, toxicity
+from cairn.llm import additive, components, decontaminate, neighbours, packing, repeats, set_join, sharding, textkit, toxicity
 from pyspark.sql import functions as F
 
 
@@ -43,8 +43,54 @@ def test_repeats_equal_brute_force(make_docs, corpus, monkeypatch, heavy):
 def test_common_sequences_are_found(make_docs, monkeypatch):
     monkeypatch.setattr(repeats, "LEAST_HEAVY", 5)
     docs = make_docs([(i, f"a{i} b{i} one two three four c{i}") for i in range(9)])
-    powers, hashes = repeats.Powers(), repeats.WordHashes()
-    assert repeats.common(docs, 4).tolist() == repeats.windows(hashes.of([b"one two three four"])[0], 4, powers).tolist() and len(repeats.common(docs.limit(0), 4)) == 0
+    hashes = repeats.WordHashes()
+    assert repeats.common(docs, 4).tolist() == repeats.windows(hashes.of([b"one two three four"])[0], 4).tolist() and len(repeats.common(docs.limit(0), 4)) == 0
+
+
+def thue_morse(n, letters):
+    """A word of 2**n letters in which every letter differs from that half its length on in a known pattern."""
+    return "".join(letters[i.bit_count() % 2] for i in range(1 << n))
+
+
+def test_words_of_a_known_pattern_are_told_apart(make_docs):
+    a, b = thue_morse(10, "ab"), thue_morse(10, "ba")
+    start = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{start} {a}"), (2, f"{start} {b}"), (3, f"{start} {a}")]
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.remove(make_docs(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+    assert {r["doc_id"]: r["component_id"] for r in set_join.join(make_docs([(1, a), (2, b), (3, a)])).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_hashes_of_structured_words_and_runs():
+    words, rng = set(), random.Random(4)
+    for n in range(1, 13):
+        for x, y in ("ab", "ba", "01", "\x01\x02", "aA"):
+            w = thue_morse(n, (x, y))
+            words |= {w, w + w, w[::-1], w + x, y + w, x * len(w), (x + y) * len(w), x * len(w) + y}
+    words |= {"".join(rng.choices("ab", k=70)) for _ in range(2000)} | {f"{i:064}" for i in range(2000)} | {f"{i:065}" for i in range(2000)}
+    words = sorted(words)
+    flat, _ = textkit.WordHashes().of([" ".join(words).encode()])
+    assert len(set(flat.tolist())) == len(words) and flat.tolist() == [textkit.WordHashes().one(w.encode()) for w in words]
+    # Runs of two words in every order, and runs at any place of a text.
+    two = flat[:2]
+    for width in (1, 2, 3, 5, 8, 12):
+        runs = {int(textkit.windows(two[[(i >> k) & 1 for k in range(width)]], width)[0]) for i in range(1 << width)}
+        assert len(runs) == 1 << width
+    for width in (3, 4, 5, 20):
+        assert textkit.windows(flat, width).tolist()[7:50] == [int(textkit.windows(flat[i : i + width], width)[0]) for i in range(7, 50)]
+    long = np.array([two[i.bit_count() % 2] for i in range(4096)])
+    assert textkit.windows(long, 2048)[0] != textkit.windows(long, 2048)[2048]
+
+
+def test_repeats_of_huge_texts_and_words(make_docs):
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(10**7)}" for _ in range(30_000)]
+    word = "q" * (3 << 19)  # three times what is hashed at a time
+    rows = [(1, " ".join(base)), (2, " ".join(base[:15_000] + ["other"] + base[15_000:])), (3, " ".join([*base[:25], word, *base[25:50]])), (4, " ".join([word, *base[100:119], word]))]
+    rows += [(5, rows[2][1])]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeats.remove(make_docs(rows)).collect()}
+    want = {i: plain_repeats(rows, 20)[i - 1][:2] for i in got}
+    assert got == want
 
 
 def test_repeats_hard_rows(make_docs):
@@ -230,24 +276,24 @@ def test_shards_balance_and_slots(make_docs, corpus):
 @pytest.mark.parametrize(("n_shards", "tolerance", "weight"), [(8, 0.002, True), (5, 0.2, True), (7, 0.0, False)])
 def test_splitters_equal_sorting(spark, make_docs, corpus, n_shards, tolerance, weight):
     extra = [(1000 + i, "hot copy " * 20) for i in range(300)] + [(1000, "hot copy " * 20)] * 40 + [(None, "x"), (None, None)]
-    keys = sharding.keyed(make_docs(corpus + extra))
+    keys = textkit.stored(sharding.keyed(make_docs(corpus + extra)))
     if not weight:
         keys = keys.withColumn("_size", F.lit(1).cast("long"))
-    rows = sorted((r["_high"], r["_low"], r["_size"]) for r in keys.collect())
+    rows = sorted((tuple(r[c] for c in sharding.PARTS), r["_size"]) for r in keys.collect())
     bounds = sharding.splitters(keys, n_shards, tolerance)
-    total = sum(r[2] for r in rows)
+    total = sum(r[1] for r in rows)
     assert len(bounds) == n_shards - 1 and bounds == sorted(bounds)
     at = {}  # bytes below each place where rows can be parted
     below = 0
-    for high, low, size in rows:
-        at.setdefault((high, low), below)
+    for key, size in rows:
+        at.setdefault(key, below)
         below += size
     cuts = sorted({*at.values(), total})
     for i, bound in enumerate(bounds, 1):
-        want, got = total * i / n_shards, sum(size for high, low, size in rows if (high, low) < bound)
+        want, got = total * i / n_shards, sum(size for key, size in rows if key < bound)
         assert abs(got - want) <= max(tolerance * total / n_shards, min(abs(c - want) for c in cuts))
     placed = sharding.exchange(keys, n_shards, tolerance).collect()
-    assert all(r["shard"] == sum(b <= (r["_high"], r["_low"]) for b in bounds) for r in placed) and len(placed) == len(rows)
+    assert all(r["shard"] == sum(b <= tuple(r[c] for c in sharding.PARTS) for b in bounds) for r in placed) and len(placed) == len(rows)
 
 
 @pytest.mark.parametrize("piece_rows", [1, 7, 1 << 17])
@@ -281,6 +327,19 @@ def test_shards_of_nothing_and_of_repeats(make_docs):
     assert len(got) == 3
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_equal_rows_are_split_like_others(make_docs, monkeypatch, key):
+    sizes = lambda rows, n: [sum(r["size"] for r in rows if r["shard"] == s) for s in range(n)]
+    rows = sharding.shard_documents(make_docs([(key, "the same row")] * 4000)).collect()
+    assert sizes(rows, 40) == [100 * 28] * 40
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 16)  # equal rows in several pieces
+    mixed = [(key, "the same row")] * 2000 + [(i, f"row number {i:04}") for i in range(2000)]
+    rows = sharding.shard_documents(make_docs(mixed)).collect()
+    assert max(sizes(rows, 40)) - min(sizes(rows, 40)) <= 2 * 31 and len(rows) == 4000
+    for some in shard_sizes(rows).values():
+        assert sorted(r["slot"] for r in some) == list(range(len(some)))
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(1)
     for _ in range(60):

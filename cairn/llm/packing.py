@@ -11,7 +11,8 @@ grows with j, and each k takes D log D steps. Equal costs go to the smaller i, a
 
 A batch of a bucket with padded length v has max(1, budget // v) rows. A bucket is dealt by a hash of the id into parts of
 about PART_BATCHES batches, so no task holds a whole bucket; the last batch of a part may be short. Inside a part rows
-stand in the order of the hash, then the id.
+stand in the order of the hash, then the id. An id (or null) of more than PART_ROWS rows and one row in HOT_IDS is hot: its rows get
+a hash of the id and one of as many salts as they fill parts of PART_ROWS, by the row's number, which a checkpoint fixes. At most HOT_IDS ids are hot.
 
 Null and empty texts have length 0 and are packed like others. Repeated rows are packed each, and rows without an id like
 rows of one id. An empty table gives no rows. Only doc_id and text are read, so further columns of any name are ignored.
@@ -29,6 +30,7 @@ N_BUCKETS = 16
 TOKEN_BUDGET = 1 << 16
 PART_BATCHES = 32
 PART_ROWS = 1024
+HOT_IDS = 1024
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,12 +87,12 @@ def choice(length: Column, ends: list[int], values: list) -> Column:
 
 def pack(rows: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """rows (doc_id, n_tokens) with bucket, padded_tokens, part, batch and slot: a batch is (bucket, part, batch)."""
-    rows = stored(rows.select("doc_id", "n_tokens"))
+    rows = stored(rows.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("_row")))
     histogram = sorted(tuple(r) for r in rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
     columns = ["doc_id", "n_tokens", "bucket", "padded_tokens", "part", "batch", "slot"]
     ends = boundaries([h[0] for h in histogram], [h[1] for h in histogram], n_buckets)
     if not ends:
-        return rows.withColumns({c: F.lit(0) for c in columns[2:4]} | {"part": F.lit(0).cast("long"), "batch": F.lit(0).cast("long"), "slot": F.lit(0)}).withColumn("padded_tokens", F.lit(0).cast("long")).select(columns)
+        return rows.drop("_row").withColumns({c: F.lit(0) for c in columns[2:4]} | {"part": F.lit(0).cast("long"), "batch": F.lit(0).cast("long"), "slot": F.lit(0)}).withColumn("padded_tokens", F.lit(0).cast("long")).select(columns)
     n_rows, at = [0] * len(ends), 0
     for length, n in histogram:
         while length > ends[at]:
@@ -98,8 +100,12 @@ def pack(rows: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET
         n_rows[at] += n
     per_batch = [max(1, budget // max(1, end)) for end in ends]
     parts = [-(-n // max(PART_ROWS, PART_BATCHES * b)) for n, b in zip(n_rows, per_batch, strict=True)]
-    length, key = F.col("n_tokens"), F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
-    placed = rows.withColumns({"_key": key, "bucket": choice(length, ends, list(range(len(ends)))), "padded_tokens": choice(length, ends, ends).cast("long"), "_per": choice(length, ends, per_batch)})
+    length, name = F.col("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    hot = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > PART_ROWS + sum(h[1] for h in histogram) // HOT_IDS)
+    if salts := {r["doc_id"]: -(-r["_n"] // PART_ROWS) for r in hot.collect()}:
+        n = F.coalesce(*(F.when(F.col("doc_id").eqNullSafe(F.lit(i)), F.lit(k)) for i, k in salts.items()))
+        name = F.when(n.isNotNull(), F.concat(name, F.lit(":"), F.pmod(F.xxhash64("_row"), n).cast("string"))).otherwise(name)
+    placed = rows.withColumns({"_key": F.md5(F.encode(name, "UTF-8")), "bucket": choice(length, ends, list(range(len(ends)))), "padded_tokens": choice(length, ends, ends).cast("long"), "_per": choice(length, ends, per_batch)})
     placed = placed.withColumn("part", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % choice(length, ends, parts))
     n = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("_key", "doc_id")) - 1
     placed = placed.withColumn("_n", n).withColumns({"batch": F.floor(F.col("_n") / F.col("_per")).cast("long"), "slot": (F.col("_n") % F.col("_per")).cast("int")})

@@ -110,9 +110,17 @@ def block_share(shortlist: int, n_blocks: int) -> int:
     return shortlist if n_blocks == 1 else min(shortlist, math.ceil(share + 4 * math.sqrt(share) + 4))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
+def levelled(v: Column, top: Column) -> Column:
+    """v as doubles, divided by its largest component `top` where squares could vanish or overflow."""
+    return F.when((top > 1e-100) & (top < 1e100), v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / top))
+
+
+def with_cosine(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """pairs with the cosine of two columns of finite vectors that are not zero."""
+    tops = pairs.withColumns({f"_top_{c}": F.array_max(F.transform(c, lambda x: F.abs(x.cast("double")))) for c in (a, b)})
+    level = tops.withColumns({f"_level_{c}": levelled(F.col(c), F.col(f"_top_{c}")) for c in (a, b)})
+    dot = lambda x, y: F.aggregate(F.zip_with(f"_level_{x}", f"_level_{y}", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return level.withColumn(name, dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b)))
 
 
 def search(embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, shortlist: int | None = None, n_books: int = N_BOOKS) -> DataFrame:
@@ -148,7 +156,7 @@ def _search(vectors: DataFrame, asked: Column, n_queries: int, k: int, shortlist
     guesses = pairs.select("ids", "codes", "queries").mapInArrow(_scorer(model, block_share(shortlist, n_blocks)), "query_id bigint, class_id bigint, guess float")
     short = guesses.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), "class_id"))).filter(F.col("_n") <= shortlist).drop("_n")
     exact = short.join(groups, "class_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
-    exact = exact.select("query_id", "members", cosine(F.col("asked"), F.col("vector")).alias("score"))
+    exact = with_cosine(exact, "asked", "vector", "score").select("query_id", "members", "score")
     found = exact.select("query_id", "score", F.explode("members").alias("vec_id")).filter(F.col("vec_id") != F.col("query_id"))
     # An id with several vectors counts with its nearest.
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -375,6 +375,20 @@ def test_batches_keep_the_budget(make_docs):
     assert packing.pack_documents(make_docs(rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("key", [None, 77])
+def test_rows_of_a_hot_id_fill_as_many_parts_as_others(spark, monkeypatch, key):
+    monkeypatch.setattr(packing, "PART_ROWS", 64)
+    monkeypatch.setattr(packing, "HOT_IDS", 16)
+    hot = spark.range(4000).select(F.lit(key).cast("long").alias("doc_id"), F.lit(2000).cast("long").alias("n_tokens"))
+    other = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(2000).cast("long").alias("n_tokens"))
+    for rows in (hot, other, hot.unionByName(other)):
+        got = packing.pack(rows, 2).toPandas()
+        sizes = got.groupby("part").size()
+        assert len(sizes) >= 4 and sizes.max() <= 1.7 * len(got) / len(sizes) and len(got) == rows.count()
+        batches = got.groupby(["bucket", "part", "batch"])
+        assert (batches["padded_tokens"].sum() <= packing.TOKEN_BUDGET).all() and all(sorted(x) == list(range(len(x))) for x in batches["slot"].apply(list))
+
+
 def test_long_lengths_are_packed_exactly(make_docs):
     rows = [(i, "w " * n) for i, n in enumerate([0, 5, 9, 65536, 65537, 65600, 70001, 99990, 99999, 100000, 100000, 131073, 200001] + list(range(90000, 90012)))]
     got = packing.pack_documents(make_docs(rows)).toPandas()
@@ -432,6 +446,20 @@ def test_neighbours_in_many_blocks(spark, monkeypatch):
     assert neighbours.block_share(200, 1) == 200 and neighbours.block_share(200, 20) == 27 and neighbours.block_share(1000, 10**6) == 5
 
 
+def test_scores_of_very_small_and_large_components(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e200, 2e200]), (2, [1.0, 2.0]), (3, [-1e-310, 3e-310]), (4, [1e308, -1e308]), (5, [5e-324, 0.0]), (6, [1e-162, 1e-5]), (50, [1e200, 1e-200]), (100, [3e307, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: np.array(v) / np.max(np.abs(v)) for i, v in rows}
+    exact = {(q, i): x[q] @ x[i] / np.linalg.norm(x[q]) / np.linalg.norm(x[i]) for q in (0, 50, 100) for i in x if i != q}
+    got = {}
+    for r in neighbours.search(df).collect():
+        assert r["score"] == pytest.approx(exact[r["query_id"], r["vec_id"]], abs=1e-12)
+        got.setdefault(r["query_id"], []).append((r["rank"], r["score"]))
+    for q, found in got.items():
+        assert [s for _, s in sorted(found)] == pytest.approx(sorted((s for (a, _), s in exact.items() if a == q), reverse=True)[:5], abs=1e-12)
+    assert set(got) == {0, 50, 100}
+
+
 def test_lengths_and_shared_ids(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (100, [3.0]), (150, [0.0, 2.0]), (150, [5.0, 0.0]), (1, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, vector string, rank int")

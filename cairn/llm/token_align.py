@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .textkit import shared_folder
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text for each part of the segments.
 PART_BYTES = 16 << 20
 #: Characters that are cut into segments at a time.
@@ -160,7 +160,7 @@ def packed(x: np.ndarray) -> bytes:
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view("<u4").ravel()
 
 
 def _splitter(paths: tuple, n_parts: int):
@@ -177,7 +177,7 @@ def _splitter(paths: tuple, n_parts: int):
             words = [w.encode() for w in known]
             parts = np.array([zlib.crc32(w) % n_parts for w in words], np.int64)
             order = np.argsort(parts, kind="stable")
-            seq = np.concatenate(seqs) if seqs else np.empty(0, np.int64)
+            seq = np.concatenate(seqs) if seqs else np.empty(0, np.int32)
             rows = [(number, None, ids.copy(), packed(np.array(lens, np.int64)), packed(seq), packed(parts))]
             for some in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1) if len(order) else []:
                 mine = [words[i] for i in some]
@@ -190,7 +190,7 @@ def _splitter(paths: tuple, n_parts: int):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text, n = text.as_py() or "", 0
                 for piece in cutter.pieces(text) if text else ():
-                    seqs.append(np.array([known.setdefault(w, len(known)) for w in piece], np.int64))
+                    seqs.append(np.array([known.setdefault(w, len(known)) for w in piece], np.int32))
                     n += len(piece)
                 ids.append(doc_id)
                 lens.append(n)
@@ -242,7 +242,7 @@ class Segments:
             inside = k < width
             value[inside] += (data[ends[inside] - 1 - k] - 48).astype(np.int64) * 10**k
         mark = data[ends]
-        lines_before = np.cumsum(data == 10)
+        lines_before = np.cumsum(data == 10, dtype=np.int32)
         self.n = int(lines_before[-1]) if len(data) else 0
         word = lines_before[ends - 1] if len(ends) else np.empty(0, np.int64)
         closes = (mark == 59) | (mark == 10)
@@ -254,21 +254,22 @@ class Segments:
         word_of = word[closes]
         self.counts = {"n_a": np.bincount(word[~second], minlength=self.n), "n_b": np.bincount(word[second], minlength=self.n), "n_groups": np.bincount(word_of, minlength=self.n)}
         # Every A token with each B token of its group; tokens of a group lie side by side.
-        a, b = value[~second], value[second]
         times = of_b[group[~second]]
-        first_b = np.cumsum(of_b) - of_b
-        lead = np.repeat(first_b[group[~second]], times)
-        within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        links = (np.repeat(a, times) << 32) | b[lead + within] if len(times) else np.empty(0, np.int64)
-        self.counts["n_links"] = np.bincount(np.repeat(word[~second], times), minlength=self.n)
-        self.pairs, self.link = np.unique(links, return_inverse=True)
+        self.counts["n_links"] = np.bincount(word[~second], weights=times, minlength=self.n).astype(np.int64)
+        at = np.arange(int(times.sum()))
+        at -= np.repeat(np.cumsum(times) - times - (np.cumsum(of_b) - of_b)[group[~second]], times)
+        links = np.repeat(value[~second] << 32, times)
+        links |= value[second][at]
+        del at, times, data, digit, lines_before
+        self.pairs, link = np.unique(links, return_inverse=True)
+        self.link = link.astype(np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.counts["n_links"])])
         self.good = self.counts["n_a"] > 0
 
 
 def _documents(lens: np.ndarray, seq: np.ndarray, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
     """(document of each occurrence, whether each document is encoded whole)."""
-    doc = np.repeat(np.arange(len(lens)), lens)
+    doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     bad = np.bincount(doc[~segments.good[seq]], minlength=len(lens)) if len(seq) else np.zeros(len(lens), np.int64)
     return doc, (bad == 0) & (lens > 0)
 
@@ -286,13 +287,14 @@ def _compose(block: pa.Table, answers: pa.Table) -> pa.Table:
     if not block.num_rows:
         return pa.Table.from_pydict({c: [] for c in _names(_BLOCK)}, schema=_schema())
     row = block.to_pylist()[0]
-    lens, seq, parts = unpacked(row["lens"]), unpacked(row["data"]), unpacked(row["parts"])
+    lens, seq, parts = unpacked(row["lens"]).astype(np.int64), unpacked(row["data"]), unpacked(row["parts"])
     answers = answers.sort_by("part")
     flat = b"".join(answers.column("texts").to_pylist()).split(b"\n")[:-1]
     texts = [b""] * len(parts)
     for i, text in zip(np.argsort(parts, kind="stable").tolist(), flat, strict=True):
         texts[i] = text
     lines = b"\n".join([*texts, b""])
+    del flat, answers
     segments = Segments(lines)
     doc, good = _documents(lens, seq, segments)
     shas, at = [], 0
@@ -305,7 +307,7 @@ def _compose(block: pa.Table, answers: pa.Table) -> pa.Table:
     of, word = doc[kept], seq[kept]
     cuts = np.searchsorted(of, of[np.arange(0, len(of), 1 << 18)]) if len(of) else np.zeros(1, np.int64)
     for low, high in zip(cuts, [*cuts[1:], len(of)], strict=True):
-        mine = np.unique((of[low:high] - (of[low] if high > low else 0)) * size + word[low:high])
+        mine = np.unique((of[low:high] - (of[low] if high > low else 0)).astype(np.int64) * size + word[low:high])
         n = segments.counts["n_links"][mine % size]
         link = segments.link[np.repeat(segments.first[mine % size], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
         distinct = np.unique(np.repeat(mine // size, n) * len(segments.pairs) + link)
@@ -327,7 +329,7 @@ def _finish(block: pa.Table, scores: pa.Table) -> pa.Table:
     if not block.num_rows:
         return schema.empty_table()
     row = block.to_pylist()[0]
-    lens, seq = unpacked(row["lens"]), unpacked(row["data"])
+    lens, seq = unpacked(row["lens"]).astype(np.int64), unpacked(row["data"])
     segments = Segments(zstandard.ZstdDecompressor().decompress(row["texts"]))
     doc, good = _documents(lens, seq, segments)
     pair = scores.column("pair").to_numpy()

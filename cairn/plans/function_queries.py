@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import crawl, graph, integrity, rules, state
-from ..sources import config, packages, snapshots, state_json, warc
+from ..sources import config, packages, snapshots, state_json, stores, warc, warc_index
 from . import log_queries
 
 
@@ -133,18 +133,51 @@ def warc_roundtrip(spark, d):
     """Fetched pages written as WARC files and read again: failed and empty fetches go, the body is what was written."""
     i = F.col("page_id")
     fetched = _t(spark, d, "pages").select("url", F.when(i % 10 == 0, 0).when(i % 10 == 1, 404).otherwise(200).alias("status_code"), F.when(i % 4 == 0, "text/html; charset=utf-8").when(i % 4 == 1, "application/xhtml+xml").otherwise("text/css").alias("content_type"), F.when(i % 4 < 2, "html").otherwise("css").alias("resource_type"), F.when(i % 13 == 0, F.lit("")).otherwise(F.col("html")).cast("binary").alias("payload"))
-    path = _folder(spark, "warc").removeprefix("file:")
+    path = _folder(spark, "warc")
     warc.write(warc.harvest(fetched), path)
     rows = warc.read(spark, path)
     return rows.select("target_uri", "status_code", "content_type", F.col("payload_length").alias("size"), F.sha2("payload", 256).alias("payload_sha256"), F.md5(F.encode(warc.decoded("payload"), "UTF-8")).alias("text_md5"), (text.loose_html(F.col("content_type"))).alias("is_html"))
 
 
 def warc_validation(spark, d):
-    """Whether each of the files written can be read to its end, on the executors; totals of all files."""
-    pages = _t(spark, d, "pages").select(F.col("url").alias("uri"), F.when(F.col("page_id") % 3 == 0, "text/css").otherwise("text/html").alias("content_type"), F.col("html").cast("binary").alias("payload"))
-    path = _folder(spark, "warc").removeprefix("file:")
-    warc.write(pages.repartition(3), path)
-    return warc.validations(spark, path).agg(F.bool_and("valid").alias("all_valid"), F.sum("total").alias("n_records"), F.sum("html").alias("n_html"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
+    """Whether each file of an archive can be read to its end, on the executors: whole ones, one that is cut inside its second record, an empty one, and one that is not there."""
+    pages = _t(spark, d, "pages").select(F.col("url").alias("uri"), F.when(F.col("page_id") % 3 == 0, "text/css").otherwise("text/html").alias("content_type"), F.col("html").cast("binary").alias("payload"), "page_id")
+    path = _folder(spark, "warc")
+    warc.write(pages.drop("page_id"), path)
+    system, folder = stores.store(path)
+    one, two = (warc.encoded(r["uri"], 200, r["content_type"], bytes(r["payload"]), compress=False) for r in pages.orderBy("page_id").limit(2).collect())
+    for name, data in (("cut.warc", one + two[:-20]), ("empty.warc", b"")):
+        with system.open_output_stream(f"{folder}/{name}") as out:
+            out.write(data)
+    expected = spark.createDataFrame([(f"{folder}/missing.warc",)], "file string")
+    found = warc.validations(spark, path, expected)
+    kind = F.coalesce(F.element_at(F.split("error", ":"), 1), F.lit("VALID"))
+    return found.groupBy(kind.alias("outcome")).agg(F.when(F.first("valid"), F.lit(None)).otherwise(F.count("*")).alias("n_faulty"), F.sum("total").alias("n_records"), F.sum("html").alias("n_html"))
+
+
+def archive_index(spark, d):
+    """Every record of an archive found by its offset: files are cut in small ranges, the index is stored by URL, and each payload is read by a seek."""
+    i = F.col("page_id")
+    pages = _t(spark, d, "pages").select(F.col("url").alias("uri"), F.when(i % 4 == 0, 404).otherwise(200).alias("status_code"), F.when(i % 3 == 0, "text/css").otherwise("text/html").alias("content_type"), F.col("html").cast("binary").alias("payload"))
+    path = _folder(spark, "warc")
+    warc.write(pages.filter("status_code = 200"), f"{path}/compressed")
+    warc.write(pages.filter("status_code = 404"), f"{path}/plain", compress=False)
+    index = warc_index.build(spark, path, _folder(spark, "walks"), 1 << 16)
+    where = _folder(spark, "index")
+    warc_index.save(index, where)
+    rows = warc_index.fetch(warc_index.load(spark, where))
+    return rows.select("target_uri", "status_code", "content_type", "payload_length", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+def container_pages(spark, d):
+    """Page lists of containers, read on the executors; some lines are broken, no objects, or without a URL."""
+    i = F.col("page_id")
+    line = F.when(i % 7 == 0, F.concat(F.lit("{broken "), i.cast("string"))).when(i % 7 == 1, F.to_json(F.array("url"))).when(i % 7 == 2, F.to_json(F.struct(i.alias("title")))).otherwise(F.to_json(F.struct("url", i.cast("string").alias("title"))))
+    rows = _t(spark, d, "pages").select(F.concat(F.lit("c"), (i % 5).cast("string")).alias("container"), line.alias("page_line"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
+    path = _folder(spark, "containers")
+    written = warc.write_containers(rows, path).agg(F.sum("n_pages")).first()[0]
+    found = warc.container_pages(spark, path).select(F.regexp_extract("file", "([^/]*)[.]wacz$", 1).alias("container"), "line_no", F.coalesce("url", F.lit("-")).alias("url"), F.coalesce("title", F.lit("-")).alias("title"), F.coalesce("error", F.lit("-")).alias("error"))
+    return found.withColumn("n_written", F.lit(written).cast("bigint"))
 
 
 def package_roundtrip(spark, d):
@@ -167,14 +200,18 @@ def replay_pages(spark, d):
 
 
 def point_lookup(spark, d):
-    """The first record of a URL that has two, in an archive of all pages and some of them again."""
+    """The first record of a URL that has two, in an archive of all pages and some of them again; and a URL that is nowhere. Both by a stored index and one seek."""
     pages = _t(spark, d, "pages").select(F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"), F.lit(200).alias("status_code"))
     again = pages.filter(F.col("uri").contains("a")).withColumns({"payload": F.lit("again").cast("binary"), "status_code": F.lit(404)})
-    path = _folder(spark, "warc").removeprefix("file:")
-    warc.write(pages.unionByName(again).coalesce(1), path)
+    path = _folder(spark, "warc")
+    warc.write(pages, f"{path}/a")
+    warc.write(again, f"{path}/b")
+    where = _folder(spark, "index")
+    warc_index.save(warc_index.build(spark, path, _folder(spark, "walks")), where)
+    index = warc_index.load(spark, where)
     url = _t(spark, d, "pages").agg(F.max(F.when(F.col("url").contains("a"), F.col("url")))).first()[0]
-    found = warc.lookup(warc.read(spark, path), url)
-    return found.select("target_uri", "status_code", F.sha2("payload", 256).alias("payload_sha256")).unionByName(warc.lookup(warc.read(spark, path), "https://nowhere/").select("target_uri", "status_code", F.lit("-").alias("payload_sha256")))
+    found = [warc_index.lookup(index, u).select("target_uri", "status_code", F.sha2("payload", 256).alias("payload_sha256")) for u in (url, "https://nowhere/")]
+    return found[0].unionByName(found[1])
 
 
 def stored_html(spark, d):
@@ -182,7 +219,7 @@ def stored_html(spark, d):
     i = F.col("page_id")
     doc = F.struct(F.concat(F.lit("p"), (i % 5).cast("string")).alias("portal_id"), F.lit("r").alias("run_id"), F.create_map("url", F.struct(F.col("url").alias("canonical_url"), F.when(i % 4 == 0, F.create_map(F.lit("raw_html"), F.lit("raw"), F.lit("html"), F.lit("h"))).when(i % 4 == 1, F.create_map(F.lit("html"), F.lit("h"), F.lit("html_content"), F.lit("c"))).when(i % 4 == 2, F.create_map(F.lit("html_content"), F.lit("c"))).alias("metadata"))).alias("articles"))
     path = _folder(spark, "states")
-    _t(spark, d, "pages").select(F.to_json(doc).alias("value")).repartition(4).write.text(path)
+    _t(spark, d, "pages").select(F.to_json(doc).alias("value")).write.text(path)
     # One document per line here; a state file of its own is read by read_states.
     docs = spark.read.text(path).select(F.from_json("value", state_json.STATE).alias("s")).select("s.*")
     return state_json.stored_html(docs).select("portal_id", "url", "html")
@@ -228,7 +265,7 @@ def snapshot_versions(spark, d):
     return out.withColumns({"is_current": F.col("version") == snapshots.current(spark, path), "refused": F.lit(refused)})
 
 
-QUERIES = {f.__name__: f for f in (url_properties, article_links, resolved_links, run_names, answer_bodies, contained_paths, page_marks, etags_and_leases, deposit_records, deposit_listing, remote_verify, max_frontier, object_store, visit_policy, warc_roundtrip, warc_validation, package_roundtrip, replay_pages, point_lookup, stored_html, rule_file, backup_restore, snapshot_versions)}
+QUERIES = {f.__name__: f for f in (url_properties, article_links, resolved_links, run_names, answer_bodies, contained_paths, page_marks, etags_and_leases, deposit_records, deposit_listing, remote_verify, max_frontier, object_store, visit_policy, warc_roundtrip, warc_validation, archive_index, container_pages, package_roundtrip, replay_pages, point_lookup, stored_html, rule_file, backup_restore, snapshot_versions)}
 
 _HASH = text.config_hash({"b": 1, "a": "é"})
 #: The objects' fold as a recursion over each user's commands.
@@ -253,7 +290,9 @@ ORACLES = {
     "max_frontier": f"WITH RECURSIVE {log_queries._EDGES}, k AS (SELECT node, path[1] AS root, path[len(path) - 1] AS parent, depth, row_number() OVER (PARTITION BY path[1] ORDER BY depth, ord) AS k FROM tree), n AS (SELECT p.root, p.k, count(c.node) AS n FROM k p LEFT JOIN k c ON c.root = p.root AND c.parent = p.node AND c.depth = p.depth + 1 GROUP BY 1, 2), w AS (SELECT root, 1 + sum(n) OVER (PARTITION BY root ORDER BY k) - k AS w FROM n) SELECT root, greatest(max(w), 1)::INT AS max_frontier FROM w GROUP BY root",
     "object_store": f"{_OBJECTS} SELECT cmd, result, count(*) AS n, max(version) AS highest FROM f WHERE seq > 0 GROUP BY 1, 2",
     "warc_roundtrip": "SELECT url AS target_uri, CASE WHEN page_id % 10 = 1 THEN 404 ELSE 200 END AS status_code, CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml' ELSE 'text/css' END AS content_type, octet_length(encode(html)) AS size, sha256(html) AS payload_sha256, md5(html) AS text_md5, page_id % 4 < 2 AS is_html FROM pages WHERE page_id % 10 <> 0 AND page_id % 13 <> 0",
-    "warc_validation": "SELECT true AS all_valid, count(*) AS n_records, count(*) FILTER (page_id % 3 <> 0) AS n_html, 0::BIGINT AS n_errors FROM pages",
+    "warc_validation": "SELECT 'VALID' AS outcome, NULL::BIGINT AS n_faulty, count(*) AS n_records, count(*) FILTER (page_id % 3 <> 0) AS n_html FROM pages UNION ALL (SELECT 'PARSE_ERROR', 1, 1, (page_id % 3 <> 0)::INT FROM pages ORDER BY page_id LIMIT 1) UNION ALL SELECT unnest(['EMPTY_FILE', 'FILE_NOT_FOUND']), 1, 0, 0",
+    "archive_index": "SELECT url AS target_uri, CASE WHEN page_id % 4 = 0 THEN 404 ELSE 200 END AS status_code, CASE WHEN page_id % 3 = 0 THEN 'text/css' ELSE 'text/html' END AS content_type, octet_length(encode(html)) AS payload_length, sha256(html) AS payload_sha256 FROM pages",
+    "container_pages": "SELECT 'c' || (page_id % 5) AS container, (1 + row_number() OVER (PARTITION BY page_id % 5 ORDER BY encode(url)))::INT AS line_no, CASE WHEN page_id % 7 > 2 THEN url ELSE '-' END AS url, CASE WHEN page_id % 7 > 2 THEN page_id::VARCHAR ELSE '-' END AS title, ['NOT_JSON', 'NOT_AN_OBJECT', 'NO_URL', '-', '-', '-', '-'][page_id % 7 + 1] AS error, (SELECT count(*) FROM pages) AS n_written FROM pages",
     "package_roundtrip": "SELECT 'regions' AS name, true AS verified, count(*) AS n_rows FROM region UNION ALL SELECT 'nations', true, count(*) FROM nation",
     "point_lookup": "SELECT max(url) AS target_uri, 200 AS status_code, sha256(arg_max(html, (url, -page_id))) AS payload_sha256 FROM pages WHERE contains(url, 'a')",
     "stored_html": "SELECT 'p' || (page_id % 5) AS portal_id, url, ['raw', 'h', 'c'][page_id % 4 + 1] AS html FROM pages WHERE page_id % 4 < 3",

@@ -2,13 +2,15 @@
 
 Options of the reader: `path` (a file, a folder or a glob), `records` = response (default) or all, `payload` = true (default)
 or false: without payload the bytes are skipped, not kept; `limit`: a file is left after so many rows. One partition per file; records are read one after another, so
-a file never has to fit in memory, and a limit stops the reading.
+a file never has to fit in memory, and a limit stops the reading. Files lie in any store that `stores` opens, by the executors' own reads;
+`warc_index` cuts large files in ranges and finds single records.
 
 Later records of a URL win (`latest`); a malformed status is null; a missing content type is null.
 """
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import gzip
 import hashlib
@@ -17,18 +19,21 @@ import json
 import os
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import text, urls
+from . import stores
 
 SCHEMA = "file string, record_no int, warc_type string, target_uri string, record_id string, warc_date string, status_code int, content_type string, headers map<string,string>, payload_length bigint, payload binary"
 
@@ -114,22 +119,26 @@ def _opened(raw, name: str):
     return gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw) if isinstance(raw, io.RawIOBase) else raw
 
 
+SUFFIXES = (".warc", ".warc.gz", ".wacz")
+
+
 def files_of(path: str) -> list[str]:
-    """WARC and WACZ files below a path or a glob, sorted."""
-    found = [path] if os.path.isfile(path) else [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs] if os.path.isdir(path) else glob.glob(path, recursive=True)
-    return sorted(f for f in found if f.endswith((".warc", ".warc.gz", ".wacz")))
+    """WARC and WACZ files below a path or a glob (of local files), sorted."""
+    if any(c in path for c in "*?["):
+        return sorted(f for f in glob.glob(path.removeprefix("file:"), recursive=True) if f.endswith(SUFFIXES))
+    return [f for f, _ in stores.listed(path, SUFFIXES)]
 
 
 def read_file(path: str, keep_payload: bool = True, all_records: bool = False) -> Iterator[tuple]:
-    if path.endswith(".wacz"):
-        with zipfile.ZipFile(path) as z:
+    with stores.Raw(path) as raw:
+        if not path.endswith(".wacz"):
+            yield from records(_opened(raw, path), path, keep_payload, all_records)
+            return
+        with zipfile.ZipFile(raw) as z:
             for member in sorted(z.namelist()):
                 if member.startswith("archive/") and member.endswith((".warc", ".warc.gz")):
-                    with z.open(member) as raw:
-                        yield from records(_opened(raw, member), f"{path}!{member}", keep_payload, all_records)
-        return
-    with open(path, "rb") as raw:
-        yield from records(_opened(raw, path), path, keep_payload, all_records)
+                    with z.open(member) as inner:
+                        yield from records(_opened(inner, member), f"{path}!{member}", keep_payload, all_records)
 
 
 @dataclass
@@ -164,31 +173,34 @@ class _Writer(DataSourceWriter):
         self.folder, self.names, self.gzip, self.overwrite = options["path"], names, options.get("compression", "gzip") == "gzip", overwrite
 
     def write(self, rows: Iterator) -> _Written:
-        os.makedirs(self.folder, exist_ok=True)
-        path = os.path.join(self.folder, f"_part-{uuid.uuid4().hex}.warc" + (".gz" if self.gzip else ""))
+        system, folder = stores.store(self.folder)
+        system.create_dir(folder, recursive=True)
+        path = f"{folder.rstrip('/')}/_part-{uuid.uuid4().hex}.warc" + (".gz" if self.gzip else "")
         n = 0
-        with open(path, "wb") as out:
+        with system.open_output_stream(path, compression=None) as out:
             for row in rows:
                 record = row.asDict()
                 out.write(encoded(record["uri"], record.get("status_code") or 200, record.get("content_type") or "text/html; charset=utf-8", bytes(record["payload"] or b""), record.get("record_id"), record.get("warc_date"), record.get("warc_headers") or {}, self.gzip))
                 n += 1
         if not n:
-            os.remove(path)
+            system.delete_file(path)
         return _Written(path if n else None)
 
     def commit(self, messages: list[_Written]) -> None:
+        system, folder = stores.store(self.folder)
         if self.overwrite:
             for old in files_of(self.folder):
-                if not os.path.basename(old).startswith("_"):
-                    os.remove(old)
+                system.delete_file(stores.store(old)[1])
         for m in messages:
             if m and m.path:
-                os.replace(m.path, os.path.join(self.folder, os.path.basename(m.path)[1:]))
+                system.move(m.path, f"{folder.rstrip('/')}/{os.path.basename(m.path)[1:]}")
 
     def abort(self, messages: list[_Written]) -> None:
+        system, _ = stores.store(self.folder)
         for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and m.path:
+                with contextlib.suppress(FileNotFoundError):
+                    system.delete_file(m.path)
 
 
 def encoded(uri: str, status: int, mime: str, payload: bytes, record_id: str | None = None, date: str | None = None, more: dict[str, str] | None = None, compress: bool = True) -> bytes:
@@ -296,29 +308,31 @@ def categories(rows: DataFrame) -> DataFrame:
 def validated(path: str) -> dict:
     """Whether a file can be read to its end: valid, error, size, sha256, total and html record counts; for one file, on the caller's machine."""
     out = {"valid": False, "error": None, "size": 0, "sha256": None, "total": 0, "html": 0}
-    if not os.path.exists(path):
+    try:
+        raw = stores.Raw(path)
+    except FileNotFoundError:
         return out | {"error": "FILE_NOT_FOUND"}
-    out["size"] = os.path.getsize(path)
-    if not out["size"]:
-        return out | {"error": "EMPTY_FILE"}
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while chunk := f.read(1 << 16):
+    with raw:
+        out["size"] = raw.size()
+        if not out["size"]:
+            return out | {"error": "EMPTY_FILE"}
+        digest = hashlib.sha256()
+        while chunk := raw.read(1 << 16):
             digest.update(chunk)
     out["sha256"] = digest.hexdigest()
     try:
         for r in read_file(path, keep_payload=False, all_records=True):
             out["total"] += 1
             out["html"] += r[2] == "response" and any(t in (r[7] or "").lower() for t in ("text/html", "xhtml"))
-    except (ValueError, EOFError, OSError, zipfile.BadZipFile) as e:
+    except (ValueError, EOFError, OSError, zlib.error, zipfile.BadZipFile) as e:
         return out | {"error": f"PARSE_ERROR: {e}"}
     return out | {"valid": True}
 
 
-def validations(spark: SparkSession, path: str) -> DataFrame:
-    """`validated` of every file below a path that driver and executors share; one file is one row of work, read by the executors."""
-    names = files_of(path)
-    rows = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names)), "file")
+def validations(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """`validated` of every file below a path, and of the expected ones (file) that are not there; one file is one row of work, read by the executors."""
+    rows = spark.createDataFrame([(n,) for n in files_of(path)], "file string")
+    rows = (rows if expected is None else rows.unionByName(expected.select("file")).distinct()).repartition("file")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -327,19 +341,87 @@ def validations(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInPandas(run, "file string, valid boolean, error string, size bigint, sha256 string, total bigint, html bigint")
 
 
-def wacz_pages(path: str) -> list[str]:
-    """URLs of a WACZ's page list; lines that are no JSON objects are passed over."""
-    out = []
-    with zipfile.ZipFile(path) as z:
-        if "pages/pages.jsonl" in z.namelist():
-            for line in z.read("pages/pages.jsonl").decode("utf-8", "replace").splitlines():
+PAGES = "pages/pages.jsonl"
+
+
+def page_lines(path: str) -> Iterator[tuple]:
+    """(line_no, url, title, error) of a container's page list, read line by line: a line that is no JSON object or has no URL has an error; the heading line (with a format and no URL) is passed over."""
+    with stores.Raw(path) as raw, zipfile.ZipFile(raw) as z:
+        if PAGES not in z.namelist():
+            return
+        with z.open(PAGES) as lines:
+            for n, line in enumerate(lines, 1):
+                if not line.strip():
+                    continue
                 try:
-                    row = json.loads(line)
+                    row = json.loads(line.decode("utf-8", "replace"))
                 except ValueError:
+                    yield n, None, None, "NOT_JSON"
                     continue
-                if isinstance(row, dict) and row.get("url"):
-                    out.append(row["url"])
-    return out
+                if not isinstance(row, dict):
+                    yield n, None, None, "NOT_AN_OBJECT"
+                elif row.get("url"):
+                    yield n, str(row["url"]), None if row.get("title") is None else str(row["title"]), None
+                elif "format" not in row:
+                    yield n, None, None, "NO_URL"
+
+
+def container_pages(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, url, title and error of the page lists of all WACZ files at or below a path, read by the executors; a broken container is one row with an error and no line."""
+    files = spark.createDataFrame([(f,) for f in files_of(path) if f.endswith(".wacz")], "file string").repartition("file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "line_no", "url", "title", "error"]
+        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        for batch in batches:
+            for file in batch.column("file").to_pylist():
+                rows = []
+                try:
+                    for row in page_lines(file):
+                        rows.append((file, *row))
+                        if len(rows) == 5000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                            rows = []
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError):
+                    rows.append((file, None, None, None, "BROKEN_CONTAINER"))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return files.mapInArrow(run, "file string, line_no int, url string, title string, error string")
+
+
+def write_containers(rows: DataFrame, path: str) -> DataFrame:
+    """Write each group of rows (container, page_line, uri, payload[, status_code, content_type]) as one WACZ file, its page list in the order of uri; returns file and n_pages. A task streams its groups, so a container is never held whole."""
+    columns = [c for c in ("container", "page_line", "uri", "payload", "status_code", "content_type") if c in rows.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = stores.store(path)
+        system.create_dir(folder, recursive=True)
+        name, z, archive, pages, n = None, None, None, [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if z is not None:
+                archive.close()
+                z.writestr(PAGES, "\n".join(['{"format": "json-pages-1.0", "id": "pages"}', *pages, ""]))
+                z.close()
+                out.close()
+                system.move(f"{folder.rstrip('/')}/_{name}.wacz", f"{folder.rstrip('/')}/{name}.wacz")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{path.rstrip('/')}/{name}.wacz"]), pa.array([n], pa.int64())], ["file", "n_pages"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["container"] != name:
+                    yield from close()
+                    name, pages, n = r["container"], [], 0
+                    out = system.open_output_stream(f"{folder.rstrip('/')}/_{name}.wacz", compression=None)
+                    z = zipfile.ZipFile(out, "w")
+                    archive = z.open("archive/data.warc.gz", "w", force_zip64=True)
+                archive.write(encoded(r["uri"], r.get("status_code") or 200, r.get("content_type") or "text/html; charset=utf-8", bytes(r["payload"] or b"")))
+                pages.append(r["page_line"])
+                n += 1
+        yield from close()
+
+    return rows.select(*columns).repartition("container").sortWithinPartitions("container", "uri").mapInArrow(run, "file string, n_pages bigint")
 
 
 def sample_split(pages: DataFrame, url: str = "url", sizes: tuple[int, int, int] = (3, 2, 1)) -> DataFrame:

@@ -218,3 +218,40 @@ def test_a_marker_that_exists_is_a_conflict(spark, tmp_path, monkeypatch):
         snapshots.publish(spark, {"a": spark.range(9)}, path)
     monkeypatch.undo()
     assert snapshots.read(spark, path, "a").count() == 3
+
+
+def test_a_marker_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v")
+    snapshots.publish(spark, {"a": spark.range(3)}, path)
+    put, renamed = snapshots._put, snapshots._renamed
+
+    def torn(store, place, name):
+        store.create(place, False).close()  # the file is there, its content is not
+        assert snapshots.current(spark, path) == 1 and snapshots.read(spark, path, "a").count() == 3  # a reader in between
+        raise OSError("disk full")
+
+    monkeypatch.setattr(snapshots, "_put", torn)
+    with pytest.raises(OSError, match="disk full"):
+        snapshots.publish(spark, {"a": spark.range(9)}, path)
+    assert snapshots.read(spark, path, "a").count() == 3 and snapshots.current(spark, path) == 1
+    monkeypatch.setattr(snapshots, "_put", put)
+
+    def unanswered(*args):
+        renamed(*args)
+        raise OSError("connection lost")
+
+    monkeypatch.setattr(snapshots, "_renamed", unanswered)
+    with pytest.raises(OSError, match="connection lost"):
+        snapshots.publish(spark, {"a": spark.range(9)}, path)
+    monkeypatch.undo()
+    assert snapshots.current(spark, path) == 2 and snapshots.read(spark, path, "a").count() == 9  # it had been published
+    assert snapshots.publish(spark, {"a": spark.range(4)}, path) == 3
+    assert len([p for p in (tmp_path / "v").iterdir() if p.name.startswith("version-")]) == 3
+
+
+def test_an_error_that_is_no_conflict_is_said_to_be_none(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v")
+    monkeypatch.setattr(snapshots, "_put", lambda *_: (_ for _ in ()).throw(PermissionError("no")))
+    with pytest.raises(PermissionError):
+        snapshots.publish(spark, {"a": spark.range(9)}, path)
+    assert snapshots.current(spark, path) == 0

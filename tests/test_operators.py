@@ -352,7 +352,7 @@ def test_warc_faults_and_containers(spark, tmp_path):
         z.writestr("archive/d.warc.gz", warc.encoded("http://h.x/z", 200, "text/html", b"zz"))
         z.writestr("pages/pages.jsonl", '{"format":"x"}\n{"url":"http://h.x/z"}\nbroken\n')
     assert [r["target_uri"] for r in warc.read(spark, str(tmp_path / "c.wacz")).collect()] == ["http://h.x/z"]
-    assert warc.wacz_pages(str(tmp_path / "c.wacz")) == ["http://h.x/z"]
+    assert [r[1] for r in warc.page_lines(str(tmp_path / "c.wacz")) if r[1]] == ["http://h.x/z"]
     odd = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 22\r\n\r\nHTTP/1.1 abc\r\n\r\nhello!"
     assert [r[6:8] for r in warc.records(io.BytesIO(odd), "f")] == [(None, None)]
 

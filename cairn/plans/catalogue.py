@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive_queries, content_queries, function_queries, log_queries, url_queries
+from . import archive_queries, content_queries, delivery_queries, function_queries, log_queries, url_queries
 
-MODULES = (url_queries, log_queries, content_queries, archive_queries, function_queries)
+MODULES = (url_queries, log_queries, content_queries, archive_queries, function_queries, delivery_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,8 +6,9 @@ similarity of their sets reaches PERCENT / 100. Equal sets are one node (their h
 1. Order. Every task summarises the counts of its grams (the most frequent ones it met, bounded); summed, the HEAVY most
    frequent go last in the global order, by count, all others first, by hash. The order decides how much work is done,
    never the result. Sets that link share a gram among their first |x| - ceil(t |x|) + 1 in that order.
-2. Index. Each set posts these grams with its size and the gram's position. A gram's list is sorted by size and skipped in
-   blocks: a block is left once its sizes exceed |x| / t; inside, position bounds the overlap still possible. Pairs of
+2. Index. Each set posts these grams with its size and the gram's position. A gram's list is sorted by size, then position, and skipped in
+   blocks: a block is left once its sizes exceed |x| / t, and passed over where the positions in it and in the asking block leave
+   too few grams for the overlap that their sizes need; inside, the same bound holds for each pair. Pairs of
    short lists, and the rows of long ones, then meet the sets' sketches (counts of grams by hash in cells), whose distance
    bounds the symmetric difference from below. A long list becomes a forest: of n sets n - 1 edges at most go on.
 3. The edges' components hold every link, and a component is one family of similar sets. Their texts are brought
@@ -16,9 +17,11 @@ similarity of their sets reaches PERCENT / 100. Equal sets are one node (their h
    twice (those of the first block once a block, which is once for each other text). Only families that are still in
    several linked groups go on: blocks of one group each (small groups share blocks) meet the blocks of other groups whose
    sizes are in reach.
-4. Answers. In a family a set is first compared with the sets that answered for its most similar predecessor; once it
-   links to one of a group, the group's other members are skipped, since they are linked already. Comparisons use the
-   whole sets, so links are exact. Linked nodes become components.
+4. Answers. A block of a family has an index of its grams. The first set's overlaps with all sets of the block are counted from it. They also tell how
+   similar each later set is to it: a later set takes over the overlaps of the most similar set that has been asked about, less the lists of
+   the grams that only that one holds, plus the lists of the grams that only it holds itself, wherever these are fewer than its own grams. So
+   near copies cost the lists of what they differ in. Once a set links to one of a group, the group's other members are skipped, since
+   they are linked already. Overlaps are those of the whole sets, so links are exact. Linked nodes become components.
 
 No words or text: an empty set, linked with nothing. Fewer words than GRAM: the whole sequence is the one gram. doc_id is
 the key of a row; its text is found again by id and a hash of the text, so rows that share an id may differ in text. Repeated
@@ -213,8 +216,9 @@ def in_reach(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray,
 
 
 def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches: list[bytes], percent: int, block: int = 256) -> list[tuple[int, int]]:
-    """Forest over the pairs of a gram's list, sorted by size, that no bound excludes."""
+    """Forest over the pairs of a gram's list, sorted by size and place, that no bound excludes."""
     n = len(node)
+    left = size - place  # grams from the common one on, which bound an overlap
     forest, edges = Forest(n), []
     widths = np.array([len(s) for s in sketches])
     kinds = np.unique(widths).tolist()
@@ -229,6 +233,8 @@ def list_edges(node: np.ndarray, size: np.ndarray, place: np.ndarray, sketches:
         b = min(n, a + block)
         for start in range(a, int(limit[a:b].max(initial=0)), block):
             end = min(n, start + block)
+            if min(left[a:b].max(), left[start:end].max()) < overlap(size[a], size[start], percent):
+                continue  # by position: sizes ascend, so no pair needs less
             roots = forest.roots()
             # Answers already implied by the forest are skipped.
             i, j = np.nonzero((roots[a:b, None] != roots[None, start:end]) & (np.arange(start, end)[None, :] > np.arange(a, b)[:, None]))
@@ -262,7 +268,7 @@ SHORT_LIST = 12
 
 
 def table_lists(table: pa.Table, percent: int, last: bool) -> tuple[pa.RecordBatch | None, int]:
-    """(pairs of short lists, rows of long ones; first row of the list that is still open) of a table in (gram, size, node) order."""
+    """(pairs of short lists, rows of long ones; first row of the list that is still open) of a table in (gram, size, place, node) order."""
     gram, node, size, place = (table.column(c).to_numpy() for c in ("gram", "node", "size", "place"))
     rest = len(gram) if last or not len(gram) else int(np.searchsorted(gram, gram[-1]))
     gram, node, size, place = (x[:rest] for x in (gram, node, size, place))
@@ -337,7 +343,7 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch | None:
 
 
 def long_lists(table: pa.Table, percent: int, last: bool) -> tuple[pa.RecordBatch | None, int]:
-    """Forests of long lists, from rows in (gram, size, node) order with their sketches."""
+    """Forests of long lists, from rows in (gram, size, place, node) order with their sketches."""
     gram, node, size, place = (table.column(c).to_numpy() for c in ("gram", "node", "size", "place"))
     rest = len(gram) if last else int(np.searchsorted(gram, gram[-1]))
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
@@ -369,12 +375,12 @@ def _near_pairs(percent: int):
 
 def candidates(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every link; nodes has (node, size, sketch)."""
-    lists = stored(posts.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_by_list(table_lists, percent), _LIST))
+    lists = stored(posts.repartition("gram").sortWithinPartitions("gram", "size", "place", "node").mapInArrow(_by_list(table_lists, percent), _LIST))
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     pairs = lists.filter("b IS NOT NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
     near = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near_pairs(percent), _EDGE)
     rows = lists.filter("b IS NULL").select("gram", F.col("a").alias("node"), "size", "place").join(nodes.select("node", "sketch"), "node")
-    forests = rows.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_by_list(long_lists, percent), _EDGE)
+    forests = rows.repartition("gram").sortWithinPartitions("gram", "size", "place", "node").mapInArrow(_by_list(long_lists, percent), _EDGE)
     return near.unionByName(forests)
 
 
@@ -383,21 +389,61 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def only(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What of the sorted set x is not in the sorted set y."""
+    if not len(y):
+        return x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return x[y[at] != x]
+
+
 class Family:
-    """Sets of one family, with the means to compare them in bulk: which sets hold a gram, as sorted (gram, set) pairs."""
+    """Sets of one block with an index of their grams, and the overlaps that were computed with all of them: answers for one set are derived from those of a similar one."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = np.array([len(s) for s in sets])
         grams, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.lexsort((of, grams))
-        self.grams, self.of = grams[order], of[order]
-
-    def links(self, grams: np.ndarray, low: int, percent: int) -> np.ndarray:
-        """The sets from number `low` on that link with the set of `grams`, by exact overlaps."""
+        self.grams, self.of = grams[order], of[order].astype(np.int32)
+        #: Sets asked about, and their overlaps with all sets of the block.
+        self.asked: list[np.ndarray] = []
+        self.answers = np.empty((0, len(sets)), np.int32)
+        #: Entries of lists that were read.
+        self.n_read = 0
+
+    def counted(self, grams: np.ndarray) -> np.ndarray:
+        """Overlaps with all sets, from the grams' lists."""
         left, right = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, side="right")
         n = right - left
         where = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        both = np.bincount(self.of[where], minlength=len(self.sizes))
+        self.n_read += len(where)
+        return np.bincount(self.of[where], minlength=len(self.sizes)).astype(np.int32)
+
+    def overlaps(self, grams: np.ndarray, number: int | None) -> np.ndarray:
+        """Overlaps of a set with all sets of the block. number: which of them it is itself, if it is one; then the earlier answers know how similar it is, else the last set asked about is tried."""
+        if not self.asked:
+            return self._kept(grams, self.counted(grams))
+        last = len(self.asked) - 1
+        if number is not None:
+            apart = np.array([len(x) for x in self.asked]) + len(grams) - 2 * self.answers[: last + 1, number]
+            last = int(apart.argmin())
+        before = self.asked[last]
+        gone, fresh = only(before, grams), only(grams, before)
+        if len(gone) + len(fresh) >= len(grams):
+            return self._kept(grams, self.counted(grams))
+        return self._kept(grams, self.answers[last] + self.counted(fresh) - self.counted(gone))
+
+    def _kept(self, grams: np.ndarray, both: np.ndarray) -> np.ndarray:
+        n = len(self.asked)
+        if n == len(self.answers):
+            self.answers = np.concatenate([self.answers, np.zeros((max(16, n), len(self.sizes)), np.int32)])
+        self.answers[n] = both
+        self.asked.append(grams)
+        return both
+
+    def links(self, grams: np.ndarray, low: int, percent: int, number: int | None = None) -> np.ndarray:
+        """The sets from number `low` on that link with the set of `grams`, by exact overlaps."""
+        both = self.overlaps(grams, number).astype(np.int64)
         good = 100 * both >= percent * (len(grams) + self.sizes - both)
         good[:low] = False
         return np.flatnonzero(good)
@@ -428,7 +474,7 @@ def family_edges(nodes_a: list[int], sets_a: list[np.ndarray], nodes_b: list[int
         j = np.flatnonzero(open_)
         if len(j) > 4:
             family = family or Family(sets)
-            hits = family.links(sets_a[i], i + 1 if within else 0, percent)
+            hits = family.links(sets_a[i], i + 1 if within else 0, percent, i if within else None)
         else:
             hits = np.array([k for k in j if linked(sets_a[i], sets[k], percent)], np.int64)
         for k in hits.tolist():

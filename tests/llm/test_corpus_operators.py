@@ -228,6 +228,41 @@ def test_list_edges_keep_all_links():
             assert forest.root(a) == forest.root(b)
 
 
+def test_answers_are_derived_from_similar_ones():
+    rng = np.random.default_rng(7)
+    pick = lambda n: rng.integers(0, 2**62, n).astype(np.uint64)
+    bases = [pick(400) for _ in range(4)]
+    sets = [np.unique(np.where(rng.random(400) < rng.choice([0.0, 0.03, 0.3]), pick(400), bases[rng.integers(0, 4)])) for _ in range(150)] + [np.unique(pick(30)) for _ in range(5)]
+    derived, plain = set_join.Family(sets), set_join.Family(sets)
+    for i, x in enumerate(sets):
+        want = [len(np.intersect1d(x, y)) for y in sets]
+        assert derived.overlaps(x, i).tolist() == want and plain.counted(x).tolist() == want
+    assert derived.n_read < 0.5 * plain.n_read
+    other = set_join.Family(sets)  # asked about sets that are not in it
+    for x in [np.unique(np.where(rng.random(400) < 0.02, pick(400), bases[0])) for _ in range(10)] + [np.empty(0, np.uint64), sets[0]]:
+        assert other.overlaps(x, None).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+    edges = set_join.family_edges(list(range(155)), sets, None, None, 90)
+    forest, exact = set_join.Forest(155), set_join.Forest(155)
+    for a, b in edges:
+        forest.join(a, b)
+    for a, b in combinations(range(155), 2):
+        if set_join.linked(sets[a], sets[b], 90):
+            exact.join(a, b)
+    assert all((forest.root(a) == forest.root(b)) == (exact.root(a) == exact.root(b)) for a, b in combinations(range(155), 2))
+
+
+def test_blocks_of_a_list_are_passed_over_by_position(monkeypatch):
+    n, tried = 400, []
+    size, place = np.full(n, 100), np.sort(np.arange(n) % 40)  # from place 20 on, fewer than the needed 95 grams are left
+    seen = set_join.in_reach
+    monkeypatch.setattr(set_join, "in_reach", lambda *a: tried.append(len(a[2])) or seen(*a))
+    sketches = [bytes(16)] * n
+    edges = set_join.list_edges(np.arange(n), size, place, sketches, 90, block=16)
+    assert sum(tried) < n * n / 4
+    near = np.flatnonzero(size - place >= set_join.overlap(100, 100, 90))
+    assert {x for e in edges for x in e} == set(near.tolist())
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)] + [(500, i) for i in range(501, 560)] + [(5, 5)]

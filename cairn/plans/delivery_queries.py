@@ -16,7 +16,7 @@ _MAX_BYTES = 40_000
 def deposit_sink(spark, d):
     """Files deposited six at a time, and once more after some have changed: what became of each deposit, both times."""
     i = F.col("doc_id")
-    docs = _t(spark, d, "documents").select(F.coalesce("source", F.lit("-")).alias("portal_id"), F.concat(F.lit("r"), F.floor(i / 6).cast("string")).alias("run_id"), F.concat(F.lit("f"), i.cast("string"), F.lit(".txt")).alias("filename"), F.coalesce("text", F.lit("")).alias("text"), i)
+    docs = _t(spark, d, "documents").select(F.concat(F.lit("p"), (F.floor(i / 6) % 50).cast("string")).alias("portal_id"), F.concat(F.lit("r"), F.floor(i / 6).cast("string")).alias("run_id"), F.concat(F.lit("f"), i.cast("string"), F.lit(".txt")).alias("filename"), F.coalesce("text", F.lit("")).alias("text"), i)
     path, out = _folder(spark, "deposits"), None
     for attempt in (1, 2):
         text = F.when((i % 13 == 0) & F.lit(attempt == 2), F.concat("text", F.lit("!"))).otherwise(F.col("text"))
@@ -87,7 +87,7 @@ f AS (
 SELECT 'p' || user_id AS portal_id, seq, cmd, writer, result, coalesce(base, '-') AS baseline, coalesce(head, '-') AS head, gen AS generation, bgen AS baseline_generation, cv AS control_version, kv AS catalog_version FROM f WHERE seq > 0"""
 
 ORACLES = {
-    "deposit_sink": f"""WITH d AS (SELECT coalesce(source, '-') AS p, 'r' || (doc_id // 6) AS r, 'f' || doc_id || '.txt' AS name, coalesce(text, '') || CASE WHEN attempt = 2 AND doc_id % 13 = 0 THEN '!' ELSE '' END AS t, doc_id, attempt FROM documents, (SELECT unnest([1, 2]) AS attempt)),
+    "deposit_sink": f"""WITH d AS (SELECT 'p' || (doc_id // 6 % 50) AS p, 'r' || (doc_id // 6) AS r, 'f' || doc_id || '.txt' AS name, coalesce(text, '') || CASE WHEN attempt = 2 AND doc_id % 13 = 0 THEN '!' ELSE '' END AS t, doc_id, attempt FROM documents, (SELECT unnest([1, 2]) AS attempt)),
 g AS (SELECT attempt, p, r, count(*) AS n, sum(octet_length(encode(t)))::BIGINT AS total, bool_or(doc_id % 41 = 0) AS wrong, sha256(string_agg(sha256(t) || '  ' || name || chr(10), '' ORDER BY name)) AS fp FROM d GROUP BY ALL),
 x AS (SELECT *, CASE WHEN total > {_MAX_BYTES} THEN 'OVER_QUOTA' WHEN wrong THEN 'DIGEST_MISMATCH' ELSE 'PUBLISHED' END AS o FROM g),
 y AS (SELECT x.*, e.fp AS there FROM x LEFT JOIN x e ON x.attempt = 2 AND e.attempt = 1 AND e.p = x.p AND e.r = x.r AND e.o = 'PUBLISHED')

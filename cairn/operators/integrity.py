@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contained_path, manifest_line
+from .digests import streamed
 
 # Limits of a deposit.
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES = 100, 50 * 1024**3, 50 * 1024**3
@@ -49,6 +50,14 @@ def manifest_text(files: DataFrame) -> DataFrame:
     return files.agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.concat(r["sha256"], F.lit("  "), r["p"])), "\n"), F.lit("\n")).alias("text"))
 
 
+def manifest_digest(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """package_fingerprint and length (characters) of the manifest of files (keys, path, sha256), per package: what `manifest_text` would hash to, streamed line by line."""
+    path = F.replace("path", F.lit("\\"), F.lit("/"))
+    lines = files.select(*keys, path.alias("_path"), F.concat("sha256", F.lit("  "), path).alias("_line"))
+    d = streamed(lines, keys, ["_path", "_line"], "_line", "package_fingerprint", tail="\n")
+    return d.select(*keys, "package_fingerprint", F.col("chars_package_fingerprint").alias("length"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[tuple[str, str]], name: str) -> DataFrame:
     """Number of child rows whose key, not null, has no parent: one anti-join."""
     known = child.filter(" AND ".join(f"{c} IS NOT NULL" for c, _ in keys))

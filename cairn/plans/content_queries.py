@@ -203,7 +203,7 @@ def manifest_lines(spark, d):
 
 def manifest_text(spark, d):
     files = _t(spark, d, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("sha256"))
-    return integrity.manifest_text(files).select(F.sha2("text", 256).alias("package_fingerprint"), F.length("text").alias("length"))
+    return integrity.manifest_digest(files).select("package_fingerprint", F.col("length").cast("int").alias("length"))
 
 
 def fk_audit(spark, d):

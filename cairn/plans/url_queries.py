@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints, urls
-from ..operators import observations, snapshot
+from ..operators import digests, observations, snapshot
 
 EXCLUDED, ARTICLE = ("/login", "/privacy", "/a"), ("/b", "/c", "/post/")
 
@@ -33,13 +33,14 @@ _HOSTED = f"hosted AS (SELECT page_id, lower(regexp_extract(url, '{urls._HOST}',
 
 
 def page_fingerprints(spark, d):
-    return _hosted(spark, d).groupBy("host").agg(fingerprints.ordered(F.col("u"), F.col("page_id")).alias("ordered_fingerprint"), fingerprints.as_set(F.col("u")).alias("set_fingerprint"), F.count("*").alias("n_pages"), F.countDistinct("u").alias("n_distinct"))
+    rows = _hosted(spark, d)
+    n = rows.groupBy("host").agg(F.count("*").alias("n_pages"), F.countDistinct("u").alias("n_distinct"))
+    return digests.fingerprints(rows, "host", "u", "page_id").select("host", "ordered_fingerprint", "set_fingerprint").join(n, "host")
 
 
 def child_fingerprints(spark, d):
-    raw = _pages(spark, d).select(urls.host(F.col("url")).alias("host"), F.col("page_id"), F.trim("url").alias("u"))
-    lists = raw.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "u"))), lambda r: r["u"]).alias("us"))
-    return lists.select("host", fingerprints.child_links(F.col("us"))["ordered"].alias("ordered_fingerprint"), fingerprints.child_links(F.col("us"))["as_set"].alias("set_fingerprint"))
+    rows = _pages(spark, d).select(urls.host(F.col("url")).alias("host"), F.col("page_id"), F.trim("url").alias("u"))
+    return digests.fingerprints(rows, "host", "u", "page_id").select("host", "ordered_fingerprint", "set_fingerprint")
 
 
 def url_ledger(spark, d):

@@ -4,6 +4,7 @@ All paths are read and written by Spark, so they may lie in any store that it re
 
 from __future__ import annotations
 
+import hashlib
 import json
 import platform
 import re
@@ -12,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.digests import streamed
 from ..operators.integrity import parsed_manifest, rollup, verify
 
 MANIFEST, ENVIRONMENT = "_manifest", "_environment"
@@ -63,10 +65,10 @@ def is_valid(spark: SparkSession, path: str) -> bool:
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
-    """SHA-256 of the manifest's lines in their order of path."""
-    lines = spark.read.text(f"{path}/{MANIFEST}")
-    text = lines.agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.substring_index("value", "  ", -1).alias("p"), "value"))).getField("value"), "\n").alias("t"))
-    return text.select(F.sha2("t", 256)).first()[0]
+    """SHA-256 of the manifest's lines in their order of path, streamed line by line."""
+    lines = spark.read.text(f"{path}/{MANIFEST}").select(F.substring_index("value", "  ", -1).alias("p"), "value")
+    found = streamed(lines, [], ["p", "value"], "value").first()
+    return found["digest"] if found else hashlib.sha256(b"").hexdigest()
 
 
 def backup(spark: SparkSession, tables: Mapping[str, str], to: str) -> None:

@@ -47,6 +47,8 @@ class Outbox:
             return "OK"
         if self.status == "ABSENT":
             return "UNKNOWN_EVENT"
+        if cmd == "clock":
+            return self.expire(at)
         if cmd == "claim":
             if self.status == "IN_FLIGHT" and self.lease_until <= at and self.attempts >= MAX_ATTEMPTS:
                 self.status, self.token, self.lease_until = "RECONCILIATION_REQUIRED", None, None
@@ -69,6 +71,15 @@ class Outbox:
         return "OK"
 
 
+    def expire(self, at: int) -> str:
+        """What the passing of time does: a claim whose lease has run out is free again, or needs a person after the last attempt. A later claim or answer finds what it would find without this."""
+        if self.status != "IN_FLIGHT" or self.lease_until > at:
+            return "NOT_DUE"
+        self.next_at = self.lease_until
+        self.status, self.token, self.lease_until = "RECONCILIATION_REQUIRED" if self.attempts >= MAX_ATTEMPTS else "RETRY", None, None
+        return "EXPIRED"
+
+
 def outbox_due(status: Column, attempts: Column, next_at: Column, lease_until: Column, now: Column) -> Column:
     """Whether an event can be claimed: waiting and due, or in flight under a lease that ran out, with attempts left."""
     waiting = status.isin("PENDING", "RETRY") & (next_at <= now)
@@ -94,6 +105,8 @@ class Lease:
 
     def step(self, cmd: str, owner: str, at: int, ttl: int, generation: int | None, baseline: str | None) -> str:
         held = self.owner is not None and at < self.expires
+        if cmd == "clock":
+            return self.expire(at)
         if cmd == "acquire":
             if held:
                 return "HELD"
@@ -114,6 +127,14 @@ class Lease:
         return "OK"
 
 
+    def expire(self, at: int) -> str:
+        """What the passing of time does: a lease that has run out has no owner."""
+        if self.owner is None or at < self.expires:
+            return "NOT_DUE"
+        self.owner, self.expires = None, 0
+        return "EXPIRED"
+
+
 @dataclass
 class Stored:
     """An object of a store that only takes conditional writes. Its version is its etag; versions never come again."""

@@ -7,8 +7,9 @@ number, so they go to every task; the documents stay where they are.
 Template words are ordered by their count over the whole corpus, rarest first. A block that holds a share t of a
 template of n words misses at most n - ceil(t*n) of them, so it holds one of its n - ceil(t*n) + 1 rarest (prefix
 filter); it has at least ceil(t*n) distinct words (length filter); and a first common word at position i of the order
-leaves at most n - i words to share (positional filter). A text is first filtered as one block; of the templates that it
-reaches as a whole, a window slides over all its words and is counted exactly.
+leaves at most n - i words to share (positional filter). A text is first filtered as one block. For each template that it
+reaches as a whole, the places of the template's prefix words are its hits; every matching block holds one, so a window slides over the words
+within a block's width of a hit only, and is counted exactly there.
 
 Base phrases are counted in the whole word sequence of a document, across lines. Null and empty texts have no words: zero
 counts, null places, empty labels, score 0. Repeated rows give repeated results, a null doc_id stays null, an empty table gives
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 SPAN = 2
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Short notices by which the licenses are usually invoked.
+#: The licenses' own words. Short ones in whole, each paragraph a template; long ones by the notices with which they are applied.
 TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "apache-text": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License",
@@ -38,6 +39,28 @@ TEMPLATES = {
     "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense-text": "This is free and unencumbered software released into the public domain",
+    "mit-rights-text": "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "mit-notice-text": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit-warranty-text": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+    "mit-liability-text": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "isc-notice-text": "provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty-text": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "isc-liability-text": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    "bsd-source-text": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary-text": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-names-text": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-warranty-text": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "bsd-liability-text": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    "unlicense-rights-text": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "unlicense-dedication-text": "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+    "zlib-warranty-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-rights-text": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "zlib-origin-text": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required",
+    "zlib-altered-text": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+    "gpl-warranty-text": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+    "gpl-copy-text": "You should have received a copy of the GNU General Public License along with this program",
+    "apache-warranty-text": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License",
+    "mpl-copy-text": "If a copy of the MPL was not distributed with this file, You can obtain one at",
 }
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, n_blocks bigint"
 #: Bytes -> bytes: A-Z to a-z; other ASCII that is no digit or letter to a space; line feed stays.
@@ -83,6 +106,7 @@ class Index:
         for name, words in self.ordered.items():
             for i in range(len(words) - self.least[name] + 1):
                 self.prefix.setdefault(words[i], []).append((name, i))
+        self.starts = {name: frozenset(words[: len(words) - self.least[name] + 1]) for name, words in self.ordered.items()}
         self.rare = frozenset(self.prefix)
         self.shortest = min(self.least.values(), default=1)
 
@@ -123,6 +147,18 @@ def blocks(places: list[tuple[int, bytes]], width: int, least: int, disjoint: bo
     return most, starts
 
 
+def near_hits(words: list[bytes], own: frozenset[bytes], hits: frozenset[bytes], width: int) -> list[tuple[int, bytes]]:
+    """(place, word) of the words of `own` less than `width` places from a word of `hits`."""
+    out, end, n = [], 0, len(words)
+    for at, word in enumerate(words):
+        if word in hits:
+            for i in range(max(end, at - width + 1), min(n, at + width)):
+                if words[i] in own:
+                    out.append((i, words[i]))
+            end = max(end, min(n, at + width))
+    return out
+
+
 def scan_text(text: str | None, index: Index) -> tuple:
     words = fold(text).split()
     flat = b" " + b" ".join(words) + b" "
@@ -138,7 +174,9 @@ def scan_text(text: str | None, index: Index) -> tuple:
         begins: set[int] = set()
         for name in index.match(set(words)):
             own, width, least = frozenset(index.ordered[name]), index.width[name], index.least[name]
-            found = [(i, w) for i, w in enumerate(words) if w in own]
+            found = near_hits(words, own, index.starts[name], width)
+            if len(found) < least:
+                continue
             most, _ = blocks(found, width, least, False)
             if most >= least:
                 more.add(name)

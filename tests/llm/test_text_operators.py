@@ -124,6 +124,33 @@ def test_license_blocks_whatever_the_lines(make_docs):
     assert got[5] == ("", 0) and got[6] == ("unlicense-text", 1)
 
 
+def test_windows_slide_near_hits_only():
+    index = licenses.Index(licenses.TEMPLATES, {}, 0.8)
+    name = "gpl-text"
+    own, hits, width = frozenset(index.ordered[name]), index.starts[name], index.width[name]
+    common, rare = sorted(own - hits), sorted(hits)
+    # All words of the template in a long text, the prefix words far apart: a window's width around each is looked at, no more.
+    words = []
+    for r in rare:
+        words += [c for c in common for _ in range(40)] + [r] + [c for c in common for _ in range(40)]
+    found = licenses.near_hits(words, own, hits, width)
+    assert 0 < len(found) <= len(rare) * (2 * width - 1) < len(words) / 4 and licenses.near_hits(common * 500, own, hits, width) == []
+    rng = random.Random(9)
+    for _ in range(200):
+        words = [rng.choice([*common, *rare, *["zz"] * 40]) if rng.random() < 0.5 else b"zz" for _ in range(rng.randrange(300))]
+        places = [i for i, w in enumerate(words) if w in hits]
+        want = [(i, w) for i, w in enumerate(words) if w in own and any(abs(i - p) < width for p in places)]
+        assert licenses.near_hits(words, own, hits, width) == want
+
+
+def test_paragraphs_of_whole_licenses_are_found(make_docs):
+    parts = {n: t for n, t in licenses.TEMPLATES.items() if n.startswith("mit-")}
+    text = "Copyright (c) 2020 A\n\n" + "\n\n".join(parts.values())
+    rows = [(1, text), (2, "words " * 3000 + text + " more" * 3000), (3, " ".join(w for w in text.split()[::-1] for _ in range(30)))]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(make_docs(rows)).collect()}
+    assert set(parts) <= got[1] and got[1] == got[2] and not set(parts) & got[3]
+
+
 def test_license_blocks_equal_brute_force():
     rng = random.Random(6)
     sets = licenses.template_words(licenses.TEMPLATES)

@@ -41,6 +41,14 @@ def head_verified(obs: DataFrame, page: str, head: Column, order: Sequence[str],
     return seen.agg(F.coalesce(last >= required, F.lit(False)).alias("head_verified"), F.count("*").alias("head_visits"))
 
 
+def heads_verified(obs: DataFrame, portal: str, order: Sequence[str], set_fp: str, after: Column, required: int = 2) -> DataFrame:
+    """`head_verified` of every portal, whose observations are those of its head: portal, head_verified, head_visits; a portal without visits after its traversal has none and is not verified."""
+    seen = stability(obs.filter(after), portal, order, set_fp, required=required)
+    found = seen.groupBy(portal).agg((F.max_by("stable_count", F.struct(*order)) >= required).alias("_ok"), F.count("*").alias("_n"))
+    every = obs.select(portal).distinct().join(found, portal, "left")
+    return every.select(portal, F.coalesce("_ok", F.lit(False)).alias("head_verified"), F.coalesce("_n", F.lit(0)).alias("head_visits"))
+
+
 def ledger(items: DataFrame, key: str, page: str, visit: str) -> DataFrame:
     """Per item: first and last visit, distinct pages, times seen."""
     return items.groupBy(key).agg(F.min(visit).alias("first_visit"), F.max(visit).alias("last_visit"), F.countDistinct(page).alias("n_pages"), F.count("*").alias("n_seen"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(F.col(visit), F.col(page)))), lambda r: r[page].cast("string")), ",").alias("pages"))

@@ -118,7 +118,7 @@ def object_store(spark, d):
     e, i = _t(spark, d, "events"), F.col("event_id")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
     cmds = e.withColumn("seq", n).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), "seq", F.element_at(F.array(*map(F.lit, ("put_new", "put_if_match", "put_if_match", "get", "put_if_match", "delete"))), (i % 6 + 1).cast("int")).alias("cmd"), (F.col("seq") / 3).cast("long").alias("etag"))
-    return state.objects(cmds).groupBy("cmd", "result").agg(F.count("*").alias("n"), F.max("version").alias("highest"))
+    return state.objects(cmds)
 
 
 def visit_policy(spark, d):
@@ -183,7 +183,7 @@ def container_pages(spark, d):
 def package_roundtrip(spark, d):
     """A sealed package of two tables: state of its files by table, and rows read back."""
     path = _folder(spark, "package")
-    tables = {"regions": _t(spark, d, "region"), "nations": _t(spark, d, "nation")}
+    tables = {"orders": _t(spark, d, "orders"), "pages": _t(spark, d, "pages")}
     states = packages.write(tables, path, {"run": "r1"})
     by = states.groupBy(F.element_at(F.split("path", "/"), 1).alias("name")).agg(F.bool_and(F.col("state") == "VERIFIED").alias("verified"))
     n = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name in tables]
@@ -236,15 +236,15 @@ def rule_file(spark, d):
 def backup_restore(spark, d):
     """Tables copied away and back; a second restore over them is refused."""
     base = _folder(spark, "backup")
-    _t(spark, d, "nation").write.parquet(f"{base}/nation")
-    packages.backup(spark, {"nation": f"{base}/nation"}, f"{base}/copy")
-    packages.restore(spark, f"{base}/copy", {"nation": f"{base}/back"})
+    _t(spark, d, "customer").write.parquet(f"{base}/customer")
+    packages.backup(spark, {"customer": f"{base}/customer"}, f"{base}/copy")
+    packages.restore(spark, f"{base}/copy", {"customer": f"{base}/back"})
     try:
-        packages.restore(spark, f"{base}/copy", {"nation": f"{base}/back"})
+        packages.restore(spark, f"{base}/copy", {"customer": f"{base}/back"})
         refused = False
     except FileExistsError:
         refused = True
-    return spark.read.parquet(f"{base}/back").select("n_nationkey", "n_name", F.lit(refused).alias("refused"))
+    return spark.read.parquet(f"{base}/back").select("c_custkey", "c_name", F.lit(refused).alias("refused"))
 
 
 def snapshot_versions(spark, d):
@@ -288,16 +288,16 @@ ORACLES = {
     "deposit_listing": "WITH r AS (SELECT source, 'f' || doc_id AS filename, row_number() OVER (PARTITION BY source ORDER BY doc_id * 7919 % 10007 DESC, doc_id) AS n, row_number() OVER (PARTITION BY source ORDER BY 'f' || doc_id) AS m FROM documents) SELECT source, n::INT AS place, filename, m::INT AS name_place FROM r WHERE n <= 10",
     "remote_verify": "SELECT 'docs/' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'MISSING' WHEN doc_id % 11 = 0 THEN 'MISMATCH' ELSE 'VERIFIED' END AS state FROM documents",
     "max_frontier": f"WITH RECURSIVE {log_queries._EDGES}, k AS (SELECT node, path[1] AS root, path[len(path) - 1] AS parent, depth, row_number() OVER (PARTITION BY path[1] ORDER BY depth, ord) AS k FROM tree), n AS (SELECT p.root, p.k, count(c.node) AS n FROM k p LEFT JOIN k c ON c.root = p.root AND c.parent = p.node AND c.depth = p.depth + 1 GROUP BY 1, 2), w AS (SELECT root, 1 + sum(n) OVER (PARTITION BY root ORDER BY k) - k AS w FROM n) SELECT root, greatest(max(w), 1)::INT AS max_frontier FROM w GROUP BY root",
-    "object_store": f"{_OBJECTS} SELECT cmd, result, count(*) AS n, max(version) AS highest FROM f WHERE seq > 0 GROUP BY 1, 2",
+    "object_store": f"{_OBJECTS} SELECT 'u' || user_id AS path, seq, cmd, result, version, there FROM f WHERE seq > 0",
     "warc_roundtrip": "SELECT url AS target_uri, CASE WHEN page_id % 10 = 1 THEN 404 ELSE 200 END AS status_code, CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml' ELSE 'text/css' END AS content_type, octet_length(encode(html)) AS size, sha256(html) AS payload_sha256, md5(html) AS text_md5, page_id % 4 < 2 AS is_html FROM pages WHERE page_id % 10 <> 0 AND page_id % 13 <> 0",
     "warc_validation": "SELECT 'VALID' AS outcome, NULL::BIGINT AS n_faulty, count(*) AS n_records, count(*) FILTER (page_id % 3 <> 0) AS n_html FROM pages UNION ALL (SELECT 'PARSE_ERROR', 1, 1, (page_id % 3 <> 0)::INT FROM pages ORDER BY page_id LIMIT 1) UNION ALL SELECT unnest(['EMPTY_FILE', 'FILE_NOT_FOUND']), 1, 0, 0",
     "archive_index": "SELECT url AS target_uri, CASE WHEN page_id % 4 = 0 THEN 404 ELSE 200 END AS status_code, CASE WHEN page_id % 3 = 0 THEN 'text/css' ELSE 'text/html' END AS content_type, octet_length(encode(html)) AS payload_length, sha256(html) AS payload_sha256 FROM pages",
     "container_pages": "SELECT 'c' || (page_id % 5) AS container, (1 + row_number() OVER (PARTITION BY page_id % 5 ORDER BY encode(url)))::INT AS line_no, CASE WHEN page_id % 7 > 2 THEN url ELSE '-' END AS url, CASE WHEN page_id % 7 > 2 THEN page_id::VARCHAR ELSE '-' END AS title, ['NOT_JSON', 'NOT_AN_OBJECT', 'NO_URL', '-', '-', '-', '-'][page_id % 7 + 1] AS error, (SELECT count(*) FROM pages) AS n_written FROM pages",
-    "package_roundtrip": "SELECT 'regions' AS name, true AS verified, count(*) AS n_rows FROM region UNION ALL SELECT 'nations', true, count(*) FROM nation",
+    "package_roundtrip": "SELECT 'orders' AS name, true AS verified, count(*) AS n_rows FROM orders UNION ALL SELECT 'pages', true, count(*) FROM pages",
     "point_lookup": "SELECT max(url) AS target_uri, 200 AS status_code, sha256(arg_max(html, (url, -page_id))) AS payload_sha256 FROM pages WHERE contains(url, 'a')",
     "stored_html": "SELECT 'p' || (page_id % 5) AS portal_id, url, ['raw', 'h', 'c'][page_id % 4 + 1] AS html FROM pages WHERE page_id % 4 < 3",
     "rule_file": "SELECT 'title' AS field, count(*) AS tested, count(*) FILTER (trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) <> '') AS successful, successful >= 0.8 * tested AS acceptable, 3 AS version FROM pages UNION ALL SELECT 'links', count(*), count(*) FILTER (len(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*[^<\\s][^<]*</a>')) > 0) AS s, s >= 0.8 * count(*), 3 FROM pages UNION ALL SELECT 'none', count(*), 0, false, 3 FROM pages",
-    "backup_restore": "SELECT n_nationkey, n_name, true AS refused FROM nation",
+    "backup_restore": "SELECT c_custkey, c_name, true AS refused FROM customer",
     "snapshot_versions": "SELECT 'region' AS name, v AS version, count(*) FILTER (v = 1 OR r_regionkey > 1) AS n_rows, v = 2 AS is_current, true AS refused FROM region, (SELECT unnest([1, 2]) AS v) GROUP BY v UNION ALL SELECT 'nation', v, count(*) FILTER (v = 1 OR n_regionkey > 1), v = 2, true FROM nation, (SELECT unnest([1, 2]) AS v) GROUP BY v",
     "replay_pages": "WITH p AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/?#]*', 0) || '/i/' || page_id || '.png' AS u FROM pages) SELECT page_id, '/replay?url=' || replace(replace(replace(u, '%', '%25'), ':', '%3A'), '/', '%2F') AS css_link, true AS data_kept FROM p",
 }

@@ -47,7 +47,8 @@ def convergence(spark, d):
 
 
 def head_verification(spark, d):
-    return observations.head_verified(_visits(spark, d), "page", F.lit(7), ["ts", "event_id"], "set_fp", F.col("event_id") > 100)
+    """Each page as the head of a portal of its own, read again after the first hundred requests."""
+    return observations.heads_verified(_visits(spark, d), "page", ["ts", "event_id"], "set_fp", F.col("event_id") > 100)
 
 
 def boundary_revisits(spark, d):
@@ -274,7 +275,7 @@ ORACLES = {
     "visit_budget": "WITH r AS (SELECT event_id, user_id AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT event_id, page, n::INT AS request_no, n > 20 AS exhausted FROM r WHERE n <= 21",
     "request_phases": "SELECT user_id AS page, count(*) FILTER (event_id % 4 = 0) AS n_initial, count(*) FILTER (event_id % 4 IN (1, 3)) AS n_head, count(*) FILTER (event_id % 4 = 2) AS n_reconciliation, count(*) AS n_requests FROM events GROUP BY user_id",
     "convergence": f"WITH {_ISLANDS}, last AS (SELECT *, page % 50 AS portal FROM st QUALIFY row_number() OVER (PARTITION BY page ORDER BY ts DESC, event_id DESC) = 1) SELECT portal, count(*) AS n_pages, count(*) FILTER (stable_count >= 2) AS n_stable, (bool_and(stable_count >= 2) AND NOT bool_or(visit_no > 40)) AS converged FROM last GROUP BY portal",
-    "head_verification": "WITH h AS (SELECT event_id, ts, event_type AS s FROM events WHERE user_id = 7 AND event_id > 100), i AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER (ORDER BY ts, event_id) THEN 1 ELSE 0 END AS c FROM h), g AS (SELECT *, sum(c) OVER (ORDER BY ts, event_id) AS island FROM i), n AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY ts, event_id) AS k FROM g) SELECT coalesce(arg_max(k, (ts, event_id)) >= 2, false) AS head_verified, count(*) AS head_visits FROM n",
+    "head_verification": "WITH h AS (SELECT user_id AS page, event_id, ts, event_type AS s FROM events WHERE event_id > 100), i AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER (PARTITION BY page ORDER BY ts, event_id) THEN 1 ELSE 0 END AS c FROM h), g AS (SELECT *, sum(c) OVER (PARTITION BY page ORDER BY ts, event_id) AS island FROM i), n AS (SELECT *, row_number() OVER (PARTITION BY page, island ORDER BY ts, event_id) AS k FROM g), v AS (SELECT page, arg_max(k, (ts, event_id)) >= 2 AS ok, count(*) AS n FROM n GROUP BY page) SELECT p.page, coalesce(v.ok, false) AS head_verified, coalesce(v.n, 0) AS head_visits FROM (SELECT DISTINCT user_id AS page FROM events) p LEFT JOIN v USING (page)",
     "boundary_revisits": f"WITH {_ISLANDS}, ch AS (SELECT DISTINCT page FROM st WHERE change_type = 'ARTICLE_SET_CHANGED'), near AS (SELECT page FROM ch UNION SELECT page + 1 FROM ch UNION SELECT page - 1 FROM ch WHERE page > 1) SELECT page FROM near WHERE page IN (SELECT page FROM st GROUP BY page HAVING count(*) < 67)",
     "retry_summary": "WITH e AS (SELECT event_id % 4 AS a, [200, 429, 503, 404, 401][event_id % 5 + 1] AS s, CASE WHEN event_id % 2 = 0 THEN event_id % 90 END AS ra FROM events), c AS (SELECT CASE WHEN s >= 500 THEN 'RETRIABLE' WHEN s = 429 THEN 'RETRIABLE_ONCE' WHEN s = 200 THEN 'OK' ELSE 'TERMINAL' END AS reason, CASE WHEN s = 429 THEN least(coalesce(ra, 30), 60) ELSE (2 ** a)::BIGINT END AS delay FROM e) SELECT reason, count(*) AS n, sum(delay)::BIGINT AS total_delay, max(delay) AS longest FROM c GROUP BY reason",
     "recall_precision": "WITH f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 <> 0), t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0), n AS (SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM f JOIN t USING (doc_id)) AS n_both) SELECT *, round(n_both / n_truth, 4) AS recall, round(n_both / n_found, 4) AS precision FROM n",

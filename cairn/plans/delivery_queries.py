@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import baseline, replay
-from ..sources import deposits, warc
+from ..sources import deposits, registry_json, warc
 from .function_queries import _folder, _t
 
 _MAX_BYTES = 40_000
@@ -57,7 +57,26 @@ def replay_sessions(spark, d):
     return replay.answered(rows, index).select("request_no", F.coalesce("target", F.lit("-")).alias("target"), "resolved_by", "status_code", "outcome")
 
 
-QUERIES = {f.__name__: f for f in (deposit_sink, baseline_commit, replay_sessions)}
+def registry_versions(spark, d):
+    """Receipts from registry documents of all versions in one folder, and the documents of a version that is too new."""
+    o = _t(spark, d, "orders")
+    portal = F.col("o_custkey") % 200
+    v = F.when(portal % 5 == 0, 1).otherwise(portal % 5).cast("int")
+    status = F.when(F.col("o_orderstatus") == "F", "PUBLISHED").when(F.col("o_orderstatus") == "O", "DRAFT_CREATED").otherwise("FAILED")
+    names = F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 4 + 1).cast("int")), lambda k: F.concat(F.lit("f"), k.cast("string")))
+    digest = F.md5(F.col("o_orderkey").cast("string"))
+    receipt = F.struct(F.when(v > 1, status).alias("status"), F.when(v > 2, digest).alias("package_fingerprint"), F.when(v > 2, F.size(names)).alias("n_files"), F.when(v > 1, names).alias("files"), F.when(v == 1, F.lower(status)).alias("state"), F.when(v == 1, F.array_join(names, ",")).alias("file_list"), F.when(v < 3, digest).alias("fingerprint"))
+    key = F.concat(F.lit("p"), portal.cast("string"), F.lit(":r"), F.col("o_orderkey").cast("string"))
+    docs = o.select(portal.alias("portal"), F.when(portal % 5 > 0, v.cast("string")).alias("schema_version"), F.struct(key.alias("k"), receipt.alias("r")).alias("e")).groupBy("portal", "schema_version").agg(F.map_from_entries(F.collect_list("e")).alias("receipts"))
+    path = _folder(spark, "registries")
+    docs.select(F.to_json(F.struct("schema_version", "receipts")).alias("value")).write.text(path)
+    read = registry_json.documents(spark, path, lines=True)
+    bad = registry_json.refused(read).groupBy("version", "error").agg(F.count("*").cast("int").alias("n_files"))
+    dash = F.lit("-")
+    return registry_json.receipts(read).select("portal_id", "run_id", "version", "status", "package_fingerprint", "n_files").unionByName(bad.select(dash.alias("portal_id"), dash.alias("run_id"), "version", F.col("error").alias("status"), dash.alias("package_fingerprint"), "n_files"))
+
+
+QUERIES = {f.__name__: f for f in (deposit_sink, baseline_commit, replay_sessions, registry_versions)}
 
 _W = "CASE writer WHEN 'a' THEN a ELSE b END"
 _WRITTEN = "answer <> 'dropped'"
@@ -93,6 +112,7 @@ x AS (SELECT *, CASE WHEN total > {_MAX_BYTES} THEN 'OVER_QUOTA' WHEN wrong THEN
 y AS (SELECT x.*, e.fp AS there FROM x LEFT JOIN x e ON x.attempt = 2 AND e.attempt = 1 AND e.p = x.p AND e.r = x.r AND e.o = 'PUBLISHED')
 SELECT attempt, p AS portal_id, r AS run_id, CASE WHEN o <> 'PUBLISHED' OR there IS NULL THEN o WHEN there = fp THEN 'RECEIPT_RETURNED' ELSE 'CHANGED_PACKAGE' END AS outcome, CASE WHEN o <> 'PUBLISHED' THEN '-' ELSE coalesce(there, fp) END AS package_fingerprint, n AS n_files, total AS total_bytes, (SELECT count(*) FROM y WHERE o = 'PUBLISHED' AND there IS NULL) AS n_receipts FROM y""",
     "baseline_commit": _COMMITS,
+    "registry_versions": "WITH o AS (SELECT *, o_custkey % 200 AS p, CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE o_custkey % 5 END AS v FROM orders) SELECT 'p' || p AS portal_id, 'r' || o_orderkey AS run_id, v::INT AS version, CASE o_orderstatus WHEN 'F' THEN 'PUBLISHED' WHEN 'O' THEN 'DRAFT_CREATED' ELSE 'FAILED' END AS status, md5(o_orderkey::VARCHAR) AS package_fingerprint, (o_orderkey % 4 + 1)::INT AS n_files FROM o WHERE v < 4 UNION ALL SELECT '-', '-', 4, 'NEWER_VERSION', '-', count(DISTINCT p)::INT FROM o WHERE v = 4 HAVING count(*) > 0",
     "replay_sessions": f"""WITH l AS (SELECT user_id, event_id AS i, event_id % 5 AS k, url, regexp_extract(url, '^[^/]*//[^/?#]*([^#]*)', 1) AS pq FROM events e JOIN pages p ON p.page_id = e.event_id * 7919 % (SELECT count(*) FROM pages)),
 q AS (SELECT *, CASE WHEN pq LIKE '/%' THEN pq ELSE '/' || pq END AS rel, last_value(CASE WHEN k = 0 THEN url END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM l),
 t AS (SELECT i, CASE WHEN k = 0 THEN url WHEN k = 1 THEN regexp_extract(url, '^[^/]*//[^/?#]*', 0) || rel WHEN k IN (2, 3) AND user_id IS NOT NULL THEN regexp_extract(s, '^[^/]*//[^/?#]*', 0) || rel END AS target, CASE WHEN k = 0 THEN 'URL' WHEN k = 1 THEN 'REFERER' WHEN k IN (2, 3) AND s IS NOT NULL AND user_id IS NOT NULL THEN 'SESSION' ELSE 'NONE' END AS how FROM q),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import copy
+import json
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import page_fields
+from ..functions.dom import parse
+from ..functions.html import extract, page_fields
 
 # Fixed value: share of pages on which a rule must hold.
 THRESHOLD = 0.9
@@ -28,6 +30,29 @@ def validate(pages: DataFrame, rules: dict[str, dict[str, str]], threshold: floa
     return per.withColumn("rate", rate).withColumn("acceptable", F.col("rate") >= threshold)
 
 
+class PageFields:
+    """SQL table function page_fields(html, rules): field, value, success, error and match_count of every rule on a page. rules: JSON text, a map from field to selector and type; it may differ
+    from row to row. A page is parsed once for all rules; a null or blank page fails every rule, null rules give no rows."""
+
+    def __init__(self) -> None:
+        self.text, self.rules = None, {}
+
+    def eval(self, html: str, rules: str):
+        if rules is None:
+            return
+        if rules != self.text:
+            self.text, self.rules = rules, json.loads(rules)
+        root = parse(html, True) if html and html.strip() else None
+        for field, rule in self.rules.items():
+            got = extract(root, rule.get("selector", ""), rule.get("type", "css").lower()) if root else {"value": None, "success": False, "error": "NO_HTML", "match_count": 0}
+            yield field, got["value"], got["success"], got["error"], got["match_count"]
+
+
+def register(spark: SparkSession) -> None:
+    """Make page_fields known to SQL: SELECT ... FROM pages, LATERAL page_fields(html, '{...}')."""
+    spark.udtf.register("page_fields", F.udtf(PageFields, returnType="field string, value string, success boolean, error string, match_count int", useArrow=True))
+
+
 def accepted(validated: DataFrame) -> DataFrame:
     """One row: whether every field is acceptable; an empty rule set is."""
     return validated.agg(F.coalesce(F.bool_and("acceptable"), F.lit(True)).alias("accepted"), F.count("*").alias("n_fields"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,18 @@ def selector_validation(spark, d):
     return rules.validate(_t(spark, d, "pages"), RULES)
 
 
+def selector_validation_sql(spark, d):
+    """selector_validation as SQL text: the rules as a table function in a lateral join."""
+    rules.register(spark)
+    return spark.sql(
+        "SELECT field, tested, successful, empty, several, failures, rate, rate >= :threshold AS acceptable FROM (SELECT *, bround(successful / tested, 4) AS rate FROM ("
+        "SELECT field, count(*) AS tested, count_if(success) AS successful, count_if(NOT success AND error <=> 'EMPTY_TEXT') AS empty, count_if(success AND match_count > 1) AS several, count_if(NOT success) AS failures"
+        " FROM {pages} AS p, LATERAL page_fields(p.html, :rules) GROUP BY field))",
+        args={"rules": json.dumps(RULES), "threshold": rules.THRESHOLD},
+        pages=_t(spark, d, "pages"),
+    )
+
+
 def selector_acceptance(spark, d):
     return rules.accepted(rules.validate(_t(spark, d, "pages"), {k: RULES[k] for k in ("title", "links")}))
 
@@ -344,7 +358,7 @@ SELECT i AS page_id, o || '/img/' || i || '.png' AS asset_url, 'image' AS resour
 UNION ALL SELECT i, 'https://cdn.example/logo.svg', 'image', false FROM o WHERE i % 3 = 0 UNION ALL SELECT i, o || '/foot' || (i % 2) || '.png', 'image', true FROM o WHERE i % 4 = 0 UNION ALL SELECT i, o || '/s' || (i % 3) || '.css', 'css', true FROM o
 UNION ALL SELECT i, o || '/favicon.ico', 'image', true FROM o WHERE i % 2 = 1 UNION ALL SELECT i, o || '/app' || (i % 2) || '.js', 'javascript', true FROM o WHERE i % 3 = 1 UNION ALL SELECT i, 'https://fonts.example/f.woff2', 'font', false FROM o WHERE i % 5 = 0 UNION ALL SELECT i, o || '/v' || i || '.mp4', 'video', true FROM o WHERE i % 11 = 0)"""
 
-QUERIES = {f.__name__: f for f in (html_metadata, lazy_loading, lazy_samples, page_assets, assets_by_type, page_image_roles, link_discovery, rewritten_links, reduced_pages, selector_validation, selector_acceptance, selector_repair, field_accuracy, html_split, content_categories, category_errors, usable_html, replay_lookup, content_dedup, file_digests, json_classes, text_similarity, rule_proposals, manifest_verify, manifest_rollup, package_errors, manifest_lines, manifest_text, fk_audit, pointer_audit, deposit_verify, deposit_quota, deposit_transitions, catalog_reconcile, reconcile_actions, fallback_heads, retention_plan, reclaimable_bytes, baseline_checks, outbox_fold, lease_fold)}
+QUERIES = {f.__name__: f for f in (html_metadata, lazy_loading, lazy_samples, page_assets, assets_by_type, page_image_roles, link_discovery, rewritten_links, reduced_pages, selector_validation, selector_validation_sql, selector_acceptance, selector_repair, field_accuracy, html_split, content_categories, category_errors, usable_html, replay_lookup, content_dedup, file_digests, json_classes, text_similarity, rule_proposals, manifest_verify, manifest_rollup, package_errors, manifest_lines, manifest_text, fk_audit, pointer_audit, deposit_verify, deposit_quota, deposit_transitions, catalog_reconcile, reconcile_actions, fallback_heads, retention_plan, reclaimable_bytes, baseline_checks, outbox_fold, lease_fold)}
 
 ORACLES = {
     "html_metadata": f"SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS heading, CASE WHEN page_id % 3 = 0 THEN 'https://c.example/' || page_id ELSE '-' END AS canonical_url, CASE WHEN page_id % 4 > 0 THEN 'A' || (page_id % 4) ELSE '-' END AS author, CASE WHEN page_id % 5 = 1 THEN '2023-0' || (page_id % 9 + 1) || '-01' WHEN page_id % 6 = 0 THEN '2024-01-01' ELSE '-' END AS publication_date, CASE WHEN page_id % 8 = 0 THEN {_ORIGIN} || '/wp-json/' ELSE '-' END AS rest_api_url FROM pages",
@@ -356,6 +370,7 @@ ORACLES = {
     "page_image_roles": f"WITH o AS (SELECT page_id, {_ORIGIN} AS o, CASE WHEN len(regexp_extract_all(html, '<p><b>')) <= 3 THEN 'article_content' ELSE 'unknown' END AS r FROM pages) SELECT page_id, o || '/img/' || page_id || '.png' AS image_url, r AS role FROM o WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'https://cdn.example/logo.svg', 'site_chrome' FROM o WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'data:image/gif;base64,x', r FROM o WHERE page_id % 7 = 0 UNION ALL SELECT page_id, o || '/foot' || (page_id % 2) || '.png', 'site_chrome' FROM o WHERE page_id % 4 = 0",
     "link_discovery": f"{_HREFS}, l AS (SELECT page_id, pos, {_ORIGIN} || h AS link FROM (SELECT page_id, url, unnest(list_transform(hs, lambda h: replace(h, '&amp;', '&'))) AS h, generate_subscripts(hs, 1) AS pos FROM a)), u AS (SELECT page_id, pos, {urls.canonical_sql('link')} AS u FROM l), d AS (SELECT page_id, count(*) AS n, count(DISTINCT u) AS m FROM u GROUP BY 1), o AS (SELECT page_id, u, row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) AS k FROM u GROUP BY page_id, u), t AS (SELECT page_id, string_agg(u, ' ' ORDER BY k) AS ten FROM o WHERE k <= 10 GROUP BY 1) SELECT page_id, n AS n_candidates, m AS n_distinct, replace(hs[1], '&amp;', '&') AS first_href, n - m AS n_duplicates, ten AS first_ten FROM d JOIN a USING (page_id) JOIN t USING (page_id)",
     "selector_validation": f"WITH {_RULES} SELECT *, rate >= {rules.THRESHOLD} AS acceptable FROM v",
+    "selector_validation_sql": f"WITH {_RULES} SELECT *, rate >= {rules.THRESHOLD} AS acceptable FROM v",
     "selector_acceptance": f"WITH {_RULES} SELECT bool_and(rate >= {rules.THRESHOLD}) AS accepted, count(*) AS n_fields FROM v WHERE field IN ('title', 'links')",
     "selector_repair": f"WITH {_RULES} SELECT v.field, v.rate AS old_rate, t.rate AS new_rate, t.rate >= {rules.THRESHOLD} AS applied FROM v, (SELECT rate FROM v WHERE field = 'title') t WHERE v.field = 'image'",
     "replay_lookup": _REPLAY,

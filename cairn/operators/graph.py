@@ -155,15 +155,23 @@ def provenance(nodes: DataFrame, articles: DataFrame) -> DataFrame:
 RESOLVED = "session string, seq long, url string, status string, redirects int, gates int, session_reused boolean, components int, complete boolean, requests int"
 
 
+#: Rounds after which the parts of a reach are stored as one.
+GATHER = 16
+
+
 def reached(starts: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
-    """start and url: what each start reaches over steps (url, target) within hops steps at least, itself included; the reach doubles each round, so rounds are the logarithm of hops."""
-    own = steps.select(F.explode(F.array("url", "target")).alias("url")).distinct().select("url", F.col("url").alias("target"))
-    reach, far = _stored(steps.select("url", "target").unionByName(own).distinct()), 1
-    while far < hops:
-        onward = reach.select(F.col("url").alias("target"), F.col("target").alias("next"))
-        reach, far = _stored(reach.join(onward, "target").select("url", F.col("next").alias("target")).distinct()), 2 * far
-    found = starts.select("start").distinct().join(reach.select(F.col("url").alias("start"), F.col("target").alias("url")), "start")
-    return found.unionByName(starts.select("start", F.col("start").alias("url"))).distinct()
+    """start and url: what each start reaches over steps (url, target) within hops steps, itself included. Each round follows the steps of what the round before has found
+    first, so what is moved and stored follows the starts and not the graph; it ends when nothing new is found."""
+    seen = frontier = _stored(starts.select("start", F.col("start").alias("url")).distinct())
+    for n in range(1, hops + 1):
+        onward = frontier.join(steps.select("url", "target"), "url").select("start", F.col("target").alias("url")).distinct()
+        frontier = _stored(onward.join(seen, ["start", "url"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if n % GATHER == 0:
+            seen = _stored(seen)
+    return seen
 
 
 def resolve_gates(requests: DataFrame, responses: DataFrame, allowed_hosts: tuple[str, ...], allowed_gates: tuple[str, ...], follow_pages: bool = False) -> DataFrame:

@@ -392,3 +392,22 @@ def test_head_folder_is_kept_by_its_run_dir(spark):
     heads = spark.createDataFrame([("p", "c3", "/runs/xb2/")], "portal_id string, head_run string, run_dir string")
     got = {r["name"]: r["reason"] for r in recovery.retention(folders, heads, 1).collect()}
     assert got == {"a1": "RECENT", "b2": "HEAD", "xb2": "HEAD", "c3": "HEAD", "": "REMOVABLE"}
+
+
+def test_reach_follows_the_starts_and_not_the_graph(spark, monkeypatch):
+    steps = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(2000)] + [(f"n{i}", f"n{i // 2}") for i in range(2000)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "url string, target string").repartition(4)
+    starts = spark.createDataFrame([("a",), ("d",), ("n1998",), ("nowhere",), ("a",)], "start string")
+    kept, stored = [], graph._stored
+    monkeypatch.setattr(graph, "_stored", lambda df: kept.append(out := stored(df)) or out)
+    got = {(r["start"], r["url"]) for r in graph.reached(starts, steps, 3).collect()}
+    want, edges = set(), {}
+    for r in steps.collect():
+        edges.setdefault(r["url"], set()).add(r["target"])
+    for s in ("a", "d", "n1998", "nowhere"):
+        level = {s}
+        for _ in range(4):
+            want |= {(s, u) for u in level}
+            level = {t for u in level for t in edges.get(u, ())}
+    assert got == want and sum(df.count() for df in kept) < 40
+    monkeypatch.setattr(graph, "GATHER", 2)
+    assert {r["url"] for r in graph.reached(starts.filter("start = 'a'"), steps, 50).collect()} == {"a", "b", "c", "d"}

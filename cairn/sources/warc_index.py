@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from . import warc
+from .warc import records
 from .stores import Raw, listed
 
 RANGE_BYTES = 64 << 20
@@ -109,11 +109,11 @@ def walk(raw: Raw, name: str, begin: int, stop: int, compressed: bool) -> Iterat
         raw.seek(at)
         if compressed:
             member = _Member(raw)
-            rows = [_fields(r) for r in warc.records(io.BufferedReader(member), name, False, True)]
+            rows = [_fields(r) for r in records(io.BufferedReader(member), name, False, True)]
             end = raw.tell() - member.beyond
         else:
             stream = io.BufferedReader(raw)
-            rows = [_fields(r) for r in islice(warc.records(stream, name, False, True), 1)]
+            rows = [_fields(r) for r in islice(records(stream, name, False, True), 1)]
             end = stream.tell()
             stream.detach()
         if not rows:
@@ -236,7 +236,7 @@ def _fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw.seek(offset)
             before = raw.n_read
             stream = io.BufferedReader(_Member(raw)) if file.endswith(".gz") else io.BufferedReader(raw)
-            rows = warc.records(stream, file, True, True)
+            rows = records(stream, file, True, True)
             for _ in range(inner + 1):
                 row = next(rows)
             rows.close()

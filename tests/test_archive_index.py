@@ -131,3 +131,11 @@ def test_written_containers_are_read_back(spark, tmp_path):
     assert sorted(r["url"] for r in warc.container_pages(spark, path).collect()) == sorted(r["uri"] for r in rows.collect())
     assert warc.read(spark, path).filter("target_uri = 'http://x/7'").first()["payload"] == b"7"
     assert json.loads(rows.first()["page_line"])["url"].startswith("http://x/")
+
+
+def test_index_after_functions_of_its_neighbours_were_used(spark, archive, tmp_path):
+    """What is sent to executors must not drag in functions that hold a handle of this session."""
+    folder, want = archive
+    assert warc.read(spark, str(folder)).select(warc.decoded("payload").alias("t")).filter("t IS NOT NULL").count() == len(want)
+    index = warc_index.build(spark, str(folder), str(tmp_path / "w"), 3000)
+    assert warc_index.fetch(index.filter("warc_type = 'response'")).count() == len(want)

@@ -60,15 +60,17 @@ def depth_first_order(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("rank", F.row_number().over(Window.partitionBy(F.element_at("path", 1)).orderBy(key)))
 
 
-def reach(spark, edges_view: str, roots_view: str, max_depth: int) -> DataFrame:
-    """node and least depth of what the roots reach, as a recursive query with a guard against cycles."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk (node, depth, path) AS (
-          SELECT node, 0, array(node) FROM {roots_view}
-          UNION ALL
-          SELECT e.dst, w.depth + 1, concat(w.path, array(e.dst)) FROM walk w JOIN {edges_view} e ON e.src = w.node
-          WHERE w.depth < {max_depth} AND NOT array_contains(w.path, e.dst))
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """node and least depth of what roots (node) reach over edges (src, dst), each level an anti-join against what is known: a recursive query would hold every
+    path, and ends with an error beyond a fixed number of rows."""
+    seen = level = _stored(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    for depth in range(1, max_depth + 1):
+        met = level.join(edges, level["node"] == edges["src"]).select(F.col("dst").alias("node")).filter("node IS NOT NULL").distinct()
+        level = _stored(met.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
 
 
 def chains(links: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:

@@ -160,10 +160,7 @@ def nav_dfs_order(spark, d):
 
 
 def nav_reach(spark, d):
-    edges, roots = _edges(spark, d)
-    edges.createOrReplaceTempView("nav_edges")
-    roots.createOrReplaceTempView("nav_roots")
-    return graph.reach(spark, "nav_edges", "nav_roots", 3)
+    return graph.reach(*_edges(spark, d), 3)
 
 
 def provenance_paths(spark, d):

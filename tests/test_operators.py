@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions import fingerprints
 from cairn.operators import graph, integrity, ledger, observations, recovery, rules, snapshot, state
+from cairn.plans import log_queries
 from cairn.sources import warc
 
+FOLDER = "/root/testdata/sf0.001"
 ART = "url string, status string, content_hash string, title string, published_at string, author string"
 
 
@@ -411,3 +413,14 @@ def test_reach_follows_the_starts_and_not_the_graph(spark, monkeypatch):
     assert got == want and sum(df.count() for df in kept) < 40
     monkeypatch.setattr(graph, "GATHER", 2)
     assert {r["url"] for r in graph.reached(starts.filter("start = 'a'"), steps, 50).collect()} == {"a", "b", "c", "d"}
+
+
+def test_reach_is_bound_by_no_number_of_rows(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "3")  # a recursive query fails beyond it
+    try:
+        edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "a"), ("b", "r"), ("r", None), ("a", "c"), ("c", "d"), ("d", "e"), ("s", "c"), ("s", "s"), ("x", "y")], "src string, dst string")
+        roots = spark.createDataFrame([("r",), ("s",), ("r",)], "node string")
+        assert sorted(map(tuple, graph.reach(edges, roots, 2).collect())) == [("a", 1), ("b", 2), ("c", 1), ("d", 2), ("r", 0), ("s", 0)]
+        assert log_queries.nav_reach(spark, FOLDER).count() > 3
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ def _rich(spark, d):
     return _t(spark, d, "pages").select("page_id", "url", h.alias("html"))
 
 
+#: Character references of the pages' texts, which a semicolon may end or, where a text was cut, may not; & comes last, so that none is read twice.
+_REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&"))
+
+
+def _plain_sql(x: str) -> str:
+    return reduce(lambda x, r: f"regexp_replace({x}, '&{r[0]};?', '{r[1]}', 'g')", _REFERENCES, x)
+
+
 _ORIGIN = "regexp_extract(url, '^[^/]*//[^/?#]*', 0)"
 
 
@@ -361,7 +370,7 @@ UNION ALL SELECT i, o || '/favicon.ico', 'image', true FROM o WHERE i % 2 = 1 UN
 QUERIES = {f.__name__: f for f in (html_metadata, lazy_loading, lazy_samples, page_assets, assets_by_type, page_image_roles, link_discovery, rewritten_links, reduced_pages, selector_validation, selector_validation_sql, selector_acceptance, selector_repair, field_accuracy, html_split, content_categories, category_errors, usable_html, replay_lookup, content_dedup, file_digests, json_classes, text_similarity, rule_proposals, manifest_verify, manifest_rollup, package_errors, manifest_lines, manifest_text, fk_audit, pointer_audit, deposit_verify, deposit_quota, deposit_transitions, catalog_reconcile, reconcile_actions, fallback_heads, retention_plan, reclaimable_bytes, baseline_checks, outbox_fold, lease_fold)}
 
 ORACLES = {
-    "html_metadata": f"SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, replace(trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS heading, CASE WHEN page_id % 3 = 0 THEN 'https://c.example/' || page_id ELSE '-' END AS canonical_url, CASE WHEN page_id % 4 > 0 THEN 'A' || (page_id % 4) ELSE '-' END AS author, CASE WHEN page_id % 5 = 1 THEN '2023-0' || (page_id % 9 + 1) || '-01' WHEN page_id % 6 = 0 THEN '2024-01-01' ELSE '-' END AS publication_date, CASE WHEN page_id % 8 = 0 THEN {_ORIGIN} || '/wp-json/' ELSE '-' END AS rest_api_url FROM pages",
+    "html_metadata": f"SELECT page_id, {_plain_sql("trim(regexp_extract(html, '<title>([^<]*)</title>', 1))")} AS title, {_plain_sql(r"trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g'))")} AS heading, CASE WHEN page_id % 3 = 0 THEN 'https://c.example/' || page_id ELSE '-' END AS canonical_url, CASE WHEN page_id % 4 > 0 THEN 'A' || (page_id % 4) ELSE '-' END AS author, CASE WHEN page_id % 5 = 1 THEN '2023-0' || (page_id % 9 + 1) || '-01' WHEN page_id % 6 = 0 THEN '2024-01-01' ELSE '-' END AS publication_date, CASE WHEN page_id % 8 = 0 THEN {_ORIGIN} || '/wp-json/' ELSE '-' END AS rest_api_url FROM pages",
     "lazy_loading": "SELECT page_id, (page_id % 2 = 0 OR page_id % 7 = 0 OR page_id % 3 = 1) AS detected, (page_id % 2 = 0)::INT AS loading_lazy, (page_id % 7 = 0)::INT AS data_src, (page_id % 2 = 0)::INT AS srcset, (page_id % 3 = 1)::INT AS deferred_scripts FROM pages",
     "lazy_samples": "SELECT page_id, 'loading_lazy' AS mark, 'img' AS tag, '/img/' || page_id || '.png' AS source FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'data_src', 'img', '/lazy' || page_id || '.jpg' FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT page_id, 'deferred_script', 'script', '/app' || (page_id % 2) || '.js' FROM pages WHERE page_id % 3 = 1",
     "page_assets": f"{_ASSETS} SELECT * FROM assets",

@@ -125,7 +125,7 @@ def selector_repair(spark, d):
 def field_accuracy(spark, d):
     """Three fields against what the page's text says; the last truth is wrong for one page in four."""
     pages = _t(spark, d, "pages")
-    plain = lambda c: F.trim(F.replace(c, F.lit("&amp;"), F.lit("&")))
+    plain = lambda c: F.trim(reduce(lambda x, r: F.regexp_replace(x, f"&{r[0]};?", r[1]), _REFERENCES, c))
     truths = {"title": plain(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)), "body": plain(F.regexp_extract("html", "<p><b>([^<]*)", 1)), "ad": F.when(F.col("page_id") % 4 == 0, "-").otherwise(plain(F.regexp_extract("html", '<div class="ad">([^<]*)', 1)))}
     truth = pages.select("page_id", F.explode(F.create_map(*(x for f, c in truths.items() for x in (F.lit(f), c)))).alias("field", "expected"))
     return rules.field_accuracy(html.page_fields(pages, {"title": RULES["title"], "body": RULES["first"], "ad": {"selector": "div.ad", "type": "css"}}), truth)

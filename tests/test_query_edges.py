@@ -23,7 +23,10 @@ def compared(spark, folder, name, pages):
 TEXTS = ("a &amp;&amp; b &amp", "cut &am", "&lt;x&gt &quot;q&quot", "&amp;lt; twice", "plain")
 
 
-@pytest.mark.parametrize("name", ["html_metadata"])
+@pytest.mark.parametrize("name", ["html_metadata", "field_accuracy"])
 def test_cut_references(spark, tmp_path, name):
     got = compared(spark, tmp_path, name, [(i, f"http://a/{i}", PAGE.format(t, t[::-1] if t == "plain" else t)) for i, t in enumerate(TEXTS)])
-    assert sorted(got["title"]) == sorted(["a && b &", "cut &am", '<x> "q"', "&lt; twice", "plain"])
+    if name == "html_metadata":
+        assert sorted(got["title"]) == sorted(["a && b &", "cut &am", '<x> "q"', "&lt; twice", "plain"])
+    else:
+        assert dict(zip(got["field"], got["n_correct"], strict=True)) == {"title": 5, "body": 5, "ad": 3}

@@ -170,10 +170,10 @@ def archive_index(spark, d):
 
 
 def container_pages(spark, d):
-    """Page lists of containers, read on the executors; some lines are broken, no objects, or without a URL."""
+    """Page lists of containers, in the order of URLs and of the pages of one URL, read on the executors; some lines are broken, no objects, or without a URL."""
     i = F.col("page_id")
     line = F.when(i % 7 == 0, F.concat(F.lit("{broken "), i.cast("string"))).when(i % 7 == 1, F.to_json(F.array("url"))).when(i % 7 == 2, F.to_json(F.struct(i.alias("title")))).otherwise(F.to_json(F.struct("url", i.cast("string").alias("title"))))
-    rows = _t(spark, d, "pages").select(F.concat(F.lit("c"), (i % 5).cast("string")).alias("container"), line.alias("page_line"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
+    rows = _t(spark, d, "pages").select(F.concat(F.lit("c"), (i % 5).cast("string")).alias("container"), line.alias("page_line"), F.col("url").alias("uri"), i.alias("seq"), F.col("html").cast("binary").alias("payload"))
     path = _folder(spark, "containers")
     written = warc.write_containers(rows, path).agg(F.sum("n_pages")).first()[0]
     found = warc.container_pages(spark, path).select(F.regexp_extract("file", "([^/]*)[.]wacz$", 1).alias("container"), "line_no", F.coalesce("url", F.lit("-")).alias("url"), F.coalesce("title", F.lit("-")).alias("title"), F.coalesce("error", F.lit("-")).alias("error"))
@@ -292,7 +292,7 @@ ORACLES = {
     "warc_roundtrip": "SELECT url AS target_uri, CASE WHEN page_id % 10 = 1 THEN 404 ELSE 200 END AS status_code, CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml' ELSE 'text/css' END AS content_type, octet_length(encode(html)) AS size, sha256(html) AS payload_sha256, md5(html) AS text_md5, page_id % 4 < 2 AS is_html FROM pages WHERE page_id % 10 <> 0 AND page_id % 13 <> 0",
     "warc_validation": "SELECT 'VALID' AS outcome, NULL::BIGINT AS n_faulty, count(*) AS n_records, count(*) FILTER (page_id % 3 <> 0) AS n_html FROM pages UNION ALL (SELECT 'PARSE_ERROR', 1, 1, (page_id % 3 <> 0)::INT FROM pages ORDER BY page_id LIMIT 1) UNION ALL SELECT unnest(['EMPTY_FILE', 'FILE_NOT_FOUND']), 1, 0, 0",
     "archive_index": "SELECT url AS target_uri, CASE WHEN page_id % 4 = 0 THEN 404 ELSE 200 END AS status_code, CASE WHEN page_id % 3 = 0 THEN 'text/css' ELSE 'text/html' END AS content_type, octet_length(encode(html)) AS payload_length, sha256(html) AS payload_sha256 FROM pages",
-    "container_pages": "SELECT 'c' || (page_id % 5) AS container, (1 + row_number() OVER (PARTITION BY page_id % 5 ORDER BY encode(url)))::INT AS line_no, CASE WHEN page_id % 7 > 2 THEN url ELSE '-' END AS url, CASE WHEN page_id % 7 > 2 THEN page_id::VARCHAR ELSE '-' END AS title, ['NOT_JSON', 'NOT_AN_OBJECT', 'NO_URL', '-', '-', '-', '-'][page_id % 7 + 1] AS error, (SELECT count(*) FROM pages) AS n_written FROM pages",
+    "container_pages": "SELECT 'c' || (page_id % 5) AS container, (1 + row_number() OVER (PARTITION BY page_id % 5 ORDER BY encode(url), page_id))::INT AS line_no, CASE WHEN page_id % 7 > 2 THEN url ELSE '-' END AS url, CASE WHEN page_id % 7 > 2 THEN page_id::VARCHAR ELSE '-' END AS title, ['NOT_JSON', 'NOT_AN_OBJECT', 'NO_URL', '-', '-', '-', '-'][page_id % 7 + 1] AS error, (SELECT count(*) FROM pages) AS n_written FROM pages",
     "package_roundtrip": "SELECT 'orders' AS name, true AS verified, count(*) AS n_rows FROM orders UNION ALL SELECT 'pages', true, count(*) FROM pages",
     "point_lookup": "SELECT max(url) AS target_uri, 200 AS status_code, sha256(arg_max(html, (url, -page_id))) AS payload_sha256 FROM pages WHERE contains(url, 'a')",
     "stored_html": "SELECT 'p' || (page_id % 5) AS portal_id, url, ['raw', 'h', 'c'][page_id % 4 + 1] AS html FROM pages WHERE page_id % 4 < 3",

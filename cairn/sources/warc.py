@@ -391,8 +391,9 @@ def container_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_containers(rows: DataFrame, path: str) -> DataFrame:
-    """Write each group of rows (container, page_line, uri, payload[, status_code, content_type]) as one WACZ file, its page list in the order of uri; returns file and n_pages. A task streams its groups, so a container is never held whole."""
-    columns = [c for c in ("container", "page_line", "uri", "payload", "status_code", "content_type") if c in rows.columns]
+    """Write each group of rows (container, page_line, uri, payload[, seq, status_code, content_type]) as one WACZ file, its page list in the order of uri, rows of one uri in that of seq, then of page_line; returns file and n_pages. A task streams its groups, so a container is never held whole."""
+    columns = [c for c in ("container", "page_line", "uri", "payload", "seq", "status_code", "content_type") if c in rows.columns]
+    order = [c for c in ("container", "uri", "seq", "page_line") if c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = stores.store(path)
@@ -421,7 +422,7 @@ def write_containers(rows: DataFrame, path: str) -> DataFrame:
                 n += 1
         yield from close()
 
-    return rows.select(*columns).repartition("container").sortWithinPartitions("container", "uri").mapInArrow(run, "file string, n_pages bigint")
+    return rows.select(*columns).repartition("container").sortWithinPartitions(*order).mapInArrow(run, "file string, n_pages bigint")
 
 
 def sample_split(pages: DataFrame, url: str = "url", sizes: tuple[int, int, int] = (3, 2, 1)) -> DataFrame:

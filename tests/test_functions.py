@@ -179,3 +179,17 @@ def test_deep_and_broken_pages():
     assert dom.parse(deep).text() == "x" and dom.parse(deep).html().endswith("</div>")
     assert dom.parse("</p><b>a<i>b</b>c</i>").text() == "abc"
     assert html.reduced("") == "" and dom.parse("<p>a<br>b").text("|") == "a|b"
+
+
+def test_rows_of_pages_are_given_out_in_runs():
+    import pyarrow as pa
+
+    from cairn.functions import html
+
+    pages = pa.RecordBatch.from_pydict({"page_id": pa.array([*range(29), None], pa.int64()), "url": ["http://a/"] * 30, "html": ["<p>" + "x" * 100_000] * 28 + [None, "<p>y"]})
+    read = []
+    runs = html._tables(iter([pages]), ["url", "html"], "pos int, size string", lambda url, page: read.append(page) or ([] if page is None else [(0, str(len(page))), (1, url)]))
+    first = next(runs)
+    assert len(read) < 15 and first.schema.names == ["page_id", "pos", "size"]
+    rows = [r for b in (first, *runs) for r in b.to_pylist()]
+    assert len(rows) == 58 and rows[0] == {"page_id": 0, "pos": 0, "size": "100003"} and rows[-1] == {"page_id": None, "pos": 1, "size": "http://a/"}

@@ -39,6 +39,8 @@ from .textkit import shared_folder
 BLOCK_BYTES = 16 << 20
 #: Bytes of text for each part of the segments.
 PART_BYTES = 16 << 20
+#: Bytes of lines of groups that are read at a time.
+LINE_BYTES = 1 << 20
 #: Characters that are cut into segments at a time.
 PIECE_CHARS = 1 << 20
 SPACE_PIECE = "▁"
@@ -228,10 +230,32 @@ def _answerer(paths: tuple):
 
 
 class Segments:
-    """What a block's segments say, read from their lines of groups at once."""
+    """What a block's segments say, read from their lines of groups, LINE_BYTES at a time: the arrays for each character and number are several times the lines."""
 
     def __init__(self, lines: bytes) -> None:
-        data = np.frombuffer(lines, np.uint8)
+        data, at, runs = np.frombuffer(lines, np.uint8), 0, []
+        while at < len(data) or not runs:
+            end = lines.find(b"\n", at + LINE_BYTES) + 1 or len(data)
+            runs.append(self._read(data[at:end]))
+            at = end
+        self.counts = {c: np.concatenate([counts[c] for counts, _ in runs]) for c in _COUNTS}
+        links = np.concatenate([links for _, links in runs])
+        del runs
+        self.n = len(self.counts["n_a"])
+        self.first = np.concatenate([[0], np.cumsum(self.counts["n_links"])])
+        self.good = self.counts["n_a"] > 0
+        order = np.argsort(links)
+        links = links[order]
+        new = np.ones(len(links), bool)
+        np.not_equal(links[1:], links[:-1], out=new[1:])
+        self.pairs = links[new]
+        del links
+        self.link = np.empty(len(order), np.int32)
+        self.link[order] = np.cumsum(new, dtype=np.int32) - 1
+
+    @staticmethod
+    def _read(data: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(counts of each line, A << 32 | B of each link) of whole lines."""
         digit = (data >= 48) & (data <= 57)
         ends = np.flatnonzero(digit[:-1] & ~digit[1:]) + 1  # the mark after each number
         starts = np.concatenate([[0], np.flatnonzero(~digit[:-1] & digit[1:]) + 1]) if len(ends) else np.empty(0, np.int64)
@@ -243,7 +267,7 @@ class Segments:
             value[inside] += (data[ends[inside] - 1 - k] - 48).astype(np.int64) * 10**k
         mark = data[ends]
         lines_before = np.cumsum(data == 10, dtype=np.int32)
-        self.n = int(lines_before[-1]) if len(data) else 0
+        n = int(lines_before[-1]) if len(data) else 0
         word = lines_before[ends - 1] if len(ends) else np.empty(0, np.int64)
         closes = (mark == 59) | (mark == 10)
         group = np.cumsum(closes) - closes
@@ -252,19 +276,15 @@ class Segments:
         n_groups = int(closes.sum())
         of_a, of_b = np.bincount(group[~second], minlength=n_groups), np.bincount(group[second], minlength=n_groups)
         word_of = word[closes]
-        self.counts = {"n_a": np.bincount(word[~second], minlength=self.n), "n_b": np.bincount(word[second], minlength=self.n), "n_groups": np.bincount(word_of, minlength=self.n)}
+        counts = {"n_a": np.bincount(word[~second], minlength=n), "n_b": np.bincount(word[second], minlength=n), "n_groups": np.bincount(word_of, minlength=n)}
         # Every A token with each B token of its group; tokens of a group lie side by side.
         times = of_b[group[~second]]
-        self.counts["n_links"] = np.bincount(word[~second], weights=times, minlength=self.n).astype(np.int64)
+        counts["n_links"] = np.bincount(word[~second], weights=times, minlength=n).astype(np.int64)
         at = np.arange(int(times.sum()))
         at -= np.repeat(np.cumsum(times) - times - (np.cumsum(of_b) - of_b)[group[~second]], times)
         links = np.repeat(value[~second] << 32, times)
         links |= value[second][at]
-        del at, times, data, digit, lines_before
-        self.pairs, link = np.unique(links, return_inverse=True)
-        self.link = link.astype(np.int32)
-        self.first = np.concatenate([[0], np.cumsum(self.counts["n_links"])])
-        self.good = self.counts["n_a"] > 0
+        return counts, links
 
 
 def _documents(lens: np.ndarray, seq: np.ndarray, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +296,8 @@ def _documents(lens: np.ndarray, seq: np.ndarray, segments: Segments) -> tuple[n
 
 def _by_document(doc: np.ndarray, weights: np.ndarray, good: np.ndarray) -> np.ndarray:
     """Exact integer sums by document; zero where it is not good. Occurrences lie in the order of documents."""
-    sums = np.concatenate([[0], np.cumsum(weights)])
+    sums = np.zeros(len(weights) + 1, np.int64)
+    np.cumsum(weights, out=sums[1:])
     ends = np.searchsorted(doc, np.arange(len(good)), "right")
     begins = np.searchsorted(doc, np.arange(len(good)), "left")
     return np.where(good, sums[ends] - sums[begins], 0)

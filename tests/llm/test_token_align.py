@@ -99,3 +99,25 @@ def test_hard_rows(make_docs, tokenizers):
 def test_numbers_survive_packing():
     x = np.random.default_rng(1).integers(0, 1 << 32, 5000)
     assert (token_align.unpacked(token_align.packed(x)) == x).all() and len(token_align.unpacked(token_align.packed(np.empty(0, np.int64)))) == 0
+
+
+def test_lines_are_read_some_at_a_time(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    line = lambda: ";".join(",".join(map(str, rng.integers(0, 300, rng.integers(1, 3)))) + "|" + ",".join(map(str, rng.integers(0, 300, rng.integers(1, 3)))) for _ in range(rng.integers(0, 4)))
+    some = [line() for _ in range(3000)]
+    lines = "\n".join([*some, ""]).encode()
+    monkeypatch.setattr(token_align, "LINE_BYTES", 50)
+    got = token_align.Segments(lines)
+    links = [[(int(a) << 32) | int(b) for g in s.split(";") if g for a in g.split("|")[0].split(",") for b in g.split("|")[1].split(",")] for s in some]
+    assert got.n == 3000 and got.counts["n_links"].tolist() == list(map(len, links)) and got.pairs[got.link].tolist() == [x for s in links for x in s]
+    assert got.good.tolist() == [bool(s) for s in some] and got.counts["n_groups"].tolist() == [len(s.split(";")) if s else 0 for s in some]
+    assert token_align.Segments(b"").n == 0
+    monkeypatch.undo()
+    many = lines * 100
+    tracemalloc.start()
+    token_align.Segments(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 11 * len(many), peak / len(many)

@@ -755,3 +755,16 @@ def test_language_cut_weighs_rows_and_shrinks():
     assert 0.4 < toxicity.language_cut(toxic * 100, clean * 100, 6000, 60000) < few < 0.7
     clean[31:51] = 0.1  # a clean row among them stands for many
     assert toxicity.language_cut(toxic, clean, 60, 60000) > few
+
+
+def test_thresholds_come_from_all_rows_that_were_not_trained_on(spark, monkeypatch):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 > 0, "en").alias("lang"), F.concat(F.lit("0."), (F.col("id") % 10).cast("string")).alias("text"))
+    known = rows.filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    sums = []
+    monkeypatch.setattr(toxicity, "with_scores", lambda docs, model: docs.withColumn("score", F.col("text").cast("double")))
+    monkeypatch.setattr(toxicity, "language_cut", lambda *x: sums.append((x[0].sum(), x[1].sum(), *x[2:])) or 0.5)
+    want = [r["doc_id"] for r in rows.join(known, "doc_id").filter("lang = 'en'").select("doc_id").collect()]
+    trained = want[:100]
+    assert toxicity.language_thresholds(rows, known, trained, None) == {"en": 0.5}
+    n = [sum(i % 2 == k for i in ids) for ids in (want[100:], want) for k in (1, 0)]
+    assert min(n) > 1500 and sums == [tuple(n)]

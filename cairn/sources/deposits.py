@@ -2,21 +2,24 @@
 
 Rows are files: portal_id, run_id, filename, payload and sha256 (the expected digest, or null). A deposit is a (portal_id, run_id) with all its files, and
 lies in one task: `deposit` deals and sorts rows so. A task writes a deposit's files and its receipt to a staging folder of its own and reports
-one line for it. The commit checks each deposit's quota, digests and names, and renames its folder, receipt included, to its place:
+one line for it, in a file of the staging folder; the driver gets the file's name. The commit reads the lines of all tasks merged by key, checks each deposit's quota, digests and names, and renames its folder, receipt included, to its place:
 a deposit appears whole or not at all. Where one is there already, the receipt decides: the same fingerprint (SHA-256 of its sorted manifest lines)
 returns that receipt, another one is a changed package and is left alone. A failed job, and a failed attempt of a task, leave nothing but staging, which
 goes with the commit or abort; the job can be run again, and deposits that a broken commit had published are returned then.
 
-Outcomes: PUBLISHED, RECEIPT_RETURNED, CHANGED_PACKAGE, OVER_QUOTA, DIGEST_MISMATCH, UNSAFE_NAME, REPEATED_NAME. The driver gets one line for each deposit, a task
+Outcomes: PUBLISHED, RECEIPT_RETURNED, CHANGED_PACKAGE, OVER_QUOTA, DIGEST_MISMATCH, UNSAFE_NAME, REPEATED_NAME. The driver holds one line of each task at a time, a task
 holds one file and one deposit's list of names, which the quota bounds."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import io
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from itertools import pairwise
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +50,27 @@ class _Staged:
 
 @dataclass
 class _Message(WriterCommitMessage):
-    deposits: list[_Staged]
+    """Where a task's lines are, one for each of its deposits in the order of their keys; none if it had no rows."""
+
+    lines: str | None
+
+    @property
+    def deposits(self) -> list[_Staged]:
+        return list(_staged(self.lines))
+
+
+def _staged(lines: str | None) -> Iterator[_Staged]:
+    """The deposits of a task, read line by line."""
+    if lines is not None:
+        system, path = store(lines)
+        with system.open_input_stream(path, compression=None) as raw, io.TextIOWrapper(raw, "utf-8", newline="\n") as text:
+            for line in text:
+                yield _Staged(**json.loads(line))
+
+
+def _key(d: _Staged) -> tuple:
+    """Spark's order of (portal_id, run_id): null first, then by code points."""
+    return d.portal_id is not None, d.portal_id or "", d.run_id is not None, d.run_id or ""
 
 
 def safe_name(name: str | None) -> bool:
@@ -68,14 +91,22 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> _Message:
         system, root = store(self.staging)
-        done: list[_Staged] = []
+        name, lines = f"_lines-{uuid.uuid4().hex}", None
         here, files = None, {}
+
+        def close() -> None:
+            self._close(system, here, files)
+            if here is not None:
+                lines.write((json.dumps(asdict(here)) + "\n").encode())
+
         for row in rows:
             if here is None or (row.portal_id, row.run_id) != (here.portal_id, here.run_id):
-                self._close(system, here, files)
-                here, files = _Staged(row.portal_id, row.run_id, f"{root}/{uuid.uuid4().hex}"), {}
-                done.append(here)
+                close()
+                last, (here, files) = here, (_Staged(row.portal_id, row.run_id, f"{root}/{uuid.uuid4().hex}"), {})
+                if last is not None and _key(last) > _key(here):
+                    raise ValueError("a task's rows are not in the order of their deposits; deal them with deposits.deposit")
                 system.create_dir(here.folder, recursive=True)
+                lines = lines or system.open_output_stream(f"{root}/{name}", compression=None)
             data = bytes(row.payload or b"")
             here.n_files, here.total_bytes, here.largest = here.n_files + 1, here.total_bytes + len(data), max(here.largest, len(data))
             digest = hashlib.sha256(data).hexdigest()
@@ -83,14 +114,17 @@ class _Writer(DataSourceWriter):
             here.fault = here.fault or fault
             if here.fault or self.over(here):
                 continue  # it will not be published: counted on, not kept
-            name = f"{here.folder}/{row.filename}"
+            place = f"{here.folder}/{row.filename}"
             if "/" in row.filename:
-                system.create_dir(name.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(name, compression=None) as out:
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(place, compression=None) as out:
                 out.write(data)
             files[row.filename] = {"filename": row.filename, "size": len(data), "md5": hashlib.md5(data).hexdigest(), "sha256": digest}
-        self._close(system, here, files)
-        return _Message(done)
+        close()
+        if lines is None:
+            return _Message(None)
+        lines.close()
+        return _Message(f"{self.staging}/{name}")
 
     def _close(self, system, d: _Staged | None, files: dict) -> None:
         """Write the receipt of a deposit whose rows have all come."""
@@ -104,17 +138,19 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages: list[_Message]) -> None:
         system, root = store(self.path)
-        deposits = [d for m in messages if m for d in m.deposits]
-        if len({(d.portal_id, d.run_id) for d in deposits}) < len(deposits):
+        # One deposit of each task at a time: lines of all tasks merge in the order of their keys.
+        merged = lambda: heapq.merge(*(_staged(m.lines) for m in messages if m), key=_key)
+        if any(_key(a) == _key(b) for a, b in pairwise(merged())):
             self._cleared(system)
             raise ValueError("a deposit's rows are spread over tasks; deal them with deposits.deposit")
-        lines = []
-        for d in deposits:
-            outcome, fingerprint = self._published(system, root, d)
-            lines.append(json.dumps({"portal_id": d.portal_id, "run_id": d.run_id, "outcome": outcome, "package_fingerprint": fingerprint or None, "n_files": d.n_files, "total_bytes": d.total_bytes}, ensure_ascii=False) + "\n")
-        system.create_dir(f"{root}/_jobs", recursive=True)
-        with system.open_output_stream(f"{root}/_jobs/{self.job}.json", compression=None) as out:
-            out.write("".join(lines).encode())
+        _, staging = store(self.staging)
+        for folder in (staging, f"{root}/_jobs"):
+            system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{staging}/_outcomes.json", compression=None) as out:
+            for d in merged():
+                outcome, fingerprint = self._published(system, root, d)
+                out.write((json.dumps({"portal_id": d.portal_id, "run_id": d.run_id, "outcome": outcome, "package_fingerprint": fingerprint or None, "n_files": d.n_files, "total_bytes": d.total_bytes}, ensure_ascii=False) + "\n").encode())
+        system.move(f"{staging}/_outcomes.json", f"{root}/_jobs/{self.job}.json")
         self._cleared(system)
 
     def _published(self, system, root: str, d: _Staged) -> tuple[str, str]:

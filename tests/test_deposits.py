@@ -79,3 +79,17 @@ def test_rows_of_a_deposit_in_several_tasks_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="spread over tasks"):
         rows.write.format("deposit").mode("append").save(str(tmp_path / "repo"))
     assert left(str(tmp_path / "repo")) == []
+
+
+def test_the_driver_gets_a_name_for_each_task(spark, tmp_path):
+    import pickle
+
+    keys = [(p, f"r{i:03}") for p in (1, 2) for i in range(100)]
+    writer = deposits._Writer({"path": str(tmp_path / "repo"), "job": "j"})
+    rows = sorted(files(spark, keys, 1).withColumn("sha256", F.lit(None).cast("string")).collect(), key=lambda r: r[:3])
+    messages = [writer.write(iter(rows[i::2])) for i in (0, 1)] + [writer.write(iter(()))]
+    assert max(len(pickle.dumps(m)) for m in messages) < 1000
+    writer.commit(messages)
+    assert len(left(str(tmp_path / "repo"))) == 400 and len((tmp_path / "repo" / "_jobs" / "j.json").read_text().splitlines()) == 200
+    with pytest.raises(ValueError, match="order"):
+        writer.write(iter(rows[::-1]))

@@ -17,21 +17,25 @@ import heapq
 import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import asdict, dataclass
-from itertools import pairwise
+from itertools import chain, pairwise
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..operators.integrity import MAX_FILE_BYTES, MAX_FILES, MAX_TOTAL_BYTES
-from .stores import store
+from .stores import folders, store
 
 ROWS = "portal_id string, run_id string, filename string, payload binary, sha256 string"
 OUTCOME = "portal_id string, run_id string, outcome string, package_fingerprint string, n_files bigint, total_bytes bigint"
 RECEIPT = "portal_id string, run_id string, status string, package_fingerprint string, n_files bigint, total_bytes bigint, files array<struct<filename:string,size:bigint,md5:string,sha256:string>>"
+#: Characters of names or receipts that a task holds before it gives them out.
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -219,6 +223,52 @@ def deposit(files: DataFrame, path: str, **limits: int) -> DataFrame:
     return spark.read.schema(OUTCOME).json(f"{path.rstrip('/')}/_jobs/{job}.json")
 
 
+def _batched(values: Iterator[str], name: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about CHUNK characters."""
+    held, size = [], 0
+    for value in values:
+        held.append(value)
+        size += len(value)
+        if size >= CHUNK:
+            yield pa.RecordBatch.from_pydict({name: pa.array(held, pa.string())})
+            held, size = [], 0
+    yield pa.RecordBatch.from_pydict({name: pa.array(held, pa.string())})
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    return (place for batch in batches for place in batch.column(0).to_pylist())
+
+
+def _portals(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (name for batch in batches for _ in range(batch.num_rows) for name in folders(path))
+        yield from _batched((name for name in names if name not in ("_jobs", "_staging")), "place")
+
+    return run
+
+
+def _runs(path: str) -> Callable:
+    """Each portal's folder, which an empty id makes a deposit's place too, and those below it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched((place for portal in _places(batches) for place in chain([portal], (f"{portal}/{name}" for name in folders(f"{path}/{portal}")))), "place")
+
+    return run
+
+
+def _receipts(path: str) -> Callable:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+        system, root = store(path)
+        for place in _places(batches):
+            with suppress(FileNotFoundError), system.open_input_stream(f"{root}/{place}/receipt.json", compression=None) as f:
+                yield f.read().decode("utf-8", "replace")
+
+    return lambda batches: _batched((text for text in found(batches) if text.strip()), "value")
+
+
 def receipts(spark: SparkSession, path: str) -> DataFrame:
-    """The receipts of all deposits below path."""
-    return spark.read.schema(RECEIPT).option("recursiveFileLookup", "true").option("pathGlobFilter", "receipt.json").json(path)
+    """The receipts of all deposits below path. Tasks list the portals, then each portal's runs, and read the receipts: the driver holds no list of files, and payloads are not listed."""
+    path, n = path.rstrip("/"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    portals = spark.range(0, 1, 1, 1).mapInArrow(_portals(path), "place string").repartition(n, "place")
+    places = portals.mapInArrow(_runs(path), "place string").repartition(n, "place")
+    return places.mapInArrow(_receipts(path), "value string").select(F.from_json("value", RECEIPT).alias("r")).select("r.*")

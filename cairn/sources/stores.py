@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import re
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -29,6 +31,16 @@ def listed(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return sorted((front + (f.path.lstrip("/") if front else f.path), f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(suffixes) and not f.base_name.startswith("_"))
 
 
+def folders(path: str) -> Iterator[str]:
+    """Names of the folders right below a path, in no order; a local path's come one by one, those of other stores as one list."""
+    system, inner = store(path)
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(inner) as found:
+            yield from (f.name for f in found if f.is_dir())
+    else:
+        yield from (f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.Directory)
+
+
 class Raw(io.RawIOBase):
     """A seekable file of a store, for io.BufferedReader and zipfile. It counts the bytes that it reads."""
 

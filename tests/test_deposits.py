@@ -93,3 +93,14 @@ def test_the_driver_gets_a_name_for_each_task(spark, tmp_path):
     assert len(left(str(tmp_path / "repo"))) == 400 and len((tmp_path / "repo" / "_jobs" / "j.json").read_text().splitlines()) == 200
     with pytest.raises(ValueError, match="order"):
         writer.write(iter(rows[::-1]))
+
+
+def test_receipts_are_found_without_the_driver_listing_files(spark, tmp_path):
+    path = str(tmp_path / "repo")
+    keys = [("", "bare"), ("_own", "r"), ("a/b", "r 1"), ("a/b", "ü%2F"), ("p", "")]
+    rows = spark.createDataFrame([(p, r, n, b"x") for p, r in keys for n in ("f.txt", "deep/er/g.txt", "deep/receipt.json")[: 3 if p and r else 2]], "portal_id string, run_id string, filename string, payload binary")
+    assert set(outcomes(deposits.deposit(rows, path)).values()) == {"PUBLISHED"}
+    (tmp_path / "repo" / "p2" / "unfinished").mkdir(parents=True)
+    found = deposits.receipts(spark, path)
+    assert found.inputFiles() == [] and [t for _, t in found.dtypes] == [t for _, t in spark.createDataFrame([], deposits.RECEIPT).dtypes]
+    assert sorted((r["portal_id"], r["run_id"], r["status"], len(r["files"])) for r in found.collect()) == [(p, r, "PUBLISHED", 3 if p and r else 2) for p, r in keys]

@@ -2,7 +2,8 @@
 
 Rows are files: portal_id, run_id, filename, payload and sha256 (the expected digest, or null). A deposit is a (portal_id, run_id) with all its files, and
 lies in one task: `deposit` deals and sorts rows so. A task writes a deposit's files and its receipt to a staging folder of its own and reports
-one line for it, in a file of the staging folder; the driver gets the file's name. The commit reads the lines of all tasks merged by key, checks each deposit's quota, digests and names, and renames its folder, receipt included, to its place:
+one line for it, in a file of the staging folder; the driver gets the file's name. Of a deposit that will not be published, or whose receipt is in the repository
+already, it keeps the line only. The commit reads the lines of all tasks merged by key, checks each deposit's quota, digests and names, and renames its folder, receipt included, to its place:
 a deposit appears whole or not at all. Where one is there already, the receipt decides: the same fingerprint (SHA-256 of its sorted manifest lines)
 returns that receipt, another one is a changed package and is left alone. A failed job, and a failed attempt of a task, leave nothing but staging, which
 goes with the commit or abort; the job can be run again, and deposits that a broken commit had published are returned then.
@@ -77,6 +78,10 @@ def _key(d: _Staged) -> tuple:
     return d.portal_id is not None, d.portal_id or "", d.run_id is not None, d.run_id or ""
 
 
+def _place(root: str, d: _Staged) -> str:
+    return f"{root}/{quote(d.portal_id, safe='')}/{quote(d.run_id, safe='')}"
+
+
 def safe_name(name: str | None) -> bool:
     """A relative path that stays inside its folder and is not the receipt's."""
     parts = (name or "").replace("\\", "/").split("/")
@@ -96,10 +101,10 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> _Message:
         system, root = store(self.staging)
         name, lines = f"_lines-{uuid.uuid4().hex}", None
-        here, files = None, {}
+        here, files, there = None, {}, False
 
         def close() -> None:
-            self._close(system, here, files)
+            self._close(system, here, files, there)
             if here is not None:
                 lines.write((json.dumps(asdict(here)) + "\n").encode())
 
@@ -109,7 +114,8 @@ class _Writer(DataSourceWriter):
                 last, (here, files) = here, (_Staged(row.portal_id, row.run_id, f"{root}/{uuid.uuid4().hex}"), {})
                 if last is not None and _key(last) > _key(here):
                     raise ValueError("a task's rows are not in the order of their deposits; deal them with deposits.deposit")
-                system.create_dir(here.folder, recursive=True)
+                there = self._stands(system, here)
+                system.create_dir(root if there else here.folder, recursive=True)
                 lines = lines or system.open_output_stream(f"{root}/{name}", compression=None)
             data = bytes(row.payload or b"")
             here.n_files, here.total_bytes, here.largest = here.n_files + 1, here.total_bytes + len(data), max(here.largest, len(data))
@@ -118,11 +124,12 @@ class _Writer(DataSourceWriter):
             here.fault = here.fault or fault
             if here.fault or self.over(here):
                 continue  # it will not be published: counted on, not kept
-            place = f"{here.folder}/{row.filename}"
-            if "/" in row.filename:
-                system.create_dir(place.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(place, compression=None) as out:
-                out.write(data)
+            if not there:
+                place = f"{here.folder}/{row.filename}"
+                if "/" in row.filename:
+                    system.create_dir(place.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(place, compression=None) as out:
+                    out.write(data)
             files[row.filename] = {"filename": row.filename, "size": len(data), "md5": hashlib.md5(data).hexdigest(), "sha256": digest}
         close()
         if lines is None:
@@ -130,12 +137,24 @@ class _Writer(DataSourceWriter):
         lines.close()
         return _Message(f"{self.staging}/{name}")
 
-    def _close(self, system, d: _Staged | None, files: dict) -> None:
-        """Write the receipt of a deposit whose rows have all come."""
-        if d is None or d.fault or self.over(d):
+    def _stands(self, system, d: _Staged) -> bool:
+        """Whether the repository has this deposit's receipt, which stays: then its files are read for the fingerprint only. Where that can't be told, the commit will say."""
+        with suppress(OSError, ValueError):
+            return None not in (d.portal_id, d.run_id) and receipt_of(system, _place(store(self.path)[1], d)) is not None
+        return False
+
+    def _close(self, system, d: _Staged | None, files: dict, there: bool) -> None:
+        """Write the receipt of a deposit whose rows have all come; what was staged of one that will not be published goes."""
+        if d is None:
+            return
+        if d.fault or self.over(d):
+            if not there:
+                system.delete_dir(d.folder)
             return
         listed = [files[n] for n in sorted(files)]
         d.fingerprint = hashlib.sha256("".join(f"{f['sha256']}  {f['filename']}\n" for f in listed).encode()).hexdigest()
+        if there:
+            return
         receipt = {"portal_id": d.portal_id, "run_id": d.run_id, "status": "PUBLISHED", "package_fingerprint": d.fingerprint, "n_files": d.n_files, "total_bytes": d.total_bytes, "files": listed}
         with system.open_output_stream(f"{d.folder}/receipt.json", compression=None) as out:
             out.write(json.dumps(receipt, ensure_ascii=False).encode())
@@ -163,7 +182,7 @@ class _Writer(DataSourceWriter):
             return "OVER_QUOTA", d.fingerprint
         if d.fault:
             return d.fault, d.fingerprint
-        place = f"{root}/{quote(d.portal_id, safe='')}/{quote(d.run_id, safe='')}"
+        place = _place(root, d)
         there = receipt_of(system, place)
         if there is None:
             system.create_dir(place.rpartition("/")[0], recursive=True)

@@ -104,3 +104,20 @@ def test_receipts_are_found_without_the_driver_listing_files(spark, tmp_path):
     found = deposits.receipts(spark, path)
     assert found.inputFiles() == [] and [t for _, t in found.dtypes] == [t for _, t in spark.createDataFrame([], deposits.RECEIPT).dtypes]
     assert sorted((r["portal_id"], r["run_id"], r["status"], len(r["files"])) for r in found.collect()) == [(p, r, "PUBLISHED", 3 if p and r else 2) for p, r in keys]
+
+
+def test_a_task_keeps_no_files_that_will_not_be_published(spark, tmp_path):
+    path = str(tmp_path / "repo")
+    assert set(outcomes(deposits.deposit(files(spark, ((1, "r1"), (1, "r2"))), path)).values()) == {"PUBLISHED"}
+    again = files(spark, ((1, "r1"),)).unionByName(files(spark, ((1, "r2"), (2, "new")), suffix="!")).unionByName(files(spark, ((3, "many"),), 7))
+    faulty = spark.createDataFrame([("4", "a", "1.txt", b"1"), ("4", "a", "../x", b"2"), (None, "b", "1.txt", b"1"), (None, "b", "../x", b"1"), ("1" * 300, "c", "../x", b"1")], again.schema)
+    rows = again.unionByName(faulty).withColumn("sha256", F.lit(None).cast("string")).orderBy("portal_id", "run_id", "filename").collect()
+    writer = deposits._Writer({"path": path, "job": "j", "maxfiles": "5"})
+    message = writer.write(iter(rows))
+    staged = {d.run_id: Path(d.folder) for d in message.deposits}
+    assert [r for r, folder in staged.items() if folder.exists()] == ["new"] and len(staged) == 7
+    before = left(path)
+    writer.commit([message])
+    got = outcomes(spark.read.schema(deposits.OUTCOME).json(f"{path}/_jobs/j.json"))
+    assert got == {(None, "b"): "UNSAFE_NAME", ("1", "r1"): "RECEIPT_RETURNED", ("1", "r2"): "CHANGED_PACKAGE", ("2", "new"): "PUBLISHED", ("3", "many"): "OVER_QUOTA", ("4", "a"): "UNSAFE_NAME", ("1" * 300, "c"): "UNSAFE_NAME"}
+    assert len([f for f in left(path) if f.startswith("2/")]) == 5 and [f for f in before if f.startswith("1/")] == [f for f in left(path) if f.startswith("1/")]

@@ -19,7 +19,7 @@ import io
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 from dataclasses import asdict, dataclass
 from itertools import chain, pairwise
 from urllib.parse import quote
@@ -228,6 +228,18 @@ class DepositSource(DataSource):
         return _Writer(self.options)
 
 
+@contextmanager
+def _shuffles_cleared(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin here leave no shuffle files; else payloads stay on disk a second time until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def deposit(files: DataFrame, path: str, **limits: int) -> DataFrame:
     """Publish files (portal_id, run_id, filename, payload[, sha256]) as deposits below path; one outcome for each. limits: max_files, max_file_bytes, max_total_bytes."""
     spark, job = files.sparkSession, uuid.uuid4().hex
@@ -238,7 +250,8 @@ def deposit(files: DataFrame, path: str, **limits: int) -> DataFrame:
     writer = dealt.write.format("deposit").mode("append").option("job", job)
     for name, value in limits.items():
         writer = writer.option(name.replace("_", ""), value)
-    writer.save(path)
+    with _shuffles_cleared(spark):
+        writer.save(path)
     return spark.read.schema(OUTCOME).json(f"{path.rstrip('/')}/_jobs/{job}.json")
 
 

@@ -121,3 +121,19 @@ def test_a_task_keeps_no_files_that_will_not_be_published(spark, tmp_path):
     got = outcomes(spark.read.schema(deposits.OUTCOME).json(f"{path}/_jobs/j.json"))
     assert got == {(None, "b"): "UNSAFE_NAME", ("1", "r1"): "RECEIPT_RETURNED", ("1", "r2"): "CHANGED_PACKAGE", ("2", "new"): "PUBLISHED", ("3", "many"): "OVER_QUOTA", ("4", "a"): "UNSAFE_NAME", ("1" * 300, "c"): "UNSAFE_NAME"}
     assert len([f for f in left(path) if f.startswith("2/")]) == 5 and [f for f in before if f.startswith("1/")] == [f for f in left(path) if f.startswith("1/")]
+
+
+def test_a_deposit_leaves_no_shuffle_files(spark, tmp_path):
+    import re
+    import time
+
+    def shuffled():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    rows, before, key = files(spark), shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    out = deposits.deposit(rows, str(tmp_path / "repo"))
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(key) == "false"
+    assert len(out.collect()) == 3
